@@ -1,3 +1,3 @@
-from .metrics import abs_distance, euclidean, resolve_metric
+from .metrics import abs_distance, euclidean, euclidean_fixed, resolve_metric
 
-__all__ = ["abs_distance", "euclidean", "resolve_metric"]
+__all__ = ["abs_distance", "euclidean", "euclidean_fixed", "resolve_metric"]

@@ -16,14 +16,18 @@ leaves as soon as its answer is complete, so late rounds touch few rows.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import abs_distance, euclidean, resolve_metric
+from ..functions.metrics import abs_distance, euclidean, euclidean_fixed, resolve_metric
+from .blocks import block_radius_pairs
 from .cells import grid_cell, grid_reach, quantile_bounds, with_cell
 
+_log = logging.getLogger(__name__)
+
 # Rounding slack of an n-D distance (64-term sums): relative error far below 2**-36.
 _ND_SLACK = 2.0 ** -36
 
@@ -52,7 +56,7 @@ def _pivot_coords(df: DataFrame, vector_col: str, pivots: Sequence[Sequence[floa
 def radius_join(queries: DataFrame, data: DataFrame, radius: float, *, metric: str = "auto",
                 id_col: str = "id", value_col: str = "value", vector_col: str = "vec",
                 include_self: bool = True, partition_cols: Sequence[str] = (),
-                pivots: int | Sequence[Sequence[float]] = 2) -> DataFrame:
+                pivots: int | Sequence[Sequence[float]] = 8, dims=None) -> DataFrame:
     """All (query, object) pairs with ``distance <= radius`` (inclusive).
 
     Returns (query_id, neighbor_id, distance[, partition_cols]). The query
@@ -73,37 +77,62 @@ def radius_join(queries: DataFrame, data: DataFrame, radius: float, *, metric: s
         dist = dist_fn(F.col("qv"), F.col("dv"))
         j = q.join(d, keys + ["__c"])
     else:
-        q, d, jkeys, dist = _pivot_grid(queries, data, r, id_col, vector_col, keys, pivots)
-        j = q.join(d, jkeys)
+        q, d, jkeys, _, _ = _pivot_grid(queries, data, r, id_col, vector_col, keys, pivots, dims, join_pivots=2)
+        drop = [c for c in q.columns if c.startswith("__qd")]
+        q = q.drop(*drop)
+        d = d.drop(*[c for c in d.columns if c.startswith("__dd")])
+        out = block_radius_pairs(q, d, jkeys, r, include_self, passthrough=keys)
+        return out.select("query_id", "neighbor_id", "distance", *keys)
     j = j.where(dist <= F.lit(r))
     if not include_self:
         j = j.where(F.col("query_id") != F.col("neighbor_id"))
     return j.select("query_id", "neighbor_id", dist.alias("distance"), *keys)
 
 
-def _pivot_grid(queries, data, r, id_col, vector_col, keys, pivots):
+def _vector_dims(data: DataFrame, vector_col: str) -> tuple[int, int]:
+    lo, hi = data.select(F.min(F.size(vector_col)), F.max(F.size(vector_col))).first()
+    return int(lo or 0), int(hi or 0)
+
+
+def _pivot_grid(queries, data, r, id_col, vector_col, keys, pivots, dims=None, join_pivots: int = 2):
+    """Pivot filtering. All pivot distances prune candidates with the lower
+    bound ``max_j |d(x,p_j) - d(y,p_j)| <= d(x,y)`` (cheap scalar tests in
+    codegen); the first ``join_pivots`` of them also form the grid key of the
+    equi-join. The full distance is computed only for the survivors."""
     if isinstance(pivots, int):
         pivots = choose_pivots(data, vector_col, id_col, pivots)
+    if dims is None:
+        dims = _vector_dims(data, vector_col)
+    lo_dims, hi_dims = dims if isinstance(dims, tuple) else (dims, dims)
     # pivot distances over the shortest vector length keep the triangle
     # inequality valid when vectors differ in length (distance = shorter prefix)
-    dims = data.select(F.min(F.size(vector_col))).first()[0] or 0
-    dims = min([dims] + [len(p) for p in pivots]) if pivots else dims
+    pdims = min([lo_dims] + [len(p) for p in pivots]) if pivots else lo_dims
     width = r if r > 0 else 1.0
-    qc = _pivot_coords(queries.select(*keys, F.col(id_col).alias("query_id"), F.col(vector_col).alias("qvec")),
-                       "qvec", pivots, dims)
-    dc = _pivot_coords(data.select(*keys, F.col(id_col).alias("neighbor_id"), F.col(vector_col).alias("dvec")),
-                       "dvec", pivots, dims)
-    cell_cols = []
+    qc = _pivot_coords(queries.select(*keys, F.col(id_col).alias("query_id"),
+                                      F.col(vector_col).cast("array<double>").alias("qvec")), "qvec", pivots, pdims)
+    dc = _pivot_coords(data.select(*keys, F.col(id_col).alias("neighbor_id"),
+                                   F.col(vector_col).cast("array<double>").alias("dvec")), "dvec", pivots, pdims)
+    cell_cols, prune = [], []
     for j in range(len(pivots)):
-        pd = F.col(f"__pd{j}")
-        slack = (pd + F.lit(r)) * F.lit(_ND_SLACK)
-        lo = F.floor((pd - F.lit(r) - slack) / F.lit(width)).cast("long")
-        hi = F.floor((pd + F.lit(r) + slack) / F.lit(width)).cast("long")
-        qc = qc.withColumn(f"__c{j}", F.explode(F.sequence(lo, hi)))
-        dc = dc.withColumn(f"__c{j}", F.floor(pd / F.lit(width)).cast("long"))
-        cell_cols.append(f"__c{j}")
-    drop = [f"__pd{j}" for j in range(len(pivots))]
-    return qc.drop(*drop), dc.drop(*drop), keys + cell_cols, euclidean(F.col("qvec"), F.col("dvec"))
+        qc = qc.withColumnRenamed(f"__pd{j}", f"__qd{j}")
+        dc = dc.withColumnRenamed(f"__pd{j}", f"__dd{j}")
+        qd = F.col(f"__qd{j}")
+        slack = (qd + F.lit(r)) * F.lit(_ND_SLACK)
+        prune.append(F.abs(qd - F.col(f"__dd{j}")) <= F.lit(r) + slack)
+        if j < join_pivots:
+            lo = F.floor((qd - F.lit(r) - slack) / F.lit(width)).cast("long")
+            hi = F.floor((qd + F.lit(r) + slack) / F.lit(width)).cast("long")
+            qc = qc.withColumn(f"__c{j}", F.explode(F.sequence(lo, hi)))
+            dc = dc.withColumn(f"__c{j}", F.floor(F.col(f"__dd{j}") / F.lit(width)).cast("long"))
+            cell_cols.append(f"__c{j}")
+    if lo_dims == hi_dims and lo_dims <= 512:
+        dist = euclidean_fixed(F.col("qvec"), F.col("dvec"), lo_dims)
+    else:
+        dist = euclidean(F.col("qvec"), F.col("dvec"))
+    cond = None
+    for c in prune:
+        cond = c if cond is None else cond & c
+    return qc, dc, keys + cell_cols, dist, cond
 
 
 def _top_k(pairs: DataFrame, k: int, group: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -121,48 +150,65 @@ def knn_within(queries: DataFrame, data: DataFrame, k: int, radius: float, **kw)
     return _top_k(radius_join(queries, data, radius, **kw), k)
 
 
+def _random_pair_distances(data: DataFrame, dist_of, id_col: str, coord: str, n: int,
+                            seed: int = 11) -> DataFrame:
+    """About n/2 disjoint random pairs (points hashed into buckets of ~2) and
+    their distances; each bucket contributes one pair."""
+    n_buckets = F.lit(max(1, n // 2)).cast("long")
+    h = data.select(F.col(coord).alias("__x"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("__h"))
+    g = h.groupBy(F.pmod("__h", n_buckets).alias("__b")).agg(
+        F.min_by("__x", "__h").alias("a"), F.max_by("__x", "__h").alias("b"), F.count(F.lit(1)).alias("c"))
+    return g.where(F.col("c") >= 2).select(dist_of(F.col("a"), F.col("b")).alias("d"))
+
+
 def knn_join(queries: DataFrame, data: DataFrame, k: int, *, id_col: str = "id", value_col: str = "value",
              vector_col: str = "vec", include_self: bool = False, start_radius: float | None = None,
-             growth: float = 2.0, pivots: int = 2) -> DataFrame:
+             growth: float = 2.0, pivots: int = 8) -> DataFrame:
     """The ``k`` nearest objects of every query (ties by object id).
 
     Exact: round i joins the unfinished queries within radius ``r_i``; a query
     with at least ``k`` answers inside ``r_i`` is final (nothing outside can
     beat them); the rest go to the next round with ``r_i * growth``. Once
     ``r`` exceeds the data diameter every object is a candidate, so the loop
-    ends. Unfinished queries are cut from their lineage with
-    ``checkpoint()`` (the session's shared checkpoint folder)."""
+    ends. The first radius is the ``k/n`` quantile of distances between random
+    pairs of points (about the typical k-th neighbour distance). Each round's
+    pairs are checkpointed once (the session's shared checkpoint folder) and
+    both the final answers and the unfinished queries are read from there."""
     if k <= 0:
         return knn_within(queries, data, 0, 0.0, id_col=id_col, value_col=value_col, vector_col=vector_col)
     vector = vector_col in data.columns and _is_vector(data, vector_col)
     coord = vector_col if vector else value_col
     if vector:
         piv = choose_pivots(data, vector_col, id_col, pivots)
-        dims = data.select(F.min(F.size(vector_col))).first()[0] or 0
-        dims = min([dims] + [len(p) for p in piv])
-        pc = _pivot_coords(data.select(vector_col), vector_col, piv[:1], dims)
-        stats = pc.agg(F.min("__pd0"), F.max("__pd0"), F.count(F.lit(1))).first()
-        lo, hi, n = stats[0], stats[1], stats[2]
+        dims = _vector_dims(data, vector_col)
+        pc = _pivot_coords(data.select(vector_col), vector_col, piv[:1], min([dims[0]] + [len(p) for p in piv]))
+        n, hi = pc.agg(F.count(F.lit(1)), F.max("__pd0")).first()
         diameter = 2.0 * (hi or 0.0)
+        dist_of = euclidean
     else:
-        piv = pivots
-        stats = data.agg(F.min(value_col), F.max(value_col), F.count(F.lit(1))).first()
-        lo, hi, n = stats[0], stats[1], stats[2]
+        piv, dims = None, None
+        n, lo, hi = data.agg(F.count(F.lit(1)), F.min(value_col), F.max(value_col)).first()
         diameter = (hi - lo) if n else 0.0
+        dist_of = abs_distance
     if not n:
         return _empty_knn(queries.sparkSession)
-    spread = (hi - lo) if hi is not None else 0.0
-    r = start_radius if start_radius is not None else max(spread * min(1.0, k / max(n, 1)), 1e-12)
+    r = start_radius
+    if r is None:
+        q = min(1.0, (k + 1.0) / n)
+        est = _random_pair_distances(data, dist_of, id_col, coord, n).agg(
+            F.percentile_approx("d", F.lit(q), F.lit(10000))).first()[0]
+        r = est if est else diameter / 2.0
+    r = max(float(r), 1e-12)
     pending = queries.select(F.col(id_col).alias(id_col), F.col(coord).alias(coord))
     done: list[DataFrame] = []
     while True:
         last = r > diameter
+        _log.info("knn round radius=%s", r)
         pairs = radius_join(pending, data, r, id_col=id_col, value_col=value_col, vector_col=vector_col,
-                            include_self=include_self, pivots=piv if vector else 2)
+                            include_self=include_self, pivots=piv if vector else 8, dims=dims).checkpoint()
         found = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-        ready = found.where(F.col("n") >= k) if not last else found
-        finished = _top_k(pairs.join(ready.select("query_id"), "query_id", "left_semi"), k).checkpoint()
-        done.append(finished)
+        ready = found if last else found.where(F.col("n") >= k)
+        done.append(_top_k(pairs.join(ready.select("query_id"), "query_id", "left_semi"), k))
         if last:
             break
         pending = pending.join(ready.select(F.col("query_id").alias(id_col)), id_col, "left_anti").checkpoint()
