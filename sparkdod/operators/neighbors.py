@@ -125,7 +125,7 @@ def _bounds_for(points: DataFrame, value_col: str, cells: int | None, spark_part
 
 def window_neighbor_counts(points: DataFrame, windows: Windows | None, radius: float, *,
                            value_col: str = "value", cells: int | None = None,
-                           quantile_sample: float | None = None) -> DataFrame:
+                           quantile_sample: float | None = None, bounds: list[float] | None = None) -> DataFrame:
     """Neighbour totals per window and distinct value.
 
     Returns (window, src, v, mult, total, before) where ``total`` counts the
@@ -136,7 +136,8 @@ def window_neighbor_counts(points: DataFrame, windows: Windows | None, radius: f
     """
     spark = points.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    bounds = _bounds_for(points, value_col, cells, parts, quantile_sample)
+    if bounds is None:
+        bounds = _bounds_for(points, value_col, cells, parts, quantile_sample)
     if windows is None:
         d = distinct_values(points, F.lit(0).cast("long"), value_col)
         c = pane_range_counts(d, radius, 0, bounds)
