@@ -32,6 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.partitioning import materialize
 from .cells import ROUNDING_SLACK, quantile_bounds, with_cell
 from .windows import Windows
 
@@ -84,8 +85,14 @@ def pane_range_counts(d: DataFrame, radius: float, reach: int, bounds: list[floa
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = union.withColumn("run", F.sum("w").over(in_cell)).where(F.col("kind") != _DATA)
 
-    totals = union.groupBy("q", "cell").agg(F.sum("w").alias("tot"))
-    offsets = totals.select("q", "cell", (F.sum("tot").over(
+    # offsets: data totals per (pane, cell) over the full grid of cells of
+    # every pane that holds data (panes x cells rows, small)
+    n_cells = len(bounds) + 1
+    grid = d.select(F.col("pane").alias("q")).distinct() \
+        .withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cells - 1).cast("long"))))
+    data_tot = with_cell(d, "value", bounds).groupBy(F.col("pane").alias("q"), "cell") \
+        .agg(F.sum("mult").alias("tot"))
+    offsets = grid.join(data_tot, ["q", "cell"], "left").select("q", "cell", (F.sum(F.coalesce("tot", F.lit(0))).over(
         Window.partitionBy("q").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))).alias("off"))
     rank = F.col("run") + F.coalesce(F.col("off"), F.lit(0))
     prefix = ranked.join(offsets, ["q", "cell"], "left").select(
@@ -117,10 +124,18 @@ def pane_range_counts(d: DataFrame, radius: float, reach: int, bounds: list[floa
     return prefix.unionByName(band).groupBy("src", "v", "mult", "q").agg(F.sum("c").alias("cnt"))
 
 
-def _bounds_for(points: DataFrame, value_col: str, cells: int | None, spark_partitions: int,
+def _bounds_for(d: DataFrame, cells: int | None, spark_partitions: int,
                 sample_fraction: float | None) -> list[float]:
+    """Equi-depth bounds over the *distinct* values, which is what the
+    (pane, cell) partitions of the count engine hold."""
     n = spark_partitions if cells is None else cells
-    return quantile_bounds(points, value_col, n, sample_fraction=sample_fraction)
+    return quantile_bounds(d, "value", n, sample_fraction=sample_fraction)
+
+
+def distinct_table(points: DataFrame, pane: Column, value_col: str = "value") -> DataFrame:
+    """``distinct_values`` computed once (checkpointed): every branch of the
+    count plan reads it, so the source is scanned and shuffled only once."""
+    return materialize(distinct_values(points, pane, value_col))
 
 
 def window_neighbor_counts(points: DataFrame, windows: Windows | None, radius: float, *,
@@ -136,23 +151,24 @@ def window_neighbor_counts(points: DataFrame, windows: Windows | None, radius: f
     """
     spark = points.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    if bounds is None:
-        bounds = _bounds_for(points, value_col, cells, parts, quantile_sample)
+
+    def bounds_of(d):
+        return bounds if bounds is not None else _bounds_for(d, cells, parts, quantile_sample)
     if windows is None:
-        d = distinct_values(points, F.lit(0).cast("long"), value_col)
-        c = pane_range_counts(d, radius, 0, bounds)
+        d = distinct_table(points, F.lit(0).cast("long"), value_col)
+        c = pane_range_counts(d, radius, 0, bounds_of(d))
         return c.select(F.col("q").alias("window"), "src", "v", "mult", F.col("cnt").alias("total"),
                         F.col("cnt").alias("before"))
     pos = windows.position(points)
     m = windows.panes_per_window
     if m is None:
         # slide does not divide the size: every window is its own pane
-        d = distinct_values(points, F.explode(windows.window_numbers(pos)), value_col)
-        c = pane_range_counts(d, radius, 0, bounds)
+        d = distinct_table(points, F.explode(windows.window_numbers(pos)), value_col)
+        c = pane_range_counts(d, radius, 0, bounds_of(d))
         return c.select(F.col("q").alias("window"), "src", "v", "mult", F.col("cnt").alias("total"),
                         F.lit(None).cast("long").alias("before"))
-    d = distinct_values(points, windows.pane(pos), value_col)
-    c = pane_range_counts(d, radius, m - 1, bounds)
+    d = distinct_table(points, windows.pane(pos), value_col)
+    c = pane_range_counts(d, radius, m - 1, bounds_of(d))
     # windows (end numbers) holding both panes: e in [max(src,q)+1, min(src,q)+m]
     c = c.withColumn("window", F.explode(F.sequence(F.greatest("src", "q") + 1, F.least("src", "q") + m)))
     return c.groupBy("window", "src", "v", "mult").agg(

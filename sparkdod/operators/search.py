@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import abs_distance, euclidean, euclidean_fixed, resolve_metric
+from ..plans.partitioning import spread
 from .blocks import block_radius_pairs
 from .cells import grid_cell, grid_reach, quantile_bounds, with_cell
 
@@ -70,9 +71,9 @@ def radius_join(queries: DataFrame, data: DataFrame, radius: float, *, metric: s
     if not vector:
         dist_fn = resolve_metric("abs" if metric == "auto" else metric)
         width = r if r > 0 else 1.0
-        q = queries.select(*keys, F.col(id_col).alias("query_id"), F.col(value_col).cast("double").alias("qv"),
+        q = spread(queries).select(*keys, F.col(id_col).alias("query_id"), F.col(value_col).cast("double").alias("qv"),
                            F.explode(grid_reach(F.col(value_col).cast("double"), r, width)).alias("__c"))
-        d = data.select(*keys, F.col(id_col).alias("neighbor_id"), F.col(value_col).cast("double").alias("dv"),
+        d = spread(data).select(*keys, F.col(id_col).alias("neighbor_id"), F.col(value_col).cast("double").alias("dv"),
                         grid_cell(F.col(value_col).cast("double"), width).alias("__c"))
         dist = dist_fn(F.col("qv"), F.col("dv"))
         j = q.join(d, keys + ["__c"])
