@@ -162,13 +162,14 @@ def count_slides(points: DataFrame, slide: int, id_col: str = "id") -> DataFrame
 
 def count_based_time(points: DataFrame, slide: int, step, anchor=0, id_col: str = "id",
                      out_col: str = "ts") -> DataFrame:
-    """Synthetic event time ``anchor + floor(id / slide) * step``: all
-    points of one slide share a timestamp. ``anchor`` defaults to the epoch
-    (the reference takes the wall clock, D6)."""
+    """Synthetic event time ``anchor + floor(id / slide) * step`` as
+    TIMESTAMP_NTZ: all points of one slide share a timestamp. ``anchor``
+    (microseconds or a duration since the epoch) defaults to the epoch; the
+    reference takes the wall clock at start, which is not reproducible (D6)."""
     step_us = to_micros(step)
-    anchor_us = to_micros(anchor) if not isinstance(anchor, int) else anchor
+    anchor_us = anchor if isinstance(anchor, int) else to_micros(anchor)
     us = F.lit(anchor_us) + floor_div(F.col(id_col).cast("long"), slide) * F.lit(step_us)
-    return points.withColumn(out_col, F.timestamp_micros(us))
+    return points.withColumn(out_col, F.timestamp_add("MICROSECOND", us, F.expr(_EPOCH_NTZ)))
 
 
 def time_windows(points: DataFrame, size, slide=None, ts_col: str = "ts") -> DataFrame:
