@@ -85,14 +85,12 @@ def pane_range_counts(d: DataFrame, radius: float, reach: int, bounds: list[floa
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = union.withColumn("run", F.sum("w").over(in_cell)).where(F.col("kind") != _DATA)
 
-    # offsets: data totals per (pane, cell) over the full grid of cells of
-    # every pane that holds data (panes x cells rows, small)
-    n_cells = len(bounds) + 1
-    grid = d.select(F.col("pane").alias("q")).distinct() \
-        .withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cells - 1).cast("long"))))
-    data_tot = with_cell(d, "value", bounds).groupBy(F.col("pane").alias("q"), "cell") \
-        .agg(F.sum("mult").alias("tot"))
-    offsets = grid.join(data_tot, ["q", "cell"], "left").select("q", "cell", (F.sum(F.coalesce("tot", F.lit(0))).over(
+    # offsets: data totals of every non-empty (pane, cell), including cells
+    # holding only probes (total 0); at most one row per (pane, cell) after
+    # map-side partial sums. ``d`` is materialised, so this second read of
+    # the union costs a scan of the distinct table, not of the source.
+    totals = union.groupBy("q", "cell").agg(F.sum("w").alias("tot"))
+    offsets = totals.select("q", "cell", (F.sum("tot").over(
         Window.partitionBy("q").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))).alias("off"))
     rank = F.col("run") + F.coalesce(F.col("off"), F.lit(0))
     prefix = ranked.join(offsets, ["q", "cell"], "left").select(
