@@ -1 +1,13 @@
 """sparkdod: distance-based outlier detection and neighbour search on Spark."""
+
+import sys as _sys
+
+# Ship this package's functions inside the pickled UDF closures, so Python
+# workers need not have the package on their path (cluster executors, or a
+# driver started outside the repository).
+try:
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle
+    pass

@@ -63,27 +63,57 @@ def block_distances(qv: pd.Series, dv: pd.Series) -> np.ndarray:
     return out
 
 
-def block_radius_pairs(q: DataFrame, d: DataFrame, keys: Sequence[str], radius: float, include_self: bool,
-                       passthrough: Sequence[str] = (), block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Pairs within ``radius`` of ``q`` (query_id, qvec, keys) and ``d``
-    (neighbor_id, dvec, keys) that share all ``keys``.
-
-    Returns (query_id, neighbor_id, distance, *passthrough) where
-    ``passthrough`` are key columns to keep in the output."""
-    keys = list(keys)
-    r = float(radius)
+def _chunked(q: DataFrame, d: DataFrame, keys: list[str], block_rows: int):
+    """Hash-split every key group into chunks of at most ``block_rows`` rows
+    per side; a query chunk meets every data chunk of its key."""
     b = int(block_rows)
     qn = q.groupBy(*keys).agg(F.count(F.lit(1)).alias("__qn"))
     dn = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__dn"))
     sizes = qn.join(dn, keys).select(*keys, F.ceil(F.col("__qn") / b).cast("long").alias("__cq"),
                                      F.ceil(F.col("__dn") / b).cast("long").alias("__cd"))
     q2 = q.join(sizes, keys).select(
-        *keys, "query_id", "qvec", F.pmod(F.xxhash64("query_id"), F.col("__cq")).alias("__kq"),
+        *q.columns, F.pmod(F.xxhash64("query_id"), F.col("__cq")).alias("__kq"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("__cd") - 1)).alias("__kd"))
     d2 = d.join(sizes, keys).select(
-        *keys, "neighbor_id", "dvec", F.pmod(F.xxhash64("neighbor_id"), F.col("__cd")).alias("__kd"),
+        *d.columns, F.pmod(F.xxhash64("neighbor_id"), F.col("__cd")).alias("__kd"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("__cq") - 1)).alias("__kq"))
-    gkeys = keys + ["__kq", "__kd"]
+    return q2, d2, keys + ["__kq", "__kd"]
+
+
+def block_radius_counts(q: DataFrame, d: DataFrame, keys: Sequence[str], radius: float, include_self: bool,
+                        block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Like ``block_radius_pairs`` but every block emits one partial count per
+    query, never the pairs: output grows with the queries, not with the
+    pairs, even inside a dense cluster. Returns (query_id, cnt) partials to
+    be summed per query."""
+    r = float(radius)
+    q2, d2, gkeys = _chunked(q.select(*keys, "query_id", "qvec"), d.select(*keys, "neighbor_id", "dvec"),
+                             list(keys), block_rows)
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("cnt", T.LongType())])
+
+    def evaluate(qdf: pd.DataFrame, ddf: pd.DataFrame) -> pd.DataFrame:
+        if qdf.empty or ddf.empty:
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "cnt": pd.Series(dtype="int64")})
+        ok = block_distances(qdf["qvec"], ddf["dvec"]) <= r
+        if not include_self:
+            ok &= qdf["query_id"].to_numpy()[:, None] != ddf["neighbor_id"].to_numpy()[None, :]
+        return pd.DataFrame({"query_id": qdf["query_id"].to_numpy().astype("int64"),
+                             "cnt": ok.sum(axis=1).astype("int64")})
+
+    return q2.groupBy(*gkeys).cogroup(d2.groupBy(*gkeys)).applyInPandas(evaluate, schema)
+
+
+def block_radius_pairs(q: DataFrame, d: DataFrame, keys: Sequence[str], radius: float, include_self: bool,
+                       passthrough: Sequence[str] = (), block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Pairs within ``radius`` of ``q`` (query_id, qvec, keys) and ``d``
+    (neighbor_id, dvec, keys) that share all ``keys``.
+
+    Returns (query_id, neighbor_id, distance, *passthrough) where
+    ``passthrough`` are key columns to keep in the output."""
+    keys = list(keys)
+    r = float(radius)
+    q2, d2, gkeys = _chunked(q.select(*keys, "query_id", "qvec"), d.select(*keys, "neighbor_id", "dvec"),
+                             keys, block_rows)
     keep = list(passthrough)
     schema_fields = [T.StructField("query_id", T.LongType()), T.StructField("neighbor_id", T.LongType()),
                      T.StructField("distance", T.DoubleType())]

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import abs_distance, euclidean, euclidean_fixed, resolve_metric
 from ..plans.partitioning import spread
-from .blocks import block_radius_pairs
+from ..plans.partitioning import materialize
+from .blocks import DEFAULT_BLOCK_ROWS, block_radius_counts, block_radius_pairs
 from .cells import grid_cell, grid_reach, quantile_bounds, with_cell
 
 _log = logging.getLogger(__name__)
@@ -294,20 +295,69 @@ def nearest_center(points: DataFrame, centers: DataFrame, threshold: float, *, i
                       F.col("b.distance").alias("distance"))
 
 
-def count_neighbors(points: DataFrame, radius: float, **kw) -> DataFrame:
-    """A1 for any metric over one set: (id, neighbors) with the point itself
-    excluded; points without neighbours report 0 (left join)."""
-    id_col = kw.get("id_col", "id")
-    pairs = radius_join(points, points, radius, include_self=False, **kw)
-    cnt = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("neighbors"))
-    return points.select(F.col(id_col).alias("query_id")).join(cnt, "query_id", "left") \
-        .select(F.col("query_id").alias("id"), F.coalesce("neighbors", F.lit(0)).cast("long").alias("neighbors"))
+def count_neighbors(points: DataFrame, radius: float, k: int | None = None, *, id_col: str = "id",
+                    value_col: str = "value", vector_col: str = "vec", pivots: int = 8,
+                    block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """A1 over one set: (id, neighbors), the point itself excluded; points
+    without neighbours report 0.
+
+    1-D values use the pair-free prefix-rank counts. Vectors are counted
+    blockwise (no pair is ever emitted). With ``k`` the counts are capped at
+    ``k`` (exact below ``k``, which is all outlier detection needs) and
+    witness pruning applies: every grid cell offers at most ``block_rows``
+    hashed witness rows; a point with ``k`` neighbours among the witnesses is
+    certainly not an outlier, and only the others are compared with whole
+    cells. Inside a dense cluster the work is linear, not quadratic."""
+    vector = vector_col in points.columns and _is_vector(points, vector_col)
+    if not vector:
+        from .neighbors import window_neighbor_counts
+        c = window_neighbor_counts(points.select(F.col(id_col).alias("id"), F.col(value_col).alias("value")),
+                                   None, radius)
+        pts = points.select(F.col(id_col).alias("id"), F.col(value_col).cast("double").alias("value"))
+        out = pts.join(c, pts.value == c.v).select("id", (F.col("total") - 1).alias("neighbors"))
+        return out if k is None else out.withColumn("neighbors", F.least("neighbors", F.lit(int(k))))
+    r = float(radius)
+    q, d, keys, _, _ = _pivot_grid(points, points, r, id_col, vector_col, [], pivots, None, join_pivots=2)
+    q = q.select(*keys, "query_id", "qvec")
+    d = d.select(*keys, "neighbor_id", "dvec")
+    ids = points.select(F.col(id_col).alias("query_id"))
+
+    def total(partials):
+        return partials.groupBy("query_id").agg(F.sum("cnt").alias("neighbors"))
+    stride = d.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("long").alias("__s"))
+    if k is None or (stride.agg(F.max("__s")).first()[0] or 1) <= 1:
+        # no cell needs sampling (or exact counts wanted): one exact pass
+        cnt = total(block_radius_counts(q, d, keys, r, False, block_rows))
+        out = ids.join(cnt, "query_id", "left").select(
+            F.col("query_id").alias("id"), F.coalesce("neighbors", F.lit(0)).cast("long").alias("neighbors"))
+        return out if k is None else out.withColumn("neighbors", F.least("neighbors", F.lit(int(k))))
+    # pass 1: witnesses = a hashed subset of at most ~block_rows rows per cell
+    d_w = d.join(stride, keys).where(F.pmod(F.xxhash64("neighbor_id", F.lit(3)), F.col("__s")) == 0) \
+        .select(*keys, "neighbor_id", "dvec")
+    sampled = q.join(stride, keys, "left").groupBy("query_id").agg(
+        F.max(F.coalesce(F.col("__s"), F.lit(1))).alias("__smax"))
+    first = ids.join(total(block_radius_counts(q, d_w, keys, r, False, block_rows)), "query_id", "left") \
+        .join(sampled, "query_id", "left") \
+        .select("query_id", F.coalesce("neighbors", F.lit(0)).cast("long").alias("neighbors"),
+                (F.coalesce(F.col("__smax"), F.lit(1)) <= 1).alias("__complete"))
+    first = materialize(first)
+    settled = first.where(F.col("__complete") | (F.col("neighbors") >= k)).select("query_id", "neighbors")
+    rest = first.where(~F.col("__complete") & (F.col("neighbors") < k)).select("query_id")
+    if rest.isEmpty():
+        return settled.select(F.col("query_id").alias("id"),
+                              F.least(F.col("neighbors"), F.lit(int(k))).cast("long").alias("neighbors"))
+    # pass 2: exact counts for the undecided queries against whole cells
+    q_rest = q.join(rest, "query_id", "left_semi")
+    second = rest.join(total(block_radius_counts(q_rest, d, keys, r, False, block_rows)), "query_id", "left") \
+        .select("query_id", F.coalesce("neighbors", F.lit(0)).cast("long").alias("neighbors"))
+    return settled.unionByName(second).select(
+        F.col("query_id").alias("id"), F.least(F.col("neighbors"), F.lit(int(k))).cast("long").alias("neighbors"))
 
 
 def snapshot_outliers_nd(points: DataFrame, radius: float, k: int, **kw) -> DataFrame:
-    """O7 for vectors (or any metric): (id, neighbors) of the points with fewer
-    than ``k`` neighbours within ``radius``."""
-    return count_neighbors(points, radius, **kw).where(F.col("neighbors") < k)
+    """O7 for vectors (or numbers): (id, neighbors) of the points with fewer
+    than ``k`` neighbours within ``radius`` (exact counts)."""
+    return count_neighbors(points, radius, k, **kw).where(F.col("neighbors") < k)
 
 
 __all__ = ["radius_join", "knn_join", "knn_within", "rank_by_distance", "nearest_center", "count_neighbors",

@@ -98,3 +98,23 @@ def test_extremes_and_sample(spark):
     assert sample_n(df, 10).count() == 5
     assert sorted(x.id for x in sample_n(df, 3, seed=1).collect()) == \
         sorted(x.id for x in sample_n(df.repartition(3), 3, seed=1).collect())
+
+
+@pytest.mark.parametrize("block_rows", [4, 16])
+def test_witness_pruned_counts_exact_below_k(spark, vecs, block_rows):
+    from sparkdod.operators.search import count_neighbors
+    rows, df = vecs
+    got = {x.id: x.neighbors for x in count_neighbors(df, 2.0, 4, block_rows=block_rows).collect()}
+    for a, va in rows:
+        n = sum(1 for b, vb in rows if b != a and euclid(va, vb) <= 2.0)
+        assert got[a] == min(n, 4)
+    full = {x.id: x.neighbors for x in count_neighbors(df, 2.0, block_rows=block_rows).collect()}
+    assert full == {a: sum(1 for b, vb in rows if b != a and euclid(va, vb) <= 2.0) for a, va in rows}
+
+
+def test_count_neighbors_1d(spark):
+    from sparkdod.operators.search import count_neighbors
+    vals = [0.0, 0.5, 0.5, 1.2, 7.0]
+    df = spark.createDataFrame(list(enumerate(vals)), "id long, value double")
+    got = {x.id: x.neighbors for x in count_neighbors(df, 0.5).collect()}
+    assert got == {0: 2, 1: 2, 2: 2, 3: 0, 4: 0}
