@@ -33,6 +33,7 @@ HEADLINE = [
     "knn_5",
     "knn_within",
     "nearest_center",
+    "orders_window_outlier_counts",
     "stream_outlier_counts",
 ]
 

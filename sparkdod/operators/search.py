@@ -216,6 +216,8 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, id_col: str = "id",
         pending = pending.join(ready.select(F.col("query_id").alias(id_col)), id_col, "left_anti").checkpoint()
         if pending.isEmpty():
             break
+        if _log.isEnabledFor(logging.DEBUG):
+            _log.debug("knn radius %s left %d queries", r, pending.count())
         r *= growth
     out = done[0]
     for part in done[1:]:

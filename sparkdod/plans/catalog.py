@@ -18,7 +18,7 @@ from ..operators import clusters, outliers, sampling, search
 from ..operators.cells import ROUNDING_SLACK, replicate, with_cell
 from ..operators.clusters import dense_cell_width
 from ..operators.windows import Windows, count_based_time
-from ..sources.points import parse_points
+from ..sources.points import parse_points, points_from_table
 
 # fixed values: workload parameters of the registered queries
 R_WIN, K_WIN = 5.0, 10                 # windowed outliers (events.value)
@@ -32,6 +32,7 @@ K_RECENT = 5
 CELL_BOUNDS = [25.0, 50.0, 100.0]       # literal value cells for per-cell counts
 SAMPLE_N, SAMPLE_SEED = 100, 42
 P1_SLIDE, P1_STEP = 1000, "5 seconds"
+ORD_W, ORD_S, ORD_R, ORD_K = "90 days", "30 days", 2000.0, 3   # orders.o_totalprice by o_orderdate
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts", "value")
 
 
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1-D points from orders: price by order date."""
+    return points_from_table(_t(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", ts_col="o_orderdate")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"),
                                                   "label")
@@ -193,6 +199,10 @@ def q_value_cells(spark, sf):
     return with_cell(p, "value", CELL_BOUNDS).select("id", "cell")
 
 
+def q_orders_window_outlier_counts(spark, sf):
+    return outliers.window_outlier_counts(orders(spark, sf), Windows.time(ORD_W, ORD_S), ORD_R, ORD_K)
+
+
 def q_stream_outlier_counts(spark, sf):
     from ..streaming.outliers import run_stream_outlier_counts
     return run_stream_outlier_counts(spark, os.path.join(sf, "events.parquet"), TIME_W, TIME_S, R_WIN, K_WIN)
@@ -224,6 +234,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "count_based_time": q_count_based_time,
     "replicate_cells": q_replicate_cells,
     "value_cells": q_value_cells,
+    "orders_window_outlier_counts": q_orders_window_outlier_counts,
     "stream_outlier_counts": q_stream_outlier_counts,
 }
 
@@ -366,5 +377,16 @@ SELECT id, cell::BIGINT AS cell, cell <> own AS is_replica FROM c, range(lo, hi
   ((value > {_d(CELL_BOUNDS[0])})::INT + (value > {_d(CELL_BOUNDS[1])})::INT + (value > {_d(CELL_BOUNDS[2])})::INT)::BIGINT AS cell
 FROM events""",
 }
+_ORD_US = 30 * DAY_US
+ORACLE["orders_window_outlier_counts"] = f"""WITH
+  p AS (SELECT o_orderkey AS id, o_totalprice AS value, epoch_us(o_orderdate) // {_ORD_US} AS pane FROM orders),
+  w AS (SELECT id, value, pane + j AS e, pane FROM p, range(1, 4) t(j)),
+  nb AS (SELECT a.e, a.id, count(b.id) AS nb FROM w a LEFT JOIN w b
+           ON a.e = b.e AND a.id <> b.id
+          AND b.value BETWEEN a.value - {ORD_R + 1.0} AND a.value + {ORD_R + 1.0}
+          AND abs(a.value - b.value) <= {_d(ORD_R)}
+         GROUP BY a.e, a.id)
+SELECT make_timestamp(e * {_ORD_US}) AS window_end, sum(CASE WHEN nb < {ORD_K} THEN 1 ELSE 0 END)::BIGINT AS outliers
+FROM nb GROUP BY e"""
 # the streaming form must give the batch result
 ORACLE["stream_outlier_counts"] = ORACLE["window_outlier_counts_time"]

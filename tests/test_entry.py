@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 
-TABLES = ["events", "embeddings"]
+TABLES = ["events", "embeddings", "orders"]
 SKIP_ORACLE = {"sample_n"}
 
 
