@@ -88,7 +88,9 @@ def stream_outlier_counts(points: DataFrame, size, slide, radius: float, k: int,
     of ``ts_col`` (NTZ input -> NTZ output)."""
     w = Windows.time(size, slide, ts_col)
     ntz = isinstance(points.schema[ts_col].dataType, T.TimestampNTZType)
-    t = F.col(ts_col).cast("timestamp") if ntz else F.col(ts_col)
+    # NTZ wall clock -> the instant with the same epoch microseconds, so window
+    # bounds do not depend on the session time zone (same as the batch form)
+    t = F.timestamp_micros(w.position(points)) if ntz else F.col(ts_col)
     p = points.select(t.alias("__t"), F.col(value_col).cast("double").alias("value")) \
         .where(F.col("value").isNotNull() & ~F.isnan("value")) \
         .withWatermark("__t", delay)
@@ -102,7 +104,9 @@ def stream_outlier_counts(points: DataFrame, size, slide, radius: float, k: int,
     per_cell = per_cell.select("window", _cell_outlier_udf(radius, k)("vals", "mults", "owners").alias("outliers"))
     per_window = per_cell.groupBy("window").agg(F.sum("outliers").cast("long").alias("outliers"))
     end = F.col("window.end")
-    return per_window.select((end.cast("timestamp_ntz") if ntz else end).alias("window_end"), "outliers")
+    if ntz:
+        end = F.timestamp_add("MICROSECOND", F.unix_micros(end), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+    return per_window.select(end.alias("window_end"), "outliers")
 
 
 def run_stream_outlier_counts(spark: SparkSession, path: str, size, slide, radius: float, k: int, *,
