@@ -51,8 +51,11 @@ def _slot_width(cls: Column) -> Column:
 
 def distinct_values(points: DataFrame, pane: Column, value_col: str = "value") -> DataFrame:
     """(pane, value, mult): duplicates collapse before any shuffle-heavy step
-    (partial aggregation happens map-side)."""
-    return points.select(pane.alias("pane"), F.col(value_col).cast("double").alias("value")) \
+    (partial aggregation happens map-side). NULL, NaN and infinite values are
+    no points (D5; ``parse_points`` reports them as rejects)."""
+    v = F.col(value_col).cast("double")
+    return points.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) \
+        .select(pane.alias("pane"), v.alias("value")) \
         .groupBy("pane", "value").agg(F.count(F.lit(1)).alias("mult"))
 
 

@@ -155,6 +155,27 @@ class Windows:
         return F.timestamp_add("MICROSECOND", end_us, F.expr(_EPOCH_NTZ))
 
 
+def new_in_window(points_in_windows: DataFrame, windows: Windows, window_col: str = "window") -> DataFrame:
+    """The points that entered with the window's last slide (the
+    reference inserts only these per firing). Expects one row per (point,
+    window number) with the point's position column."""
+    pos = windows.position(points_in_windows)
+    start_of_last = windows.end_position(F.col(window_col)) - F.lit(windows.slide)
+    return points_in_windows.where(pos >= start_of_last)
+
+
+def expiring(points_in_windows: DataFrame, windows: Windows, window_col: str = "window") -> DataFrame:
+    """The points that leave after this window (its first slide)."""
+    pos = windows.position(points_in_windows)
+    start = windows.end_position(F.col(window_col)) - F.lit(windows.size)
+    return points_in_windows.where(pos < start + F.lit(windows.slide))
+
+
+def with_windows(points: DataFrame, windows: Windows, window_col: str = "window") -> DataFrame:
+    """One row per (point, window number) (W3/W10 in batch form)."""
+    return points.withColumn(window_col, F.explode(windows.window_numbers(windows.position(points))))
+
+
 def count_slides(points: DataFrame, slide: int, id_col: str = "id") -> DataFrame:
     """Slide number ``floor(id / slide)`` of every point."""
     return points.withColumn("slide", floor_div(F.col(id_col).cast("long"), slide))

@@ -82,3 +82,34 @@ def test_time_windows_match_spark_window(spark):
     ours = time_windows(df, "2 days", "1 day").select("event_id", "window_end")
     theirs = df.select("event_id", F.window("ts", "2 days", "1 day").end.alias("window_end"))
     assert ours.exceptAll(theirs).count() == 0 and theirs.exceptAll(ours).count() == 0
+
+
+def test_new_and_expiring_points(spark):
+    from sparkdod.operators.windows import expiring, new_in_window, with_windows
+    df = spark.createDataFrame([(i, float(i)) for i in range(8)], SCHEMA)
+    w = Windows.count(4, 2)
+    ww = with_windows(df, w)
+    new = sorted((r.window, r.id) for r in new_in_window(ww, w).collect())
+    old = sorted((r.window, r.id) for r in expiring(ww, w).collect())
+    assert new == [(1, 0), (1, 1), (2, 2), (2, 3), (3, 4), (3, 5), (4, 6), (4, 7)]
+    assert old == [(2, 0), (2, 1), (3, 2), (3, 3), (4, 4), (4, 5), (5, 6), (5, 7)]
+
+
+def test_nan_and_null_values_are_not_points(spark):
+    df = spark.createDataFrame([(0, 1.0), (1, float("nan")), (2, None), (3, 1.2)], SCHEMA)
+    out = {r.id: r.neighbors for r in neighbor_profile(df, None, 0.5, 1).collect()}
+    assert out == {0: 1, 3: 1}
+
+
+def test_text_source_and_sink_round_trip(spark, tmp_path):
+    from sparkdod.sources.points import read_text_points
+    from sparkdod.sources.sinks import write_lines
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "part-0.txt").write_text("0&1.0\n1&1.2\n2&9.0\nbad\n3&1.1\n")
+    pts, rej = read_text_points(spark, str(src))
+    assert rej.count() == 1
+    counts = window_outlier_counts(pts, Windows.count(4, 2), 0.45, 1)
+    write_lines(counts, str(tmp_path / "out"))
+    lines = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
+    assert lines == ["1;0", "2;1", "3;2"]  # window 3: ids 2 (9.0) and 3 (1.1), both alone
