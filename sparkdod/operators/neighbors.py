@@ -125,11 +125,30 @@ def pane_range_counts(d: DataFrame, radius: float, reach: int, bounds: list[floa
     return prefix.unionByName(band).groupBy("src", "v", "mult", "q").agg(F.sum("c").alias("cnt"))
 
 
+# Upper target of distinct rows per (slide, cell) partition of the running-sum
+# window (sorted, spillable), and a cap on the bounds sent to the driver.
+TARGET_ROWS_PER_CELL = 2_000_000
+MAX_CELLS = 100_000
+
+
+def choose_cells(d: DataFrame, parallelism: int) -> int:
+    """Number of value cells for the distinct table ``d`` (pane, value, mult):
+    enough that a whole slide fits ``TARGET_ROWS_PER_CELL`` per cell even if
+    one slide holds all rows, and enough to give ``parallelism`` tasks when
+    there are few slides. One aggregate over the materialised table."""
+    import math
+    n, panes = d.agg(F.count(F.lit(1)), F.approx_count_distinct("pane")).first()
+    n, panes = int(n or 0), max(int(panes or 1), 1)
+    by_size = math.ceil(n / TARGET_ROWS_PER_CELL)
+    by_parallelism = math.ceil(parallelism / panes)
+    return max(1, min(MAX_CELLS, max(by_size, by_parallelism)))
+
+
 def _bounds_for(d: DataFrame, cells: int | None, spark_partitions: int,
                 sample_fraction: float | None) -> list[float]:
     """Equi-depth bounds over the *distinct* values, which is what the
     (pane, cell) partitions of the count engine hold."""
-    n = spark_partitions if cells is None else cells
+    n = choose_cells(d, spark_partitions) if cells is None else cells
     return quantile_bounds(d, "value", n, sample_fraction=sample_fraction)
 
 

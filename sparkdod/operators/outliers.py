@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import quantile_bounds, with_cell
-from .neighbors import distinct_table, pane_range_counts, window_neighbor_counts
+from .neighbors import choose_cells, distinct_table, pane_range_counts, window_neighbor_counts
 from .windows import Windows
 
 
@@ -97,9 +97,9 @@ def recent_neighbors(points: DataFrame, windows: Windows, radius: float, k: int,
     if m is None:
         raise ValueError("recent_neighbors needs a slide that divides the window size")
     spark = points.sparkSession
-    n_cells = cells if cells is not None else int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     pos = windows.position(points)
     d = distinct_table(points, windows.pane(pos), value_col)
+    n_cells = cells if cells is not None else choose_cells(d, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     bounds = quantile_bounds(d, "value", n_cells)
     c = pane_range_counts(d, radius, m - 1, bounds).where(F.col("q") <= F.col("src"))
     c = c.withColumn("window", F.explode(F.sequence(F.col("src") + 1, F.col("q") + m)))
