@@ -32,6 +32,7 @@ K_RECENT = 5
 CELL_BOUNDS = [25.0, 50.0, 100.0]       # literal value cells for per-cell counts
 SAMPLE_N, SAMPLE_SEED = 100, 42
 P1_SLIDE, P1_STEP = 1000, "5 seconds"
+R_WIDE, K_WIDE = 2.5, 20               # count windows, second anchor
 ORD_W, ORD_S, ORD_R, ORD_K = "90 days", "30 days", 2000.0, 3   # orders.o_totalprice by o_orderdate
 
 
@@ -119,6 +120,16 @@ def q_knn_5(spark, sf):
     return j.select("query_id", "neighbor_id", _round(F.col("distance")).alias("distance"), "rank")
 
 
+def q_knn_1(spark, sf):
+    v = vectors(spark, sf)
+    j = search.knn_join(v, v, 1)
+    return j.select("query_id", "neighbor_id", _round(F.col("distance")).alias("distance"))
+
+
+def q_window_outlier_counts_count_wide(spark, sf):
+    return outliers.window_outlier_counts(events(spark, sf), COUNT_WINDOWS, R_WIDE, K_WIDE)
+
+
 def q_knn_within(spark, sf):
     v = vectors(spark, sf)
     j = search.knn_within(v, v, K_ND, R_ND, include_self=False)
@@ -221,6 +232,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "radius_join_nd": q_radius_join_nd,
     "snapshot_outliers_nd": q_snapshot_outliers_nd,
     "knn_5": q_knn_5,
+    "knn_1": q_knn_1,
+    "window_outlier_counts_count_wide": q_window_outlier_counts_count_wide,
     "knn_within": q_knn_within,
     "rank_by_distance": q_rank_by_distance,
     "nearest_center": q_nearest_center,
@@ -388,5 +401,10 @@ ORACLE["orders_window_outlier_counts"] = f"""WITH
          GROUP BY a.e, a.id)
 SELECT make_timestamp(e * {_ORD_US}) AS window_end, sum(CASE WHEN nb < {ORD_K} THEN 1 ELSE 0 END)::BIGINT AS outliers
 FROM nb GROUP BY e"""
+ORACLE["knn_1"] = f"""SELECT query_id, neighbor_id, round(distance, 6) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM ({_PAIRS_ND}))
+WHERE rank = 1"""
+ORACLE["window_outlier_counts_count_wide"] = f"""WITH {_COUNT_WIN}, {_nb(R_WIDE)}
+SELECT e AS window_end, sum(CASE WHEN nb < {K_WIDE} THEN 1 ELSE 0 END)::BIGINT AS outliers FROM nb GROUP BY e"""
 # the streaming form must give the batch result
 ORACLE["stream_outlier_counts"] = ORACLE["window_outlier_counts_time"]
