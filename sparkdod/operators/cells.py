@@ -39,6 +39,17 @@ def quantile_bounds(df: DataFrame, col: str, n_cells: int, rel_error: float | No
     return sorted({q for q in qs if q is not None and math.isfinite(q)})
 
 
+def merge_narrow_bounds(bounds: Sequence[float], min_width: float) -> list[float]:
+    """Drop bounds closer than ``min_width`` to the previous kept one, so no
+    inner cell is narrower than ``min_width``: with ``min_width = R`` a point's
+    radius touches at most three cells and replication stays below 3x."""
+    out: list[float] = []
+    for b in sorted(set(bounds)):
+        if not out or b - out[-1] >= min_width:
+            out.append(b)
+    return out
+
+
 def with_cell(df: DataFrame, key: Column | str, bounds: Sequence[float], out_col: str = "cell") -> DataFrame:
     """``cell = #{b in bounds : b < key}``.
 

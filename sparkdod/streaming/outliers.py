@@ -11,7 +11,10 @@ watermark evicts (append mode, one final result per window, D2)::
            -> groupBy(window) sum               A5 (chained aggregation)
 
 A cell holds about ``1 / cells`` of a window's distinct values, so no state
-group grows with the whole window. Spark closes a window only when the
+group grows with the whole window. Bounds closer than ``R`` are merged, so a
+point is copied to at most three cells; a value range narrower than ``R``
+that holds many distinct values stays one group (the batch form has no
+such group). Spark closes a window only when the
 watermark passes it; at the end of a bounded input ``flush=True`` appends
 one marker row far in the future so the last windows close too (W9). The
 marker sits in its own windows, which never close, so it is never counted.
@@ -27,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.cells import ROUNDING_SLACK, quantile_bounds, replicate
+from ..operators.cells import ROUNDING_SLACK, merge_narrow_bounds, quantile_bounds, replicate
+from ..operators.neighbors import MAX_CELLS
 from ..session import scratch_path, shuffle_partitions
 from ..operators.windows import Windows
 
 # fixed value: the reference's out-of-orderness (1000 ms) plus allowed lateness (1000 ms)
 DEFAULT_DELAY = "2 seconds"
 _FAR_FUTURE = _dt.datetime(9000, 1, 1)
+ROWS_PER_STREAM_CELL = 200_000
 
 
 def neighbour_totals(values: np.ndarray, mults: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +125,11 @@ def run_stream_outlier_counts(spark: SparkSession, path: str, size, slide, radiu
     folder."""
     static = spark.read.parquet(path)
     schema = static.schema
-    bounds = quantile_bounds(static, value_col, cells or shuffle_partitions(spark))
+    if cells is None:
+        # enough cells that a (window, cell) group stays far below the whole
+        # table even if one window held everything
+        cells = min(MAX_CELLS, max(shuffle_partitions(spark), -(-static.count() // ROWS_PER_STREAM_CELL)))
+    bounds = merge_narrow_bounds(quantile_bounds(static, value_col, cells), float(radius))
     src = path if not path.endswith(".parquet") else path[:-1] + "[t]"  # a glob: the source wants a folder
     stream = spark.readStream.schema(schema).parquet(src)
     if flush:
