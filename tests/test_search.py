@@ -118,3 +118,13 @@ def test_count_neighbors_1d(spark):
     df = spark.createDataFrame(list(enumerate(vals)), "id long, value double")
     got = {x.id: x.neighbors for x in count_neighbors(df, 0.5).collect()}
     assert got == {0: 2, 1: 2, 2: 2, 3: 0, 4: 0}
+
+
+def test_euclidean_on_int_and_float_lists(spark):
+    from pyspark.sql import functions as F
+
+    from sparkdod.functions.metrics import euclidean
+    df = spark.createDataFrame([([1, 2, 3], [1.5, 2.0], [4.0, 6.0, 3.0, 9.0])],
+                               "a array<int>, b array<float>, c array<double>")
+    r = df.select(euclidean(F.col("a"), F.col("b")).alias("ab"), euclidean(F.col("a"), F.col("c")).alias("ac")).first()
+    assert r.ab == euclid([1, 2], [1.5, 2.0]) and r.ac == euclid([1, 2, 3], [4.0, 6.0, 3.0])
