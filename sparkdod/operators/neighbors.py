@@ -59,19 +59,23 @@ def distinct_values(points: DataFrame, pane: Column, value_col: str = "value") -
         .groupBy("pane", "value").agg(F.count(F.lit(1)).alias("mult"))
 
 
-def pane_range_counts(d: DataFrame, radius: float, reach: int, bounds: list[float]) -> DataFrame:
+def pane_range_counts(d: DataFrame, radius: float, reach: int, bounds: list[float],
+                      probe_rows: DataFrame | None = None) -> DataFrame:
     """For every distinct (pane ``src``, value ``v``) and every pane ``q`` with
     ``|q - src| <= reach``: ``cnt`` = points of pane ``q`` with
     ``abs(u - v) <= radius`` (the point itself included when ``q == src``).
 
     ``d`` has columns (pane, value, mult). Returns (src, v, mult, q, cnt).
+    ``probe_rows`` (a subset of ``d``) restricts the values that are counted;
+    all of ``d`` is still counted as neighbours.
     """
     r = float(radius)
     if reach > 0:
         qs = F.explode(F.sequence(F.col("pane") - reach, F.col("pane") + reach))
     else:
         qs = F.col("pane")
-    probes = d.select(F.col("pane").alias("src"), F.col("value").alias("v"), F.col("mult"), qs.alias("q"))
+    probe_src = d if probe_rows is None else probe_rows
+    probes = probe_src.select(F.col("pane").alias("src"), F.col("value").alias("v"), F.col("mult"), qs.alias("q"))
 
     # -- 1. ranks of thresholds by a range-partitioned running sum ---------
     cols = ["q", "key", "kind", "w", "src", "v", "mult"]
@@ -158,9 +162,43 @@ def distinct_table(points: DataFrame, pane: Column, value_col: str = "value") ->
     return materialize(distinct_values(points, pane, value_col))
 
 
+# Dense cells: width just below R, so two members are within R even after
+# rounding; only used while |value| / R < 1e6 (rounding of value / width).
+DENSE_WIDTH_FACTOR = 1.0 - 1e-9
+DENSE_MAX_MAGNITUDE = 1e6
+
+
+def undecided_values(d: DataFrame, radius: float, k: int) -> DataFrame:
+    """Rows of the distinct table that are *not* certain inliers.
+
+    A grid cell of width just below ``R`` whose members in one slide number
+    more than ``k`` (with multiplicity) makes each of them an inlier in that
+    slide alone, hence in every window holding the slide: each member has at
+    least ``k`` others within ``R``. Those values need no rank probes."""
+    r = float(radius)
+    v = F.col("value")
+    gc = F.when(F.abs(v) < F.lit(DENSE_MAX_MAGNITUDE * r),
+                F.floor(v / F.lit(r * DENSE_WIDTH_FACTOR))).cast("long")
+    dc = d.withColumn("__gc", gc)
+    dense = dc.groupBy("pane", "__gc").agg(F.sum("mult").alias("__n")).where(F.col("__n") > k)
+    return dc.join(dense.select("pane", "__gc"), ["pane", "__gc"], "left_anti").drop("__gc")
+
+
+def window_list(d: DataFrame, windows: Windows | None) -> DataFrame:
+    """(window) numbers of all windows holding at least one point."""
+    if windows is None:
+        return d.select(F.lit(0).cast("long").alias("window")).distinct()
+    m = windows.panes_per_window
+    if m is None:
+        return d.select(F.col("pane").alias("window")).distinct()
+    return d.select("pane").distinct().select(
+        F.explode(F.sequence(F.col("pane") + 1, F.col("pane") + m)).alias("window")).distinct()
+
+
 def window_neighbor_counts(points: DataFrame, windows: Windows | None, radius: float, *,
                            value_col: str = "value", cells: int | None = None,
-                           quantile_sample: float | None = None, bounds: list[float] | None = None) -> DataFrame:
+                           quantile_sample: float | None = None, bounds: list[float] | None = None,
+                           prune_k: int | None = None, with_windows: bool = False):
     """Neighbour totals per window and distinct value.
 
     Returns (window, src, v, mult, total, before) where ``total`` counts the
@@ -174,23 +212,28 @@ def window_neighbor_counts(points: DataFrame, windows: Windows | None, radius: f
 
     def bounds_of(d):
         return bounds if bounds is not None else _bounds_for(d, cells, parts, quantile_sample)
+    def probes_of(d):
+        return undecided_values(d, radius, prune_k) if prune_k is not None else None
+
+    def done(c, d):
+        return (c, window_list(d, windows)) if with_windows else c
     if windows is None:
         d = distinct_table(points, F.lit(0).cast("long"), value_col)
-        c = pane_range_counts(d, radius, 0, bounds_of(d))
-        return c.select(F.col("q").alias("window"), "src", "v", "mult", F.col("cnt").alias("total"),
-                        F.col("cnt").alias("before"))
+        c = pane_range_counts(d, radius, 0, bounds_of(d), probes_of(d))
+        return done(c.select(F.col("q").alias("window"), "src", "v", "mult", F.col("cnt").alias("total"),
+                             F.col("cnt").alias("before")), d)
     pos = windows.position(points)
     m = windows.panes_per_window
     if m is None:
         # slide does not divide the size: every window is its own pane
         d = distinct_table(points, F.explode(windows.window_numbers(pos)), value_col)
-        c = pane_range_counts(d, radius, 0, bounds_of(d))
-        return c.select(F.col("q").alias("window"), "src", "v", "mult", F.col("cnt").alias("total"),
-                        F.lit(None).cast("long").alias("before"))
+        c = pane_range_counts(d, radius, 0, bounds_of(d), probes_of(d))
+        return done(c.select(F.col("q").alias("window"), "src", "v", "mult", F.col("cnt").alias("total"),
+                             F.lit(None).cast("long").alias("before")), d)
     d = distinct_table(points, windows.pane(pos), value_col)
-    c = pane_range_counts(d, radius, m - 1, bounds_of(d))
+    c = pane_range_counts(d, radius, m - 1, bounds_of(d), probes_of(d))
     # windows (end numbers) holding both panes: e in [max(src,q)+1, min(src,q)+m]
     c = c.withColumn("window", F.explode(F.sequence(F.greatest("src", "q") + 1, F.least("src", "q") + m)))
-    return c.groupBy("window", "src", "v", "mult").agg(
+    return done(c.groupBy("window", "src", "v", "mult").agg(
         F.sum("cnt").alias("total"),
-        F.sum(F.when(F.col("q") <= F.col("src"), F.col("cnt")).otherwise(0)).alias("before"))
+        F.sum(F.when(F.col("q") <= F.col("src"), F.col("cnt")).otherwise(0)).alias("before")), d)

@@ -32,25 +32,28 @@ def _source_key(points: DataFrame, windows: Windows | None):
 
 
 def window_outlier_counts(points: DataFrame, windows: Windows | None, radius: float, k: int, *,
-                          value_col: str = "value", cells: int | None = None) -> DataFrame:
+                          value_col: str = "value", cells: int | None = None, prune: bool = True) -> DataFrame:
     """O1 (flagship): ``(window_end, outliers)`` for every window that holds
-    at least one point; windows without outliers report 0."""
-    c = window_neighbor_counts(points, windows, radius, value_col=value_col, cells=cells)
-    agg = c.groupBy("window").agg(
-        F.sum(F.when(F.col("total") - 1 < k, F.col("mult")).otherwise(0)).cast("long").alias("outliers"))
+    at least one point; windows without outliers report 0. ``prune`` skips
+    values proven inliers by a dense cell (exact either way)."""
+    c, wins = window_neighbor_counts(points, windows, radius, value_col=value_col, cells=cells,
+                                     prune_k=k if prune else None, with_windows=True)
+    agg = c.where(F.col("total") - 1 < k).groupBy("window").agg(F.sum("mult").cast("long").alias("outliers"))
+    out = wins.join(agg, "window", "left").select("window", F.coalesce("outliers", F.lit(0)).alias("outliers"))
     label = windows.label(F.col("window"), points) if windows is not None else F.col("window")
-    return agg.select(label.alias("window_end"), "outliers")
+    return out.select(label.alias("window_end"), "outliers")
 
 
 def window_outliers(points: DataFrame, windows: Windows | None, radius: float, k: int, *,
-                    id_col: str = "id", value_col: str = "value", cells: int | None = None) -> DataFrame:
+                    id_col: str = "id", value_col: str = "value", cells: int | None = None,
+                    prune: bool = True) -> DataFrame:
     """O2: the outlier points themselves: ``(window_end, id, value, neighbors)``.
 
     Only values with at most ``k`` copies can be outliers, so the outlier side
     of the final join is small per key; AQE broadcasts it when its measured
     size allows and splits hot point keys otherwise."""
-    c = window_neighbor_counts(points, windows, radius, value_col=value_col, cells=cells) \
-        .where(F.col("total") - 1 < k)
+    c = window_neighbor_counts(points, windows, radius, value_col=value_col, cells=cells,
+                               prune_k=k if prune else None).where(F.col("total") - 1 < k)
     key, _ = _source_key(points, windows)
     pts = points.select(F.col(id_col).cast("long").alias("id"), F.col(value_col).cast("double").alias("value"),
                         key.alias("src"))

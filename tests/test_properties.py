@@ -81,3 +81,19 @@ def test_monotone_in_radius_and_k(spark):
         return sum(x.outliers for x in window_outlier_counts(df, w, r, k, cells=3).collect())
     assert total(0.2, 5) >= total(0.5, 5) >= total(1.0, 5)
     assert total(0.5, 2) <= total(0.5, 5) <= total(0.5, 9)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(values=st.lists(st.sampled_from([0.0, 0.1, 0.2, 0.45, 0.5, 1.0, 3.0, 3.3, 7.0]), min_size=1, max_size=80),
+       k=st.integers(0, 8), slide=st.integers(1, 9))
+def test_dense_prune_does_not_change_results(spark, values, k, slide):
+    from sparkdod.operators.outliers import window_outliers
+    df = spark.createDataFrame(list(enumerate(values)), "id long, value double")
+    w = Windows.count(2 * slide, slide)
+    a = sorted(tuple(r) for r in window_outlier_counts(df, w, 0.45, k, prune=True).collect())
+    b = sorted(tuple(r) for r in window_outlier_counts(df, w, 0.45, k, prune=False).collect())
+    assert a == b
+    assert dict(a) == window_counts(list(range(len(values))), values, 2 * slide, slide, 0.45, k)
+    c = sorted(tuple(r) for r in window_outliers(df, w, 0.45, k, prune=True).collect())
+    d = sorted(tuple(r) for r in window_outliers(df, w, 0.45, k, prune=False).collect())
+    assert c == d
