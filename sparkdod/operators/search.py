@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import abs_distance, euclidean, euclidean_fixed, resolve_metric
 from ..plans.partitioning import spread
 from ..plans.partitioning import materialize
-from .blocks import DEFAULT_BLOCK_ROWS, block_radius_counts, block_radius_pairs
+from .blocks import DEFAULT_BLOCK_ROWS, block_radius_counts, block_radius_pairs, block_radius_topk
 from .cells import grid_cell, grid_reach, quantile_bounds, with_cell
 
 _log = logging.getLogger(__name__)
@@ -137,6 +137,34 @@ def _pivot_grid(queries, data, r, id_col, vector_col, keys, pivots, dims=None, j
     return qc, dc, keys + cell_cols, dist, cond
 
 
+def _candidate_blocks(queries: DataFrame, data: DataFrame, r: float, id_col: str, value_col: str,
+                      vector_col: str, pivots, dims):
+    """Query and data rows keyed by grid cells for blockwise evaluation:
+    (keys..., query_id, qvec) and (keys..., neighbor_id, dvec). Numbers
+    become one-element vectors on a grid of width R; vectors use the pivot
+    grid."""
+    if vector_col in data.columns and _is_vector(data, vector_col):
+        q, d, keys, _, _ = _pivot_grid(queries, data, r, id_col, vector_col, [], pivots, dims, join_pivots=2)
+        return q.select(*keys, "query_id", "qvec"), d.select(*keys, "neighbor_id", "dvec"), keys
+    width = r if r > 0 else 1.0
+    v = F.col(value_col).cast("double")
+    q = spread(queries).select(F.col(id_col).alias("query_id"), F.array(v).alias("qvec"),
+                               F.explode(grid_reach(v, r, width)).alias("__c"))
+    d = spread(data).select(F.col(id_col).alias("neighbor_id"), F.array(v).alias("dvec"),
+                            grid_cell(v, width).alias("__c"))
+    return q, d, ["__c"]
+
+
+def radius_topk(queries: DataFrame, data: DataFrame, radius: float, k: int, *, include_self: bool = True,
+                id_col: str = "id", value_col: str = "value", vector_col: str = "vec", pivots=8, dims=None,
+                block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Per query and block the ``k`` nearest within ``radius`` plus the
+    block's count (see ``block_radius_topk``): (query_id, neighbor_id,
+    distance, n). Never emits more than ``k`` rows per query and block."""
+    q, d, keys = _candidate_blocks(queries, data, float(radius), id_col, value_col, vector_col, pivots, dims)
+    return block_radius_topk(q, d, keys, radius, k, include_self, block_rows)
+
+
 def _top_k(pairs: DataFrame, k: int, group: Sequence[str] = ("query_id",)) -> DataFrame:
     """Rank per query by (distance, neighbor_id); Spark plans the rank filter
     as a group limit before the shuffle."""
@@ -149,7 +177,9 @@ def knn_within(queries: DataFrame, data: DataFrame, k: int, radius: float, **kw)
     by (distance, id). ``k <= 0`` gives an empty result."""
     if k <= 0:
         return radius_join(queries, data, radius, **kw).limit(0).withColumn("rank", F.lit(0))
-    return _top_k(radius_join(queries, data, radius, **kw), k)
+    kw.pop("metric", None)
+    kw.pop("partition_cols", None)
+    return _top_k(radius_topk(queries, data, radius, k, **kw).drop("n"), k)
 
 
 def _random_pair_distances(data: DataFrame, dist_of, id_col: str, coord: str, n: int,
@@ -165,7 +195,7 @@ def _random_pair_distances(data: DataFrame, dist_of, id_col: str, coord: str, n:
 
 def knn_join(queries: DataFrame, data: DataFrame, k: int, *, id_col: str = "id", value_col: str = "value",
              vector_col: str = "vec", include_self: bool = False, start_radius: float | None = None,
-             growth: float = 2.0, pivots: int = 8) -> DataFrame:
+             growth: float = 2.0, pivots: int = 8, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """The ``k`` nearest objects of every query (ties by object id).
 
     Exact: round i joins the unfinished queries within radius ``r_i``; a query
@@ -175,7 +205,9 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, id_col: str = "id",
     ends. The first radius is the ``k/n`` quantile of distances between random
     pairs of points (about the typical k-th neighbour distance). Each round's
     pairs are checkpointed once (the session's shared checkpoint folder) and
-    both the final answers and the unfinished queries are read from there."""
+    both the final answers and the unfinished queries are read from there.
+    Blocks emit only their per-query top ``k``, so a round's output is
+    bounded by queries x k x blocks even inside a dense cluster."""
     if k <= 0:
         return knn_within(queries, data, 0, 0.0, id_col=id_col, value_col=value_col, vector_col=vector_col)
     vector = vector_col in data.columns and _is_vector(data, vector_col)
@@ -206,11 +238,12 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, id_col: str = "id",
     while True:
         last = r > diameter
         _log.info("knn round radius=%s", r)
-        pairs = radius_join(pending, data, r, id_col=id_col, value_col=value_col, vector_col=vector_col,
-                            include_self=include_self, pivots=piv if vector else 8, dims=dims).checkpoint()
-        found = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        part = radius_topk(pending, data, r, k, include_self=include_self, id_col=id_col, value_col=value_col,
+                           vector_col=vector_col, pivots=piv if vector else 8, dims=dims,
+                           block_rows=block_rows).checkpoint()
+        found = part.groupBy("query_id").agg(F.sum("n").alias("n"))
         ready = found if last else found.where(F.col("n") >= k)
-        done.append(_top_k(pairs.join(ready.select("query_id"), "query_id", "left_semi"), k))
+        done.append(_top_k(part.join(ready.select("query_id"), "query_id", "left_semi").drop("n"), k))
         if last:
             break
         pending = pending.join(ready.select(F.col("query_id").alias(id_col)), id_col, "left_anti").checkpoint()

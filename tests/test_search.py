@@ -128,3 +128,13 @@ def test_euclidean_on_int_and_float_lists(spark):
                                "a array<int>, b array<float>, c array<double>")
     r = df.select(euclidean(F.col("a"), F.col("b")).alias("ab"), euclidean(F.col("a"), F.col("c")).alias("ac")).first()
     assert r.ab == euclid([1, 2], [1.5, 2.0]) and r.ac == euclid([1, 2, 3], [4.0, 6.0, 3.0])
+
+
+@pytest.mark.parametrize("block_rows", [3, 2048])
+def test_knn_hot_value_ties_by_id(spark, block_rows):
+    vals = [5.0] * 30 + [1.0, 9.0, 5.2]
+    df = spark.createDataFrame(list(enumerate(vals)), "id long, value double")
+    got = {(x.query_id, x.rank): x.neighbor_id for x in knn_join(df, df, 3, block_rows=block_rows).collect()}
+    for a, va in enumerate(vals):
+        order = sorted((abs(va - vb), b) for b, vb in enumerate(vals) if b != a)[:3]
+        assert [got[(a, r)] for r in (1, 2, 3)] == [b for _, b in order]
