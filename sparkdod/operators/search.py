@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import abs_distance, euclidean, euclidean_fixed, resolve_metric
+from ..functions.metrics import abs_distance, euclidean, resolve_metric
 from ..plans.partitioning import spread
 from ..plans.partitioning import materialize
 from .blocks import DEFAULT_BLOCK_ROWS, block_radius_counts, block_radius_pairs, block_radius_topk
@@ -58,7 +58,7 @@ def _pivot_coords(df: DataFrame, vector_col: str, pivots: Sequence[Sequence[floa
 def radius_join(queries: DataFrame, data: DataFrame, radius: float, *, metric: str = "auto",
                 id_col: str = "id", value_col: str = "value", vector_col: str = "vec",
                 include_self: bool = True, partition_cols: Sequence[str] = (),
-                pivots: int | Sequence[Sequence[float]] = 8, dims=None) -> DataFrame:
+                pivots: int | Sequence[Sequence[float]] = 2, dims=None) -> DataFrame:
     """All (query, object) pairs with ``distance <= radius`` (inclusive).
 
     Returns (query_id, neighbor_id, distance[, partition_cols]). The query
@@ -79,10 +79,7 @@ def radius_join(queries: DataFrame, data: DataFrame, radius: float, *, metric: s
         dist = dist_fn(F.col("qv"), F.col("dv"))
         j = q.join(d, keys + ["__c"])
     else:
-        q, d, jkeys, _, _ = _pivot_grid(queries, data, r, id_col, vector_col, keys, pivots, dims, join_pivots=2)
-        drop = [c for c in q.columns if c.startswith("__qd")]
-        q = q.drop(*drop)
-        d = d.drop(*[c for c in d.columns if c.startswith("__dd")])
+        q, d, jkeys = _pivot_grid(queries, data, r, id_col, vector_col, keys, pivots, dims)
         out = block_radius_pairs(q, d, jkeys, r, include_self, passthrough=keys)
         return out.select("query_id", "neighbor_id", "distance", *keys)
     j = j.where(dist <= F.lit(r))
@@ -96,16 +93,17 @@ def _vector_dims(data: DataFrame, vector_col: str) -> tuple[int, int]:
     return int(lo or 0), int(hi or 0)
 
 
-def _pivot_grid(queries, data, r, id_col, vector_col, keys, pivots, dims=None, join_pivots: int = 2):
-    """Pivot filtering. All pivot distances prune candidates with the lower
-    bound ``max_j |d(x,p_j) - d(y,p_j)| <= d(x,y)`` (cheap scalar tests in
-    codegen); the first ``join_pivots`` of them also form the grid key of the
-    equi-join. The full distance is computed only for the survivors."""
+def _pivot_grid(queries, data, r, id_col, vector_col, keys, pivots, dims=None):
+    """Pivot filtering as an equi-join key: the distance to each pivot is a
+    coordinate (``|d(x,p) - d(y,p)| <= d(x,y)``), and a grid of width R over
+    those coordinates never separates two points within R. The probe side
+    lists every cell its radius (plus rounding slack) touches. Returns
+    (queries, data, key columns) with ``qvec`` / ``dvec`` as DOUBLE arrays."""
     if isinstance(pivots, int):
         pivots = choose_pivots(data, vector_col, id_col, pivots)
     if dims is None:
         dims = _vector_dims(data, vector_col)
-    lo_dims, hi_dims = dims if isinstance(dims, tuple) else (dims, dims)
+    lo_dims = dims[0] if isinstance(dims, tuple) else dims
     # pivot distances over the shortest vector length keep the triangle
     # inequality valid when vectors differ in length (distance = shorter prefix)
     pdims = min([lo_dims] + [len(p) for p in pivots]) if pivots else lo_dims
@@ -114,27 +112,17 @@ def _pivot_grid(queries, data, r, id_col, vector_col, keys, pivots, dims=None, j
                                       F.col(vector_col).cast("array<double>").alias("qvec")), "qvec", pivots, pdims)
     dc = _pivot_coords(data.select(*keys, F.col(id_col).alias("neighbor_id"),
                                    F.col(vector_col).cast("array<double>").alias("dvec")), "dvec", pivots, pdims)
-    cell_cols, prune = [], []
+    cell_cols = []
     for j in range(len(pivots)):
-        qc = qc.withColumnRenamed(f"__pd{j}", f"__qd{j}")
-        dc = dc.withColumnRenamed(f"__pd{j}", f"__dd{j}")
-        qd = F.col(f"__qd{j}")
-        slack = (qd + F.lit(r)) * F.lit(_ND_SLACK)
-        prune.append(F.abs(qd - F.col(f"__dd{j}")) <= F.lit(r) + slack)
-        if j < join_pivots:
-            lo = F.floor((qd - F.lit(r) - slack) / F.lit(width)).cast("long")
-            hi = F.floor((qd + F.lit(r) + slack) / F.lit(width)).cast("long")
-            qc = qc.withColumn(f"__c{j}", F.explode(F.sequence(lo, hi)))
-            dc = dc.withColumn(f"__c{j}", F.floor(F.col(f"__dd{j}") / F.lit(width)).cast("long"))
-            cell_cols.append(f"__c{j}")
-    if lo_dims == hi_dims and lo_dims <= 512:
-        dist = euclidean_fixed(F.col("qvec"), F.col("dvec"), lo_dims)
-    else:
-        dist = euclidean(F.col("qvec"), F.col("dvec"))
-    cond = None
-    for c in prune:
-        cond = c if cond is None else cond & c
-    return qc, dc, keys + cell_cols, dist, cond
+        pd_ = F.col(f"__pd{j}")
+        slack = (pd_ + F.lit(r)) * F.lit(_ND_SLACK)
+        lo = F.floor((pd_ - F.lit(r) - slack) / F.lit(width)).cast("long")
+        hi = F.floor((pd_ + F.lit(r) + slack) / F.lit(width)).cast("long")
+        qc = qc.withColumn(f"__c{j}", F.explode(F.sequence(lo, hi)))
+        dc = dc.withColumn(f"__c{j}", F.floor(pd_ / F.lit(width)).cast("long"))
+        cell_cols.append(f"__c{j}")
+    drop = [f"__pd{j}" for j in range(len(pivots))]
+    return qc.drop(*drop), dc.drop(*drop), list(keys) + cell_cols
 
 
 def _candidate_blocks(queries: DataFrame, data: DataFrame, r: float, id_col: str, value_col: str,
@@ -144,7 +132,7 @@ def _candidate_blocks(queries: DataFrame, data: DataFrame, r: float, id_col: str
     become one-element vectors on a grid of width R; vectors use the pivot
     grid."""
     if vector_col in data.columns and _is_vector(data, vector_col):
-        q, d, keys, _, _ = _pivot_grid(queries, data, r, id_col, vector_col, [], pivots, dims, join_pivots=2)
+        q, d, keys = _pivot_grid(queries, data, r, id_col, vector_col, [], pivots, dims)
         return q.select(*keys, "query_id", "qvec"), d.select(*keys, "neighbor_id", "dvec"), keys
     width = r if r > 0 else 1.0
     v = F.col(value_col).cast("double")
@@ -156,7 +144,7 @@ def _candidate_blocks(queries: DataFrame, data: DataFrame, r: float, id_col: str
 
 
 def radius_topk(queries: DataFrame, data: DataFrame, radius: float, k: int, *, include_self: bool = True,
-                id_col: str = "id", value_col: str = "value", vector_col: str = "vec", pivots=8, dims=None,
+                id_col: str = "id", value_col: str = "value", vector_col: str = "vec", pivots=2, dims=None,
                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Per query and block the ``k`` nearest within ``radius`` plus the
     block's count (see ``block_radius_topk``): (query_id, neighbor_id,
@@ -195,7 +183,7 @@ def _random_pair_distances(data: DataFrame, dist_of, id_col: str, coord: str, n:
 
 def knn_join(queries: DataFrame, data: DataFrame, k: int, *, id_col: str = "id", value_col: str = "value",
              vector_col: str = "vec", include_self: bool = False, start_radius: float | None = None,
-             growth: float = 2.0, pivots: int = 8, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+             growth: float = 2.0, pivots: int = 2, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """The ``k`` nearest objects of every query (ties by object id).
 
     Exact: round i joins the unfinished queries within radius ``r_i``; a query
@@ -239,7 +227,7 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, id_col: str = "id",
         last = r > diameter
         _log.info("knn round radius=%s", r)
         part = radius_topk(pending, data, r, k, include_self=include_self, id_col=id_col, value_col=value_col,
-                           vector_col=vector_col, pivots=piv if vector else 8, dims=dims,
+                           vector_col=vector_col, pivots=piv if vector else 2, dims=dims,
                            block_rows=block_rows).checkpoint()
         found = part.groupBy("query_id").agg(F.sum("n").alias("n"))
         ready = found if last else found.where(F.col("n") >= k)
@@ -331,7 +319,7 @@ def nearest_center(points: DataFrame, centers: DataFrame, threshold: float, *, i
 
 
 def count_neighbors(points: DataFrame, radius: float, k: int | None = None, *, id_col: str = "id",
-                    value_col: str = "value", vector_col: str = "vec", pivots: int = 8,
+                    value_col: str = "value", vector_col: str = "vec", pivots: int = 2,
                     block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """A1 over one set: (id, neighbors), the point itself excluded; points
     without neighbours report 0.
@@ -352,7 +340,7 @@ def count_neighbors(points: DataFrame, radius: float, k: int | None = None, *, i
         out = pts.join(c, pts.value == c.v).select("id", (F.col("total") - 1).alias("neighbors"))
         return out if k is None else out.withColumn("neighbors", F.least("neighbors", F.lit(int(k))))
     r = float(radius)
-    q, d, keys, _, _ = _pivot_grid(points, points, r, id_col, vector_col, [], pivots, None, join_pivots=2)
+    q, d, keys = _pivot_grid(points, points, r, id_col, vector_col, [], pivots, None)
     q = q.select(*keys, "query_id", "qvec")
     d = d.select(*keys, "neighbor_id", "dvec")
     ids = points.select(F.col(id_col).alias("query_id"))
