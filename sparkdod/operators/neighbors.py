@@ -60,33 +60,34 @@ def distinct_values(points: DataFrame, pane: Column, value_col: str = "value") -
 
 
 def pane_range_counts(d: DataFrame, radius: float, reach: int, bounds: list[float],
-                      probe_rows: DataFrame | None = None) -> DataFrame:
+                      counted: str | None = None) -> DataFrame:
     """For every distinct (pane ``src``, value ``v``) and every pane ``q`` with
     ``|q - src| <= reach``: ``cnt`` = points of pane ``q`` with
     ``abs(u - v) <= radius`` (the point itself included when ``q == src``).
 
     ``d`` has columns (pane, value, mult). Returns (src, v, mult, q, cnt).
-    ``probe_rows`` (a subset of ``d``) restricts the values that are counted;
-    all of ``d`` is still counted as neighbours.
+    ``counted`` names a boolean column of ``d`` that restricts the values
+    whose neighbours are counted; all of ``d`` still counts as neighbours.
     """
     r = float(radius)
-    if reach > 0:
-        qs = F.explode(F.sequence(F.col("pane") - reach, F.col("pane") + reach))
-    else:
-        qs = F.col("pane")
-    probe_src = d if probe_rows is None else probe_rows
-    probes = probe_src.select(F.col("pane").alias("src"), F.col("value").alias("v"), F.col("mult"), qs.alias("q"))
+    pane, v, mult = F.col("pane"), F.col("value"), F.col("mult")
+    qs = F.sequence(pane - reach, pane + reach)
+    is_counted = F.lit(True) if counted is None else F.coalesce(F.col(counted), F.lit(False))
+    # probes (src, v, mult, q) for the values that are counted
+    probes = d.where(is_counted).select(pane.alias("src"), v.alias("v"), mult, F.explode(qs).alias("q"))
 
     # -- 1. ranks of thresholds by a range-partitioned running sum ---------
-    cols = ["q", "key", "kind", "w", "src", "v", "mult"]
-    data_rows = d.select(F.col("pane").alias("q"), F.col("value").alias("key"), F.lit(_DATA).alias("kind"),
-                         F.col("mult").alias("w"), F.lit(None).cast("long").alias("src"),
-                         F.lit(None).cast("double").alias("v"), F.lit(None).cast("long").alias("mult"))
-    lo_rows = probes.select("q", (F.col("v") - F.lit(r)).alias("key"), F.lit(_LO).alias("kind"),
-                            F.lit(0).cast("long").alias("w"), "src", "v", "mult")
-    hi_rows = probes.select("q", (F.col("v") + F.lit(r)).alias("key"), F.lit(_HI).alias("kind"),
-                            F.lit(0).cast("long").alias("w"), "src", "v", "mult")
-    union = with_cell(data_rows.unionByName(lo_rows).unionByName(hi_rows).select(cols), "key", bounds)
+    # one pass over the distinct table: every value yields its data row and,
+    # when counted, a lo/hi probe pair for each slide it probes
+    def row(q, key, kind, w, src, val, m):
+        return F.struct(q.alias("q"), key.alias("key"), F.lit(kind).alias("kind"), w.alias("w"),
+                        src.alias("src"), val.alias("v"), m.alias("mult"))
+    nul_l, nul_d, zero = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(0).cast("long")
+    data_row = F.array(row(pane, v, _DATA, mult, nul_l, nul_d, nul_l))
+    probe_pairs = F.flatten(F.transform(qs, lambda q: F.array(
+        row(q, v - F.lit(r), _LO, zero, pane, v, mult), row(q, v + F.lit(r), _HI, zero, pane, v, mult))))
+    rows = F.when(is_counted, F.concat(data_row, probe_pairs)).otherwise(data_row)
+    union = with_cell(d.select(F.explode(rows).alias("r")).select("r.*"), "key", bounds)
 
     in_cell = Window.partitionBy("q", "cell").orderBy("key", "kind") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -168,20 +169,24 @@ DENSE_WIDTH_FACTOR = 1.0 - 1e-9
 DENSE_MAX_MAGNITUDE = 1e6
 
 
-def undecided_values(d: DataFrame, radius: float, k: int) -> DataFrame:
-    """Rows of the distinct table that are *not* certain inliers.
+def flag_undecided(d: DataFrame, radius: float, k: int, out_col: str = "__counted") -> DataFrame:
+    """The distinct table with a boolean ``out_col``: False for values that are
+    certain inliers, True for the rest.
 
     A grid cell of width just below ``R`` whose members in one slide number
     more than ``k`` (with multiplicity) makes each of them an inlier in that
     slide alone, hence in every window holding the slide: each member has at
-    least ``k`` others within ``R``. Those values need no rank probes."""
+    least ``k`` others within ``R``. Those values need no rank probes. Cell
+    sizes come from a partial-aggregated count (a hot cell is one row)."""
     r = float(radius)
     v = F.col("value")
     gc = F.when(F.abs(v) < F.lit(DENSE_MAX_MAGNITUDE * r),
                 F.floor(v / F.lit(r * DENSE_WIDTH_FACTOR))).cast("long")
     dc = d.withColumn("__gc", gc)
-    dense = dc.groupBy("pane", "__gc").agg(F.sum("mult").alias("__n")).where(F.col("__n") > k)
-    return dc.join(dense.select("pane", "__gc"), ["pane", "__gc"], "left_anti").drop("__gc")
+    dense = dc.groupBy("pane", "__gc").agg(F.sum("mult").alias("__n")).where(F.col("__n") > k) \
+        .select("pane", "__gc", F.lit(False).alias(out_col))
+    return dc.join(dense, ["pane", "__gc"], "left") \
+        .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(True))).drop("__gc")
 
 
 def window_list(d: DataFrame, windows: Windows | None) -> DataFrame:
@@ -212,26 +217,32 @@ def window_neighbor_counts(points: DataFrame, windows: Windows | None, radius: f
 
     def bounds_of(d):
         return bounds if bounds is not None else _bounds_for(d, cells, parts, quantile_sample)
-    def probes_of(d):
-        return undecided_values(d, radius, prune_k) if prune_k is not None else None
+    flag = "__counted" if prune_k is not None else None
+
+    def table(pane):
+        # one checkpoint: distinct values plus, when pruning, the dense flag
+        d = distinct_values(points, pane, value_col)
+        if prune_k is not None:
+            d = flag_undecided(d, radius, prune_k, flag)
+        return materialize(d)
 
     def done(c, d):
         return (c, window_list(d, windows)) if with_windows else c
     if windows is None:
-        d = distinct_table(points, F.lit(0).cast("long"), value_col)
-        c = pane_range_counts(d, radius, 0, bounds_of(d), probes_of(d))
+        d = table(F.lit(0).cast("long"))
+        c = pane_range_counts(d, radius, 0, bounds_of(d), flag)
         return done(c.select(F.col("q").alias("window"), "src", "v", "mult", F.col("cnt").alias("total"),
                              F.col("cnt").alias("before")), d)
     pos = windows.position(points)
     m = windows.panes_per_window
     if m is None:
         # slide does not divide the size: every window is its own pane
-        d = distinct_table(points, F.explode(windows.window_numbers(pos)), value_col)
-        c = pane_range_counts(d, radius, 0, bounds_of(d), probes_of(d))
+        d = table(F.explode(windows.window_numbers(pos)))
+        c = pane_range_counts(d, radius, 0, bounds_of(d), flag)
         return done(c.select(F.col("q").alias("window"), "src", "v", "mult", F.col("cnt").alias("total"),
                              F.lit(None).cast("long").alias("before")), d)
-    d = distinct_table(points, windows.pane(pos), value_col)
-    c = pane_range_counts(d, radius, m - 1, bounds_of(d), probes_of(d))
+    d = table(windows.pane(pos))
+    c = pane_range_counts(d, radius, m - 1, bounds_of(d), flag)
     # windows (end numbers) holding both panes: e in [max(src,q)+1, min(src,q)+m]
     c = c.withColumn("window", F.explode(F.sequence(F.greatest("src", "q") + 1, F.least("src", "q") + m)))
     return done(c.groupBy("window", "src", "v", "mult").agg(
