@@ -173,15 +173,15 @@ def block_radius_topk(q: DataFrame, d: DataFrame, keys: Sequence[str], radius: f
         if not include_self:
             ok &= qid[:, None] != did[None, :]
         counts = ok.sum(axis=1)
-        parts = []
-        for i in np.nonzero(counts)[0]:
-            js = np.nonzero(ok[i])[0]
-            order = np.lexsort((did[js], dist[i, js]))[:kk]
-            sel = js[order]
-            n = np.zeros(len(sel), dtype="int64")
-            n[0] = counts[i]
-            parts.append(pd.DataFrame({"query_id": qid[i], "neighbor_id": did[sel], "distance": dist[i, sel],
-                                       "n": n}))
-        return pd.concat(parts, ignore_index=True) if parts else empty
+        # row-wise order by (distance, id); objects outside the radius last
+        masked = np.where(ok, dist, np.inf)
+        ids = np.broadcast_to(did[None, :], masked.shape)
+        top = np.lexsort((ids, masked), axis=-1)[:, :kk]
+        dtop = np.take_along_axis(masked, top, axis=1)
+        valid = np.isfinite(dtop)
+        rows = np.broadcast_to(np.arange(len(qid))[:, None], top.shape)[valid]
+        first = (np.broadcast_to(np.arange(top.shape[1])[None, :], top.shape) == 0)[valid]
+        return pd.DataFrame({"query_id": qid[rows], "neighbor_id": did[top[valid]], "distance": dtop[valid],
+                             "n": np.where(first, counts[rows], 0).astype("int64")})
 
     return q2.groupBy(*gkeys).cogroup(d2.groupBy(*gkeys)).applyInPandas(evaluate, schema)

@@ -5,10 +5,11 @@ every search is an *equi*-join on grid cells followed by the exact
 predicate:
 
 * 1-D: cells of width R; a probe looks up the cells its radius touches.
-* n-D: the triangle inequality ``|d(x,p) - d(y,p)| <= d(x,y)`` lets the
-  distances to a few pivot points act as coordinates; a grid over those
-  coordinates never separates two points within R (pivot filtering, the
-  distributed analogue of the metric-tree pruning in the reference).
+* n-D: projections on a few principal axes act as coordinates
+  (``|u.x - u.y| <= |x - y|`` for a unit ``u``); a grid over them never
+  separates two points within R (the distributed analogue of the
+  metric-tree pruning in the reference), and the candidates of one grid
+  cell are evaluated as a numpy block.
 
 kNN grows the radius in rounds until every query has ``k`` answers; a query
 leaves as soon as its answer is complete, so late rounds touch few rows.
@@ -38,27 +39,44 @@ def _is_vector(df: DataFrame, col: str) -> bool:
     return df.schema[col].dataType.typeName() == "array"
 
 
-def choose_pivots(data: DataFrame, vector_col: str = "vec", id_col: str = "id", n: int = 2,
-                  seed: int = 7) -> list[list[float]]:
-    """``n`` pivot vectors picked by a hash of the id: a distributed top-n,
-    only ``n`` vectors reach the driver."""
-    rows = data.select(vector_col, F.xxhash64(F.col(id_col), F.lit(seed)).alias("__h")) \
-        .orderBy("__h").limit(n).collect()
-    return [[float(x) for x in r[0]] for r in rows]
+def choose_axes(data: DataFrame, vector_col: str = "vec", n: int = 2, dims: int | None = None,
+                sample_rows: int = 100_000, seed: int = 7) -> list[list[float]]:
+    """``n`` orthonormal directions of largest spread: PCA fitted on a
+    bounded random sample (only a ``dims x n`` matrix reaches the driver).
 
-
-def _pivot_coords(df: DataFrame, vector_col: str, pivots: Sequence[Sequence[float]], dims: int) -> DataFrame:
+    Any unit vector ``u`` gives the exact bound ``|u.x - u.y| <= |x - y|``,
+    so the sample only affects how well the grid separates points, never
+    the result."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+    if dims is None:
+        dims = _vector_dims(data, vector_col)[0]
+    if dims <= 0 or n <= 0:
+        return []
+    total = data.count()
+    src = data if total <= sample_rows else data.sample(fraction=min(1.0, 2.0 * sample_rows / total), seed=seed)
+    vecs = src.select(array_to_vector(F.slice(F.col(vector_col).cast("array<double>"), 1, dims)).alias("__f"))
+    model = PCA(k=min(n, dims), inputCol="__f", outputCol="__p").fit(vecs)
+    pc = model.pc.toArray()
+    return [[float(x) for x in pc[:, j]] for j in range(pc.shape[1])]
+
+
+def _axis_coords(df: DataFrame, vector_col: str, axes: Sequence[Sequence[float]], dims: int) -> DataFrame:
+    """Projection ``__pd{j}`` on every axis (over the first ``dims`` values)
+    and the norm ``__nrm`` (for the rounding slack)."""
     vec = F.slice(F.col(vector_col).cast("array<double>"), 1, dims)
-    for j, p in enumerate(pivots):
-        lit = F.array(*[F.lit(float(x)) for x in p[:dims]])
-        df = df.withColumn(f"__pd{j}", euclidean(vec, lit))
-    return df
+    for j, u in enumerate(axes):
+        lit = F.array(*[F.lit(float(x)) for x in u[:dims]])
+        df = df.withColumn(f"__pd{j}", F.aggregate(F.zip_with(vec, lit, lambda x, y: x * y),
+                                                  F.lit(0.0).cast("double"), lambda acc, z: acc + z))
+    return df.withColumn("__nrm", F.sqrt(F.aggregate(F.transform(vec, lambda x: x * x),
+                                                     F.lit(0.0).cast("double"), lambda acc, z: acc + z)))
 
 
 def radius_join(queries: DataFrame, data: DataFrame, radius: float, *, metric: str = "auto",
                 id_col: str = "id", value_col: str = "value", vector_col: str = "vec",
                 include_self: bool = True, partition_cols: Sequence[str] = (),
-                pivots: int | Sequence[Sequence[float]] = 2, dims=None) -> DataFrame:
+                axes: int | Sequence[Sequence[float]] = 2, dims=None) -> DataFrame:
     """All (query, object) pairs with ``distance <= radius`` (inclusive).
 
     Returns (query_id, neighbor_id, distance[, partition_cols]). The query
@@ -79,7 +97,7 @@ def radius_join(queries: DataFrame, data: DataFrame, radius: float, *, metric: s
         dist = dist_fn(F.col("qv"), F.col("dv"))
         j = q.join(d, keys + ["__c"])
     else:
-        q, d, jkeys = _pivot_grid(queries, data, r, id_col, vector_col, keys, pivots, dims)
+        q, d, jkeys = _axis_grid(queries, data, r, id_col, vector_col, keys, axes, dims)
         out = block_radius_pairs(q, d, jkeys, r, include_self, passthrough=keys)
         return out.select("query_id", "neighbor_id", "distance", *keys)
     j = j.where(dist <= F.lit(r))
@@ -93,46 +111,46 @@ def _vector_dims(data: DataFrame, vector_col: str) -> tuple[int, int]:
     return int(lo or 0), int(hi or 0)
 
 
-def _pivot_grid(queries, data, r, id_col, vector_col, keys, pivots, dims=None):
-    """Pivot filtering as an equi-join key: the distance to each pivot is a
-    coordinate (``|d(x,p) - d(y,p)| <= d(x,y)``), and a grid of width R over
-    those coordinates never separates two points within R. The probe side
-    lists every cell its radius (plus rounding slack) touches. Returns
-    (queries, data, key columns) with ``qvec`` / ``dvec`` as DOUBLE arrays."""
-    if isinstance(pivots, int):
-        pivots = choose_pivots(data, vector_col, id_col, pivots)
+def _axis_grid(queries, data, r, id_col, vector_col, keys, axes, dims=None):
+    """Projection filtering as an equi-join key: the projection on each axis
+    is a coordinate (``|u.x - u.y| <= |x - y|`` for a unit ``u``), and a grid
+    of width R over those coordinates never separates two points within R.
+    The probe side lists every cell its radius (plus rounding slack) touches.
+    Projections use the first ``min length`` values, which keeps the bound
+    valid for vectors of different lengths (distance = shorter prefix).
+    Returns (queries, data, key columns) with ``qvec`` / ``dvec`` as DOUBLE
+    arrays."""
     if dims is None:
         dims = _vector_dims(data, vector_col)
     lo_dims = dims[0] if isinstance(dims, tuple) else dims
-    # pivot distances over the shortest vector length keep the triangle
-    # inequality valid when vectors differ in length (distance = shorter prefix)
-    pdims = min([lo_dims] + [len(p) for p in pivots]) if pivots else lo_dims
+    if isinstance(axes, int):
+        axes = choose_axes(data, vector_col, axes, lo_dims)
     width = r if r > 0 else 1.0
-    qc = _pivot_coords(queries.select(*keys, F.col(id_col).alias("query_id"),
-                                      F.col(vector_col).cast("array<double>").alias("qvec")), "qvec", pivots, pdims)
-    dc = _pivot_coords(data.select(*keys, F.col(id_col).alias("neighbor_id"),
-                                   F.col(vector_col).cast("array<double>").alias("dvec")), "dvec", pivots, pdims)
+    qc = _axis_coords(queries.select(*keys, F.col(id_col).alias("query_id"),
+                                     F.col(vector_col).cast("array<double>").alias("qvec")), "qvec", axes, lo_dims)
+    dc = _axis_coords(data.select(*keys, F.col(id_col).alias("neighbor_id"),
+                                  F.col(vector_col).cast("array<double>").alias("dvec")), "dvec", axes, lo_dims)
     cell_cols = []
-    for j in range(len(pivots)):
+    slack = (F.col("__nrm") + F.lit(r)) * F.lit(_ND_SLACK)
+    for j in range(len(axes)):
         pd_ = F.col(f"__pd{j}")
-        slack = (pd_ + F.lit(r)) * F.lit(_ND_SLACK)
         lo = F.floor((pd_ - F.lit(r) - slack) / F.lit(width)).cast("long")
         hi = F.floor((pd_ + F.lit(r) + slack) / F.lit(width)).cast("long")
         qc = qc.withColumn(f"__c{j}", F.explode(F.sequence(lo, hi)))
         dc = dc.withColumn(f"__c{j}", F.floor(pd_ / F.lit(width)).cast("long"))
         cell_cols.append(f"__c{j}")
-    drop = [f"__pd{j}" for j in range(len(pivots))]
+    drop = [f"__pd{j}" for j in range(len(axes))] + ["__nrm"]
     return qc.drop(*drop), dc.drop(*drop), list(keys) + cell_cols
 
 
 def _candidate_blocks(queries: DataFrame, data: DataFrame, r: float, id_col: str, value_col: str,
-                      vector_col: str, pivots, dims):
+                      vector_col: str, axes, dims):
     """Query and data rows keyed by grid cells for blockwise evaluation:
     (keys..., query_id, qvec) and (keys..., neighbor_id, dvec). Numbers
-    become one-element vectors on a grid of width R; vectors use the pivot
+    become one-element vectors on a grid of width R; vectors use the principal-axis
     grid."""
     if vector_col in data.columns and _is_vector(data, vector_col):
-        q, d, keys = _pivot_grid(queries, data, r, id_col, vector_col, [], pivots, dims)
+        q, d, keys = _axis_grid(queries, data, r, id_col, vector_col, [], axes, dims)
         return q.select(*keys, "query_id", "qvec"), d.select(*keys, "neighbor_id", "dvec"), keys
     width = r if r > 0 else 1.0
     v = F.col(value_col).cast("double")
@@ -144,12 +162,12 @@ def _candidate_blocks(queries: DataFrame, data: DataFrame, r: float, id_col: str
 
 
 def radius_topk(queries: DataFrame, data: DataFrame, radius: float, k: int, *, include_self: bool = True,
-                id_col: str = "id", value_col: str = "value", vector_col: str = "vec", pivots=2, dims=None,
+                id_col: str = "id", value_col: str = "value", vector_col: str = "vec", axes=2, dims=None,
                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Per query and block the ``k`` nearest within ``radius`` plus the
     block's count (see ``block_radius_topk``): (query_id, neighbor_id,
     distance, n). Never emits more than ``k`` rows per query and block."""
-    q, d, keys = _candidate_blocks(queries, data, float(radius), id_col, value_col, vector_col, pivots, dims)
+    q, d, keys = _candidate_blocks(queries, data, float(radius), id_col, value_col, vector_col, axes, dims)
     return block_radius_topk(q, d, keys, radius, k, include_self, block_rows)
 
 
@@ -183,7 +201,7 @@ def _random_pair_distances(data: DataFrame, dist_of, id_col: str, coord: str, n:
 
 def knn_join(queries: DataFrame, data: DataFrame, k: int, *, id_col: str = "id", value_col: str = "value",
              vector_col: str = "vec", include_self: bool = False, start_radius: float | None = None,
-             growth: float = 2.0, pivots: int = 2, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+             growth: float = 2.0, axes: int = 2, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """The ``k`` nearest objects of every query (ties by object id).
 
     Exact: round i joins the unfinished queries within radius ``r_i``; a query
@@ -201,14 +219,14 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, id_col: str = "id",
     vector = vector_col in data.columns and _is_vector(data, vector_col)
     coord = vector_col if vector else value_col
     if vector:
-        piv = choose_pivots(data, vector_col, id_col, pivots)
         dims = _vector_dims(data, vector_col)
-        pc = _pivot_coords(data.select(vector_col), vector_col, piv[:1], min([dims[0]] + [len(p) for p in piv]))
-        n, hi = pc.agg(F.count(F.lit(1)), F.max("__pd0")).first()
-        diameter = 2.0 * (hi or 0.0)
+        ax = choose_axes(data, vector_col, axes, dims[0])
+        pc = _axis_coords(data.select(vector_col), vector_col, [], dims[0])
+        n, hi = pc.agg(F.count(F.lit(1)), F.max("__nrm")).first()
+        diameter = 2.0 * (hi or 0.0)  # every point lies within max |x| of the origin
         dist_of = euclidean
     else:
-        piv, dims = None, None
+        ax, dims = None, None
         n, lo, hi = data.agg(F.count(F.lit(1)), F.min(value_col), F.max(value_col)).first()
         diameter = (hi - lo) if n else 0.0
         dist_of = abs_distance
@@ -227,7 +245,7 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, id_col: str = "id",
         last = r > diameter
         _log.info("knn round radius=%s", r)
         part = radius_topk(pending, data, r, k, include_self=include_self, id_col=id_col, value_col=value_col,
-                           vector_col=vector_col, pivots=piv if vector else 2, dims=dims,
+                           vector_col=vector_col, axes=ax if vector else 2, dims=dims,
                            block_rows=block_rows).checkpoint()
         found = part.groupBy("query_id").agg(F.sum("n").alias("n"))
         ready = found if last else found.where(F.col("n") >= k)
@@ -319,7 +337,7 @@ def nearest_center(points: DataFrame, centers: DataFrame, threshold: float, *, i
 
 
 def count_neighbors(points: DataFrame, radius: float, k: int | None = None, *, id_col: str = "id",
-                    value_col: str = "value", vector_col: str = "vec", pivots: int = 2,
+                    value_col: str = "value", vector_col: str = "vec", axes: int = 2,
                     block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """A1 over one set: (id, neighbors), the point itself excluded; points
     without neighbours report 0.
@@ -340,7 +358,7 @@ def count_neighbors(points: DataFrame, radius: float, k: int | None = None, *, i
         out = pts.join(c, pts.value == c.v).select("id", (F.col("total") - 1).alias("neighbors"))
         return out if k is None else out.withColumn("neighbors", F.least("neighbors", F.lit(int(k))))
     r = float(radius)
-    q, d, keys = _pivot_grid(points, points, r, id_col, vector_col, [], pivots, None)
+    q, d, keys = _axis_grid(points, points, r, id_col, vector_col, [], axes, None)
     q = q.select(*keys, "query_id", "qvec")
     d = d.select(*keys, "neighbor_id", "dvec")
     ids = points.select(F.col(id_col).alias("query_id"))
@@ -384,4 +402,4 @@ def snapshot_outliers_nd(points: DataFrame, radius: float, k: int, **kw) -> Data
 
 
 __all__ = ["radius_join", "knn_join", "knn_within", "rank_by_distance", "nearest_center", "count_neighbors",
-           "snapshot_outliers_nd", "distributed_rank", "choose_pivots"]
+           "snapshot_outliers_nd", "distributed_rank", "choose_axes"]
