@@ -66,6 +66,124 @@ def block_distances(qv: pd.Series, dv: pd.Series) -> np.ndarray:
     return out
 
 
+# Bound on |matmul-form squared distance - exact squared distance|, relative
+# to |x|^2 + |y|^2 (float64, a few hundred terms): far above the rounding.
+_APPROX_REL_ERR = 2.0 ** -40
+
+
+class _Block:
+    """Exact radius decisions and distances for a query block against a data
+    block. The BLAS form ``|x|^2 + |y|^2 - 2 x.y`` only *selects* candidates
+    (with an error margin); every distance that decides or is emitted is the
+    exact left-to-right sum, as in SQL."""
+
+    def __init__(self, qv: pd.Series, dv: pd.Series):
+        self.qm, _ = _matrix(qv)
+        self.dm, _ = _matrix(dv)
+        self.ragged = self.qm is None or self.dm is None
+        if self.ragged:
+            self.full = block_distances(qv, dv)
+            return
+        self.n = min(self.qm.shape[1], self.dm.shape[1])
+        q, d = self.qm[:, :self.n], self.dm[:, :self.n]
+        qn, dn = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", d, d)
+        if self.n == 1:
+            self.full = np.abs(q[:, :1] - d[None, :, 0])
+            return
+        self.full = None
+        self.d2 = np.maximum(qn[:, None] + dn[None, :] - 2.0 * (q @ d.T), 0.0)
+        self.err = (qn[:, None] + dn[None, :]) * _APPROX_REL_ERR + 1e-300
+
+    def exact(self, qi: np.ndarray, dj: np.ndarray) -> np.ndarray:
+        if self.full is not None:
+            return self.full[qi, dj]
+        acc = np.zeros(len(qi))
+        for t in range(self.n):
+            diff = self.qm[qi, t] - self.dm[dj, t]
+            acc += diff * diff
+        return np.sqrt(acc)
+
+    def within(self, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All (query index, data index, exact distance) with distance <= r."""
+        if self.full is not None:
+            qi, dj = np.nonzero(self.full <= r)
+            return qi, dj, self.full[qi, dj]
+        maybe = self.d2 <= r * r * (1 + 1e-12) + self.err
+        qi, dj = np.nonzero(maybe)
+        dist = self.exact(qi, dj)
+        keep = dist <= r
+        return qi[keep], dj[keep], dist[keep]
+
+
+def _decided(blk: _Block, r: float, same: np.ndarray | None) -> np.ndarray:
+    """Boolean matrix: exact distance <= r (self pairs removed when ``same``).
+    Pairs surely inside by the margin skip the exact sum; only the thin band
+    around r is computed exactly."""
+    if blk.full is not None:
+        inside = blk.full <= r
+    else:
+        r2 = r * r
+        inside = blk.d2 <= r2 * (1 - 1e-12) - blk.err
+        band = (blk.d2 <= r2 * (1 + 1e-12) + blk.err) & ~inside
+        qi, dj = np.nonzero(band)
+        if len(qi):
+            inside[qi, dj] = blk.exact(qi, dj) <= r
+    if same is not None:
+        inside &= ~same
+    return inside
+
+
+def _topk_within(blk: _Block, inside: np.ndarray, did: np.ndarray, k: int):
+    """Per row the k objects of ``inside`` with the smallest exact distance
+    (ties by id): (row index, column index, exact distance), rows ascending.
+    Exact sums only for candidates within twice the error margin of the
+    row's approximate k-th value, which contain every true top-k object."""
+    if blk.full is not None:
+        masked = np.where(inside, blk.full, np.inf)
+        top = _row_topk(masked, did, k)
+        dtop = np.take_along_axis(masked, top, axis=1)
+        valid = np.isfinite(dtop)
+        rows = np.broadcast_to(np.arange(inside.shape[0])[:, None], top.shape)[valid]
+        return rows, top[valid], dtop[valid]
+    approx = np.where(inside, blk.d2, np.inf)
+    n = approx.shape[1]
+    kk = min(k, n)
+    kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1] if kk < n else approx.max(axis=1)
+    kth = np.where(np.isfinite(kth), kth, np.inf)
+    margin = 2.0 * blk.err.max(axis=1)
+    cand = inside & (approx <= (kth + margin)[:, None])
+    qi, dj = np.nonzero(cand)
+    dist = blk.exact(qi, dj)
+    order = np.lexsort((did[dj], dist, qi))
+    qi, dj, dist = qi[order], dj[order], dist[order]
+    starts = np.searchsorted(qi, qi, side="left")
+    keep = (np.arange(len(qi)) - starts) < k
+    return qi[keep], dj[keep], dist[keep]
+
+
+def _row_topk(masked: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Column indices of the ``k`` smallest entries per row, ordered by
+    (value, id). Linear-time selection; only rows with a tie at the k-th
+    value are fully sorted (ties are broken by id)."""
+    m, n = masked.shape
+    k = min(k, n)
+    if k == 0:
+        return np.zeros((m, 0), dtype=np.int64)
+    if k < n:
+        part = np.argpartition(masked, k - 1, axis=1)[:, :k]
+    else:
+        part = np.broadcast_to(np.arange(n)[None, :], (m, n)).copy()
+    vals = np.take_along_axis(masked, part, axis=1)
+    order = np.lexsort((ids[part], vals), axis=-1)
+    top = np.take_along_axis(part, order, axis=1)
+    kth = np.take_along_axis(vals, order, axis=1)[:, -1]
+    tied = np.isfinite(kth) & ((masked <= kth[:, None]).sum(axis=1) > k)
+    if tied.any():
+        full = np.lexsort((np.broadcast_to(ids[None, :], (int(tied.sum()), n)), masked[tied]), axis=-1)[:, :k]
+        top[tied] = full
+    return top
+
+
 def _chunked(q: DataFrame, d: DataFrame, keys: list[str], block_rows: int):
     """Hash-split every key group into chunks of at most ``block_rows`` rows
     per side; a query chunk meets every data chunk of its key."""
@@ -97,11 +215,11 @@ def block_radius_counts(q: DataFrame, d: DataFrame, keys: Sequence[str], radius:
     def evaluate(qdf: pd.DataFrame, ddf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or ddf.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "cnt": pd.Series(dtype="int64")})
-        ok = block_distances(qdf["qvec"], ddf["dvec"]) <= r
-        if not include_self:
-            ok &= qdf["query_id"].to_numpy()[:, None] != ddf["neighbor_id"].to_numpy()[None, :]
-        return pd.DataFrame({"query_id": qdf["query_id"].to_numpy().astype("int64"),
-                             "cnt": ok.sum(axis=1).astype("int64")})
+        qid = qdf["query_id"].to_numpy().astype("int64")
+        did = ddf["neighbor_id"].to_numpy().astype("int64")
+        same = None if include_self else qid[:, None] == did[None, :]
+        inside = _decided(_Block(qdf["qvec"], ddf["dvec"]), r, same)
+        return pd.DataFrame({"query_id": qid, "cnt": inside.sum(axis=1).astype("int64")})
 
     return q2.groupBy(*gkeys).cogroup(d2.groupBy(*gkeys)).applyInPandas(evaluate, schema)
 
@@ -129,14 +247,13 @@ def block_radius_pairs(q: DataFrame, d: DataFrame, keys: Sequence[str], radius:
         if qdf.empty or ddf.empty:
             return pd.DataFrame({f.name: pd.Series(dtype="float64" if f.name == "distance" else "int64")
                                  for f in schema_fields})
-        dist = block_distances(qdf["qvec"], ddf["dvec"])
-        ok = dist <= r
+        qi, di, dist = _Block(qdf["qvec"], ddf["dvec"]).within(r)
+        qids = qdf["query_id"].to_numpy().astype("int64")[qi]
+        dids = ddf["neighbor_id"].to_numpy().astype("int64")[di]
         if not include_self:
-            ok &= qdf["query_id"].to_numpy()[:, None] != ddf["neighbor_id"].to_numpy()[None, :]
-        qi, di = np.nonzero(ok)
-        out = pd.DataFrame({"query_id": qdf["query_id"].to_numpy()[qi].astype("int64"),
-                            "neighbor_id": ddf["neighbor_id"].to_numpy()[di].astype("int64"),
-                            "distance": dist[qi, di]})
+            mask = qids != dids
+            qids, dids, dist = qids[mask], dids[mask], dist[mask]
+        out = pd.DataFrame({"query_id": qids, "neighbor_id": dids, "distance": dist})
         for c in keep:
             out[c] = key[key_pos[c]]
         return out
@@ -166,22 +283,17 @@ def block_radius_topk(q: DataFrame, d: DataFrame, keys: Sequence[str], radius: f
                               "distance": pd.Series(dtype="float64"), "n": pd.Series(dtype="int64")})
         if qdf.empty or ddf.empty:
             return empty
-        dist = block_distances(qdf["qvec"], ddf["dvec"])
-        ok = dist <= r
         qid = qdf["query_id"].to_numpy().astype("int64")
         did = ddf["neighbor_id"].to_numpy().astype("int64")
-        if not include_self:
-            ok &= qid[:, None] != did[None, :]
-        counts = ok.sum(axis=1)
-        # row-wise order by (distance, id); objects outside the radius last
-        masked = np.where(ok, dist, np.inf)
-        ids = np.broadcast_to(did[None, :], masked.shape)
-        top = np.lexsort((ids, masked), axis=-1)[:, :kk]
-        dtop = np.take_along_axis(masked, top, axis=1)
-        valid = np.isfinite(dtop)
-        rows = np.broadcast_to(np.arange(len(qid))[:, None], top.shape)[valid]
-        first = (np.broadcast_to(np.arange(top.shape[1])[None, :], top.shape) == 0)[valid]
-        return pd.DataFrame({"query_id": qid[rows], "neighbor_id": did[top[valid]], "distance": dtop[valid],
+        same = None if include_self else qid[:, None] == did[None, :]
+        blk = _Block(qdf["qvec"], ddf["dvec"])
+        inside = _decided(blk, r, same)
+        counts = inside.sum(axis=1)
+        rows, cols, dist = _topk_within(blk, inside, did, kk)
+        if len(rows) == 0:
+            return empty
+        first = np.r_[True, rows[1:] != rows[:-1]]
+        return pd.DataFrame({"query_id": qid[rows], "neighbor_id": did[cols], "distance": dist,
                              "n": np.where(first, counts[rows], 0).astype("int64")})
 
     return q2.groupBy(*gkeys).cogroup(d2.groupBy(*gkeys)).applyInPandas(evaluate, schema)

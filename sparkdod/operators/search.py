@@ -31,6 +31,10 @@ from .cells import grid_cell, grid_reach, quantile_bounds, with_cell
 
 _log = logging.getLogger(__name__)
 
+# kNN: once unfinished queries x objects is below this many distance
+# evaluations, the last round takes every object as a candidate.
+FINAL_ROUND_PAIRS = 20_000_000
+
 # Rounding slack of an n-D distance (64-term sums): relative error far below 2**-36.
 _ND_SLACK = 2.0 ** -36
 
@@ -209,7 +213,9 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, id_col: str = "id",
     beat them); the rest go to the next round with ``r_i * growth``. Once
     ``r`` exceeds the data diameter every object is a candidate, so the loop
     ends. The first radius is the ``k/n`` quantile of distances between random
-    pairs of points (about the typical k-th neighbour distance). Each round's
+    pairs of points (about the typical k-th neighbour distance, doubled);
+    once few queries are left (pending x objects below ``FINAL_ROUND_PAIRS``)
+    the next round is the final one over all objects. Each round's
     pairs are checkpointed once (the session's shared checkpoint folder) and
     both the final answers and the unfinished queries are read from there.
     Blocks emit only their per-query top ``k``, so a round's output is
@@ -234,7 +240,7 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, id_col: str = "id",
         return _empty_knn(queries.sparkSession)
     r = start_radius
     if r is None:
-        q = min(1.0, (k + 1.0) / n)
+        q = min(1.0, 2.0 * (k + 1.0) / n)
         est = _random_pair_distances(data, dist_of, id_col, coord, n).agg(
             F.percentile_approx("d", F.lit(q), F.lit(10000))).first()[0]
         r = est if est else diameter / 2.0
@@ -253,11 +259,13 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, id_col: str = "id",
         if last:
             break
         pending = pending.join(ready.select(F.col("query_id").alias(id_col)), id_col, "left_anti").checkpoint()
-        if pending.isEmpty():
+        left = pending.count()
+        _log.debug("knn radius %s left %d queries", r, left)
+        if left == 0:
             break
-        if _log.isEnabledFor(logging.DEBUG):
-            _log.debug("knn radius %s left %d queries", r, pending.count())
-        r *= growth
+        # few queries left: one exact round over all objects is cheaper than
+        # more doubling rounds (pending x n distance evaluations, bounded)
+        r = diameter * 1.01 + 1e-12 if left * n <= FINAL_ROUND_PAIRS else r * growth
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

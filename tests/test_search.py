@@ -138,3 +138,46 @@ def test_knn_hot_value_ties_by_id(spark, block_rows):
     for a, va in enumerate(vals):
         order = sorted((abs(va - vb), b) for b, vb in enumerate(vals) if b != a)[:3]
         assert [got[(a, r)] for r in (1, 2, 3)] == [b for _, b in order]
+
+
+def test_row_topk_matches_full_sort_with_ties():
+    import numpy as np
+
+    from sparkdod.operators.blocks import _row_topk
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        m, n, k = rng.integers(1, 8), rng.integers(1, 12), rng.integers(1, 6)
+        mat = np.round(rng.uniform(0, 3, (m, n)), 0)
+        mat[rng.uniform(size=(m, n)) < 0.3] = np.inf
+        ids = rng.permutation(100)[:n].astype(np.int64)
+        got = _row_topk(mat, ids, k)
+        want = np.lexsort((np.broadcast_to(ids, (m, n)), mat), axis=-1)[:, :min(k, n)]
+        for i in range(m):
+            assert [(mat[i, j], ids[j]) for j in got[i] if np.isfinite(mat[i, j])] == \
+                [(mat[i, j], ids[j]) for j in want[i] if np.isfinite(mat[i, j])]
+
+
+def test_block_evaluator_exact_with_ties():
+    import numpy as np
+    import pandas as pd
+
+    from sparkdod.operators.blocks import _Block, _decided, _topk_within, block_distances
+    rng = np.random.default_rng(1)
+    for trial in range(30):
+        m, n, dims = rng.integers(1, 50), rng.integers(1, 50), int(rng.choice([1, 2, 8, 64]))
+        qm = np.round(rng.normal(0, 1, (m, dims)), 1).astype(np.float32)
+        dm = np.round(rng.normal(0, 1, (n, dims)), 1).astype(np.float32)
+        if trial % 3 == 0:
+            dm[: n // 2] = qm[0]
+        qv, dv = pd.Series(list(qm)), pd.Series(list(dm))
+        full = block_distances(qv, dv)
+        r = float(np.quantile(full, rng.uniform(0.05, 0.9)))
+        qi, dj, dist = _Block(qv, dv).within(r)
+        wi, wj = np.nonzero(full <= r)
+        assert sorted(zip(qi, dj, dist)) == sorted(zip(wi, wj, full[wi, wj]))
+        assert (_decided(_Block(qv, dv), r, None) == (full <= r)).all()
+        ids = rng.permutation(1000)[:n].astype(np.int64)
+        rows, cols, dd = _topk_within(_Block(qv, dv), full <= r, ids, 3)
+        for i in range(m):
+            want = sorted((full[i, j], ids[j]) for j in np.nonzero(full[i] <= r)[0])[:3]
+            assert [(dd[t], ids[cols[t]]) for t in np.nonzero(rows == i)[0]] == want
