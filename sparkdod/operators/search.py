@@ -35,6 +35,10 @@ _log = logging.getLogger(__name__)
 # evaluations, the last round takes every object as a candidate.
 FINAL_ROUND_PAIRS = 20_000_000
 
+# Witness pruning pays off only when comparing whole cells would be large:
+# sum over grid cells of (cell rows)^2 above this many distance evaluations.
+WITNESS_MIN_PAIRS = 2e9
+
 # Rounding slack of an n-D distance (64-term sums): relative error far below 2**-36.
 _ND_SLACK = 2.0 ** -36
 
@@ -346,7 +350,8 @@ def nearest_center(points: DataFrame, centers: DataFrame, threshold: float, *, i
 
 def count_neighbors(points: DataFrame, radius: float, k: int | None = None, *, id_col: str = "id",
                     value_col: str = "value", vector_col: str = "vec", axes: int = 2,
-                    block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                    block_rows: int = DEFAULT_BLOCK_ROWS, witness_min_pairs: float = WITNESS_MIN_PAIRS
+                    ) -> DataFrame:
     """A1 over one set: (id, neighbors), the point itself excluded; points
     without neighbours report 0.
 
@@ -356,7 +361,9 @@ def count_neighbors(points: DataFrame, radius: float, k: int | None = None, *, i
     witness pruning applies: every grid cell offers at most ``block_rows``
     hashed witness rows; a point with ``k`` neighbours among the witnesses is
     certainly not an outlier, and only the others are compared with whole
-    cells. Inside a dense cluster the work is linear, not quadratic."""
+    cells. Inside a dense cluster the work is linear, not quadratic. Used
+    when whole cells would cost more than ``WITNESS_MIN_PAIRS`` evaluations;
+    below that one exact pass is cheaper."""
     vector = vector_col in points.columns and _is_vector(points, vector_col)
     if not vector:
         from .neighbors import window_neighbor_counts
@@ -373,8 +380,10 @@ def count_neighbors(points: DataFrame, radius: float, k: int | None = None, *, i
 
     def total(partials):
         return partials.groupBy("query_id").agg(F.sum("cnt").alias("neighbors"))
-    stride = d.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("long").alias("__s"))
-    if k is None or (stride.agg(F.max("__s")).first()[0] or 1) <= 1:
+    sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    stride = sizes.select(*keys, F.ceil(F.col("__n") / F.lit(block_rows)).cast("long").alias("__s"))
+    pairs_bound = sizes.agg(F.sum(F.col("__n").cast("double") * F.col("__n"))).first()[0] or 0.0
+    if k is None or pairs_bound <= witness_min_pairs:
         # no cell needs sampling (or exact counts wanted): one exact pass
         cnt = total(block_radius_counts(q, d, keys, r, False, block_rows))
         out = ids.join(cnt, "query_id", "left").select(
