@@ -113,3 +113,12 @@ def test_text_source_and_sink_round_trip(spark, tmp_path):
     write_lines(counts, str(tmp_path / "out"))
     lines = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
     assert lines == ["1;0", "2;1", "3;2"]  # window 3: ids 2 (9.0) and 3 (1.1), both alone
+
+
+def test_command_line_job(spark, tmp_path):
+    from sparkdod.job import main
+    src = tmp_path / "pts.txt"
+    src.write_text("0&1.0\n1&1.2\n2&9.0\n3&1.1\n")
+    main(["--input", str(src), "--count-window", "4", "--count-slide", "2", "--radius", "0.45", "--k", "1",
+          "--output", str(tmp_path / "out")])
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["1;0", "2;1", "3;2"]
