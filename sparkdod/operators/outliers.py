@@ -22,13 +22,15 @@ from .windows import Windows
 
 
 def _source_key(points: DataFrame, windows: Windows | None):
-    """Column that ties a point to the ``src`` rows of the count engine."""
+    """Column that ties a point to the ``src`` rows of the count engine: its
+    slide, its window numbers (exploded) when the slide does not divide the
+    window, or 0 without windows."""
     if windows is None:
-        return F.lit(0).cast("long"), False
+        return F.lit(0).cast("long")
     pos = windows.position(points)
     if windows.panes_per_window is None:
-        return F.explode(windows.window_numbers(pos)), True
-    return windows.pane(pos), False
+        return F.explode(windows.window_numbers(pos))
+    return windows.pane(pos)
 
 
 def window_outlier_counts(points: DataFrame, windows: Windows | None, radius: float, k: int, *,
@@ -54,7 +56,7 @@ def window_outliers(points: DataFrame, windows: Windows | None, radius: float, k
     size allows and splits hot point keys otherwise."""
     c = window_neighbor_counts(points, windows, radius, value_col=value_col, cells=cells,
                                prune_k=k if prune else None).where(F.col("total") - 1 < k)
-    key, _ = _source_key(points, windows)
+    key = _source_key(points, windows)
     pts = points.select(F.col(id_col).cast("long").alias("id"), F.col(value_col).cast("double").alias("value"),
                         key.alias("src"))
     out = pts.join(c, (pts.src == c.src) & (pts.value == c.v))
@@ -78,7 +80,7 @@ def neighbor_profile(points: DataFrame, windows: Windows | None, radius: float,
     if windows is not None and windows.panes_per_window is None:
         raise ValueError("neighbor_profile needs a slide that divides the window size")
     c = window_neighbor_counts(points, windows, radius, value_col=value_col, cells=cells)
-    key, _ = _source_key(points, windows)
+    key = _source_key(points, windows)
     pts = points.select(F.col(id_col).cast("long").alias("id"), F.col(value_col).cast("double").alias("value"),
                         key.alias("src"))
     out = pts.join(c, (pts.src == c.src) & (pts.value == c.v))
