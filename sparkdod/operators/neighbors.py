@@ -39,6 +39,13 @@ from .windows import Windows
 _DATA, _LO, _HI = 1, 0, 2  # sort order at equal keys: lo probe < data < hi probe
 
 
+def check_radius(radius: float) -> float:
+    r = float(radius)
+    if not (r >= 0.0) or r == float("inf"):
+        raise ValueError(f"radius must be a finite number >= 0, got {radius!r}")
+    return r
+
+
 def _class(y: Column, r: float) -> Column:
     """Magnitude class: one class per factor 16 of ``|y| + R``."""
     return F.floor(F.log2(F.abs(y) + F.lit(r)) / F.lit(4.0)).cast("long")
@@ -212,6 +219,7 @@ def window_neighbor_counts(points: DataFrame, windows: Windows | None, radius: f
     or before the point's own pane (null when the slide does not divide the
     window size). ``window`` is the window number (0 without windows).
     """
+    check_radius(radius)
     spark = points.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

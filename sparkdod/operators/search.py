@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import abs_distance, euclidean, resolve_metric
-from ..plans.partitioning import spread
-from ..plans.partitioning import materialize
+from ..plans.partitioning import materialize, spread
 from .blocks import DEFAULT_BLOCK_ROWS, block_radius_counts, block_radius_pairs, block_radius_topk
 from .cells import grid_cell, grid_reach, quantile_bounds, with_cell
+from .neighbors import check_radius
 
 _log = logging.getLogger(__name__)
 
@@ -92,7 +92,7 @@ def radius_join(queries: DataFrame, data: DataFrame, radius: float, *, metric: s
     (then equal ids are skipped). ``partition_cols`` restrict pairs to equal
     keys (e.g. a window). 1-D by ``value_col`` with ``abs``, n-D by
     ``vector_col`` with Euclidean (shorter-prefix) distance."""
-    r = float(radius)
+    r = check_radius(radius)
     vector = metric == "euclidean" or (metric == "auto" and vector_col in data.columns and _is_vector(data, vector_col))
     keys = list(partition_cols)
     if not vector:

@@ -122,3 +122,50 @@ def test_command_line_job(spark, tmp_path):
     main(["--input", str(src), "--count-window", "4", "--count-slide", "2", "--radius", "0.45", "--k", "1",
           "--output", str(tmp_path / "out")])
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["1;0", "2;1", "3;2"]
+
+
+def _brute_time_counts(rows, size_us, slide_us, r, k):
+    """rows: (id, micros, value); windows [s, s + size) with s a multiple of slide."""
+    out = {}
+    for _, t, _ in rows:
+        first = (t - size_us) // slide_us + 1
+        for s in range(first, t // slide_us + 1):
+            out.setdefault(s * slide_us + size_us, set())
+    res = {}
+    for end in out:
+        members = [(i, v) for i, t, v in rows if end - size_us <= t < end]
+        res[end] = sum(1 for i, v in members if sum(1 for j, u in members if j != i and abs(v - u) <= r) < k)
+    return res
+
+
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("size,slide", [("3 hours", "2 hours"), ("2 hours", "1 hour"), ("1 hour", "2 hours")])
+@pytest.mark.parametrize("ltz", [True, False])
+def test_time_windows_any_slide_and_timestamp_kind(spark, size, slide, ltz):
+    import datetime as dt
+    import random
+
+    from sparkdod.operators.windows import to_micros
+    rnd = random.Random(4)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, rnd.randrange(0, 10 * 3600 * 10**6), round(rnd.uniform(0, 3), 1)) for i in range(120)]
+    ts_type = "timestamp" if ltz else "timestamp_ntz"
+    df = spark.createDataFrame([(i, base + dt.timedelta(microseconds=t), v) for i, t, v in rows],
+                               f"id long, ts {ts_type}, value double")
+    got = {r.window_end.replace(tzinfo=None): r.outliers
+           for r in window_outlier_counts(df, Windows.time(size, slide), 0.25, 3).collect()}
+    epoch0 = (base - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+    want = _brute_time_counts([(i, t + epoch0, v) for i, t, v in rows], to_micros(size), to_micros(slide), 0.25, 3)
+    assert got == {dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=e): n for e, n in want.items()}
+
+
+def test_invalid_radius_is_rejected(spark):
+    from sparkdod.operators.search import radius_join
+    df = spark.createDataFrame([(0, 1.0)], SCHEMA)
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            window_outlier_counts(df, Windows.count(2, 1), bad, 1)
+        with pytest.raises(ValueError):
+            radius_join(df, df, bad)
