@@ -134,9 +134,13 @@ def _axis_grid(queries, data, r, id_col, vector_col, keys, axes, dims=None):
     if isinstance(axes, int):
         axes = choose_axes(data, vector_col, axes, lo_dims)
     width = r if r > 0 else 1.0
-    qc = _axis_coords(queries.select(*keys, F.col(id_col).alias("query_id"),
+    # re-aliased keys get fresh attribute ids on each side, so a self-join
+    # (queries and data from one table) stays unambiguous in the cogroup
+    qkeys = [F.col(k).alias(k) for k in keys]
+    dkeys = [F.col(k).alias(k) for k in keys]
+    qc = _axis_coords(queries.select(*qkeys, F.col(id_col).alias("query_id"),
                                      F.col(vector_col).cast("array<double>").alias("qvec")), "qvec", axes, lo_dims)
-    dc = _axis_coords(data.select(*keys, F.col(id_col).alias("neighbor_id"),
+    dc = _axis_coords(data.select(*dkeys, F.col(id_col).alias("neighbor_id"),
                                   F.col(vector_col).cast("array<double>").alias("dvec")), "dvec", axes, lo_dims)
     cell_cols = []
     slack = (F.col("__nrm") + F.lit(r)) * F.lit(_ND_SLACK)

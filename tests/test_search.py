@@ -182,3 +182,18 @@ def test_block_evaluator_exact_with_ties():
         for i in range(m):
             want = sorted((full[i, j], ids[j]) for j in np.nonzero(full[i] <= r)[0])[:3]
             assert [(dd[t], ids[cols[t]]) for t in np.nonzero(rows == i)[0]] == want
+
+
+def test_radius_join_within_partitions(spark, vecs):
+    rows, _ = vecs
+    grp = {i: i % 3 for i, _ in rows}
+    df = spark.createDataFrame([(i, v, grp[i]) for i, v in rows], "id long, vec array<double>, grp long")
+    got = {(x.query_id, x.neighbor_id, x.grp) for x in
+           radius_join(df, df, 2.5, include_self=False, partition_cols=["grp"]).collect()}
+    assert got == {(a, b, grp[a]) for a, b in brute_pairs(rows, 2.5) if grp[a] == grp[b]}
+    vals = [(i, float(i % 7) / 4.0, i % 2) for i in range(40)]
+    d1 = spark.createDataFrame(vals, "id long, value double, grp long")
+    got1 = {(x.query_id, x.neighbor_id) for x in radius_join(d1, d1, 0.3, include_self=False,
+                                                             partition_cols=["grp"]).collect()}
+    assert got1 == {(a, b) for a, va, ga in vals for b, vb, gb in vals
+                    if a != b and ga == gb and abs(va - vb) <= 0.3}
