@@ -88,6 +88,10 @@ def q_neighbor_profile(spark, sf):
     return outliers.neighbor_profile(events(spark, sf), COUNT_WINDOWS, R_WIN, K_WIN)
 
 
+def q_neighbor_profile_time(spark, sf):
+    return outliers.neighbor_profile(events(spark, sf), TIME_WINDOWS, R_WIN, K_WIN)
+
+
 def q_recent_neighbors(spark, sf):
     r = outliers.recent_neighbors(events(spark, sf), COUNT_WINDOWS, R_WIN, K_RECENT)
     return r.select("window_end", "id", F.array_join(F.col("preceding_ts").cast("array<string>"), ",")
@@ -226,6 +230,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "window_outliers_time": q_window_outliers_time,
     "outliers_per_cell": q_outliers_per_cell,
     "neighbor_profile": q_neighbor_profile,
+    "neighbor_profile_time": q_neighbor_profile_time,
     "recent_neighbors": q_recent_neighbors,
     "snapshot_outliers_1d": q_snapshot_outliers_1d,
     "radius_pairs": q_radius_pairs,
@@ -406,5 +411,8 @@ ORACLE["knn_1"] = f"""SELECT query_id, neighbor_id, round(distance, 6) AS distan
 WHERE rank = 1"""
 ORACLE["window_outlier_counts_count_wide"] = f"""WITH {_COUNT_WIN}, {_nb(R_WIDE)}
 SELECT e AS window_end, sum(CASE WHEN nb < {K_WIDE} THEN 1 ELSE 0 END)::BIGINT AS outliers FROM nb GROUP BY e"""
+ORACLE["neighbor_profile_time"] = f"""WITH {_TIME_WIN}, {_nb(R_WIN)}
+SELECT make_timestamp(e * {DAY_US}) AS window_end, id, value, prec AS preceding, nb - prec AS succeeding,
+       nb AS neighbors, (nb - prec) >= {K_WIN} AS safe_inlier FROM nb"""
 # the streaming form must give the batch result
 ORACLE["stream_outlier_counts"] = ORACLE["window_outlier_counts_time"]
