@@ -29,6 +29,8 @@ pane counts are added per window afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,21 +198,25 @@ def flag_undecided(d: DataFrame, radius: float, k: int, out_col: str = "__counte
         .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(True))).drop("__gc")
 
 
-def window_list(d: DataFrame, windows: Windows | None) -> DataFrame:
-    """(window) numbers of all windows holding at least one point."""
+def window_list(d: DataFrame, windows: Windows | None, by: Sequence = ()) -> DataFrame:
+    """(window[, by...]) of all windows holding at least one point; ``by``
+    are extra columns computed from the distinct table (e.g. a value cell)."""
+    extra = list(by)
     if windows is None:
-        return d.select(F.lit(0).cast("long").alias("window")).distinct()
+        return d.select(F.lit(0).cast("long").alias("window"), *extra).distinct()
     m = windows.panes_per_window
     if m is None:
-        return d.select(F.col("pane").alias("window")).distinct()
-    return d.select("pane").distinct().select(
-        F.explode(F.sequence(F.col("pane") + 1, F.col("pane") + m)).alias("window")).distinct()
+        return d.select(F.col("pane").alias("window"), *extra).distinct()
+    return d.select("pane", *extra).distinct().select(
+        F.explode(F.sequence(F.col("pane") + 1, F.col("pane") + m)).alias("window"),
+        *[F.col(c) for c in d.select(*extra).columns]).distinct()
 
 
 def window_neighbor_counts(points: DataFrame, windows: Windows | None, radius: float, *,
                            value_col: str = "value", cells: int | None = None,
                            quantile_sample: float | None = None, bounds: list[float] | None = None,
-                           prune_k: int | None = None, with_windows: bool = False):
+                           prune_k: int | None = None, with_windows: bool = False,
+                           window_keys: Sequence = ()):
     """Neighbour totals per window and distinct value.
 
     Returns (window, src, v, mult, total, before) where ``total`` counts the
@@ -235,7 +241,7 @@ def window_neighbor_counts(points: DataFrame, windows: Windows | None, radius: f
         return materialize(d)
 
     def done(c, d):
-        return (c, window_list(d, windows)) if with_windows else c
+        return (c, window_list(d, windows, window_keys)) if with_windows else c
     if windows is None:
         d = table(F.lit(0).cast("long"))
         c = pane_range_counts(d, radius, 0, bounds_of(d), flag)

@@ -122,16 +122,25 @@ def recent_neighbors(points: DataFrame, windows: Windows, radius: float, k: int,
 
 
 def outliers_per_cell(points: DataFrame, windows: Windows | None, radius: float, k: int, bounds, *,
-                      value_col: str = "value", cells: int | None = None) -> DataFrame:
+                      value_col: str = "value", cells: int | None = None, prune: bool = True) -> DataFrame:
     """A4 with R1: outliers per (window, value cell); ``bounds`` ascending,
     upper bound inclusive (as the reference's partitioning). Every cell that
-    owns a point of the window reports, with 0 when it has no outlier."""
-    c = window_neighbor_counts(points, windows, radius, value_col=value_col, cells=cells)
-    c = with_cell(c, F.col("v"), bounds, "cell")
-    agg = c.groupBy("window", "cell").agg(
-        F.sum(F.when(F.col("total") - 1 < k, F.col("mult")).otherwise(0)).cast("long").alias("outliers"))
+    owns a point of the window reports, with 0 when it has no outlier (the
+    list of cells comes from the distinct values, so pruned inliers still
+    keep their cell)."""
+    bounds = sorted(set(float(b) for b in bounds))
+    n = len(bounds)
+    owner = F.lit(n).cast("long") - sum((F.col("value") <= F.lit(b)).cast("long") for b in bounds) \
+        if bounds else F.lit(0).cast("long")
+    c, wins = window_neighbor_counts(points, windows, radius, value_col=value_col, cells=cells,
+                                     prune_k=k if prune else None, with_windows=True,
+                                     window_keys=[owner.alias("cell")])
+    c = with_cell(c.where(F.col("total") - 1 < k), F.col("v"), bounds, "cell")
+    agg = c.groupBy("window", "cell").agg(F.sum("mult").cast("long").alias("outliers"))
+    out = wins.join(agg, ["window", "cell"], "left").select(
+        "window", "cell", F.coalesce("outliers", F.lit(0)).cast("long").alias("outliers"))
     label = windows.label(F.col("window"), points) if windows is not None else F.col("window")
-    return agg.select(label.alias("window_end"), "cell", "outliers")
+    return out.select(label.alias("window_end"), "cell", "outliers")
 
 
 def window_outlier_lines(counts: DataFrame) -> DataFrame:

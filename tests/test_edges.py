@@ -169,3 +169,12 @@ def test_invalid_radius_is_rejected(spark):
             window_outlier_counts(df, Windows.count(2, 1), bad, 1)
         with pytest.raises(ValueError):
             radius_join(df, df, bad)
+
+
+def test_outliers_per_cell_keeps_pruned_cells(spark):
+    from sparkdod.operators.outliers import outliers_per_cell
+    vals = [1.0] * 20 + [5.0, 9.0, 9.1]  # cell 0 is dense (all inliers), cells 1-2 hold outliers
+    df = spark.createDataFrame(list(enumerate(vals)), SCHEMA)
+    a = sorted(tuple(r) for r in outliers_per_cell(df, None, 0.45, 3, [2.0, 6.0], prune=True).collect())
+    b = sorted(tuple(r) for r in outliers_per_cell(df, None, 0.45, 3, [2.0, 6.0], prune=False).collect())
+    assert a == b == [(0, 0, 0), (0, 1, 1), (0, 2, 2)]
