@@ -178,3 +178,12 @@ def test_outliers_per_cell_keeps_pruned_cells(spark):
     a = sorted(tuple(r) for r in outliers_per_cell(df, None, 0.45, 3, [2.0, 6.0], prune=True).collect())
     b = sorted(tuple(r) for r in outliers_per_cell(df, None, 0.45, 3, [2.0, 6.0], prune=False).collect())
     assert a == b == [(0, 0, 0), (0, 1, 1), (0, 2, 2)]
+
+
+def test_command_line_job_on_table_with_time_windows(spark, tmp_path, sf001):
+    from sparkdod.job import main
+    main(["--input", f"{sf001}/events.parquet", "--format", "parquet", "--id-col", "event_id", "--ts-col", "ts",
+          "--time-window", "2 days", "--time-slide", "1 day", "--radius", "5", "--k", "10",
+          "--output", str(tmp_path / "out")])
+    lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len(lines) == 31 and sum(int(x.split(";")[1]) for x in lines) == 1563  # FIXTURES anchor
