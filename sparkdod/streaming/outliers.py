@@ -39,6 +39,7 @@ from ..operators.windows import Windows
 DEFAULT_DELAY = "2 seconds"
 _FAR_FUTURE = _dt.datetime(9000, 1, 1)
 ROWS_PER_STREAM_CELL = 200_000
+ROWS_PER_STATE_PARTITION = 1_000_000
 
 
 def neighbour_totals(values: np.ndarray, mults: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
@@ -142,10 +143,19 @@ def run_stream_outlier_counts(spark: SparkSession, path: str, size, slide, radiu
     result = stream_outlier_counts(stream, size, slide, radius, k, bounds, ts_col=ts_col,
                                    value_col=value_col, delay=delay)
     name = f"sparkdod_stream_{abs(hash(scratch_path(spark, 'q'))) % 10**9}"
-    q = (result.writeStream.format("memory").queryName(name).outputMode("append")
-         .option("checkpointLocation", scratch_path(spark, "stream-state")).start())
+    # state-store partitions are fixed when a query starts: size them to the
+    # input (never above the session setting), then restore the setting
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    state_parts = min(int(prev), max(spark.sparkContext.defaultParallelism,
+                                     -(-static.count() // ROWS_PER_STATE_PARTITION)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_parts))
     try:
-        q.processAllAvailable()
+        q = (result.writeStream.format("memory").queryName(name).outputMode("append")
+             .option("checkpointLocation", scratch_path(spark, "stream-state")).start())
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
     finally:
-        q.stop()
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
     return spark.table(name)
