@@ -46,6 +46,28 @@ def parse_args(argv=None) -> argparse.Namespace:
     return p.parse_args(argv)
 
 
+def stream_lines(spark, a: argparse.Namespace, points):
+    """The streaming plan of the job: ``value`` lines ``window_end;outliers``.
+    Count windows run on the synthetic slide time of the ids (P1, W10) and
+    are labelled by slide number, like the batch form."""
+    from .operators.cells import merge_narrow_bounds, quantile_bounds
+    count_windows = not (a.ts_col and a.time_window)
+    if not count_windows:
+        size, slide, ts = a.time_window, a.time_slide or a.time_window, "ts"
+    else:
+        step = "1 second"
+        points = count_based_time(points, a.count_slide, step)
+        size, slide, ts = f"{a.count_window // a.count_slide} seconds", step, "ts"
+    static = spark.read.parquet(a.input) if a.format == "parquet" else read_text_points(spark, a.input)[0]
+    bounds = merge_narrow_bounds(quantile_bounds(static, "value" if a.format == "text" else a.value_col, 64),
+                                 a.radius)
+    counts = stream_outlier_counts(points, size, slide, a.radius, a.k, bounds, ts_col=ts, delay=a.delay)
+    end = F.col("window_end")
+    if count_windows:  # seconds since the epoch = slide number of the window end
+        end = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), end)
+    return counts.select(F.concat_ws(";", end.cast("string"), F.col("outliers").cast("string")).alias("value"))
+
+
 def main(argv=None) -> None:
     a = parse_args(argv)
     spark = get_spark(a.master)
@@ -55,19 +77,7 @@ def main(argv=None) -> None:
         reader = spark.readStream.schema(spark.read.parquet(a.input).schema) if a.stream else spark.read
         points = points_from_table(reader.parquet(a.input), a.id_col, a.value_col, ts_col=a.ts_col)
     if a.stream:
-        if a.ts_col and a.time_window:
-            size, slide, ts = a.time_window, a.time_slide or a.time_window, "ts"
-        else:  # count windows on the synthetic slide time of the ids (P1, W10)
-            step = "1 second"
-            points = count_based_time(points, a.count_slide, step)
-            size, slide, ts = f"{a.count_window // a.count_slide} seconds", step, "ts"
-        from .operators.cells import merge_narrow_bounds, quantile_bounds
-        bounds = merge_narrow_bounds(quantile_bounds(
-            spark.read.parquet(a.input) if a.format == "parquet" else read_text_points(spark, a.input)[0],
-            "value" if a.format == "text" else a.value_col, 64), a.radius)
-        counts = stream_outlier_counts(points, size, slide, a.radius, a.k, bounds, ts_col=ts, delay=a.delay)
-        lines = counts.select(F.concat_ws(";", F.col("window_end").cast("string"),
-                                          F.col("outliers").cast("string")).alias("value"))
+        lines = stream_lines(spark, a, points)
         w = lines.writeStream.outputMode("append").option(
             "checkpointLocation", a.checkpoint or scratch_path(spark, "job-stream"))
         q = (w.format("text").option("path", a.output) if a.output else w.format("console")).start()

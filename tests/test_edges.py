@@ -187,3 +187,24 @@ def test_command_line_job_on_table_with_time_windows(spark, tmp_path, sf001):
           "--output", str(tmp_path / "out")])
     lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert len(lines) == 31 and sum(int(x.split(";")[1]) for x in lines) == 1563  # FIXTURES anchor
+
+
+def test_command_line_stream_plan(spark, tmp_path):
+    from sparkdod.job import parse_args, stream_lines
+    from sparkdod.sources.points import read_text_points
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.txt").write_text("\n".join(f"{i}&{v}" for i, v in enumerate([1.0, 1.2, 9.0, 1.1, 5.0, 5.1])) + "\n")
+    (src / "b.txt").write_text("1000&0.0\n")  # a late id closes the earlier windows
+    a = parse_args(["--input", str(src), "--count-window", "4", "--count-slide", "2", "--radius", "0.45",
+                    "--k", "1", "--stream"])
+    points, _ = read_text_points(spark, str(src), streaming=True)
+    lines = stream_lines(spark, a, points)
+    assert lines.isStreaming
+    q = lines.writeStream.format("memory").queryName("cli_stream").outputMode("append") \
+        .option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted(r.value for r in spark.table("cli_stream").collect())
+    # ids 0-3 -> windows 1, 2; ids 4-5 -> windows 3, 4 (all closed by the late id)
+    assert got == ["1;0", "2;1", "3;2", "4;0"]
