@@ -9,10 +9,10 @@ Which documents get that copy is decided by the cube method. In the flight
 phase, three undecided documents at a time, a move in the null space of the
 two constraints (documents, words) changes their probabilities until one of
 them is 0 or 1, so the expected totals of both never change. Flights run in
-blocks of one source; the at most two documents that a block leaves undecided
-are gathered, level by level, until a source fits one block, and only its last
-two documents are landed at random. Documents fly in falling size, so that
-these last ones are small. A hot source is just more blocks.
+blocks of one source; the few documents that a block leaves undecided (two, and
+a spare handful of all sizes) are gathered, level by level, until a source fits
+one block, and only its last documents are landed, closest to the words still
+wanted. A hot source is just more blocks.
 
 Random choices depend on the seed and on document ids alone: reruns agree.
 
@@ -60,17 +60,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return table.select("source", "source_size", F.least(cap, F.col("weight") * F.lit(level)).alias("target"))
 
 
-def _flight(rows: pd.DataFrame, rng: np.random.Generator, land: bool) -> pd.DataFrame:
+def _flight(rows: pd.DataFrame, rng: np.random.Generator, land: bool, spare: int = 64, tries: int = 64) -> pd.DataFrame:
     """Move the probabilities of ``rows`` (largest first) until at most two are
-    undecided; with ``land`` these are then drawn, the first so that its words
-    stay as close to the total as one document allows."""
+    undecided, besides ``spare`` documents of evenly spread sizes that stay out
+    of the flight. With ``land`` these last ones are the landing problem: each
+    is taken, in random order, if the words still wanted have room for it; the
+    best of some orders counts."""
     size, p = rows["size"].to_numpy(float), rows["p"].to_numpy(float).copy()
-    coins = rng.random(len(p) + 2)
+    coins = rng.random(len(p))
+    spared = np.unique(np.linspace(0, len(p) - 1, min(spare, len(p))).round().astype(int))
+    flying = np.ones(len(p), bool)
+    flying[spared] = False
     live: list[int] = []
-    for i in range(len(p)):
-        if not 1e-9 < p[i] < 1 - 1e-9:
-            p[i] = round(p[i])
-            continue
+    for i in np.flatnonzero(flying):
         live.append(i)
         if len(live) < 3:
             continue
@@ -91,17 +93,26 @@ def _flight(rows: pd.DataFrame, rng: np.random.Generator, land: bool) -> pd.Data
             if not 1e-9 < p[j] < 1 - 1e-9:
                 p[j] = round(p[j])
         live = [j for j in live if 0 < p[j] < 1]
+    left = np.concatenate([live, spared]).astype(int)
     if land:
-        for k, j in enumerate(live):
-            p[j] = float(coins[len(p) + k] < p[j])
-        live = []
+        wanted, best = float(p[left] @ size[left]), None
+        for _ in range(tries):
+            room, taken = wanted, np.zeros(len(left))
+            for k in rng.permutation(len(left)):
+                if size[left[k]] <= room:
+                    room -= size[left[k]]
+                    taken[k] = 1
+            if best is None or room < best[0]:
+                best = (room, taken)
+        p[left] = best[1]
+        left = left[:0]
     take = p.round().astype("int32")
-    take[live] = -1
+    take[left] = -1
     return rows.assign(p=p, take=take)
 
 
 def _flown(rows: DataFrame, seed: int, land: bool) -> DataFrame:
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(group):
         group = group.sort_values(["size", "row"], ascending=[False, True], ignore_index=True)
         rng = np.random.default_rng([seed, int(land), len(group), int(group["row"].iloc[0]) & (2 ** 63 - 1)])
         return _flight(group, rng, land)

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, mixing, substring_dedup
 from .common import documents
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode(documents(spark, sf_dir), decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -25,9 +30,20 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op6_exact_dedup, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_bpe, op6_exact_dedup, op9_mixing)}
 
 ORACLE = {
+    # windows by their text; a word goes if one of the twenty windows over it starts earlier somewhere else
+    "op2_substring_dedup": rf"""
+        WITH d AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
+        w AS (SELECT doc_id, unnest(generate_series(1, len(ws) - 19)) AS i, ws FROM d WHERE len(ws) >= 20),
+        h AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS t FROM w),
+        late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS r FROM h) WHERE r > 1),
+        gone AS (SELECT doc_id, list(DISTINCT j) AS js FROM (SELECT doc_id, unnest(generate_series(i, i + 19)) AS j FROM late) GROUP BY doc_id),
+        k AS (SELECT d.doc_id, len(ws) AS n_words, coalesce(len(js), 0) AS n_removed,
+                     list_filter(ws, lambda x, j: NOT list_contains(coalesce(js, []), j)) AS kept
+              FROM d LEFT JOIN gone USING (doc_id))
+        SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
     "op6_exact_dedup": r"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n_cp,
                           sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
