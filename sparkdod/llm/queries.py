@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, near_dup, substring_dedup
+from . import bpe, exact_dedup, mixing, near_dup, pii, substring_dedup
 from .common import documents
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -25,6 +25,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, spans = pii.find_pii(documents(spark, sf_dir)), F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    return out.select("doc_id", *[pii.count_of(spans, k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+                      F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -34,7 +41,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op2_substring_dedup, op3_bpe, op6_exact_dedup, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_substring_dedup, op3_bpe, op4_pii, op6_exact_dedup, op9_mixing)}
 
 ORACLE = {
     # all pairs that share a shingle, then components by repeated relaxation
