@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, near_dup, pii, substring_dedup
+from . import bpe, exact_dedup, mixing, near_dup, pii, quality, substring_dedup, toxicity
 from .common import documents
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -32,6 +32,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.clean(documents(spark, sf_dir), texts=False)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bad_lines", "lost_words")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -41,7 +46,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op2_substring_dedup, op3_bpe, op4_pii, op6_exact_dedup, op9_mixing)}
+def severity_grade() -> Column:
+    """Grades from the table ``labels``: 0 not toxic, 1 toxic, 2 toxic in a text of low quality."""
+    return F.col("toxic") + F.col("toxic") * (1 - F.coalesce(F.col("quality"), F.lit(1)))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), severity_grade())
+    return toxicity.severity(docs, model).withColumn("kept", ~F.col("toxic"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_substring_dedup, op3_bpe, op4_pii, op5_quality, op6_exact_dedup, op9_mixing, op10_toxicity)}
 
 ORACLE = {
     # all pairs that share a shingle, then components by repeated relaxation
