@@ -96,25 +96,17 @@ def merge_registers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def likely_jaccard(above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, registers: int = REGISTERS, steps: int = 200) -> np.ndarray:
+def likely_jaccard(above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity of pairs, from the numbers of
-    registers where the first is above or below the second and from both set sizes."""
+    registers where the first is above or below the second and from both set sizes.
+
+    With u and v the shares of the two sizes, a register is above with
+    probability u - vJ, below with v - uJ and equal with J (for a base near 1);
+    the maximum of the joint likelihood is a root of a quadratic equation."""
     u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
     same = registers - above - below
-    best, value = np.zeros(len(u)), np.full(len(u), -np.inf)
-
-    def p(x: np.ndarray) -> np.ndarray:
-        return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
-
-    for k in range(steps + 1):
-        j = np.minimum(u / v, v / u) * k / steps
-        more, less = p(u - v * j), p(v - u * j)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            terms = [np.where(n > 0, n * np.log(np.maximum(q, 1e-300)), 0.0) for n, q in ((above, more), (below, less), (same, 1 - more - less))]
-        score = sum(terms)
-        better = score > value
-        best, value = np.where(better, j, best), np.where(better, score, value)
-    return best
+    middle = u * u * (same + below) + v * v * (same + above)
+    return (middle - np.sqrt(np.maximum(middle ** 2 - 4 * registers * same * (u * v) ** 2, 0))) / (2 * registers * u * v)
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
@@ -193,8 +185,7 @@ def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _close(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated similarity of register rows, and whether it may reach the floor.
-    Few pairs need the likelihood: equal registers alone bound it."""
+    """Estimated similarity of register rows, and whether it may reach the floor."""
     above, below = (a > b).sum(axis=1), (a < b).sum(axis=1)
     j = likely_jaccard(above.astype(float), below.astype(float), n_a.astype(float), n_b.astype(float))
     return j, j >= floor
@@ -217,7 +208,6 @@ def _in_bucket(table: pa.Table, tries: int, floor: float) -> pa.Table:
         if not len(others):
             continue
         others = others[~(first_of[others] == first_of[i]).all(axis=2).any(axis=1)] if band else others
-        others = others[(regs[others] == regs[i]).sum(axis=1) >= 0.9 * floor * REGISTERS]
         if not len(others):
             continue
         j, near = _close(regs[others], np.broadcast_to(regs[i], (len(others), REGISTERS)), sizes[others], np.full(len(others), sizes[i]), floor)
@@ -280,7 +270,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, margin: f
         def search(table: pa.Table) -> pa.Table:
             return _in_bucket(table, limit, floor)
 
-        found = checkpointed(tasks.groupBy("band", "key", "one", "two").applyInArrow(search, "a binary, b binary, cut boolean")
+        task_key = ["band", "key", "one", "two"]
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        found = checkpointed(tasks.repartition(parts, *task_key).groupBy(*task_key).applyInArrow(search, "a binary, b binary, cut boolean")
                              .groupBy("a", "b").agg(F.max("cut").alias("cut")))
         new = checkpointed(found.select("a", "b").join(tested, ["a", "b"], "left_anti"))
         labels = joined_components(labels, checkpointed(verified(new, sets, percent)))

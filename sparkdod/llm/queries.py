@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, near_dup, pii, quality, substring_dedup, toxicity
+from . import bpe, exact_dedup, line_dedup, mixing, near_dup, pii, quality, secret_scan, substring_dedup, toxicity
 from .common import documents
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -42,6 +42,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, spans = secret_scan.find_secrets(documents(spark, sf_dir)), F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*secret_scan.KINDS))
+    return out.select("doc_id", *[secret_scan.count_of(spans, k).alias(f"n_{k}") for k in secret_scan.KINDS],
+                      F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"), secret_scan.joined(spans).alias("spans"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -57,7 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, model).withColumn("kept", ~F.col("toxic"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op2_substring_dedup, op3_bpe, op4_pii, op5_quality, op6_exact_dedup, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_substring_dedup, op3_bpe, op4_pii, op5_quality, op6_exact_dedup, op7_line_dedup, op8_secrets, op9_mixing, op10_toxicity)}
 
 ORACLE = {
     # all pairs that share a shingle, then components by repeated relaxation
