@@ -49,3 +49,15 @@ def exact_dedup(docs: DataFrame, frequent: int = 1024, tracked: int = 8192) -> D
     return hot.unionByName(rest).select(
         F.col("order.doc_id").alias("doc_id"), F.col("winner.doc_id").alias("keep_id"), "group_size",
         (F.col("order.row") == F.col("winner.row")).alias("kept"), "digest")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all their columns, that ``exact_dedup`` keeps; of
+    rows with the same id and equal text one."""
+    keep = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("i"), F.col("digest").alias("d"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.col("doc_id").cast("long").alias("doc_id"),
+                      F.sha2(without_space(text).cast("binary"), 256).alias("digest"), F.length(text).alias("n_cp"))
+    kept = own.join(keep, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
+    first = Window.partitionBy("digest").orderBy(F.desc("n_cp"))  # one id each: few rows
+    return kept.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("own.*")

@@ -140,24 +140,41 @@ def balanced_copies(rows: DataFrame, block_rows: int = 20_000, seed: int = 1) ->
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, block_rows: int = 20_000, seed: int = 1,
-        keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for each
-    input row; ``keep`` names more input columns to carry along."""
+def with_row_key(rows: DataFrame) -> DataFrame:
+    """``size`` (words) in place of ``text``, ``key`` (equal for equal id, source
+    and size) and ``nth``, which numbers the rows of a key: repeated rows stay apart."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    carried = [F.struct(*keep).alias("carried")] if keep else []
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *carried)
-    # a row's number depends on its content, so reruns and lost executors give the same draw; repeated rows follow by their order
-    again = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("doc_id"))
-    base = checkpointed(base.withColumn("row", F.xxhash64("doc_id", "source", "size", again)))
+    keyed = rows.withColumn("size", size).drop("text").withColumn("key", F.xxhash64("doc_id", "source", "size"))
+    return keyed.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, block_rows: int = 20_000, seed: int = 1) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken, key, nth`` for
+    each input row; ``key`` and ``nth`` tell rows apart as in ``with_row_key``."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    # a row's number depends on its content, so reruns and lost executors give the same draw
+    base = checkpointed(with_row_key(plain).withColumn("row", F.xxhash64("key", "nth")))
     targets = source_targets(base.select("source", "size"), weights, most)
-    t = targets.withColumnRenamed("source", "s")
-    # one row per source joins all documents: spread the hot source, let Spark measure the small side
-    rated = base.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # one row per source meets all documents: Spark measures the small side, and splits the hot source otherwise
+    rated = base.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rated = checkpointed(rated.withColumn("whole", F.floor(rate + F.lit(1e-12))).withColumn("p", F.greatest(rate - F.col("whole"), F.lit(0.0))))
     drawn = balanced_copies(rated.filter("p > 1e-9 and size > 0").select("source", "row", "size", "p"), block_rows, seed)
-    copies = F.col("whole") + F.coalesce(F.col("take"), F.lit(0))
-    out = rated.join(drawn, "row", "left").withColumn("copies", copies.cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
-                      *([F.col(f"carried.{c}").alias(c) for c in keep if c not in ("doc_id", "source")] if keep else []))
+    copies = (F.col("whole") + F.coalesce(F.col("take"), F.lit(0))).cast("long")
+    out = rated.join(drawn, "row", "left").withColumn("copies", copies)
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key", "nth")
+
+
+def mixed(docs: DataFrame, **parameters) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken. Empty
+    texts, of which any number adds no words, stay once."""
+    copies = mix(docs, **parameters).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("nth", F.greatest("copies", (F.col("size") == 0).cast("long")).alias("n")))).alias("times")) \
+        .withColumnRenamed("key", "k")
+    columns = docs.columns
+    own = docs.select(F.struct(*columns).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    keyed = with_row_key(own).select("own", "key", "nth")
+    times = F.element_at("times", F.col("nth"))["n"].cast("int")
+    out = keyed.join(copies, F.col("key") == F.col("k")).withColumn("times", times).filter("times > 0")
+    return out.select("own", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("own.*")
+
+

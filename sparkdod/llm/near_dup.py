@@ -286,3 +286,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, margin: f
     out = rows.join(alone, "set_id", "left")
     component_id = F.when(F.col("least") == big, F.col("doc_id")).otherwise(F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", component_id.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)) & (F.col("doc_id").isNotNull() | F.col("component_id").isNull()))
+
+
+def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs``, all their columns, without those that ``near_duplicates``
+    drops; rows with the same ``doc_id`` fare alike and a NULL one stays."""
+    dropped = near_duplicates(docs, **parameters).filter(~F.col("kept")).select(F.col("doc_id").alias("i")).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("i"), "left_anti")

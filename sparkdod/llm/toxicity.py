@@ -146,6 +146,28 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, per_grade: int = 10
     return Model({f: float(w[i]) for f, i in known.items()}, [float(t) for t in theta])
 
 
+def scores(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Expected grade of each text, and whether a grade above the lowest is likelier than not."""
+    if not model.thresholds:
+        return np.zeros(len(texts)), np.zeros(len(texts), bool)
+    names = list(model.weights)
+    number = {f: i for i, f in enumerate(names)}
+    weights = np.array([model.weights[f] for f in names])
+    ids, starts, words = word_ids(pc.utf8_lower(texts))
+    # (word, feature) pairs of the slice's dictionary, then (text, feature) counts
+    pairs = [(i, number[f]) for i, w in enumerate(words.to_pylist()) for f in word_features(w) if f in number]
+    word, feature = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), ())))
+    first, last = np.searchsorted(word, ids), np.searchsorted(word, ids, side="right")
+    per_word = last - first
+    text_of = np.repeat(np.repeat(np.arange(len(texts)), np.diff(starts)), per_word)
+    at = np.repeat(first - (np.cumsum(per_word) - per_word), per_word) + np.arange(per_word.sum())
+    key, counts = np.unique(text_of * len(names) + feature[at], return_counts=True)
+    text, lengths = key // len(names), np.diff(starts)
+    score = np.bincount(text, weights[key % len(names)] * np.log1p(100.0 * counts / lengths[text]), len(texts))
+    above = model.above(score)
+    return above.sum(axis=1), above[:, 0] >= 0.5
+
+
 def severity(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, severity`` (expected grade) and ``toxic`` (a grade above the lowest is likelier than not)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
@@ -153,26 +175,20 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
-        names = list(model.weights)
-        number = {f: i for i, f in enumerate(names)}
-        weights = np.array([model.weights[f] for f in names])
         for part in slices(batches):
-            if not model.thresholds:
-                zero = np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(zero), pa.array(zero > 0)], schema=schema)
-                continue
-            ids, starts, words = word_ids(pc.utf8_lower(part["text"]))
-            # (word, feature) pairs of the slice's dictionary, then (text, feature) counts
-            pairs = [(i, number[f]) for i, w in enumerate(words.to_pylist()) for f in word_features(w) if f in number]
-            word, feature = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), ())))
-            first, last = np.searchsorted(word, ids), np.searchsorted(word, ids, side="right")
-            per_word = last - first
-            text_of = np.repeat(np.repeat(np.arange(part.num_rows), np.diff(starts)), per_word)
-            at = np.repeat(first - np.concatenate([[0], np.cumsum(per_word)[:-1]]), per_word) + np.arange(per_word.sum()) if len(ids) else np.zeros(0, np.int64)
-            key, counts = np.unique(text_of * len(names) + feature[at], return_counts=True)
-            texts, lengths = key // max(1, len(names)), np.diff(starts)
-            score = np.bincount(texts, weights[key % max(1, len(names))] * np.log1p(100.0 * counts / lengths[texts]), part.num_rows)
-            above = model.above(score)
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(above.sum(axis=1)), pa.array(above[:, 0] >= 0.5)], schema=schema)
+            grade, toxic = scores(part["text"], model)
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(grade), pa.array(toxic)], schema=schema)
 
     return id_text(docs).mapInArrow(run, "doc_id long, severity double, toxic boolean")
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all their columns, that aren't toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
+        for part in slices(batches):
+            yield part.filter(pa.array(~scores(pc.fill_null(part["text"], ""), model)[1]))
+
+    return docs.mapInArrow(run, docs.schema)
