@@ -70,7 +70,7 @@ def _mod97(match: Column) -> Column:
         code = F.ascii(c)
         return F.when(code >= 65, acc * 100 + code - 55).otherwise(acc * 10 + code - 48) % 97
 
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), step)
+    return F.aggregate(F.regexp_extract_all(turned, F.lit("."), F.lit(0)), F.lit(0), step)
 
 
 def _confirmed(kind: str, match: Column) -> Column:
