@@ -12,11 +12,12 @@ their Jaccard similarity says.
 3. Candidate pairs are estimated by the joint likelihood of the register
    comparisons given both cardinalities; those that could reach the threshold
    are verified on their full shingle sets; verified links become components.
-4. Buckets that still span two or more components are searched for pairs of
-   different components: the best ``tries`` partners of each class, more in
-   each round, until no pair is left that could reach the threshold. So no
-   group is expanded into all its pairs, and no link between components stays
-   untested. Buckets of many classes are cut into tasks of two chunks each.
+4. Buckets that still span two or more components are searched for all pairs of
+   different components that could reach the threshold. Few pairs are verified
+   one by one; a bucket dense with them is given the full sets once and counts
+   inside its task, listing only links that connect. So no group is expanded
+   into all its pairs, and no link between components stays untested. Buckets of
+   many classes are cut into tasks of two chunks each.
 
 A link that no band proposes is missed with probability (1 - s^rows)^bands: 3e-6
 at similarity 0.8 with the parameters here.
@@ -191,37 +192,69 @@ def _close(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, floor
     return j, j >= floor
 
 
-def _in_bucket(table: pa.Table, tries: int, floor: float) -> pa.Table:
-    """Pairs of one bucket (or of two chunks of it) that lie in different components:
-    for each class its best partners by estimate. A pair that also shares an
-    earlier band is left to that band's bucket."""
-    out = {"a": [], "b": [], "cut": []}
-    band = table["band"][0].as_py()
-    one, two = table["one"][0].as_py(), table["two"][0].as_py()
+TASK = ["band", "key", "one", "two"]
+FOUND = "band int, key long, one long, two long, a binary, b binary"
+
+
+def _candidates(table: pa.Table, floor: float, dense: int) -> pa.Table:
+    """Pairs of one bucket (or of two chunks of it) that lie in different
+    components and may reach the floor. A pair that also shares an earlier band
+    is left to that band's bucket. With more than ``dense`` pairs for each
+    class, the classes themselves are listed (b is NULL) in place of the pairs."""
+    task = [table[c][0].as_py() for c in TASK]
     ids, roots, chunk = (np.array(table[c].to_pylist(), object) for c in ("node", "root", "chunk"))
     regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
     sizes = table["n_shingles"].to_numpy().astype(float)
-    _, root_no = np.unique(roots.astype("S16") if len(roots) else roots, return_inverse=True)
-    first_of = regs[:, :band * ROWS].reshape(len(ids), band, ROWS)
+    root = np.unique(roots, return_inverse=True)[1]
+    earlier = regs[:, :task[0] * ROWS].reshape(len(ids), task[0], ROWS)
+    pairs, involved = [], set()
     for i in range(len(ids)):
-        others = np.flatnonzero((root_no != root_no[i]) & ((chunk != chunk[i]) if one != two else True) & (100 * np.minimum(sizes, sizes[i]) >= 100 * floor * np.maximum(sizes, sizes[i])))
-        if not len(others):
-            continue
-        others = others[~(first_of[others] == first_of[i]).all(axis=2).any(axis=1)] if band else others
+        # each pair once; of two chunks, pairs across them
+        others = np.arange(i + 1, len(ids))
+        others = others[(root[others] != root[i]) & ((chunk[others] != chunk[i]) | (task[2] == task[3])) & (np.minimum(sizes[others], sizes[i]) >= floor * np.maximum(sizes[others], sizes[i]))]
+        if task[0] and len(others):
+            others = others[~(earlier[others] == earlier[i]).all(axis=2).any(axis=1)]
         if not len(others):
             continue
-        j, near = _close(regs[others], np.broadcast_to(regs[i], (len(others), REGISTERS)), sizes[others], np.full(len(others), sizes[i]), floor)
-        others, j = others[near], j[near]
-        best = others[np.lexsort((others, -j))][:tries]
-        for o in best:
-            x, y = sorted((ids[i], ids[o]))
-            out["a"].append(x)
-            out["b"].append(y)
-            out["cut"].append(len(others) > tries)
-    return pa.table({"a": pa.array(out["a"], pa.binary()), "b": pa.array(out["b"], pa.binary()), "cut": pa.array(out["cut"], pa.bool_())})
-
-
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, margin: float = 0.14, chunk_rows: int = 1024) -> DataFrame:
+        _, near = _close(regs[others], np.broadcast_to(regs[i], (len(others), REGISTERS)), sizes[others], np.full(len(others), sizes[i]), floor)
+        if near.any():
+            involved.update([i, *others[near]])
+            if len(pairs) <= dense * len(ids):
+                pairs += [sorted((ids[i], ids[o])) for o in others[near]]
+    rows = [(ids[i], None) for i in sorted(involved)] if len(pairs) > dense * len(ids) else pairs
+    return pa.table({**{c: pa.array([v] * len(rows), t) for c, v, t in zip(TASK, task, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))},
+                     "a": pa.array([r[0] for r in rows], pa.binary()), "b": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def _dense_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links inside a dense bucket, found on the full sets: every pair of
+    classes that isn't connected yet is counted, links that connect are listed
+    (fewer than there are classes)."""
+    ids, roots = table["node"].to_pylist(), np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1]
+    sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(values), np.int32)
+    links = []
+    for i in range(len(ids)):
+        own = flat[starts[i]:starts[i] + sizes[i]]
+        mark[own] = 1
+        others = np.flatnonzero((roots != roots[i]) & (np.arange(len(ids)) > i) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
+        if len(others):
+            lengths = sizes[others]
+            ends = np.cumsum(lengths)
+            at = np.repeat(starts[others] - (ends - lengths), lengths) + np.arange(ends[-1])
+            shared = np.add.reduceat(mark[flat[at]], ends - lengths)
+            for o in others[100 * shared >= percent * (lengths + sizes[i] - shared)]:
+                if roots[o] != roots[i]:
+                    links.append((ids[i], ids[o]))
+                    roots[roots == roots[o]] = roots[i]
+        mark[own] = 0
+    return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, margin: float = 0.14, chunk_rows: int = 1024, dense: int = 4) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each input row.
 
     ``margin`` is how far below the threshold an estimate may lie and still be
@@ -257,29 +290,26 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, margin: f
     tested = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = joined_components(nodes.select("node", F.col("node").alias("root")), checkpointed(verified(tested, sets, percent)))
 
-    tries = 2
-    while True:
-        open_members = members.select("band", "key", "members", "node").join(labels, "node")
-        spread = open_members.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("band", "key", F.ceil(F.col("n") / F.lit(chunk_rows)).alias("chunks"))
-        chunked = open_members.join(spread, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-        # a bucket of more chunks is one task for each two of them
-        task = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("one"), F.greatest(c, F.col("chunk")).alias("two"))))
-        tasks = chunked.withColumn("task", task).join(reg, "node").select("band", "key", F.col("task.one").alias("one"), F.col("task.two").alias("two"), "chunk", "node", "root", "n_shingles", "registers")
-        limit = tries
-
-        def search(table: pa.Table) -> pa.Table:
-            return _in_bucket(table, limit, floor)
-
-        task_key = ["band", "key", "one", "two"]
-        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        found = checkpointed(tasks.repartition(parts, *task_key).groupBy(*task_key).applyInArrow(search, "a binary, b binary, cut boolean")
-                             .groupBy("a", "b").agg(F.max("cut").alias("cut")))
-        new = checkpointed(found.select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        labels = joined_components(labels, checkpointed(verified(new, sets, percent)))
-        tested = tested.unionByName(new)
-        if not found.filter("cut").limit(1).count():
-            break
-        tries *= 8
+    open_members = members.select("band", "key", "node").join(labels, "node")
+    spread = open_members.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high") \
+        .select("band", "key", F.ceil(F.col("n") / F.lit(chunk_rows)).alias("chunks"))
+    chunked = open_members.join(spread, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    # a bucket of more chunks is one task for each two of them
+    task = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("one"), F.greatest(c, F.col("chunk")).alias("two"))))
+    tasks = chunked.withColumn("task", task).join(reg, "node").select("band", "key", F.col("task.one").alias("one"), F.col("task.two").alias("two"), "chunk", "node", "root", "n_shingles", "registers")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def search(table: pa.Table) -> pa.Table:
+        return _candidates(table, floor, dense)
+
+    def count(table: pa.Table) -> pa.Table:
+        return _dense_links(table, percent)
+
+    found = checkpointed(tasks.repartition(parts, *TASK).groupBy(*TASK).applyInArrow(search, FOUND))
+    new = found.filter("b is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    full = found.filter("b is null").select(*TASK, F.col("a").alias("node")).join(labels, "node").join(sets.withColumnRenamed("set_id", "node"), "node")
+    counted = full.repartition(parts, *TASK).groupBy(*TASK).applyInArrow(count, "a binary, b binary")
+    labels = joined_components(labels, checkpointed(verified(new, sets, percent).unionByName(counted)))
     least = labels.join(nodes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("least"))
     component = labels.join(least, "root").select(F.col("node").alias("set_id"), "least")
     alone = classes.select(F.col("node").alias("set_id"), "id").join(component, "set_id", "left").select("set_id", F.coalesce("least", "id").alias("least"))
