@@ -12,12 +12,13 @@ folder of files.
 from __future__ import annotations
 
 import argparse
+import math
 
 from pyspark.sql import functions as F
 
 from .operators.outliers import window_outlier_counts, window_outlier_lines
 from .operators.windows import Windows, count_based_time
-from .session import get_spark, scratch_path
+from .session import get_spark, scratch_path, shuffle_partitions
 from .sources.points import points_from_table, read_text_points
 from .streaming.outliers import DEFAULT_DELAY, stream_outlier_counts
 
@@ -39,6 +40,7 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--radius", type=float, default=DEFAULTS["radius"])
     p.add_argument("--k", type=int, default=DEFAULTS["k"])
     p.add_argument("--output", help="folder for the text result (default: print)")
+    p.add_argument("--rejects", help="folder for the input lines that are no points (text input)")
     p.add_argument("--stream", action="store_true", help="process files as they arrive")
     p.add_argument("--checkpoint", help="streaming checkpoint folder (default: under spark.checkpoint.dir)")
     p.add_argument("--delay", default=DEFAULT_DELAY, help="watermark delay incl. allowed lateness")
@@ -48,24 +50,28 @@ def parse_args(argv=None) -> argparse.Namespace:
 
 def stream_lines(spark, a: argparse.Namespace, points):
     """The streaming plan of the job: ``value`` lines ``window_end;outliers``.
-    Count windows run on the synthetic slide time of the ids (P1, W10) and
-    are labelled by slide number, like the batch form."""
+    Count windows run on a synthetic time (P1, W10), one second for the largest
+    step that divides both window and slide; labels are those of the batch form."""
     from .operators.cells import merge_narrow_bounds, quantile_bounds
+    from .streaming.outliers import ROWS_PER_STREAM_CELL
     count_windows = not (a.ts_col and a.time_window)
     if not count_windows:
         size, slide, ts = a.time_window, a.time_slide or a.time_window, "ts"
     else:
-        step = "1 second"
-        points = count_based_time(points, a.count_slide, step)
-        size, slide, ts = f"{a.count_window // a.count_slide} seconds", step, "ts"
+        step = math.gcd(a.count_window, a.count_slide)
+        points = count_based_time(points, step, "1 second")
+        size, slide, ts = f"{a.count_window // step} seconds", f"{a.count_slide // step} seconds", "ts"
     static = spark.read.parquet(a.input) if a.format == "parquet" else read_text_points(spark, a.input)[0]
-    bounds = merge_narrow_bounds(quantile_bounds(static, "value" if a.format == "text" else a.value_col, 64),
+    cells = max(shuffle_partitions(spark), -(-static.count() // ROWS_PER_STREAM_CELL))
+    bounds = merge_narrow_bounds(quantile_bounds(static, "value" if a.format == "text" else a.value_col, cells),
                                  a.radius)
     counts = stream_outlier_counts(points, size, slide, a.radius, a.k, bounds, ts_col=ts, delay=a.delay)
-    end = F.col("window_end")
-    if count_windows:  # seconds since the epoch = slide number of the window end
-        end = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), end)
-    return counts.select(F.concat_ws(";", end.cast("string"), F.col("outliers").cast("string")).alias("value"))
+    if count_windows:  # seconds since the epoch times the step = id at the window's end
+        end = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("window_end")) * step
+        if a.count_window % a.count_slide == 0:
+            end = F.floor(end / a.count_slide)
+        counts = counts.withColumn("window_end", end)
+    return window_outlier_lines(counts).withColumnRenamed("line", "value")
 
 
 def main(argv=None) -> None:
@@ -77,6 +83,9 @@ def main(argv=None) -> None:
         reader = spark.readStream.schema(spark.read.parquet(a.input).schema) if a.stream else spark.read
         points = points_from_table(reader.parquet(a.input), a.id_col, a.value_col, ts_col=a.ts_col)
     if a.stream:
+        if a.rejects and a.format == "text":
+            rejects.writeStream.format("text").option("path", a.rejects).option(
+                "checkpointLocation", scratch_path(spark, "job-rejects")).start()
         lines = stream_lines(spark, a, points)
         w = lines.writeStream.outputMode("append").option(
             "checkpointLocation", a.checkpoint or scratch_path(spark, "job-stream"))
@@ -87,7 +96,9 @@ def main(argv=None) -> None:
         windows = Windows.time(a.time_window, a.time_slide or a.time_window, "ts")
     else:
         windows = Windows.count(a.count_window, a.count_slide)
-    lines = window_outlier_lines(window_outlier_counts(points, windows, a.radius, a.k)).orderBy("line")
+    if a.rejects and a.format == "text":
+        rejects.write.mode("overwrite").text(a.rejects)
+    lines = window_outlier_lines(window_outlier_counts(points, windows, a.radius, a.k).orderBy("window_end"))
     if a.output:
         lines.write.mode("overwrite").text(a.output)
     else:

@@ -18,12 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .search import nearest_center
+from .neighbors import DENSE_MAX_MAGNITUDE, DENSE_WIDTH_FACTOR
+from .search import finite, nearest_center
 from .windows import Windows
 
-# Cell width factor: members of one cell are within R even after rounding
-# (|value| / R below about 1e6).
-DENSE_WIDTH_FACTOR = 1.0 - 1e-9
 
 
 def dense_cell_width(radius: float) -> float:
@@ -33,8 +31,12 @@ def dense_cell_width(radius: float) -> float:
 def dense_clusters(points: DataFrame, windows: Windows | None, radius: float, k: int, *,
                    value_col: str = "value") -> DataFrame:
     """(window_end, cell, center, points) for every cell with more
-    than ``k`` points in a window (``window_end`` is 0 without windows)."""
+    than ``k`` points in a window (``window_end`` is 0 without windows).
+
+    Values that are no points (D5) are left out. Where ``|value| / radius``
+    reaches 1e6 a cell would be wider than rounding allows, so there is none."""
     w = dense_cell_width(radius)
+    points = points.where(finite(value_col, False) & (F.abs(F.col(value_col).cast("double")) < F.lit(DENSE_MAX_MAGNITUDE * float(radius))))
     v = F.col(value_col).cast("double")
     if windows is None:
         keyed = points.select(F.lit(0).cast("long").alias("window"), v.alias("v"))

@@ -136,34 +136,41 @@ def pane_range_counts(d: DataFrame, radius: float, reach: int, bounds: list[floa
     band = band_probes.join(build, ["q", "cls", "slot"]).where(in_band) \
         .select("src", "v", "mult", "q", corr.alias("c")).where(F.col("c") != 0)
 
-    return prefix.unionByName(band).groupBy("src", "v", "mult", "q").agg(F.sum("c").alias("cnt"))
+    # one exchange by value serves this sum and the per-value windows that follow
+    parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return prefix.unionByName(band).repartition(parts, "src", "v").groupBy("src", "v", "mult", "q").agg(F.sum("c").alias("cnt"))
 
 
-# Upper target of distinct rows per (slide, cell) partition of the running-sum
-# window (sorted, spillable), and a cap on the bounds sent to the driver.
+# Upper target of rows (values and probes) per (slide, cell) partition of the
+# running-sum window (sorted, spillable).
 TARGET_ROWS_PER_CELL = 2_000_000
-MAX_CELLS = 100_000
 
 
-def choose_cells(d: DataFrame, parallelism: int) -> int:
-    """Number of value cells for the distinct table ``d`` (pane, value, mult):
-    enough that a whole slide fits ``TARGET_ROWS_PER_CELL`` per cell even if
-    one slide holds all rows, and enough to give ``parallelism`` tasks when
+def choose_cells(d: DataFrame, parallelism: int, reach: int = 0) -> int:
+    """Number of cells for the distinct table ``d`` (pane, value, mult): enough
+    that a slide with all its probes fits ``TARGET_ROWS_PER_CELL`` per cell even
+    if one slide holds all rows, and enough to give ``parallelism`` tasks when
     there are few slides. One aggregate over the materialised table."""
     import math
     n, panes = d.agg(F.count(F.lit(1)), F.approx_count_distinct("pane")).first()
     n, panes = int(n or 0), max(int(panes or 1), 1)
-    by_size = math.ceil(n / TARGET_ROWS_PER_CELL)
+    by_size = math.ceil(n * (1 + 2 * (2 * reach + 1)) / TARGET_ROWS_PER_CELL)
     by_parallelism = math.ceil(parallelism / panes)
-    return max(1, min(MAX_CELLS, max(by_size, by_parallelism)))
+    return max(1, by_size, by_parallelism)
 
 
-def _bounds_for(d: DataFrame, cells: int | None, spark_partitions: int,
+def union_bounds(d: DataFrame, radius: float, n_cells: int, sample_fraction: float | None = None) -> list[float]:
+    """Equi-depth bounds over what the cells hold: the distinct values and both
+    thresholds of each. Values closer than R leave most thresholds outside
+    their own range, so bounds over the values alone would pile them up."""
+    v, r = F.col("value"), F.lit(float(radius))
+    return quantile_bounds(d.select(F.explode(F.array(v, v - r, v + r)).alias("key")), "key", n_cells, sample_fraction=sample_fraction)
+
+
+def _bounds_for(d: DataFrame, radius: float, cells: int | None, spark_partitions: int, reach: int,
                 sample_fraction: float | None) -> list[float]:
-    """Equi-depth bounds over the *distinct* values, which is what the
-    (pane, cell) partitions of the count engine hold."""
-    n = choose_cells(d, spark_partitions) if cells is None else cells
-    return quantile_bounds(d, "value", n, sample_fraction=sample_fraction)
+    n = choose_cells(d, spark_partitions, reach) if cells is None else cells
+    return union_bounds(d, radius, n, sample_fraction)
 
 
 def distinct_table(points: DataFrame, pane: Column, value_col: str = "value") -> DataFrame:
@@ -229,8 +236,8 @@ def window_neighbor_counts(points: DataFrame, windows: Windows | None, radius: f
     spark = points.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
-    def bounds_of(d):
-        return bounds if bounds is not None else _bounds_for(d, cells, parts, quantile_sample)
+    def bounds_of(d, reach=0):
+        return bounds if bounds is not None else _bounds_for(d, radius, cells, parts, reach, quantile_sample)
     flag = "__counted" if prune_k is not None else None
 
     def table(pane):
@@ -256,9 +263,15 @@ def window_neighbor_counts(points: DataFrame, windows: Windows | None, radius: f
         return done(c.select(F.col("q").alias("window"), "src", "v", "mult", F.col("cnt").alias("total"),
                              F.lit(None).cast("long").alias("before")), d)
     d = table(windows.pane(pos))
-    c = pane_range_counts(d, radius, m - 1, bounds_of(d), flag)
-    # windows (end numbers) holding both panes: e in [max(src,q)+1, min(src,q)+m]
-    c = c.withColumn("window", F.explode(F.sequence(F.greatest("src", "q") + 1, F.least("src", "q") + m)))
-    return done(c.groupBy("window", "src", "v", "mult").agg(
-        F.sum("cnt").alias("total"),
-        F.sum(F.when(F.col("q") <= F.col("src"), F.col("cnt")).otherwise(0)).alias("before")), d)
+    c = pane_range_counts(d, radius, m - 1, bounds_of(d, m - 1), flag)
+    # windows holding the point end at src+1 .. src+m, window e covers slides
+    # e-m .. e-1. With running totals over the slides src-m+1 .. src+m-1 of a
+    # value, a window is the difference of two: m rows per value.
+    slides = Window.partitionBy("src", "v").orderBy("q")
+    c = c.withColumn("run", F.sum("cnt").over(slides.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    c = c.withColumn("until", F.lag("run", m).over(slides)) \
+        .withColumn("own", F.max(F.when(F.col("q") == F.col("src"), F.col("run"))).over(Window.partitionBy("src", "v")))
+    until = F.coalesce("until", F.lit(0))
+    c = c.where(F.col("q") >= F.col("src")).select(
+        (F.col("q") + 1).alias("window"), "src", "v", "mult", (F.col("run") - until).alias("total"), (F.col("own") - until).alias("before"))
+    return done(c, d)

@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import quantile_bounds, with_cell
-from .neighbors import choose_cells, distinct_table, pane_range_counts, window_neighbor_counts
+from .cells import with_cell
+from .neighbors import choose_cells, distinct_table, pane_range_counts, union_bounds, window_neighbor_counts
 from .windows import Windows
 
 
@@ -104,8 +104,8 @@ def recent_neighbors(points: DataFrame, windows: Windows, radius: float, k: int,
     spark = points.sparkSession
     pos = windows.position(points)
     d = distinct_table(points, windows.pane(pos), value_col)
-    n_cells = cells if cells is not None else choose_cells(d, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    bounds = quantile_bounds(d, "value", n_cells)
+    n_cells = cells if cells is not None else choose_cells(d, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), m - 1)
+    bounds = union_bounds(d, radius, n_cells)
     c = pane_range_counts(d, radius, m - 1, bounds).where(F.col("q") <= F.col("src"))
     c = c.withColumn("window", F.explode(F.sequence(F.col("src") + 1, F.col("q") + m)))
     per = c.groupBy("window", "src", "v").agg(F.sort_array(F.collect_list(F.struct("q", "cnt")), asc=False).alias("qc"))

@@ -18,10 +18,10 @@ def extremes(points: DataFrame, id_col: str = "id", value_col: str = "value") ->
 
 def sample_n(df: DataFrame, n: int, seed: int = 0, id_col: str = "id") -> DataFrame:
     """``n`` rows drawn uniformly without replacement (all rows when the
-    table is smaller). The draw ranks rows by a seeded hash of the id, so it
-    is repeatable and independent of partitioning; Spark plans
+    table is smaller). The draw ranks rows by ``md5(id:seed)``, so it is
+    repeatable anywhere and independent of partitioning; Spark plans
     ``orderBy + limit`` as a per-task top-n, never a full sort."""
     if n <= 0:
         return df.limit(0)
-    key = F.xxhash64(F.col(id_col), F.lit(int(seed)))
+    key = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(int(seed)))))
     return df.withColumn("__draw", key).orderBy("__draw", id_col).limit(int(n)).drop("__draw")

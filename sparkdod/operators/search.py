@@ -11,8 +11,10 @@ predicate:
   metric-tree pruning in the reference), and the candidates of one grid
   cell are evaluated as a numpy block.
 
-kNN grows the radius in rounds until every query has ``k`` answers; a query
-leaves as soon as its answer is complete, so late rounds touch few rows.
+kNN of numbers goes by rank (no radius). kNN of vectors grows the radius in
+rounds until every query has ``k`` answers; a query leaves as soon as its
+answer is complete, so late rounds touch few rows. NULL, NaN and infinite
+values, and vectors holding one, are no points (D5).
 """
 
 from __future__ import annotations
@@ -26,19 +28,12 @@ from pyspark.sql import functions as F
 from ..functions.metrics import abs_distance, euclidean, resolve_metric
 from ..plans.partitioning import materialize, spread
 from .blocks import DEFAULT_BLOCK_ROWS, block_radius_counts, block_radius_pairs, block_radius_topk
-from .cells import grid_cell, grid_reach, quantile_bounds, with_cell
+from .cells import grid_cell, grid_reach
 from .neighbors import check_radius
+from .ranking import knn_by_rank, numbered
 
 _log = logging.getLogger(__name__)
 
-# kNN: once unfinished queries x objects is below this many distance
-# evaluations, the last round takes every object as a candidate.
-FINAL_ROUND_PAIRS = 20_000_000
-
-# Witness pruning pays off only when comparing whole cells would be large:
-# sum over grid cells of (cell rows)^2 above this many distance evaluations.
-WITNESS_MIN_PAIRS = 2e9
-
 # Rounding slack of an n-D distance (64-term sums): relative error far below 2**-36.
 _ND_SLACK = 2.0 ** -36
 
@@ -47,24 +42,39 @@ def _is_vector(df: DataFrame, col: str) -> bool:
     return df.schema[col].dataType.typeName() == "array"
 
 
-def choose_axes(data: DataFrame, vector_col: str = "vec", n: int = 2, dims: int | None = None,
-                sample_rows: int = 100_000, seed: int = 7) -> list[list[float]]:
-    """``n`` orthonormal directions of largest spread: PCA fitted on a
-    bounded random sample (only a ``dims x n`` matrix reaches the driver).
+def finite(col: str, vector: bool):
+    """Condition for a usable number or vector."""
+    if vector:
+        v = F.col(col).cast("array<double>")
+        return v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    v = F.col(col).cast("double")
+    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+
+
+# rows the principal axes are fitted on: those of the smallest hashes
+AXES_SAMPLE = 10_000
+
+
+def choose_axes(data: DataFrame, vector_col: str = "vec", n: int = 2, dims: int | None = None) -> list[list[float]]:
+    """``n`` orthonormal directions of largest spread: PCA fitted on
+    ``AXES_SAMPLE`` rows at most (only a ``dims x n`` matrix reaches the
+    driver). None for fewer than two rows or no dimensions.
 
     Any unit vector ``u`` gives the exact bound ``|u.x - u.y| <= |x - y|``,
     so the sample only affects how well the grid separates points, never
     the result."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
+    data = data.where(finite(vector_col, True))
     if dims is None:
         dims = _vector_dims(data, vector_col)[0]
     if dims <= 0 or n <= 0:
         return []
-    total = data.count()
-    src = data if total <= sample_rows else data.sample(fraction=min(1.0, 2.0 * sample_rows / total), seed=seed)
-    vecs = src.select(array_to_vector(F.slice(F.col(vector_col).cast("array<double>"), 1, dims)).alias("__f"))
-    model = PCA(k=min(n, dims), inputCol="__f", outputCol="__p").fit(vecs)
+    src = materialize(data.select(F.slice(F.col(vector_col).cast("array<double>"), 1, dims).alias("__v"))
+                      .orderBy(F.xxhash64("__v")).limit(AXES_SAMPLE))
+    if src.limit(2).count() < 2:
+        return []
+    model = PCA(k=min(n, dims), inputCol="__f", outputCol="__p").fit(src.select(array_to_vector("__v").alias("__f")))
     pc = model.pc.toArray()
     return [[float(x) for x in pc[:, j]] for j in range(pc.shape[1])]
 
@@ -81,29 +91,41 @@ def _axis_coords(df: DataFrame, vector_col: str, axes: Sequence[Sequence[float]]
                                                      F.lit(0.0).cast("double"), lambda acc, z: acc + z)))
 
 
+def _vectors(data: DataFrame, metric, vector_col: str) -> bool:
+    return metric == "euclidean" or (metric == "auto" and vector_col in data.columns and _is_vector(data, vector_col))
+
+
 def radius_join(queries: DataFrame, data: DataFrame, radius: float, *, metric: str = "auto",
                 id_col: str = "id", value_col: str = "value", vector_col: str = "vec",
                 include_self: bool = True, partition_cols: Sequence[str] = (),
-                axes: int | Sequence[Sequence[float]] = 2, dims=None) -> DataFrame:
+                axes: int | Sequence[Sequence[float]] = 2, dims=None, grid_radius: float | None = None) -> DataFrame:
     """All (query, object) pairs with ``distance <= radius`` (inclusive).
 
     Returns (query_id, neighbor_id, distance[, partition_cols]). The query
     object is returned when it is in the data unless ``include_self=False``
     (then equal ids are skipped). ``partition_cols`` restrict pairs to equal
     keys (e.g. a window). 1-D by ``value_col`` with ``abs``, n-D by
-    ``vector_col`` with Euclidean (shorter-prefix) distance."""
+    ``vector_col`` with Euclidean (shorter-prefix) distance.
+
+    ``metric`` may be a ``(Column, Column) -> Column`` of numbers (U1). The
+    grid then needs ``grid_radius``: a bound on ``abs(a - b)`` for every pair
+    whose distance is within ``radius``."""
     r = check_radius(radius)
-    vector = metric == "euclidean" or (metric == "auto" and vector_col in data.columns and _is_vector(data, vector_col))
+    if callable(metric) and grid_radius is None:
+        raise ValueError("a distance of your own needs grid_radius, a bound on abs(a - b) within the radius")
+    queries = queries.where(finite(vector_col if _vectors(data, metric, vector_col) else value_col, _vectors(data, metric, vector_col)))
+    data = data.where(finite(vector_col if _vectors(data, metric, vector_col) else value_col, _vectors(data, metric, vector_col)))
     keys = list(partition_cols)
-    if not vector:
+    if not _vectors(data, metric, vector_col):
         dist_fn = resolve_metric("abs" if metric == "auto" else metric)
-        width = r if r > 0 else 1.0
-        q = spread(queries).select(*keys, F.col(id_col).alias("query_id"), F.col(value_col).cast("double").alias("qv"),
-                           F.explode(grid_reach(F.col(value_col).cast("double"), r, width)).alias("__c"))
-        d = spread(data).select(*keys, F.col(id_col).alias("neighbor_id"), F.col(value_col).cast("double").alias("dv"),
+        reach = r if grid_radius is None else check_radius(grid_radius)
+        width = reach if reach > 0 else 1.0
+        q = queries.select(*[F.col(c).alias(c) for c in keys], F.col(id_col).alias("query_id"), F.col(value_col).cast("double").alias("qv"),
+                           F.explode(grid_reach(F.col(value_col).cast("double"), reach, width)).alias("__c"))
+        d = data.select(*[F.col(c).alias(c) for c in keys], F.col(id_col).alias("neighbor_id"), F.col(value_col).cast("double").alias("dv"),
                         grid_cell(F.col(value_col).cast("double"), width).alias("__c"))
         dist = dist_fn(F.col("qv"), F.col("dv"))
-        j = q.join(d, keys + ["__c"])
+        j = spread(q, *keys, "__c").join(d, keys + ["__c"])
     else:
         q, d, jkeys = _axis_grid(queries, data, r, id_col, vector_col, keys, axes, dims)
         out = block_radius_pairs(q, d, jkeys, r, include_self, passthrough=keys)
@@ -124,15 +146,17 @@ def _axis_grid(queries, data, r, id_col, vector_col, keys, axes, dims=None):
     is a coordinate (``|u.x - u.y| <= |x - y|`` for a unit ``u``), and a grid
     of width R over those coordinates never separates two points within R.
     The probe side lists every cell its radius (plus rounding slack) touches.
-    Projections use the first ``min length`` values, which keeps the bound
-    valid for vectors of different lengths (distance = shorter prefix).
+    Projections use the first ``min length`` values of both sides, which keeps
+    the bound valid for vectors of different lengths (distance = shorter prefix).
     Returns (queries, data, key columns) with ``qvec`` / ``dvec`` as DOUBLE
     arrays."""
+    queries, data = queries.where(finite(vector_col, True)), data.where(finite(vector_col, True))
+    both = queries.select(F.col(vector_col).cast("array<double>").alias("__b")).unionByName(data.select(F.col(vector_col).cast("array<double>").alias("__b")))
     if dims is None:
-        dims = _vector_dims(data, vector_col)
+        dims = _vector_dims(both, "__b")
     lo_dims = dims[0] if isinstance(dims, tuple) else dims
     if isinstance(axes, int):
-        axes = choose_axes(data, vector_col, axes, lo_dims)
+        axes = choose_axes(both, "__b", axes, lo_dims)
     width = r if r > 0 else 1.0
     # re-aliased keys get fresh attribute ids on each side, so a self-join
     # (queries and data from one table) stays unambiguous in the cogroup
@@ -151,6 +175,8 @@ def _axis_grid(queries, data, r, id_col, vector_col, keys, axes, dims=None):
         qc = qc.withColumn(f"__c{j}", F.explode(F.sequence(lo, hi)))
         dc = dc.withColumn(f"__c{j}", F.floor(pd_ / F.lit(width)).cast("long"))
         cell_cols.append(f"__c{j}")
+    if not axes:  # nothing to prune by: one cell, cut into blocks
+        qc, dc, cell_cols = qc.withColumn("__c0", F.lit(0).cast("long")), dc.withColumn("__c0", F.lit(0).cast("long")), ["__c0"]
     drop = [f"__pd{j}" for j in range(len(axes))] + ["__nrm"]
     return qc.drop(*drop), dc.drop(*drop), list(keys) + cell_cols
 
@@ -166,9 +192,10 @@ def _candidate_blocks(queries: DataFrame, data: DataFrame, r: float, id_col: str
         return q.select(*keys, "query_id", "qvec"), d.select(*keys, "neighbor_id", "dvec"), keys
     width = r if r > 0 else 1.0
     v = F.col(value_col).cast("double")
-    q = spread(queries).select(F.col(id_col).alias("query_id"), F.array(v).alias("qvec"),
-                               F.explode(grid_reach(v, r, width)).alias("__c"))
-    d = spread(data).select(F.col(id_col).alias("neighbor_id"), F.array(v).alias("dvec"),
+    queries, data = queries.where(finite(value_col, False)), data.where(finite(value_col, False))
+    q = queries.select(F.col(id_col).alias("query_id"), F.array(v).alias("qvec"),
+                       F.explode(grid_reach(v, r, width)).alias("__c"))
+    d = data.select(F.col(id_col).alias("neighbor_id"), F.array(v).alias("dvec"),
                             grid_cell(v, width).alias("__c"))
     return q, d, ["__c"]
 
@@ -195,6 +222,8 @@ def knn_within(queries: DataFrame, data: DataFrame, k: int, radius: float, **kw)
     by (distance, id). ``k <= 0`` gives an empty result."""
     if k <= 0:
         return radius_join(queries, data, radius, **kw).limit(0).withColumn("rank", F.lit(0))
+    if kw.get("partition_cols") or kw.get("metric", "auto") != "auto":
+        return _top_k(radius_join(queries, data, radius, **kw), k, ["query_id", *kw.get("partition_cols", ())])
     kw.pop("metric", None)
     kw.pop("partition_cols", None)
     return _top_k(radius_topk(queries, data, radius, k, **kw).drop("n"), k)
@@ -214,66 +243,62 @@ def _random_pair_distances(data: DataFrame, dist_of, id_col: str, coord: str, n:
 def knn_join(queries: DataFrame, data: DataFrame, k: int, *, id_col: str = "id", value_col: str = "value",
              vector_col: str = "vec", include_self: bool = False, start_radius: float | None = None,
              growth: float = 2.0, axes: int = 2, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """The ``k`` nearest objects of every query (ties by object id).
-
-    Exact: round i joins the unfinished queries within radius ``r_i``; a query
-    with at least ``k`` answers inside ``r_i`` is final (nothing outside can
-    beat them); the rest go to the next round with ``r_i * growth``. Once
-    ``r`` exceeds the data diameter every object is a candidate, so the loop
-    ends. The first radius is the ``k/n`` quantile of distances between random
-    pairs of points (about the typical k-th neighbour distance, doubled);
-    once few queries are left (pending x objects below ``FINAL_ROUND_PAIRS``)
-    the next round is the final one over all objects. Each round's
-    pairs are checkpointed once (the session's shared checkpoint folder) and
-    both the final answers and the unfinished queries are read from there.
-    Blocks emit only their per-query top ``k``, so a round's output is
-    bounded by queries x k x blocks even inside a dense cluster."""
+    """The ``k`` nearest objects of every query (ties by object id); a
+    query need not be an object, nor lie anywhere near one.
+
+    Numbers: ``knn_by_rank``. Vectors, exact: round i joins the unfinished
+    queries within radius ``r_i``; a query with at least ``k`` answers inside
+    ``r_i`` is final (nothing outside can beat them); the rest go to the next
+    round with ``r_i * growth``. No distance exceeds the largest norm of a
+    query plus that of an object (over whole vectors), so the round that
+    reaches it takes every object and is the last: the loop ends after
+    ``log(bound / r_0)`` rounds. The first radius is about the typical k-th
+    neighbour distance, from random pairs. Each round's partial lists are
+    checkpointed once, and both the final answers and the unfinished queries
+    are read from there. Blocks emit only their per-query top ``k``, so a
+    round's output is bounded by queries x k x blocks even inside a dense
+    cluster."""
     if k <= 0:
         return knn_within(queries, data, 0, 0.0, id_col=id_col, value_col=value_col, vector_col=vector_col)
     vector = vector_col in data.columns and _is_vector(data, vector_col)
     coord = vector_col if vector else value_col
-    if vector:
-        dims = _vector_dims(data, vector_col)
-        ax = choose_axes(data, vector_col, axes, dims[0])
-        pc = _axis_coords(data.select(vector_col), vector_col, [], dims[0])
-        n, hi = pc.agg(F.count(F.lit(1)), F.max("__nrm")).first()
-        diameter = 2.0 * (hi or 0.0)  # every point lies within max |x| of the origin
-        dist_of = euclidean
-    else:
-        ax, dims = None, None
-        n, lo, hi = data.agg(F.count(F.lit(1)), F.min(value_col), F.max(value_col)).first()
-        diameter = (hi - lo) if n else 0.0
-        dist_of = abs_distance
-    if not n:
+    queries, data = queries.where(finite(coord, vector)), data.where(finite(coord, vector))
+    if not vector:
+        return knn_by_rank(queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(value_col).cast("double").alias("qv")),
+                           data.select(F.col(id_col).cast("long").alias("neighbor_id"), F.col(value_col).cast("double").alias("dv")), k, include_self)
+    pending = materialize(queries.select(F.col(id_col).alias(id_col), F.col(coord).cast("array<double>").alias(coord)))
+    data = materialize(data.select(F.col(id_col).alias(id_col), F.col(coord).cast("array<double>").alias(coord)))
+    both = pending.select(coord).unionByName(data.select(coord))
+    dims = _vector_dims(both, coord)
+    ax = choose_axes(both, coord, axes, dims[0])
+    norm = F.sqrt(F.aggregate(F.transform(coord, lambda x: x * x), F.lit(0.0).cast("double"), lambda acc, z: acc + z))
+    n, norm_d = data.agg(F.count(F.lit(1)), F.max(norm)).first()
+    norm_q = pending.agg(F.max(norm)).first()[0]
+    if not n or norm_q is None:
         return _empty_knn(queries.sparkSession)
+    bound = (norm_d + norm_q) * (1 + _ND_SLACK) + 1e-300
     r = start_radius
-    if r is None:
-        q = min(1.0, 2.0 * (k + 1.0) / n)
-        est = _random_pair_distances(data, dist_of, id_col, coord, n).agg(
-            F.percentile_approx("d", F.lit(q), F.lit(10000))).first()[0]
-        r = est if est else diameter / 2.0
-    r = max(float(r), 1e-12)
-    pending = queries.select(F.col(id_col).alias(id_col), F.col(coord).alias(coord))
+    if not r:
+        # the k-th smallest positive distance of n/2 random pairs: about 2k/n of all pairs lie within
+        r = _random_pair_distances(data, euclidean, id_col, coord, n).where("d > 0").orderBy("d").limit(k + 1) \
+            .agg(F.max("d")).first()[0]
+    r = float(r) if r else bound
     done: list[DataFrame] = []
     while True:
-        last = r > diameter
+        last = r >= bound
+        r = min(r, bound)
         _log.info("knn round radius=%s", r)
-        part = radius_topk(pending, data, r, k, include_self=include_self, id_col=id_col, value_col=value_col,
-                           vector_col=vector_col, axes=ax if vector else 2, dims=dims,
-                           block_rows=block_rows).checkpoint()
+        part = materialize(radius_topk(pending, data, r, k, include_self=include_self, id_col=id_col,
+                                       vector_col=vector_col, axes=ax, dims=dims, block_rows=block_rows))
         found = part.groupBy("query_id").agg(F.sum("n").alias("n"))
         ready = found if last else found.where(F.col("n") >= k)
         done.append(_top_k(part.join(ready.select("query_id"), "query_id", "left_semi").drop("n"), k))
         if last:
             break
-        pending = pending.join(ready.select(F.col("query_id").alias(id_col)), id_col, "left_anti").checkpoint()
-        left = pending.count()
-        _log.debug("knn radius %s left %d queries", r, left)
-        if left == 0:
+        pending = materialize(pending.join(ready.select(F.col("query_id").alias(id_col)), id_col, "left_anti"))
+        if pending.isEmpty():
             break
-        # few queries left: one exact round over all objects is cheaper than
-        # more doubling rounds (pending x n distance evaluations, bounded)
-        r = diameter * 1.01 + 1e-12 if left * n <= FINAL_ROUND_PAIRS else r * growth
+        r = r * growth
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
@@ -284,22 +309,10 @@ def _empty_knn(spark):
     return spark.createDataFrame([], "query_id long, neighbor_id long, distance double, rank int")
 
 
-def distributed_rank(df: DataFrame, order_col: str, tie_col: str, out_col: str = "rank",
-                     cells: int | None = None) -> DataFrame:
-    """Global rank by (order_col, tie_col) without funnelling all rows
-    through one task: rows are range-split by quantile cells of
-    ``order_col``, numbered inside each cell, and shifted by the sizes of the
-    earlier cells (a table of ``cells`` rows)."""
-    spark = df.sparkSession
-    n = cells if cells is not None else int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    bounds = quantile_bounds(df, order_col, n)
-    c = with_cell(df, F.col(order_col), bounds, "__cell")
-    inner = c.withColumn("__rn", F.row_number().over(Window.partitionBy("__cell").orderBy(order_col, tie_col)))
-    sizes = c.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n"))
-    offs = sizes.select("__cell", F.coalesce(F.sum("__n").over(
-        Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    return inner.join(F.broadcast(offs), "__cell").withColumn(out_col, (F.col("__rn") + F.col("__off")).cast("int")) \
-        .drop("__cell", "__rn", "__off")
+def distributed_rank(df: DataFrame, order_col: str, tie_col: str, out_col: str = "rank") -> DataFrame:
+    """Global LONG rank by (order_col, tie_col) without funnelling all rows
+    through one task (see ``ranking.numbered``)."""
+    return numbered(df, order_col, tie_col, out_col=out_col)
 
 
 def rank_by_distance(data: DataFrame, query, *, id_col: str = "id", value_col: str = "value",
@@ -326,9 +339,8 @@ def rank_by_distance(data: DataFrame, query, *, id_col: str = "id", value_col: s
         out = out.where(F.col("neighbor_id") != F.lit(query_id))
     if limit is not None:
         if limit <= 0:
-            return out.limit(0).withColumn("rank", F.lit(0))
-        w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-        return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+            return out.limit(0).withColumn("rank", F.lit(0).cast("long"))
+        out = out.orderBy("distance", "neighbor_id").limit(limit)  # a top-n of every task, then of those
     return distributed_rank(out, "distance", "neighbor_id")
 
 
@@ -352,74 +364,65 @@ def nearest_center(points: DataFrame, centers: DataFrame, threshold: float, *, i
                       F.col("b.distance").alias("distance"))
 
 
-def count_neighbors(points: DataFrame, radius: float, k: int | None = None, *, id_col: str = "id",
-                    value_col: str = "value", vector_col: str = "vec", axes: int = 2,
-                    block_rows: int = DEFAULT_BLOCK_ROWS, witness_min_pairs: float = WITNESS_MIN_PAIRS
-                    ) -> DataFrame:
+def count_neighbors(points: DataFrame, radius: float, *, id_col: str = "id", value_col: str = "value",
+                    vector_col: str = "vec", axes: int = 2, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """A1 over one set: (id, neighbors), the point itself excluded; points
-    without neighbours report 0.
+    without neighbours report 0. Values that are no points (D5) are left out.
 
     1-D values use the pair-free prefix-rank counts. Vectors are counted
-    blockwise (no pair is ever emitted). With ``k`` the counts are capped at
-    ``k`` (exact below ``k``, which is all outlier detection needs) and
-    witness pruning applies: every grid cell offers at most ``block_rows``
-    hashed witness rows; a point with ``k`` neighbours among the witnesses is
-    certainly not an outlier, and only the others are compared with whole
-    cells. Inside a dense cluster the work is linear, not quadratic. Used
-    when whole cells would cost more than ``WITNESS_MIN_PAIRS`` evaluations;
-    below that one exact pass is cheaper."""
-    vector = vector_col in points.columns and _is_vector(points, vector_col)
-    if not vector:
+    blockwise; no pair is ever emitted."""
+    if not (vector_col in points.columns and _is_vector(points, vector_col)):
         from .neighbors import window_neighbor_counts
         c = window_neighbor_counts(points.select(F.col(id_col).alias("id"), F.col(value_col).alias("value")),
                                    None, radius)
         pts = points.select(F.col(id_col).alias("id"), F.col(value_col).cast("double").alias("value"))
-        out = pts.join(c, pts.value == c.v).select("id", (F.col("total") - 1).alias("neighbors"))
-        return out if k is None else out.withColumn("neighbors", F.least("neighbors", F.lit(int(k))))
+        return pts.join(c, pts.value == c.v).select("id", (F.col("total") - 1).alias("neighbors"))
+    q, d, keys = _axis_grid(points, points, float(radius), id_col, vector_col, [], axes, None)
+    cnt = block_radius_counts(q.select(*keys, "query_id", "qvec"), d.select(*keys, "neighbor_id", "dvec"), keys, float(radius), False, block_rows) \
+        .groupBy("query_id").agg(F.sum("cnt").alias("neighbors"))
+    return points.where(finite(vector_col, True)).select(F.col(id_col).alias("query_id")).join(cnt, "query_id", "left") \
+        .select(F.col("query_id").alias("id"), F.coalesce("neighbors", F.lit(0)).cast("long").alias("neighbors"))
+
+
+def outlier_counts_nd(points: DataFrame, radius: float, k: int, *, id_col: str = "id", vector_col: str = "vec",
+                      axes: int = 2, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """(id, neighbors) of the vectors with fewer than ``k`` neighbours.
+
+    Every grid cell first offers at most about ``block_rows`` hashed witness
+    rows; a point with ``k`` neighbours among them is certainly no outlier,
+    and only the others are compared with whole cells. Inside a dense cluster
+    the work is linear, not quadratic."""
     r = float(radius)
     q, d, keys = _axis_grid(points, points, r, id_col, vector_col, [], axes, None)
     q = q.select(*keys, "query_id", "qvec")
     d = d.select(*keys, "neighbor_id", "dvec")
-    ids = points.select(F.col(id_col).alias("query_id"))
+    ids = points.where(finite(vector_col, True)).select(F.col(id_col).alias("query_id"))
 
     def total(partials):
         return partials.groupBy("query_id").agg(F.sum("cnt").alias("neighbors"))
-    sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    stride = sizes.select(*keys, F.ceil(F.col("__n") / F.lit(block_rows)).cast("long").alias("__s"))
-    pairs_bound = sizes.agg(F.sum(F.col("__n").cast("double") * F.col("__n"))).first()[0] or 0.0
-    if k is None or pairs_bound <= witness_min_pairs:
-        # no cell needs sampling (or exact counts wanted): one exact pass
-        cnt = total(block_radius_counts(q, d, keys, r, False, block_rows))
-        out = ids.join(cnt, "query_id", "left").select(
-            F.col("query_id").alias("id"), F.coalesce("neighbors", F.lit(0)).cast("long").alias("neighbors"))
-        return out if k is None else out.withColumn("neighbors", F.least("neighbors", F.lit(int(k))))
-    # pass 1: witnesses = a hashed subset of at most ~block_rows rows per cell
+    stride = d.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("long").alias("__s"))
     d_w = d.join(stride, keys).where(F.pmod(F.xxhash64("neighbor_id", F.lit(3)), F.col("__s")) == 0) \
         .select(*keys, "neighbor_id", "dvec")
     sampled = q.join(stride, keys, "left").groupBy("query_id").agg(
         F.max(F.coalesce(F.col("__s"), F.lit(1))).alias("__smax"))
-    first = ids.join(total(block_radius_counts(q, d_w, keys, r, False, block_rows)), "query_id", "left") \
-        .join(sampled, "query_id", "left") \
-        .select("query_id", F.coalesce("neighbors", F.lit(0)).cast("long").alias("neighbors"),
-                (F.coalesce(F.col("__smax"), F.lit(1)) <= 1).alias("__complete"))
-    first = materialize(first)
-    settled = first.where(F.col("__complete") | (F.col("neighbors") >= k)).select("query_id", "neighbors")
-    rest = first.where(~F.col("__complete") & (F.col("neighbors") < k)).select("query_id")
-    if rest.isEmpty():
-        return settled.select(F.col("query_id").alias("id"),
-                              F.least(F.col("neighbors"), F.lit(int(k))).cast("long").alias("neighbors"))
-    # pass 2: exact counts for the undecided queries against whole cells
-    q_rest = q.join(rest, "query_id", "left_semi")
-    second = rest.join(total(block_radius_counts(q_rest, d, keys, r, False, block_rows)), "query_id", "left") \
-        .select("query_id", F.coalesce("neighbors", F.lit(0)).cast("long").alias("neighbors"))
-    return settled.unionByName(second).select(
-        F.col("query_id").alias("id"), F.least(F.col("neighbors"), F.lit(int(k))).cast("long").alias("neighbors"))
+    first = materialize(ids.join(total(block_radius_counts(q, d_w, keys, r, False, block_rows)), "query_id", "left")
+                        .join(sampled, "query_id", "left")
+                        .select("query_id", F.coalesce("neighbors", F.lit(0)).cast("long").alias("neighbors"),
+                                (F.coalesce(F.col("__smax"), F.lit(1)) <= 1).alias("__complete")).where(F.col("neighbors") < k))
+    settled = first.where("__complete").select("query_id", "neighbors")
+    rest = first.where("not __complete").select("query_id")
+    second = rest.join(total(block_radius_counts(q.join(rest, "query_id", "left_semi"), d, keys, r, False, block_rows)), "query_id", "left") \
+        .select("query_id", F.coalesce("neighbors", F.lit(0)).cast("long").alias("neighbors")).where(F.col("neighbors") < k)
+    return settled.unionByName(second).select(F.col("query_id").alias("id"), "neighbors")
 
 
 def snapshot_outliers_nd(points: DataFrame, radius: float, k: int, **kw) -> DataFrame:
     """O7 for vectors (or numbers): (id, neighbors) of the points with fewer
     than ``k`` neighbours within ``radius`` (exact counts)."""
-    return count_neighbors(points, radius, k, **kw).where(F.col("neighbors") < k)
+    vector_col = kw.get("vector_col", "vec")
+    if vector_col in points.columns and _is_vector(points, vector_col):
+        return outlier_counts_nd(points, radius, k, **{c: v for c, v in kw.items() if c != "value_col"})
+    return count_neighbors(points, radius, **kw).where(F.col("neighbors") < k)
 
 
 __all__ = ["radius_join", "knn_join", "knn_within", "rank_by_distance", "nearest_center", "count_neighbors",

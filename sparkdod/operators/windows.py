@@ -176,11 +176,6 @@ def with_windows(points: DataFrame, windows: Windows, window_col: str = "window"
     return points.withColumn(window_col, F.explode(windows.window_numbers(windows.position(points))))
 
 
-def count_slides(points: DataFrame, slide: int, id_col: str = "id") -> DataFrame:
-    """Slide number ``floor(id / slide)`` of every point."""
-    return points.withColumn("slide", floor_div(F.col(id_col).cast("long"), slide))
-
-
 def count_based_time(points: DataFrame, slide: int, step, anchor=0, id_col: str = "id",
                      out_col: str = "ts") -> DataFrame:
     """Synthetic event time ``anchor + floor(id / slide) * step`` as

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clusters, outliers, sampling, search
-from ..operators.cells import ROUNDING_SLACK, replicate, with_cell
-from ..operators.clusters import dense_cell_width
-from ..operators.windows import Windows, count_based_time
-from ..sources.points import parse_points, points_from_table
+from ..operators.cells import replicate, with_cell
+from ..operators.windows import Windows, count_based_time, expiring, new_in_window, with_windows
+from ..session import scratch_path
+from ..sources.points import lines_from_table, parse_points, points_from_table, read_text_points
 
 # fixed values: workload parameters of the registered queries
 R_WIN, K_WIN = 5.0, 10                 # windowed outliers (events.value)
@@ -36,6 +36,13 @@ R_WIDE, K_WIDE = 2.5, 20               # count windows, second anchor
 ORD_W, ORD_S, ORD_R, ORD_K = "90 days", "30 days", 2000.0, 3   # orders.o_totalprice by o_orderdate
 
 
+FINE_W, FINE_S = 4800, 100               # 48 slides per window
+FINE_K = 3
+RAGGED_K = 3
+LIMIT = 1500
+R_ALL = 5000.0                          # wider than all values of events
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -223,6 +230,70 @@ def q_stream_outlier_counts(spark, sf):
     return run_stream_outlier_counts(spark, os.path.join(sf, "events.parquet"), TIME_W, TIME_S, R_WIN, K_WIN)
 
 
+def q_knn_two_tables(spark, sf):
+    """Order prices among event values: most lie far outside them."""
+    prices = points_from_table(_t(spark, sf, "orders"), "o_orderkey", "o_totalprice")
+    j = search.knn_join(prices, events(spark, sf).select("id", "value"), K_ND, include_self=True)
+    return j.select("query_id", "neighbor_id", _round(F.col("distance")).alias("distance"), F.col("rank").cast("int").alias("rank"))
+
+
+def q_knn_ragged(spark, sf):
+    """Queries of 1 to 64 values (by id), some far outside; distance over the shorter prefix."""
+    v = vectors(spark, sf)
+    x = F.transform(F.col("vec").cast("array<double>"), lambda e: e + F.when(F.col("id") % 50 == 0, 100.0).otherwise(0.0))
+    q = v.select("id", F.slice(x, F.lit(1), (F.col("id") % 64 + 1).cast("int")).alias("vec"))
+    j = search.knn_join(q, v.select("id", "vec"), RAGGED_K, include_self=False)
+    return j.select("query_id", "neighbor_id", _round(F.col("distance")).alias("distance"), "rank")
+
+
+def q_window_outlier_counts_fine(spark, sf):
+    return outliers.window_outlier_counts(events(spark, sf), Windows.count(FINE_W, FINE_S), R_WIN, FINE_K)
+
+
+def q_neighbor_profile_fine(spark, sf):
+    return outliers.neighbor_profile(events(spark, sf), Windows.count(FINE_W, FINE_S), R_WIN, FINE_K)
+
+
+def q_window_outlier_counts_all(spark, sf):
+    """A radius above the value range: every other point is a neighbour."""
+    return outliers.window_outlier_counts(events(spark, sf), COUNT_WINDOWS, R_ALL, K_WIN)
+
+
+def q_rank_limit(spark, sf):
+    p = events(spark, sf).select("id", "value")
+    j = search.rank_by_distance(p, None, query_id=0, include_self=False, limit=LIMIT)
+    return j.select("query_id", "neighbor_id", _round(F.col("distance")).alias("distance"), "rank")
+
+
+def q_radius_join_custom_metric(spark, sf):
+    """A distance of its own: a tenth of the difference."""
+    p = events(spark, sf)
+    j = search.radius_join(p, p, R_PAIRS / 10, metric=lambda a, b: F.abs(a - b) / 10, grid_radius=R_PAIRS * (1 + 1e-9), include_self=False)
+    return j.select("query_id", "neighbor_id", _round(F.col("distance")).alias("distance"))
+
+
+def q_knn_within_partitioned(spark, sf):
+    """Nearest events of the same type."""
+    p = _t(spark, sf, "events").select(F.col("event_id").alias("id"), "value", "event_type")
+    j = search.knn_within(p, p, K_ND, R_PAIRS, include_self=False, partition_cols=["event_type"])
+    return j.select("query_id", "neighbor_id", _round(F.col("distance")).alias("distance"), "rank", "event_type")
+
+
+def q_text_points(spark, sf):
+    """The table written as ``id&value`` lines and read back."""
+    path = scratch_path(spark, "text-points")
+    lines_from_table(_t(spark, sf, "events"), "event_id", "value").write.text(path)
+    return read_text_points(spark, path)[0]
+
+
+def q_new_in_window(spark, sf):
+    return new_in_window(with_windows(events(spark, sf), COUNT_WINDOWS), COUNT_WINDOWS).select("window", "id")
+
+
+def q_expiring(spark, sf):
+    return expiring(with_windows(events(spark, sf), COUNT_WINDOWS), COUNT_WINDOWS).select("window", "id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "window_outlier_counts_time": q_window_outlier_counts_time,
     "window_outlier_counts_count": q_window_outlier_counts_count,
@@ -254,6 +325,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "value_cells": q_value_cells,
     "orders_window_outlier_counts": q_orders_window_outlier_counts,
     "stream_outlier_counts": q_stream_outlier_counts,
+    "knn_two_tables": q_knn_two_tables,
+    "knn_ragged": q_knn_ragged,
+    "window_outlier_counts_fine": q_window_outlier_counts_fine,
+    "neighbor_profile_fine": q_neighbor_profile_fine,
+    "window_outlier_counts_all": q_window_outlier_counts_all,
+    "rank_limit": q_rank_limit,
+    "radius_join_custom_metric": q_radius_join_custom_metric,
+    "knn_within_partitioned": q_knn_within_partitioned,
+    "text_points": q_text_points,
+    "new_in_window": q_new_in_window,
+    "expiring": q_expiring,
 }
 
 
@@ -297,7 +379,9 @@ _VEC_DIST = "list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 _PAIRS_ND = f"""SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, {_VEC_DIST} AS distance
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id"""
 
-_W_DENSE = dense_cell_width(R_WIN)
+# the definitions' own constants, not those of the code under test
+_W_DENSE = 5.0 * (1.0 - 1e-9)
+_SLACK = 2.0 ** -50
 
 ORACLE: dict[str, str] = {
     "window_outlier_counts_time": f"""WITH {_TIME_WIN}, {_nb(R_WIN)}
@@ -347,7 +431,7 @@ WHERE rank <= {K_ND}""",
   WHERE distance <= {_d(R_ND)})
 WHERE rank <= {K_ND}""",
     "rank_by_distance": f"""SELECT 0::BIGINT AS query_id, neighbor_id, round(distance, 6) AS distance,
-       (row_number() OVER (ORDER BY distance, neighbor_id))::INTEGER AS rank
+       (row_number() OVER (ORDER BY distance, neighbor_id))::BIGINT AS rank
 FROM ({_PAIRS_ND}) WHERE query_id = 0""",
     "nearest_center": f"""WITH e AS (SELECT label, pos, avg(x::DOUBLE) AS x
            FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)
@@ -383,7 +467,7 @@ SELECT (epoch_ms(make_timestamp(e * {DAY_US})))::VARCHAR || ';'
     "count_based_time": f"""SELECT event_id AS id, event_id // {P1_SLIDE} AS slide,
        make_timestamp((event_id // {P1_SLIDE}) * 5000000) AS ts FROM events""",
     "replicate_cells": f"""WITH p AS (SELECT event_id AS id, value,
-       (abs(value) + {_d(R_WIN)}) * {_d(ROUNDING_SLACK)} AS s FROM events),
+       (abs(value) + {_d(R_WIN)}) * {_d(_SLACK)} AS s FROM events),
   c AS (SELECT id,
       ((value > {_d(CELL_BOUNDS[0])})::INT + (value > {_d(CELL_BOUNDS[1])})::INT + (value > {_d(CELL_BOUNDS[2])})::INT) AS own,
       ((value - {_d(R_WIN)} - s > {_d(CELL_BOUNDS[0])})::INT + (value - {_d(R_WIN)} - s > {_d(CELL_BOUNDS[1])})::INT
@@ -416,3 +500,55 @@ SELECT make_timestamp(e * {DAY_US}) AS window_end, id, value, prec AS preceding,
        nb AS neighbors, (nb - prec) >= {K_WIN} AS safe_inlier FROM nb"""
 # the streaming form must give the batch result
 ORACLE["stream_outlier_counts"] = ORACLE["window_outlier_counts_time"]
+ORACLE["knn_two_tables"] = f"""WITH v AS (SELECT event_id AS id, value, row_number() OVER (ORDER BY value, event_id) AS up,
+         row_number() OVER (ORDER BY value DESC, event_id) AS down FROM events),
+  q AS (SELECT o_orderkey AS id, o_totalprice::DOUBLE AS x FROM orders),
+  b AS (SELECT q.id, q.x, (SELECT count(*) FROM events) AS n, coalesce(s.c, 0) AS c
+        FROM q ASOF LEFT JOIN (SELECT value, max(up) AS c FROM v GROUP BY value) s ON q.x > s.value),
+  p AS (SELECT b.id AS query_id, v.id AS neighbor_id, abs(b.x - v.value) AS distance FROM b, range(1, {K_ND + 1}) t(j), v WHERE v.up = b.c + j
+        UNION ALL SELECT b.id, v.id, abs(b.x - v.value) FROM b, range(1, {K_ND + 1}) t(j), v WHERE v.down = b.n - b.c + j)
+SELECT query_id, neighbor_id, round(distance, 6) AS distance, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM p) WHERE rank <= {K_ND}"""
+ORACLE["knn_ragged"] = f"""WITH q AS (SELECT vec_id AS id, list_transform(embedding[1:vec_id % 64 + 1], lambda x: x::DOUBLE + CASE WHEN vec_id % 50 = 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END) AS x FROM embeddings),
+  p AS (SELECT q.id AS query_id, e.vec_id AS neighbor_id, list_distance(q.x[1:least(len(q.x), len(e.embedding))], e.embedding[1:least(len(q.x), len(e.embedding))]::DOUBLE[]) AS distance
+        FROM q JOIN embeddings e ON q.id <> e.vec_id)
+SELECT query_id, neighbor_id, round(distance, 6) AS distance, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM p) WHERE rank <= {RAGGED_K}"""
+# neighbours per (window, point) from per-slide counts of pairs, each pair formed once
+_FINE = f"""
+  p AS (SELECT event_id AS id, value, event_id // {FINE_S} AS pane FROM events),
+  w AS (SELECT id, value, pane + j AS e, pane FROM p, range(1, {FINE_W // FINE_S + 1}) t(j)),
+  s AS (SELECT a.id, a.pane, b.pane AS q, count(*) AS c FROM p a JOIN p b
+          ON a.id <> b.id AND b.value BETWEEN a.value - {R_WIN + 1.0} AND a.value + {R_WIN + 1.0}
+         AND abs(a.value - b.value) <= {_d(R_WIN)} AND abs(a.pane - b.pane) < {FINE_W // FINE_S}
+         GROUP BY ALL),
+  n AS (SELECT id, greatest(pane, q) + j AS e, sum(c) AS nb, sum(CASE WHEN q <= pane THEN c ELSE 0 END) AS prec
+        FROM s, range(1, {FINE_W // FINE_S + 1}) t(j) WHERE greatest(pane, q) + j <= least(pane, q) + {FINE_W // FINE_S} GROUP BY ALL),
+  nb AS (SELECT w.e, w.id, w.value, coalesce(n.nb, 0)::BIGINT AS nb, coalesce(n.prec, 0)::BIGINT AS prec
+         FROM w LEFT JOIN n ON w.id = n.id AND w.e = n.e)"""
+ORACLE["window_outlier_counts_fine"] = f"""WITH {_FINE}
+SELECT e AS window_end, sum(CASE WHEN nb < {FINE_K} THEN 1 ELSE 0 END)::BIGINT AS outliers FROM nb GROUP BY e"""
+ORACLE["neighbor_profile_fine"] = f"""WITH {_FINE}
+SELECT e AS window_end, id, value, prec AS preceding, nb - prec AS succeeding, nb AS neighbors,
+       (nb - prec) >= {FINE_K} AS safe_inlier FROM nb"""
+ORACLE["window_outlier_counts_all"] = f"""WITH {_COUNT_WIN}, n AS (SELECT e, count(*) AS n FROM w GROUP BY e)
+SELECT w.e AS window_end, sum(CASE WHEN n - 1 < {K_WIN} THEN 1 ELSE 0 END)::BIGINT AS outliers
+FROM w JOIN n ON w.e = n.e GROUP BY w.e"""
+ORACLE["rank_limit"] = f"""SELECT 0::BIGINT AS query_id, neighbor_id, round(distance, 6) AS distance, rank FROM (
+  SELECT b.event_id AS neighbor_id, abs(a.value - b.value) AS distance,
+         row_number() OVER (ORDER BY abs(a.value - b.value), b.event_id) AS rank
+  FROM events a JOIN events b ON a.event_id = 0 AND b.event_id <> 0) WHERE rank <= {LIMIT}"""
+ORACLE["radius_join_custom_metric"] = f"""SELECT a.event_id AS query_id, b.event_id AS neighbor_id, round(abs(a.value - b.value) / 10, 6) AS distance
+FROM events a JOIN events b ON a.event_id <> b.event_id AND b.value BETWEEN a.value - 1 AND a.value + 1
+ AND abs(a.value - b.value) / 10 <= {_d(R_PAIRS / 10)}"""
+ORACLE["knn_within_partitioned"] = f"""SELECT query_id, neighbor_id, round(distance, 6) AS distance, rank::INTEGER AS rank, event_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM (
+    SELECT a.event_id AS query_id, b.event_id AS neighbor_id, a.event_type, abs(a.value - b.value) AS distance
+    FROM events a JOIN events b ON a.event_type = b.event_type AND a.event_id <> b.event_id
+     AND b.value BETWEEN a.value - 1 AND a.value + 1 AND abs(a.value - b.value) <= {_d(R_PAIRS)}))
+WHERE rank <= {K_ND}"""
+ORACLE["text_points"] = "SELECT event_id AS id, value FROM events"
+ORACLE["new_in_window"] = f"WITH {_COUNT_WIN} SELECT e AS \"window\", id FROM w WHERE id >= (e - 1) * {COUNT_S}"
+ORACLE["expiring"] = f"WITH {_COUNT_WIN} SELECT e AS \"window\", id FROM w WHERE id < (e - {COUNT_W // COUNT_S} + 1) * {COUNT_S}"
+ORACLE["sample_n"] = f"""SELECT event_id AS id, value FROM events
+ORDER BY md5(event_id::VARCHAR || ':{SAMPLE_SEED}'), event_id LIMIT {SAMPLE_N}"""

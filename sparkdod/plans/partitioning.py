@@ -5,19 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Ensure at least ``min_partitions`` (default: the cluster's default
-    parallelism) input partitions before an expanding step.
-
-    A join that emits many rows per input row (pairs, window copies) runs
-    with the parallelism of its streamed input; a single small file would
-    otherwise put the whole output into one task. Large inputs already have
-    many splits and are returned unchanged (only plan metadata is read)."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows out by the keys of the join that follows (it needs that
+    exchange anyway) to at least as many partitions as there are cores. A join
+    that emits many rows per input row runs with the parallelism of its
+    streamed input, which a small input would otherwise leave at one task."""
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@ checkpoint folder used to cut lineage in iterative jobs."""
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -43,35 +43,31 @@ def get_spark(master: str | None = None, app_name: str = "sparkdod",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
-
-    The folder named by the cluster always wins. Only when nothing is set (a
-    local test session) a scratch folder is created and registered.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """Return the cluster's shared checkpoint folder.
+
+    ``spark.checkpoint.dir`` wins, then a folder registered with
+    ``SparkContext.setCheckpointDir``. Only a local session may do without: it
+    gets a scratch folder. On a cluster that would be a folder of one machine,
+    so there it is an error."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    registered = sc.getCheckpointDir()
+    if not path and registered:
+        return registered
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="sparkdod-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if not registered or not registered.removeprefix("file:").startswith(path.removeprefix("file:").replace("///", "/").rstrip("/") + "/"):
+        sc.setCheckpointDir(path)
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (streaming state,
     intermediate tables)."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{os.getpid()}-{next(_counter)}")
-
-
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_counter = _count()
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -17,7 +17,7 @@ FIELD_SEPARATOR = "&"
 
 
 def _parsed(lines: DataFrame, line_col: str, sep: str) -> DataFrame:
-    parts = F.split(F.col(line_col), sep if sep != "|" else r"\|")
+    parts = F.split(F.col(line_col), rf"\Q{sep}\E")
     id_txt = F.try_element_at(parts, F.lit(1))
     value_txt = F.try_element_at(parts, F.lit(2))
     value = value_txt.try_cast("double")
@@ -61,7 +61,7 @@ def points_from_table(df: DataFrame, id_col: str, value: str | Sequence[str] | N
     if vector_col is not None:
         vec = F.col(vector_col).cast("array<double>")
         cols.append(vec.alias("vec"))
-        valid = vec.isNotNull() & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x))
+        valid = vec.isNotNull() & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     elif isinstance(value, str):
         v = F.col(value).cast("double")
         cols.append(v.alias("value"))
@@ -69,7 +69,7 @@ def points_from_table(df: DataFrame, id_col: str, value: str | Sequence[str] | N
     elif value:
         vec = F.array(*[F.col(c).cast("double") for c in value])
         cols.append(vec.alias("vec"))
-        valid = ~F.exists(vec, lambda x: x.isNull() | F.isnan(x))
+        valid = ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     else:
         raise ValueError("give a value column, several number columns or vector_col")
     if ts_col is not None:

@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.cells import ROUNDING_SLACK, merge_narrow_bounds, quantile_bounds, replicate
-from ..operators.neighbors import MAX_CELLS
 from ..session import scratch_path, shuffle_partitions
 from ..operators.windows import Windows
 
@@ -39,14 +38,13 @@ from ..operators.windows import Windows
 DEFAULT_DELAY = "2 seconds"
 _FAR_FUTURE = _dt.datetime(9000, 1, 1)
 ROWS_PER_STREAM_CELL = 200_000
-ROWS_PER_STATE_PARTITION = 1_000_000
 
 
 def neighbour_totals(values: np.ndarray, mults: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """Exact ``#{u : abs(u - v) <= R}`` (with multiplicity) for every value.
 
     Sorted values + binary search for the bulk; values within the rounding
-    slack of ``v +- R`` are checked one by one with the exact predicate.
+    slack of ``v +- R`` are checked with the exact predicate, all at once.
     Returns (order, totals in sorted order)."""
     order = np.argsort(values, kind="stable")
     x = values[order].astype(np.float64)
@@ -62,11 +60,12 @@ def neighbour_totals(values: np.ndarray, mults: np.ndarray, radius: float) -> tu
     lo_in = np.where(empty, hi_out, lo_in)
     hi_in = np.where(empty, hi_out, hi_in)
     tot = cum[hi_in] - cum[lo_in]
-    for i in np.nonzero((lo_out < lo_in) | (hi_in < hi_out))[0]:
-        xi = x[i]
-        for j in list(range(lo_out[i], lo_in[i])) + list(range(hi_in[i], hi_out[i])):
-            if abs(x[j] - xi) <= r:
-                tot[i] += w[j]
+    for first, last in ((lo_out, lo_in), (hi_in, hi_out)):
+        width = np.maximum(last - first, 0)
+        row = np.repeat(np.arange(len(x)), width)
+        near = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first, width)
+        hit = np.abs(x[near] - x[row]) <= r
+        np.add.at(tot, row[hit], w[near[hit]])
     return order, tot
 
 
@@ -98,7 +97,7 @@ def stream_outlier_counts(points: DataFrame, size, slide, radius: float, k: int,
     # bounds do not depend on the session time zone (same as the batch form)
     t = F.timestamp_micros(w.position(points)) if ntz else F.col(ts_col)
     p = points.select(t.alias("__t"), F.col(value_col).cast("double").alias("value")) \
-        .where(F.col("value").isNotNull() & ~F.isnan("value")) \
+        .where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))) \
         .withWatermark("__t", delay)
     p = replicate(p, "value", bounds, radius)
     size_s, slide_s = f"{w.size} microseconds", f"{w.slide} microseconds"
@@ -117,45 +116,42 @@ def stream_outlier_counts(points: DataFrame, size, slide, radius: float, k: int,
 
 def run_stream_outlier_counts(spark: SparkSession, path: str, size, slide, radius: float, k: int, *,
                               ts_col: str = "ts", value_col: str = "value", cells: int | None = None,
-                              flush: bool = True, delay: str = DEFAULT_DELAY) -> DataFrame:
+                              flush: bool = True, delay: str = DEFAULT_DELAY,
+                              files_per_batch: int | None = None) -> DataFrame:
     """Run O6 over the parquet file(s) at ``path`` as a file stream until all
     input is processed and return the emitted rows as a table.
 
     Cell bounds come from the static table (the stream's value distribution
-    at start); state and the end marker live in the shared checkpoint
-    folder."""
+    at start). State, the end marker and the emitted rows live in the shared
+    checkpoint folder. ``files_per_batch`` cuts the input into micro-batches;
+    the marker is delivered after the last of them."""
     static = spark.read.parquet(path)
     schema = static.schema
     if cells is None:
         # enough cells that a (window, cell) group stays far below the whole
         # table even if one window held everything
-        cells = min(MAX_CELLS, max(shuffle_partitions(spark), -(-static.count() // ROWS_PER_STREAM_CELL)))
+        cells = max(shuffle_partitions(spark), -(-static.count() // ROWS_PER_STREAM_CELL))
     bounds = merge_narrow_bounds(quantile_bounds(static, value_col, cells), float(radius))
     src = path if not path.endswith(".parquet") else path[:-1] + "[t]"  # a glob: the source wants a folder
-    stream = spark.readStream.schema(schema).parquet(src)
-    if flush:
-        marker_dir = scratch_path(spark, "stream-end-marker")
-        row = {f.name: None for f in schema.fields}
-        row[ts_col] = _FAR_FUTURE
-        row[value_col] = 0.0
-        spark.createDataFrame([row], schema).write.parquet(marker_dir)
-        stream = stream.unionByName(spark.readStream.schema(schema).parquet(marker_dir))
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    marker_dir = scratch_path(spark, "stream-end-marker")
+    spark.createDataFrame([], schema).write.parquet(marker_dir)
+    stream = reader.parquet(src).unionByName(spark.readStream.schema(schema).parquet(marker_dir))
     result = stream_outlier_counts(stream, size, slide, radius, k, bounds, ts_col=ts_col,
                                    value_col=value_col, delay=delay)
-    name = f"sparkdod_stream_{abs(hash(scratch_path(spark, 'q'))) % 10**9}"
-    # state-store partitions are fixed when a query starts: size them to the
-    # input (never above the session setting), then restore the setting
-    prev = spark.conf.get("spark.sql.shuffle.partitions")
-    state_parts = min(int(prev), max(spark.sparkContext.defaultParallelism,
-                                     -(-static.count() // ROWS_PER_STATE_PARTITION)))
-    spark.conf.set("spark.sql.shuffle.partitions", str(state_parts))
+    out = scratch_path(spark, "stream-result")
+    q = (result.writeStream.format("parquet").outputMode("append").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "stream-state")).start())
     try:
-        q = (result.writeStream.format("memory").queryName(name).outputMode("append")
-             .option("checkpointLocation", scratch_path(spark, "stream-state")).start())
-        try:
+        q.processAllAvailable()
+        if flush:
+            row = {f.name: None for f in schema.fields}
+            row[ts_col] = _FAR_FUTURE
+            row[value_col] = 0.0
+            spark.createDataFrame([row], schema).write.mode("append").parquet(marker_dir)
             q.processAllAvailable()
-        finally:
-            q.stop()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", prev)
-    return spark.table(name)
+        q.stop()
+    return spark.read.schema(result.schema).parquet(out)

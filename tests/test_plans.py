@@ -4,6 +4,7 @@ join, and the 1-D counting window must be split by value cell."""
 import pytest
 
 import __spark_entry__ as E
+from sparkdod.plans.catalog import QUERIES
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
@@ -13,7 +14,7 @@ def _executed_plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - {"stream_outlier_counts"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"stream_outlier_counts"}))
 def test_no_cross_or_nested_loop_join(spark, sf001, name):
     plan = _executed_plan(E.queries()[name](spark, sf001))
     for op in FORBIDDEN:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from brute import euclid
 from sparkdod.operators.sampling import extremes, sample_n
@@ -101,16 +102,74 @@ def test_extremes_and_sample(spark):
 
 
 @pytest.mark.parametrize("block_rows", [4, 16])
-def test_witness_pruned_counts_exact_below_k(spark, vecs, block_rows):
-    from sparkdod.operators.search import count_neighbors
+def test_witness_pruned_outliers_and_full_counts(spark, vecs, block_rows):
+    from sparkdod.operators.search import count_neighbors, outlier_counts_nd
     rows, df = vecs
-    got = {x.id: x.neighbors
-           for x in count_neighbors(df, 2.0, 4, block_rows=block_rows, witness_min_pairs=0).collect()}
-    for a, va in rows:
-        n = sum(1 for b, vb in rows if b != a and euclid(va, vb) <= 2.0)
-        assert got[a] == min(n, 4)
-    full = {x.id: x.neighbors for x in count_neighbors(df, 2.0, block_rows=block_rows).collect()}
-    assert full == {a: sum(1 for b, vb in rows if b != a and euclid(va, vb) <= 2.0) for a, va in rows}
+    true = {a: sum(1 for b, vb in rows if b != a and euclid(va, vb) <= 2.0) for a, va in rows}
+    assert {x.id: x.neighbors for x in outlier_counts_nd(df, 2.0, 4, block_rows=block_rows).collect()} == {a: n for a, n in true.items() if n < 4}
+    assert {x.id: x.neighbors for x in count_neighbors(df, 2.0, block_rows=block_rows).collect()} == true
+
+
+def knn_brute(queries, data, k, dist, include_self):
+    out = set()
+    for q, x in queries:
+        near = sorted((dist(x, y), i) for i, y in data if include_self or i != q)[:k]
+        out |= {(q, i, n + 1) for n, (_, i) in enumerate(near)}
+    return out
+
+
+@pytest.mark.parametrize("include_self", [True, False])
+def test_knn_numbers_by_rank(spark, include_self):
+    import random
+    rng = random.Random(6)
+    data = [(i, float(rng.choice([0, 1, 1, 1, 2, 5, 9]))) for i in range(80)] + [(200, 0.25)]
+    queries = [(i, v) for i, v in data[:20]] + [(1000, 1000.0), (1001, -7.0), (1002, 1.5)]
+    bad = [(500, float("nan")), (501, float("inf")), (502, None)]
+    d, q = spark.createDataFrame(data + bad, "id long, value double"), spark.createDataFrame(queries + bad, "id long, value double")
+    got = {(r.query_id, r.neighbor_id, r["rank"]) for r in knn_join(q, d, 4, include_self=include_self).collect()}
+    assert got == knn_brute(queries, data, 4, lambda a, b: abs(a - b), include_self)
+
+
+def test_knn_vectors_far_ragged_copies_and_nan(spark):
+    data = [(i, [float(i % 5), float(i % 3), 0.5]) for i in range(40)] + [(50, [0.2]), (51, [0.1, 0.3])] + [(60 + i, [1.0, 1.0, 1.0]) for i in range(30)]
+    queries = [(900, [50.0, 50.0, 50.0]), (901, [0.3, 0.5]), (902, [1e6]), (50, [0.2])]
+    bad = [(500, [float("nan"), 1.0, 1.0]), (501, None)]
+    d, q = spark.createDataFrame(data + bad, "id long, vec array<double>"), spark.createDataFrame(queries + bad, "id long, vec array<double>")
+    got = {(r.query_id, r.neighbor_id, r["rank"]) for r in knn_join(q, d, 5, include_self=True, block_rows=8).collect()}
+    assert got == knn_brute(queries, data, 5, euclid, True)
+
+
+def test_one_row_and_empty_vectors(spark):
+    one = spark.createDataFrame([(1, [1.0, 2.0])], "id long, vec array<double>")
+    assert [(r.id, r.neighbors) for r in snapshot_outliers_nd(one, 1.0, 1).collect()] == [(1, 0)]
+    assert knn_join(one, one, 2).collect() == []
+    odd = spark.createDataFrame([(1, []), (2, [3.0, 4.0]), (3, None)], "id long, vec array<double>")
+    assert sorted((r.query_id, r.neighbor_id) for r in radius_join(odd, odd, 0.5, include_self=False).collect()) == [(1, 2), (2, 1)]
+    got = nearest_center(odd.where("id = 2"), spark.createDataFrame([(7, [3.0, 4.5])], "center_id long, vec array<double>"), 1.0).collect()
+    assert [(r.id, r.center_id, r.distance) for r in got] == [(2, 7, 0.5)]
+
+
+def test_own_distance_needs_its_grid_bound(spark):
+    rows = [(i, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, value double")
+    tenth = lambda a, b: F.abs(a - b) / 10
+    with pytest.raises(ValueError):
+        radius_join(df, df, 0.2, metric=tenth)
+    got = radius_join(df, df, 0.2, metric=tenth, grid_radius=2.0, include_self=False)
+    assert {(r.query_id, r.neighbor_id) for r in got.collect()} == {(a, b) for a, x in rows for b, y in rows if a != b and abs(x - y) / 10 <= 0.2}
+
+
+def test_knn_within_keeps_partitions(spark):
+    df = spark.createDataFrame([(i, float(i % 7), i % 3) for i in range(30)], "id long, value double, win int")
+    got = {(r.query_id, r.neighbor_id) for r in knn_within(df, df, 2, 1.0, include_self=False, partition_cols=["win"]).collect()}
+    assert got and all(a % 3 == b % 3 for a, b in got)
+
+
+def test_rank_limit_plans_no_full_sort_in_one_task(spark):
+    df = spark.createDataFrame([(i, float(i * 7 % 1000)) for i in range(3000)], "id long, value double")
+    got = rank_by_distance(df, 500.0, query_id=-1, limit=1500).orderBy("rank").collect()
+    want = sorted((abs(i * 7 % 1000 - 500.0), i) for i in range(3000))[:1500]
+    assert [(r["distance"], r.neighbor_id, r["rank"]) for r in got] == [(d, i, n + 1) for n, (d, i) in enumerate(want)]
 
 
 def test_count_neighbors_1d(spark):
