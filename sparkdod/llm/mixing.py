@@ -14,7 +14,8 @@ a spare handful of all sizes) are gathered, level by level, until a source fits
 one block, and only its last documents are landed, closest to the words still
 wanted. A hot source is just more blocks.
 
-Random choices depend on the seed and on document ids alone: reruns agree.
+A document larger than its source's whole target is left out, and the others
+are taken at the rate that makes up for it. Random choices depend on the seed and on document ids alone: reruns agree.
 
 NULL and empty texts have size 0 (and are taken 0 words). A NULL source is a
 source, sorted last. Rows with the same ``doc_id`` are separate documents. An
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, checkpointed
 
-FLIGHT = "source string, block long, row long, size long, p double, take int"
+#: So many sources (a few tens of bytes each) may be broadcast.
+MOST_BROADCAST = 100_000
+FLIGHT = "source string, block long, row long, size long, p double, room int, take int"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -63,12 +66,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 def _flight(rows: pd.DataFrame, rng: np.random.Generator, land: bool, spare: int = 64, tries: int = 64) -> pd.DataFrame:
     """Move the probabilities of ``rows`` (largest first) until at most two are
     undecided, besides ``spare`` documents of evenly spread sizes that stay out
-    of the flight. With ``land`` these last ones are the landing problem: each
-    is taken, in random order, if the words still wanted have room for it; the
-    best of some orders counts."""
-    size, p = rows["size"].to_numpy(float), rows["p"].to_numpy(float).copy()
+    of the flight (when landing, more, until they hold several times the words
+    of the largest document, so that they can make up for it). With ``land`` these last ones are the landing problem: each
+    is taken, in random order, if that brings the words closer to those wanted;
+    the best of some orders counts."""
+    size, most, p = rows["size"].to_numpy(float), rows["room"].to_numpy(), rows["p"].to_numpy(float).copy()
     coins = rng.random(len(p))
-    spared = np.unique(np.linspace(0, len(p) - 1, min(spare, len(p))).round().astype(int))
+    if not land:
+        spare = min(spare, len(p) // 4)  # every level has fewer rows to fly
+    while True:
+        spared = np.unique(np.linspace(0, len(p) - 1, min(spare, len(p)) + 2)[1:-1].round().astype(int))
+        if not land or spare >= len(p) or size[spared].sum() >= 8 * size[0]:
+            break
+        spare *= 2
     flying = np.ones(len(p), bool)
     flying[spared] = False
     live: list[int] = []
@@ -98,12 +108,17 @@ def _flight(rows: pd.DataFrame, rng: np.random.Generator, land: bool, spare: int
         wanted, best = float(p[left] @ size[left]), None
         for _ in range(tries):
             room, taken = wanted, np.zeros(len(left))
-            for k in rng.permutation(len(left)):
-                if size[left[k]] <= room:
-                    room -= size[left[k]]
-                    taken[k] = 1
-            if best is None or room < best[0]:
-                best = (room, taken)
+            # more copies only where one of each can't reach the words, as beside a document larger than all that is wanted
+            for copy in range(int(most[left].max(initial=1))):
+                before = room
+                for k in rng.permutation(len(left)):
+                    if copy < most[left[k]] and size[left[k]] < 2 * room:  # closer with it than without
+                        room -= size[left[k]]
+                        taken[k] += 1
+                if room == before or copy == 0 and abs(room) < 1:
+                    break
+            if best is None or abs(room) < best[0]:
+                best = (abs(room), taken)
         p[left] = best[1]
         left = left[:0]
     take = p.round().astype("int32")
@@ -120,20 +135,21 @@ def _flown(rows: DataFrame, seed: int, land: bool) -> DataFrame:
     return rows.groupBy("source", "block").applyInPandas(run, FLIGHT)
 
 
-def balanced_copies(rows: DataFrame, block_rows: int = 20_000, seed: int = 1) -> DataFrame:
-    """``row, take`` (0 or 1) for ``source, row, size, p``: the cube method."""
+def balanced_copies(rows: DataFrame, block_rows: int = 2048, seed: int = 1) -> DataFrame:
+    """``row, take`` for ``source, row, size, p, room`` (most copies to add): the
+    cube method. ``take`` is 0 or 1, in a landing up to ``room``."""
     done, level = [], 0
     while True:
         largest = rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
         counts = rows.groupBy(F.col("source").alias("s")).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("blocks"))
         land = largest <= block_rows
         blocks = rows.join(counts, F.col("source").eqNullSafe(F.col("s"))).select(
-            "source", F.pmod(F.xxhash64("row", F.lit(seed + level)), F.col("blocks")).alias("block"), "row", "size", "p", F.lit(-1).alias("take"))
+            "source", F.pmod(F.xxhash64("row", F.lit(seed + level)), F.col("blocks")).alias("block"), "row", "size", "p", "room", F.lit(-1).alias("take"))
         flown = checkpointed(_flown(blocks, seed + level, land))
         done.append(flown.filter("take >= 0").select("row", "take"))
         if land:
             break
-        rows, level = flown.filter("take < 0").select("source", "row", "size", "p"), level + 1
+        rows, level = flown.filter("take < 0").select("source", "row", "size", "p", "room"), level + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -148,18 +164,23 @@ def with_row_key(rows: DataFrame) -> DataFrame:
     return keyed.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, block_rows: int = 20_000, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, block_rows: int = 2048, seed: int = 1) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken, key, nth`` for
     each input row; ``key`` and ``nth`` tell rows apart as in ``with_row_key``."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     # a row's number depends on its content, so reruns and lost executors give the same draw
     base = checkpointed(with_row_key(plain).withColumn("row", F.xxhash64("key", "nth")))
     targets = source_targets(base.select("source", "size"), weights, most)
-    # one row per source meets all documents: Spark measures the small side, and splits the hot source otherwise
-    rated = base.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    # one row per source meets all documents: broadcast if they are counted to be few, else Spark splits the hot source
+    small = F.broadcast if targets.count() <= MOST_BROADCAST else (lambda t: t)
+    aimed = base.join(small(targets.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # a document larger than its source's target would miss it alone: the others stand in for it
+    fits = F.col("size") <= F.col("target")
+    eligible = aimed.groupBy(F.col("source").alias("s")).agg(F.sum(F.when(fits, F.col("size"))).alias("fitting"))
+    rated = aimed.join(small(eligible), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rate = F.when(fits & (F.col("fitting") > 0), F.least(F.lit(float(most)), F.col("target") / F.col("fitting"))).otherwise(F.lit(0.0))
     rated = checkpointed(rated.withColumn("whole", F.floor(rate + F.lit(1e-12))).withColumn("p", F.greatest(rate - F.col("whole"), F.lit(0.0))))
-    drawn = balanced_copies(rated.filter("p > 1e-9 and size > 0").select("source", "row", "size", "p"), block_rows, seed)
+    drawn = balanced_copies(rated.filter("p > 1e-9 and size > 0").select("source", "row", "size", "p", (F.lit(int(most)) - F.col("whole")).cast("int").alias("room")), block_rows, seed)
     copies = (F.col("whole") + F.coalesce(F.col("take"), F.lit(0))).cast("long")
     out = rated.join(drawn, "row", "left").withColumn("copies", copies)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key", "nth")

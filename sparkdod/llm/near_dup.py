@@ -138,23 +138,24 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
-    """``set_id, shingles`` (sorted distinct 64-bit hashes) of ``doc_id, text, set_id`` rows."""
-    schema = pa.schema([("set_id", pa.binary()), ("shingles", pa.binary())])
+    """``node, shingles`` (sorted distinct 64-bit hashes) of ``node, text, set_id``
+    rows; a row whose text has another set (of a repeated id) gives none."""
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             h, starts = shingles(part["text"], size)
             sets = [np.unique(h[a:b]).tobytes() for a, b in zip(starts[:-1], starts[1:])]
-            keep = [(i, s) for i, s in zip(part["set_id"].to_pylist(), sets) if xxhash.xxh3_128_digest(s) == i]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in keep], pa.binary()), pa.array([s for _, s in keep], pa.binary())], schema=schema)
+            keep = pa.array([xxhash.xxh3_128_digest(s) == i for i, s in zip(part["set_id"].to_pylist(), sets)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part["node"], pa.array(sets, pa.binary())], schema=schema).filter(keep)
 
-    return texts.mapInArrow(run, "set_id binary, shingles binary")
+    return texts.mapInArrow(run, "node long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs ``a, b`` whose full sets reach the similarity."""
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -168,7 +169,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([part["a"], part["b"]], schema=schema).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -192,8 +193,8 @@ def _close(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, floor
     return j, j >= floor
 
 
-TASK = ["band", "key", "one", "two"]
-FOUND = "band int, key long, one long, two long, a binary, b binary"
+TASK = ["key", "one", "two"]
+FOUND = "key long, one long, two long, a long, b long"
 
 
 def _candidates(table: pa.Table, floor: float, dense: int) -> pa.Table:
@@ -202,17 +203,17 @@ def _candidates(table: pa.Table, floor: float, dense: int) -> pa.Table:
     is left to that band's bucket. With more than ``dense`` pairs for each
     class, the classes themselves are listed (b is NULL) in place of the pairs."""
     task = [table[c][0].as_py() for c in TASK]
-    ids, roots, chunk = (np.array(table[c].to_pylist(), object) for c in ("node", "root", "chunk"))
+    band = task[0] & (BANDS - 1)
+    ids, roots, chunk = (table[c].to_numpy() for c in ("node", "root", "chunk"))
     regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
     sizes = table["n_shingles"].to_numpy().astype(float)
-    root = np.unique(roots, return_inverse=True)[1]
-    earlier = regs[:, :task[0] * ROWS].reshape(len(ids), task[0], ROWS)
+    earlier = regs[:, :band * ROWS].reshape(len(ids), band, ROWS)
     pairs, involved = [], set()
     for i in range(len(ids)):
         # each pair once; of two chunks, pairs across them
         others = np.arange(i + 1, len(ids))
-        others = others[(root[others] != root[i]) & ((chunk[others] != chunk[i]) | (task[2] == task[3])) & (np.minimum(sizes[others], sizes[i]) >= floor * np.maximum(sizes[others], sizes[i]))]
-        if task[0] and len(others):
+        others = others[(roots[others] != roots[i]) & ((chunk[others] != chunk[i]) | (task[1] == task[2])) & (np.minimum(sizes[others], sizes[i]) >= floor * np.maximum(sizes[others], sizes[i]))]
+        if band and len(others):
             others = others[~(earlier[others] == earlier[i]).all(axis=2).any(axis=1)]
         if not len(others):
             continue
@@ -222,15 +223,15 @@ def _candidates(table: pa.Table, floor: float, dense: int) -> pa.Table:
             if len(pairs) <= dense * len(ids):
                 pairs += [sorted((ids[i], ids[o])) for o in others[near]]
     rows = [(ids[i], None) for i in sorted(involved)] if len(pairs) > dense * len(ids) else pairs
-    return pa.table({**{c: pa.array([v] * len(rows), t) for c, v, t in zip(TASK, task, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))},
-                     "a": pa.array([r[0] for r in rows], pa.binary()), "b": pa.array([r[1] for r in rows], pa.binary())})
+    return pa.table({**{c: pa.array([v] * len(rows), t) for c, v, t in zip(TASK, task, [pa.int64()] * 3)},
+                     "a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64())})
 
 
 def _dense_links(table: pa.Table, percent: int) -> pa.Table:
     """Links inside a dense bucket, found on the full sets: every pair of
     classes that isn't connected yet is counted, links that connect are listed
     (fewer than there are classes)."""
-    ids, roots = table["node"].to_pylist(), np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1]
+    ids, roots = table["node"].to_pylist(), table["root"].to_numpy().copy()
     sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
     sizes = np.array([len(s) for s in sets])
     starts = np.cumsum(sizes) - sizes
@@ -251,7 +252,7 @@ def _dense_links(table: pa.Table, percent: int) -> pa.Table:
                     links.append((ids[i], ids[o]))
                     roots[roots == roots[o]] = roots[i]
         mark[own] = 0
-    return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, margin: float = 0.14, chunk_rows: int = 1024, dense: int = 4) -> DataFrame:
@@ -263,22 +264,22 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, margin: f
     rows = checkpointed(sketches(docs, size))
     big = F.lit((1 << 63) - 1)
     some = rows.filter("set_id is not null")
-    classes = checkpointed(some.groupBy("set_id").agg(F.min(F.struct(F.coalesce("doc_id", big).alias("id"), "n_shingles", "registers")).alias("r"))
-                           .select(F.col("set_id").alias("node"), "r.id", "r.n_shingles", "r.registers"))
-    keys = F.array(*[F.xxhash64(F.substring("registers", 1 + 2 * ROWS * k, 2 * ROWS), F.lit(k)) for k in range(BANDS)])
-    banded = classes.select("node", "id", F.posexplode(keys).alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "node")).alias("hub")).filter("members > 1")
-    members = checkpointed(banded.drop("id").join(buckets.select("band", "key", "members", F.col("hub.node").alias("hub")), ["band", "key"]))
+    classes = some.groupBy("set_id").agg(F.min(F.struct(F.coalesce("doc_id", big).alias("id"), "n_shingles", "registers")).alias("r"))
+    classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("node"), "set_id", "r.id", "r.n_shingles", "r.registers"))
+    # a bucket's key holds its band in the lowest bits
+    keys = F.array(*[F.xxhash64(F.substring("registers", 1 + 2 * ROWS * k, 2 * ROWS), F.lit(k)).bitwiseAND(F.lit(-BANDS)).bitwiseOR(F.lit(k)) for k in range(BANDS)])
+    banded = classes.select("node", F.explode(keys).alias("key"))
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1").select("key", "hub")
+    members = checkpointed(banded.join(buckets, "key"))
     nodes = checkpointed(members.select("node").distinct().join(classes, "node"))
     # the full sets of everything that may ever be compared: the text of one document of each class
-    wanted = nodes.select(F.col("id"), F.col("node").alias("set_id"))
-    texts = id_text(docs).withColumn("id", F.coalesce("doc_id", big)).join(wanted, "id").select("doc_id", "text", "set_id")
-    sets = checkpointed(shingle_sets(texts, size).dropDuplicates(["set_id"]))
+    texts = id_text(docs).select(F.coalesce("doc_id", big).alias("id"), "text").join(nodes.select("id", "node", "set_id"), "id").select("node", "text", "set_id")
+    sets = checkpointed(shingle_sets(texts, size).dropDuplicates(["node"]))
 
     first = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     reg = nodes.select("node", "n_shingles", "registers")
     sketched = first.join(reg.toDF("a", "n_a", "reg_a"), "a").join(reg.toDF("b", "n_b", "reg_b"), "b")
-    pair_schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    pair_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -286,17 +287,17 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, margin: f
             _, near = _close(a, b, part["n_a"].to_numpy(), part["n_b"].to_numpy(), floor)
             yield pa.RecordBatch.from_arrays([part["a"], part["b"]], schema=pair_schema).filter(pa.array(near))
 
-    pairs = sketched.select("a", "b", "n_a", "n_b", "reg_a", "reg_b").mapInArrow(likely, "a binary, b binary")
+    pairs = sketched.select("a", "b", "n_a", "n_b", "reg_a", "reg_b").mapInArrow(likely, "a long, b long")
     tested = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = joined_components(nodes.select("node", F.col("node").alias("root")), checkpointed(verified(tested, sets, percent)))
 
-    open_members = members.select("band", "key", "node").join(labels, "node")
-    spread = open_members.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high") \
-        .select("band", "key", F.ceil(F.col("n") / F.lit(chunk_rows)).alias("chunks"))
-    chunked = open_members.join(spread, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    open_members = members.select("key", "node").join(labels, "node")
+    spread = open_members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high") \
+        .select("key", F.ceil(F.col("n") / F.lit(chunk_rows)).alias("chunks"))
+    chunked = open_members.join(spread, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     # a bucket of more chunks is one task for each two of them
     task = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("one"), F.greatest(c, F.col("chunk")).alias("two"))))
-    tasks = chunked.withColumn("task", task).join(reg, "node").select("band", "key", F.col("task.one").alias("one"), F.col("task.two").alias("two"), "chunk", "node", "root", "n_shingles", "registers")
+    tasks = chunked.withColumn("task", task).join(reg, "node").select("key", F.col("task.one").alias("one"), F.col("task.two").alias("two"), "chunk", "node", "root", "n_shingles", "registers")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def search(table: pa.Table) -> pa.Table:
@@ -307,13 +308,14 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, margin: f
 
     found = checkpointed(tasks.repartition(parts, *TASK).groupBy(*TASK).applyInArrow(search, FOUND))
     new = found.filter("b is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    full = found.filter("b is null").select(*TASK, F.col("a").alias("node")).join(labels, "node").join(sets.withColumnRenamed("set_id", "node"), "node")
-    counted = full.repartition(parts, *TASK).groupBy(*TASK).applyInArrow(count, "a binary, b binary")
+    full = found.filter("b is null").select(*TASK, F.col("a").alias("node")).join(labels, "node").join(sets, "node")
+    counted = full.repartition(parts, *TASK).groupBy(*TASK).applyInArrow(count, "a long, b long")
     labels = joined_components(labels, checkpointed(verified(new, sets, percent).unionByName(counted)))
     least = labels.join(nodes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("least"))
-    component = labels.join(least, "root").select(F.col("node").alias("set_id"), "least")
-    alone = classes.select(F.col("node").alias("set_id"), "id").join(component, "set_id", "left").select("set_id", F.coalesce("least", "id").alias("least"))
-    out = rows.join(alone, "set_id", "left")
+    component = labels.join(least, "root").select("node", "least")
+    alone = classes.select("set_id", "node", "id").join(component, "node", "left").select("set_id", F.coalesce("least", "id").alias("least"))
+    # texts without words stay out of the join, where they would share one key
+    out = some.join(alone, "set_id").unionByName(rows.filter("set_id is null").withColumn("least", F.lit(None).cast("long")))
     component_id = F.when(F.col("least") == big, F.col("doc_id")).otherwise(F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", component_id.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)) & (F.col("doc_id").isNotNull() | F.col("component_id").isNull()))
 
