@@ -8,9 +8,11 @@ candidates of one grid cell are evaluated as a block with numpy inside
 per block, not once per pair, and only pairs within the radius are
 emitted.
 
-Blocks are capped at ``block_rows`` rows per side: a cell that holds more
-is hash-split into chunks on both sides, so a hot cell becomes many
-bounded tasks instead of one unbounded group.
+A cell that holds more than ``block_rows`` rows on a side is hash-split into
+chunks of about that size, so a hot cell becomes many bounded tasks instead of
+one unbounded group. A vector is shipped once for each chunk of the other
+side; inside a task a block is evaluated in tiles of ``TILE_ROWS``, which is
+what bounds the distance matrices.
 """
 
 from __future__ import annotations
@@ -23,13 +25,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_BLOCK_ROWS = 2048
+DEFAULT_BLOCK_ROWS = 20_480
+TILE_ROWS = 2_048
+
+
+def _tiled(qdf: pd.DataFrame, ddf: pd.DataFrame, evaluate) -> pd.DataFrame:
+    """``evaluate`` on every pair of tiles of the two sides."""
+    parts = [evaluate(qdf.iloc[i:i + TILE_ROWS].reset_index(drop=True), ddf.iloc[j:j + TILE_ROWS].reset_index(drop=True))
+             for i in range(0, max(1, len(qdf)), TILE_ROWS) for j in range(0, max(1, len(ddf)), TILE_ROWS)]
+    return parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
 
 
 def _matrix(vectors: pd.Series) -> tuple[np.ndarray | None, np.ndarray]:
     lengths = vectors.map(len).to_numpy()
     if len(lengths) and (lengths == lengths[0]).all():
-        return np.stack([np.asarray(v, dtype=np.float64) for v in vectors.to_numpy()]), lengths
+        return np.concatenate(vectors.to_numpy()).astype(np.float64).reshape(len(lengths), lengths[0]), lengths
     return None, lengths
 
 
@@ -221,7 +231,10 @@ def block_radius_counts(q: DataFrame, d: DataFrame, keys: Sequence[str], radius:
         inside = _decided(_Block(qdf["qvec"], ddf["dvec"]), r, same)
         return pd.DataFrame({"query_id": qid, "cnt": inside.sum(axis=1).astype("int64")})
 
-    return q2.groupBy(*gkeys).cogroup(d2.groupBy(*gkeys)).applyInPandas(evaluate, schema)
+    def run(qdf, ddf):
+        return _tiled(qdf, ddf, evaluate)
+
+    return q2.groupBy(*gkeys).cogroup(d2.groupBy(*gkeys)).applyInPandas(run, schema)
 
 
 def block_radius_pairs(q: DataFrame, d: DataFrame, keys: Sequence[str], radius: float, include_self: bool,
@@ -258,7 +271,10 @@ def block_radius_pairs(q: DataFrame, d: DataFrame, keys: Sequence[str], radius:
             out[c] = key[key_pos[c]]
         return out
 
-    return q2.groupBy(*gkeys).cogroup(d2.groupBy(*gkeys)).applyInPandas(evaluate, schema)
+    def run(key, qdf, ddf):
+        return _tiled(qdf, ddf, lambda q_tile, d_tile: evaluate(key, q_tile, d_tile))
+
+    return q2.groupBy(*gkeys).cogroup(d2.groupBy(*gkeys)).applyInPandas(run, schema)
 
 
 def block_radius_topk(q: DataFrame, d: DataFrame, keys: Sequence[str], radius: float, k: int,
@@ -296,4 +312,7 @@ def block_radius_topk(q: DataFrame, d: DataFrame, keys: Sequence[str], radius: f
         return pd.DataFrame({"query_id": qid[rows], "neighbor_id": did[cols], "distance": dist,
                              "n": np.where(first, counts[rows], 0).astype("int64")})
 
-    return q2.groupBy(*gkeys).cogroup(d2.groupBy(*gkeys)).applyInPandas(evaluate, schema)
+    def run(qdf, ddf):
+        return _tiled(qdf, ddf, evaluate)
+
+    return q2.groupBy(*gkeys).cogroup(d2.groupBy(*gkeys)).applyInPandas(run, schema)
