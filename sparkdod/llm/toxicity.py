@@ -101,7 +101,7 @@ def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, weight: np.nda
     return w, low + np.concatenate([[0.0], np.cumsum(np.exp(steps))])
 
 
-def train(docs: DataFrame, labels: DataFrame, grade: Column, per_grade: int = 1000, features: int = 2048, least_docs: int = 5, least_z: float = 3.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, grade: Column, per_grade: int = 3000, features: int = 2048, least_docs: int = 5, least_z: float = 3.0) -> Model:
     """Fit the model on a bounded sample of the labelled documents."""
     graded = checkpointed(labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("int").alias("grade")).dropna().groupBy("doc_id").agg(F.max("grade").alias("grade")))
     shares = dict(graded.groupBy("grade").count().orderBy("grade").limit(100).collect())
