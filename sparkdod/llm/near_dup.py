@@ -17,7 +17,7 @@ their Jaccard similarity says.
    one by one; a bucket dense with them is given the full sets once and counts
    inside its task, listing only links that connect. So no group is expanded
    into all its pairs, and no link between components stays untested. Buckets of
-   many classes are cut into tasks of two chunks each.
+   many or long classes are cut into tasks of two chunks each.
 
 A link that no band proposes is missed with probability (1 - s^rows)^bands: 3e-6
 at similarity 0.8 with the parameters here.
@@ -45,7 +45,9 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 #: SetSketch parameters: base and rate of the registers.
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 1
-SKETCH = "doc_id long, n_shingles long, set_id binary, registers binary"
+#: A task holds the sets of two chunks of about so many shingles (8 bytes each).
+CHUNK_SHINGLES = 4_000_000
+SKETCH = "doc_id long, text_key long, n_shingles long, set_id binary, registers binary"
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +113,9 @@ def likely_jaccard(above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: n
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, set_id, registers``; set_id and registers are NULL for empty sets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("registers", pa.binary())])
+    """``doc_id, text_key, n_shingles, set_id, registers``; set_id and registers are
+    NULL for empty sets, ``text_key`` is a hash of the text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("registers", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -132,9 +135,9 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 set_ids.append(xxhash.xxh3_128_digest(distinct.tobytes()))
                 registers.append(values[row].tobytes())
                 row += 1
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(set_ids, pa.binary()), pa.array(registers, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_key"], pa.array(n, pa.int64()), pa.array(set_ids, pa.binary()), pa.array(registers, pa.binary())], schema=schema)
 
-    return id_text(docs).mapInArrow(run, SKETCH)
+    return id_text(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, SKETCH)
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -264,8 +267,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, margin: f
     rows = checkpointed(sketches(docs, size))
     big = F.lit((1 << 63) - 1)
     some = rows.filter("set_id is not null")
-    classes = some.groupBy("set_id").agg(F.min(F.struct(F.coalesce("doc_id", big).alias("id"), "n_shingles", "registers")).alias("r"))
-    classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("node"), "set_id", "r.id", "r.n_shingles", "r.registers"))
+    classes = some.groupBy("set_id").agg(F.min(F.struct(F.coalesce("doc_id", big).alias("id"), "text_key", "n_shingles", "registers")).alias("r"))
+    classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("node"), "set_id", "r.id", "r.text_key", "r.n_shingles", "r.registers"))
     # a bucket's key holds its band in the lowest bits
     keys = F.array(*[F.xxhash64(F.substring("registers", 1 + 2 * ROWS * k, 2 * ROWS), F.lit(k)).bitwiseAND(F.lit(-BANDS)).bitwiseOR(F.lit(k)) for k in range(BANDS)])
     banded = classes.select("node", F.explode(keys).alias("key"))
@@ -273,7 +276,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, margin: f
     members = checkpointed(banded.join(buckets, "key"))
     nodes = checkpointed(members.select("node").distinct().join(classes, "node"))
     # the full sets of everything that may ever be compared: the text of one document of each class
-    texts = id_text(docs).select(F.coalesce("doc_id", big).alias("id"), "text").join(nodes.select("id", "node", "set_id"), "id").select("node", "text", "set_id")
+    keyed = id_text(docs).select(F.coalesce("doc_id", big).alias("id"), F.xxhash64("text").alias("text_key"), "text")
+    texts = keyed.join(nodes.select("id", "text_key", "node", "set_id"), ["id", "text_key"]).select("node", "text", "set_id")
     sets = checkpointed(shingle_sets(texts, size).dropDuplicates(["node"]))
 
     first = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -291,13 +295,13 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, margin: f
     tested = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = joined_components(nodes.select("node", F.col("node").alias("root")), checkpointed(verified(tested, sets, percent)))
 
-    open_members = members.select("key", "node").join(labels, "node")
-    spread = open_members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high") \
-        .select("key", F.ceil(F.col("n") / F.lit(chunk_rows)).alias("chunks"))
+    open_members = members.select("key", "node").join(labels, "node").join(reg, "node")
+    spread = open_members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total")).filter("low <> high") \
+        .select("key", F.ceil(F.greatest(F.col("n") / F.lit(chunk_rows), F.col("total") / F.lit(CHUNK_SHINGLES))).alias("chunks"))
     chunked = open_members.join(spread, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     # a bucket of more chunks is one task for each two of them
     task = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("one"), F.greatest(c, F.col("chunk")).alias("two"))))
-    tasks = chunked.withColumn("task", task).join(reg, "node").select("key", F.col("task.one").alias("one"), F.col("task.two").alias("two"), "chunk", "node", "root", "n_shingles", "registers")
+    tasks = chunked.withColumn("task", task).select("key", F.col("task.one").alias("one"), F.col("task.two").alias("two"), "chunk", "node", "root", "n_shingles", "registers")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def search(table: pa.Table) -> pa.Table:
