@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -48,8 +47,6 @@ def main() -> None:
         conf = {"spark__eventLog__enabled": "true", "spark__eventLog__dir": event_dir}
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(cpus), spark__driver__memory="16g", **conf)
     spark.sparkContext.setLogLevel("ERROR")
-    if not (spark.conf.get("spark.checkpoint.dir", None)):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-ckpt-"))
     QUERIES["window_outlier_counts_count"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in only or HEADLINE:

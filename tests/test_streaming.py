@@ -25,3 +25,31 @@ def test_neighbour_totals_exact():
     x, w = vals[order], mult[order]
     want = [int(sum(w[j] for j in range(len(x)) if abs(x[j] - x[i]) <= 0.45)) for i in range(len(x))]
     assert list(tot) == want
+
+
+def _as_files(spark, folder, parts):
+    for n, rows in enumerate(parts):
+        df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, value double").coalesce(1)
+        df.write.parquet(f"{folder}/part{n}")
+    import glob
+    import os
+    import shutil
+    import time
+    os.makedirs(f"{folder}/in")
+    for n in range(len(parts)):
+        for f in glob.glob(f"{folder}/part{n}/*.parquet"):
+            shutil.copy(f, f"{folder}/in/{n}.parquet")
+            os.utime(f"{folder}/in/{n}.parquet", (time.time() - 100 + n,) * 2)
+    return f"{folder}/in"
+
+
+def test_micro_batches_infinities_and_late_rows(spark, tmp_path):
+    import datetime as dt
+    day0 = dt.datetime(2024, 1, 1)
+    rows = [(i, day0 + dt.timedelta(hours=i), float(i % 13)) for i in range(240)]
+    odd = [(1000, day0 + dt.timedelta(hours=100), float("inf")), (1001, day0 + dt.timedelta(hours=150), float("nan"))]
+    late = [(2000, day0 + dt.timedelta(hours=1), 5.0)]  # its windows have closed when the third file comes
+    path = _as_files(spark, str(tmp_path), [rows[:80], rows[80:160] + odd, rows[160:] + late])
+    stream = run_stream_outlier_counts(spark, path, "2 days", "1 day", 0.5, 4, files_per_batch=1)
+    batch = window_outlier_counts(spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, value double"), Windows.time("2 days", "1 day"), 0.5, 4)
+    assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
