@@ -3,7 +3,7 @@
 Every line is judged by itself: punctuation (too many symbols, or all in
 capitals), navigation (items between separators), boilerplate (phrases of page
 furniture), monotony (hardly any different words). Failing lines are removed; a
-document that loses more than ``most_lost`` of its words is rejected, and so is
+document that loses more than ``most_lost`` percent of its words is rejected, and so is
 one whose text as given fails the base limits (fewer than ``least_words``
 words, or more than ``most_repeated`` percent of words in five-word windows that
 the text holds twice).
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 
 from .common import SPACE, id_text, slices
@@ -31,21 +32,32 @@ BOILERPLATE = re.compile(
     r"|sign up for|click here|read more|share this|enable javascript|powered by|lorem ipsum|back to top", re.IGNORECASE)
 
 
-def bad_line(line: str, most_symbols: float = 0.1, least_items: int = 3, most_monotone: float = 0.25) -> str | None:
-    """The rule that a line fails, None if it passes. Blank lines pass."""
-    words = line.split()
-    if not words:
+#: Upper and lower case letters (a capital line has the one kind only).
+UPPER, LOWER = regex.compile(r"\p{Lu}"), regex.compile(r"\p{Ll}")
+SEPARATOR = re.compile(r" [|>»·](?= )")
+
+
+def bad_line(line: str, most_symbols: int = 10, least_items: int = 3, most_monotone: int = 25) -> str | None:
+    """The rule that a line fails, None if it passes. Blank lines pass.
+
+    Percentages are of the line's characters (symbols) and words (different
+    words among ten or more; less in very long lines)."""
+    words = line.encode().split()
+    n = len(words)
+    if not n:
         return None
-    if sum(map(line.count, SYMBOLS)) > most_symbols * len(line) and line.count("|") + line.count(">") < least_items - 1:
+    symbols, marks = sum(map(line.count, SYMBOLS)), line.count("!")
+    many = 100 * symbols > most_symbols * len(line)
+    if many and line.count("|") + line.count(">") < least_items - 1:
         return "punctuation"
-    if len(words) > 1 and line.isupper() and "!!" in line or line.count("!") > len(words):
+    if n > 1 and "!!" in line and not LOWER.search(line) and UPPER.search(line) or marks > n:
         return "punctuation"
-    separators = line.count(" | ") + line.count(" > ") + line.count(" » ") + line.count(" · ")
-    if separators >= least_items - 1 and 4 * separators >= len(words) - separators or sum(map(line.count, SYMBOLS)) > most_symbols * len(line):
+    separators = len(SEPARATOR.findall(line))
+    if many or separators >= least_items - 1 and 5 * separators >= n:
         return "navigation"
-    if len(words) <= 30 and BOILERPLATE.search(line):
+    if n <= 30 and BOILERPLATE.search(line):
         return "boilerplate"
-    if len(words) >= 10 and len(set(words)) <= most_monotone * len(words) / (1 + len(words) / 1000):
+    if n >= 10 and 100 * len(set(words)) * (1000 + n) <= most_monotone * n * 1000:
         return "monotony"
     return None
 
@@ -79,7 +91,7 @@ def repeated_words(ids: np.ndarray, h: np.ndarray, starts: np.ndarray, size: int
     return out
 
 
-def clean(docs: DataFrame, least_words: int = 10, most_repeated: int = 20, most_lost: float = 0.5, texts: bool = True) -> DataFrame:
+def clean(docs: DataFrame, least_words: int = 10, most_repeated: int = 20, most_lost: int = 50, texts: bool = True) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_bad_lines, lost_words, kept`` and with ``texts`` the text
     without its failing lines as ``clean_text``."""
@@ -107,7 +119,7 @@ def clean(docs: DataFrame, least_words: int = 10, most_repeated: int = 20, most_
                     cleaned.append("\n".join(x for x, f in zip(lines, failing) if not f))
             lost = np.array(lost, np.int64)
             failed = (n < least_words) | (100 * repeats > most_repeated * n)
-            kept = ~failed & (lost <= most_lost * n)
+            kept = ~failed & (100 * lost <= most_lost * n)
             yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(x, pa.int64()) for x in (n, chars, symbols, dup, repeats)), pa.array(failed), pa.array(bad, pa.int64()),
                                               pa.array(lost), pa.array(kept)] + [pa.array(cleaned, pa.string())] * texts, schema=pa.schema(fields))
 

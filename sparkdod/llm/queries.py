@@ -96,6 +96,27 @@ ORACLE = {
                      list_filter(ws, lambda x, j: NOT list_contains(coalesce(js, []), j)) AS kept
               FROM d LEFT JOIN gone USING (doc_id))
         SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
+    # the line rules spelt out once more, in SQL
+    "op5_quality": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {WORDS_SQL} AS ws FROM documents),
+        w AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM d WHERE len(ws) >= 5)),
+        rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(generate_series(i, i + 4)) AS j
+                FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS c FROM w) WHERE c > 1) GROUP BY r),
+        l AS (SELECT r, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS lw, length(l) AS n,
+                     length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g')) AS sym, length(l) - length(replace(replace(l, '|', ''), '>', '')) AS bars,
+                     length(l) - length(replace(l, '!', '')) AS marks, len(regexp_extract_all(replace(l, ' ', '  '), ' [|>»·] ')) AS seps
+              FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)),
+        v AS (SELECT r, l, lw, len(lw) > 0 AND (
+                  100 * sym > 10 * n OR (len(lw) > 1 AND contains(l, '!!') AND NOT regexp_matches(l, '\p{{Ll}}') AND regexp_matches(l, '\p{{Lu}}')) OR marks > len(lw)
+                  OR (seps >= 2 AND 5 * seps >= len(lw))
+                  OR (len(lw) <= 30 AND regexp_matches(l, '(?i)cookie (policy|settings)|privacy policy|terms (of use|of service|and conditions)|all rights reserved|subscribe to our|sign up for|click here|read more|share this|enable javascript|powered by|lorem ipsum|back to top'))
+                  OR (len(lw) >= 10 AND 100 * len(list_distinct(lw)) * (1000 + len(lw)) <= 25 * len(lw) * 1000)) AS bad FROM l),
+        q AS (SELECT r, count(*) FILTER (len(lw) > 0) - count(DISTINCT l) FILTER (len(lw) > 0) AS n_dup, count(*) FILTER (bad) AS n_bad, coalesce(sum(len(lw)) FILTER (bad), 0) AS lost FROM v GROUP BY r),
+        a AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+                     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, n_dup::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+                     n_bad::BIGINT AS n_bad_lines, lost::BIGINT AS lost_words FROM d JOIN q USING (r) LEFT JOIN rep USING (r))
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost_words <= 50 * n_words AS kept FROM a""",
     "op6_exact_dedup": r"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n_cp,
                           sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
