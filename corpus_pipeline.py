@@ -30,7 +30,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (4-word shingles, similarity 0.8)."""
+    """One document of each group of near duplicates stays (five-word shingles, similarity 0.8)."""
     return near_dup.deduplicated(docs)
 
 

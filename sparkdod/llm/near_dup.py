@@ -258,7 +258,7 @@ def _dense_links(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, margin: float = 0.14, chunk_rows: int = 1024, dense: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, margin: float = 0.14, chunk_rows: int = 1024, dense: int = 4) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each input row.
 
     ``margin`` is how far below the threshold an estimate may lie and still be

@@ -12,7 +12,7 @@ WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(documents(spark, sf_dir))
+    return near_dup.near_duplicates(documents(spark, sf_dir), size=4)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def test_near_duplicates_of_a_large_group(spark, chunk_rows, dense):
     base = [f"w{rng.randrange(5000)}" for _ in range(120)]
     rows = [(i, edited(rng, base, 0.022)) for i in range(160)] + [(200 + i, edited(rng, base[:60] + [f"v{i}" for i in range(60)], 0.02)) for i in range(40)]
     rows += [(300 + i, " ".join(f"r{rng.randrange(10 ** 6)}" for _ in range(50))) for i in range(40)] + [(400, rows[3][1]), (401, "Two Words"), (402, "two words"), (403, "")]
-    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), chunk_rows=chunk_rows, dense=dense).collect()
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4, chunk_rows=chunk_rows, dense=dense).collect()
     sets = {i: shingle_set(t) for i, t in rows}
     want = brute_components(sets)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in out} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
