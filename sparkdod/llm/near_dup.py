@@ -327,5 +327,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, margin: f
 def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs``, all their columns, without those that ``near_duplicates``
     drops; rows with the same ``doc_id`` fare alike and a NULL one stays."""
-    dropped = near_duplicates(docs, **parameters).filter(~F.col("kept")).select(F.col("doc_id").alias("i")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("i"), "left_anti")
+    dropped = near_duplicates(docs, **parameters).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped")).distinct()
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.col("doc_id").cast("long").alias("id"))
+    return own.join(dropped, F.col("id") == F.col("dropped"), "left_anti").select("own.*")
