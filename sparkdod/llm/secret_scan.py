@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -55,9 +57,14 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
-    """Other tokens that might be credentials."""
-    return [("format", m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)
-            if DIGIT.search(m[0]) and not any(a < m.end() and m.start() < b for _, a, b, _ in base)]
+    """Other tokens that might be credentials: those that no base span touches."""
+    starts, reach = [s[1] for s in base], list(accumulate((s[2] for s in base), max))
+    out = []
+    for m in TOKEN.finditer(text):
+        before = bisect_left(starts, m.end())  # base spans that begin before the token ends
+        if DIGIT.search(m[0]) and not (before and reach[before - 1] > m.start()):
+            out.append(("format", m.start(), m.end(), m[0]))
+    return out
 
 
 def classes(token: str) -> str:
