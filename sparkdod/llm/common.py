@@ -32,14 +32,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches into pieces of about ``max_bytes`` (one row at least), without copying."""
+def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut record batches into pieces of about ``max_bytes`` (one row at least),
+    without copying. A worker waits for its next task without the memory of this one."""
     for batch in batches:
         rows = batch.num_rows
         if rows:
             step = max(1, rows * max_bytes // max(1, batch.nbytes))
             for at in range(0, rows, step):
                 yield batch.slice(at, step)
+        pa.default_memory_pool().release_unused()
 
 
 def block_count(docs: DataFrame, block_bytes: int) -> int:

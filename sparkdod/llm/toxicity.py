@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, per_grade: int = 30
     listed = pa.schema([("grade", pa.int32()), ("feature", pa.list_(pa.string()))])
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1 << 20):
+        for part in slices(batches, 1 << 17):
             yield pa.RecordBatch.from_arrays([part["grade"], pa.array([sorted(s) for s in _rates(part, None)], pa.list_(pa.string()))], schema=listed)
 
     have = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, per_grade: int = 30
     rated = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("feature", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))])
 
     def rating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1 << 20):
+        for part in slices(batches, 1 << 17):
             rates = [{known[f]: v for f, v in sorted(r.items())} for r in _rates(part, known)]
             yield pa.RecordBatch.from_arrays([part["doc_id"], part["grade"], pa.array([list(r) for r in rates], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rates], pa.list_(pa.float64()))], schema=rated)
 
