@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from sparkdod.plans.catalog import QUERIES  # noqa: E402
 from sparkdod.session import get_spark  # noqa: E402
 
-SHOW = ["window_outlier_counts_time", "window_outliers_count", "radius_pairs", "knn_within", "dense_clusters"]
+SHOW = ["window_outlier_counts_time", "window_outliers_count", "neighbor_profile_fine", "radius_pairs", "knn_two_tables", "knn_within", "rank_limit", "dense_clusters"]
 
 
 def main() -> None:
@@ -24,7 +24,7 @@ def main() -> None:
            "Generated by `tools/show_plans.py` on %s (local[8], 8 shuffle partitions). Plans are the" % sf,
            "adaptive plans after execution: shuffles (`Exchange`), window partitioning, pushed filters and",
            "read schemas of the scans. Eager steps (checkpoint of the distinct table, quantile bounds,",
-           "pivot choice) run before the plan and appear as `Scan ExistingRDD` / literals.", ""]
+           "principal axes) run before the plan and appear as `Scan ExistingRDD` / literals.", ""]
     for name in SHOW:
         df = QUERIES[name](spark, sf)
         df.write.format("noop").mode("overwrite").save()
