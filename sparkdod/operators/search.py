@@ -70,10 +70,10 @@ def choose_axes(data: DataFrame, vector_col: str = "vec", n: int = 2, dims: int
         dims = _vector_dims(data, vector_col)[0]
     if dims <= 0 or n <= 0:
         return []
-    src = materialize(data.select(F.slice(F.col(vector_col).cast("array<double>"), 1, dims).alias("__v"))
-                      .orderBy(F.xxhash64("__v")).limit(AXES_SAMPLE))
-    if src.limit(2).count() < 2:
+    if len(data.select(vector_col).take(2)) < 2:
         return []
+    src = data.select(F.slice(F.col(vector_col).cast("array<double>"), 1, dims).alias("__v")) \
+        .orderBy(F.xxhash64("__v")).limit(AXES_SAMPLE)
     model = PCA(k=min(n, dims), inputCol="__f", outputCol="__p").fit(src.select(array_to_vector("__v").alias("__f")))
     pc = model.pc.toArray()
     return [[float(x) for x in pc[:, j]] for j in range(pc.shape[1])]
@@ -266,8 +266,8 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, id_col: str = "id",
     if not vector:
         return knn_by_rank(queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(value_col).cast("double").alias("qv")),
                            data.select(F.col(id_col).cast("long").alias("neighbor_id"), F.col(value_col).cast("double").alias("dv")), k, include_self)
-    pending = materialize(queries.select(F.col(id_col).alias(id_col), F.col(coord).cast("array<double>").alias(coord)))
-    data = materialize(data.select(F.col(id_col).alias(id_col), F.col(coord).cast("array<double>").alias(coord)))
+    pending = queries.select(F.col(id_col).alias(id_col), F.col(coord).cast("array<double>").alias(coord))
+    data = data.select(F.col(id_col).alias(id_col), F.col(coord).cast("array<double>").alias(coord))
     both = pending.select(coord).unionByName(data.select(coord))
     dims = _vector_dims(both, coord)
     ax = choose_axes(both, coord, axes, dims[0])
