@@ -1,12 +1,12 @@
-"""Line dedup over content-defined chunks of lines.
-
-A rolling hash over the hashes of the last ``span`` non-blank lines marks the end
-of a chunk wherever its low bits are zero, so boundaries depend on nearby lines
-alone and an insertion shifts none further down. Chunks of two lines or more
-are counted by hash over all documents; for hashes seen twice or more the bytes
-themselves are grouped (with partial aggregation: a hot chunk is one row per
-task), and of each group of equal bytes the first one, by ``doc_id`` and place,
-stays. The lines of all others are removed. Blank lines belong to no chunk and
+"""Line dedup over every run of ``span`` lines.
+
+A chunk is ``span`` non-blank lines in a row, beginning at each of them, so any
+repeated passage of ``span`` lines or more is made of chunks that repeat, whatever
+stands before and after it. Chunks are counted by hash over all documents; those
+seen twice or more are grouped by a 128-bit fingerprint of their bytes (with partial
+aggregation: a hot chunk is one row per task), and of each group the first one, by
+``doc_id`` and place, stays. The lines of all others are removed. The first
+occurrence of a line always stays somewhere. Blank lines belong to no chunk and
 stay where a kept line follows or precedes them.
 
 NULL and empty texts have one blank line and lose nothing. Rows with the same
@@ -18,60 +18,51 @@ the same id and text are one document listed twice and fare alike. A NULL
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, checkpointed, id_text, slices
 
 
-def chunks(text: str, span: int = 2, mask: int = 3) -> list[tuple[int, int, bytes]]:
+def chunks(text: str, span: int = 2) -> Iterator[tuple[int, int, bytes]]:
     """First line, line after the last, and bytes of each chunk (blank lines between left out)."""
     lines = text.split("\n")
     full = [i for i, x in enumerate(lines) if x.strip(SPACE)]
-    hashes = [xxhash.xxh3_64_intdigest(lines[i]) for i in full]
-    out, begin = [], 0
-    for k in range(len(full)):
-        rolled = 0
-        for h in hashes[max(begin, k - span + 1):k + 1]:
-            rolled = (rolled * 0x9E3779B97F4A7C15 + h) % 2 ** 64
-        at_end = k + 1 == len(full)
-        if at_end or (k - begin + 1 >= span and (rolled >> 40) & mask == 0):
-            own = full[begin:k + 1]
-            out.append((own[0], own[-1] + 1, "\n".join(lines[i] for i in own).encode()))
-            begin = k + 1
-    return out
-
-
-def chunk_rows(rows: DataFrame, with_bytes: bool, span: int, mask: int) -> DataFrame:
-    """``doc_id, row, place, h`` of each chunk of two lines or more, with its bytes if asked for."""
-    fields = [("doc_id", pa.int64()), ("row", pa.int64()), ("place", pa.int32()), ("h", pa.int64())] + [("body", pa.binary())] * with_bytes
+    for k in range(len(full) - span + 1):
+        own = full[k:k + span]
+        yield own[0], own[-1] + 1, "\n".join(lines[i] for i in own).encode()
+
+
+def chunk_rows(rows: DataFrame, whole: bool, span: int) -> DataFrame:
+    """``h`` of each chunk, the first half of its fingerprint; if asked for the
+    ``whole``, also ``g``, the other half, and ``doc_id, row, place``."""
+    fields = [("h", pa.int64())] + [("g", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("place", pa.int32())] * whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             out = [[] for _ in fields]
             for doc_id, row, text in zip(part["doc_id"].to_pylist(), part["row"].to_pylist(), part["text"].to_pylist()):
-                for place, (_, _, body) in enumerate(chunks(text, span, mask)):
-                    if b"\n" in body:
-                        for column, value in zip(out, (doc_id, row, place, xxhash.xxh3_64_intdigest(body) - 2 ** 63, body)):
-                            column.append(value)
+                for place, (_, _, body) in enumerate(chunks(text, span)):
+                    h, g = np.frombuffer(blake2b(body, digest_size=16).digest(), "<i8").tolist()
+                    for column, value in zip(out, (h, g, doc_id, row, place)):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, fields)], schema=pa.schema(fields))
 
-    return rows.mapInArrow(run, "doc_id long, row long, place int, h long" + ", body binary" * with_bytes)
+    return rows.mapInArrow(run, "h long" + ", g long, doc_id long, row long, place int" * whole)
 
 
-def line_dedup(docs: DataFrame, span: int = 2, mask: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, span: int = 2) -> DataFrame:
     """``doc_id, n_lines, n_removed_lines, kept_text`` for each input row."""
     rows = id_text(docs).withColumn("row", F.xxhash64("text"))  # tells rows of one id apart
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "place")
-    counted = chunk_rows(rows, False, span, mask).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    with_bytes = chunk_rows(rows, True, span, mask)
-    repeated = checkpointed(with_bytes.join(counted, "h"))
-    first = repeated.groupBy("h", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "body", "first")
-    gone = repeated.join(first, ["h", "body"]).filter(place != F.col("first"))
+    counted = chunk_rows(rows, False, span).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    repeated = checkpointed(chunk_rows(rows, True, span).join(counted, "h"))
+    first = repeated.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g", "first")
+    gone = repeated.join(first, ["h", "g"]).filter(place != F.col("first"))
     lost = gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("place")).alias("places"))
     joined = rows.join(lost.withColumnsRenamed({"doc_id": "d", "row": "r"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed_lines", pa.int64()), ("kept_text", pa.string())])
@@ -88,7 +79,7 @@ def line_dedup(docs: DataFrame, span: int = 2, mask: int = 3) -> DataFrame:
                     continue
                 go = np.zeros(len(lines), bool)
                 places = set(places)
-                for place, (a, b, _) in enumerate(chunks(text, span, mask)):
+                for place, (a, b, _) in enumerate(chunks(text, span)):
                     if place in places:
                         go[a:b] = True
                 removed.append(int(go.sum()))

@@ -254,6 +254,21 @@ def test_line_boundaries_shift():
     assert len(set(one) & set(two)) >= len(one) - 3
 
 
+def test_line_dedup_finds_passages_between_different_neighbours(spark):
+    rng = random.Random(11)
+    rows, want = [], 0
+    for n in range(2, 11):
+        for k in range(12):
+            passage = [f"passage {n} {k} line {i}." for i in range(n)]
+            for copy in range(2):
+                before, after = ([f"own {n} {k} {copy} {rng.random()}" for _ in range(rng.randrange(1, 6))] for _ in range(2))
+                rows.append((len(rows), "\n".join(before + passage + after)))
+            want += n
+    out = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(r["n_removed_lines"] for r in out.values()) == want  # every line of every second copy, and no other
+    assert all("passage" not in out[i]["kept_text"] if i % 2 else out[i]["kept_text"] == t for i, t in rows)
+
+
 # -- secrets ------------------------------------------------------------------
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
