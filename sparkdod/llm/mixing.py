@@ -14,8 +14,10 @@ a spare handful of all sizes) are gathered, level by level, until a source fits
 one block, and only its last documents are landed, closest to the words still
 wanted. A hot source is just more blocks.
 
-A document larger than its source's whole target is left out, and the others
-are taken at the rate that makes up for it. Random choices depend on the seed and on document ids alone: reruns agree.
+A document larger than its source's whole target can only be taken alone, as
+every further one leads away from the target. So the others are drawn at the rate
+that makes up for it, and if the smallest such document is nearer to the target
+than their draw, it is taken in place of them. Random choices depend on the seed and on document ids alone: reruns agree.
 
 NULL and empty texts have size 0 (and are taken 0 words). A NULL source is a
 source, sorted last. Rows with the same ``doc_id`` are separate documents. An
@@ -174,15 +176,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     # one row per source meets all documents: broadcast if they are counted to be few, else Spark splits the hot source
     small = F.broadcast if targets.count() <= MOST_BROADCAST else (lambda t: t)
     aimed = base.join(small(targets.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    # a document larger than its source's target would miss it alone: the others stand in for it
+    # the documents no larger than the target are drawn; of the others only the smallest can come nearer, and only alone
     fits = F.col("size") <= F.col("target")
-    eligible = aimed.groupBy(F.col("source").alias("s")).agg(F.sum(F.when(fits, F.col("size"))).alias("fitting"))
+    alone = F.min(F.when(~fits, F.struct("size", F.xxhash64("row", F.lit(seed)).alias("order"), "row"))).alias("alone")
+    eligible = aimed.groupBy(F.col("source").alias("s")).agg(F.sum(F.when(fits, F.col("size"))).alias("fitting"), alone)
     rated = aimed.join(small(eligible), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rate = F.when(fits & (F.col("fitting") > 0), F.least(F.lit(float(most)), F.col("target") / F.col("fitting"))).otherwise(F.lit(0.0))
     rated = checkpointed(rated.withColumn("whole", F.floor(rate + F.lit(1e-12))).withColumn("p", F.greatest(rate - F.col("whole"), F.lit(0.0))))
     drawn = balanced_copies(rated.filter("p > 1e-9 and size > 0").select("source", "row", "size", "p", (F.lit(int(most)) - F.col("whole")).cast("int").alias("room")), block_rows, seed)
     copies = (F.col("whole") + F.coalesce(F.col("take"), F.lit(0))).cast("long")
-    out = rated.join(drawn, "row", "left").withColumn("copies", copies)
+    out = checkpointed(rated.join(drawn, "row", "left").withColumn("copies", copies))
+    got = out.filter("alone is not null").groupBy(F.col("source").alias("s"), "target", "alone").agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
+    only = got.filter("alone.size - target < abs(got - target)").select("s", F.col("alone.row").alias("only"))
+    out = out.join(small(only), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    out = out.withColumn("copies", F.when(F.col("only").isNull(), F.col("copies")).otherwise((F.col("row") == F.col("only")).cast("long")))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key", "nth")
 
 

@@ -335,6 +335,41 @@ def test_mixing(spark, block_rows):
     assert all(listed[r["doc_id"]] == r["copies"] for r in out if r["size"])
 
 
+def _mixed_sizes(spark, sizes, **parameters):
+    rows = [(s, n) for s, many in sizes.items() for n in many]
+    df = spark.createDataFrame([(i, " ".join(["w"] * n), "en", s) for i, (s, n) in enumerate(rows)], SCHEMA)
+    taken, target = Counter(), {}
+    for r in mixing.mix(df, **parameters).collect():
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    listed = Counter()
+    for r in mixing.mixed(df, **parameters).select("source", "text").collect():
+        listed[r["source"]] += len(words_of(r["text"]))
+    assert listed == +taken
+    return taken, target
+
+
+def test_mixing_takes_a_document_above_the_target_if_that_is_nearer(spark):
+    taken, target = _mixed_sizes(spark, {"a": [800], "b": [1000], "c": [1200]})
+    assert target == {"a": 500, "b": 1000, "c": 1500} and taken == {"a": 800, "b": 1000, "c": 1200}
+    taken, target = _mixed_sizes(spark, {"a": [10_000] + [100] * 10, None: [100] * 88}, weights=(1,))
+    assert target == {"a": 9900, None: 9900} and taken == {"a": 10_000, None: 9900}
+    taken, target = _mixed_sizes(spark, {"a": [1001, 700], "b": [100] * 6}, weights=(1000, 1301))  # 700 or 1,400 is farther off than 1,001
+    assert abs(target["a"] - 1000) < 1e-6 and taken == {"a": 1001, "b": 1300}
+    taken, target = _mixed_sizes(spark, {"a": [3000, 100, 100, 100], "b": [2100]}, weights=(1, 20))  # the others reach it
+    assert abs(taken["a"] - target["a"]) <= 50
+
+
+def test_mixing_of_small_sources_is_no_farther_off_than_any_document_alone(spark):
+    rng = random.Random(8)
+    sizes = {f"s{k:02d}": [int(rng.paretovariate(0.9) * 20) for _ in range(rng.randrange(1, 5))] for k in range(40)}
+    sizes["s00"] = sizes["s00"] + [4000]
+    taken, target = _mixed_sizes(spark, sizes)
+    for s, many in sizes.items():
+        assert all(abs(taken[s] - target[s]) <= n - target[s] + 1e-6 for n in many if n > target[s])
+        assert taken[s] or all(2 * target[s] <= n for n in many)
+
+
 # -- toxicity -----------------------------------------------------------------
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
