@@ -9,45 +9,84 @@ members is a dense cluster (every member has at least ``k`` others within
 ``R``, so none is an outlier), its centre is the cell midpoint (every
 member lies within ``R/2`` of it, as in the reference).
 
+Cells hold at any magnitude. From 1e6 radii on the width shrinks by the
+rounding of a value of that size and the cell number is exact (the remainder
+of DOUBLEs is); the width never grows with ``|value|``, so a number that two
+widths share still spans less than ``R``. From 2^48 radii on, where DOUBLEs
+lie R/32 apart or more, each distinct value is a cell and its own centre, with
+the number of its bits (far above the grid's).
+
 It is one aggregation per (window, cell) with map-side partial counts, so a
 hot cell costs no more than any other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .neighbors import DENSE_MAX_MAGNITUDE, DENSE_WIDTH_FACTOR
+from .neighbors import DENSE_MAX_MAGNITUDE, DENSE_WIDTH_FACTOR, check_radius
 from .search import finite, nearest_center
 from .windows import Windows
 
 
+GRID_MAX_MAGNITUDE = 2.0 ** 48
+
 
 def dense_cell_width(radius: float) -> float:
     return float(radius) * DENSE_WIDTH_FACTOR
 
 
+def _width(size: Column, r: float) -> Column:
+    """Cell width at ``|value|``: below ``R`` by at least twice the rounding of
+    a value and a centre of that size; at least 3/4 ``R`` on the grid."""
+    step = F.pow(F.lit(2.0), F.floor(F.log2(size)) - 50)  # 2 to 4 times size * 2**-52
+    return F.greatest(F.least(F.lit(dense_cell_width(r)), F.lit(r) - step), F.lit(r / 2 or 1.0))
+
+
+def _bits(size: Column) -> Column:
+    """The bits of a positive DOUBLE as a number."""
+    e = F.floor(F.log2(size))
+    m = size / F.pow(F.lit(2.0), e)
+    e = e + F.when(m >= 2, 1).when(m < 1, -1).otherwise(0)  # log2 rounds
+    return (e + 1023) * F.lit(2 ** 52) + ((size / F.pow(F.lit(2.0), e) - 1) * F.lit(2.0 ** 52)).cast("long")
+
+
+def _cell(v: Column, r: float) -> Column:
+    size, width = F.abs(v), _width(F.abs(v), r)
+    rest = v % width
+    exact = F.round((v - rest) / width).cast("long") - F.when(rest < 0, 1).otherwise(0)
+    alone = F.when(v == 0, 0).when(v > 0, _bits(size)).otherwise(-_bits(size))
+    return F.when(size < F.lit(DENSE_MAX_MAGNITUDE * r), F.floor(v / F.lit(dense_cell_width(r) or 1.0)).cast("long")) \
+        .when(size < F.lit(GRID_MAX_MAGNITUDE * r), exact).otherwise(alone).cast("long")
+
+
+def _center(cell: Column, far: Column, r: float) -> Column:
+    """Midpoint of a cell whose largest ``|value|`` is ``far``."""
+    width = F.when(far < F.lit(DENSE_MAX_MAGNITUDE * r), F.lit(dense_cell_width(r))).otherwise(_width(far, r))
+    return F.when(far < F.lit(GRID_MAX_MAGNITUDE * r), (cell.cast("double") + F.lit(0.5)) * width) \
+        .otherwise(F.when(cell < 0, -far).otherwise(far))
+
+
 def dense_clusters(points: DataFrame, windows: Windows | None, radius: float, k: int, *,
                    value_col: str = "value") -> DataFrame:
     """(window_end, cell, center, points) for every cell with more
     than ``k`` points in a window (``window_end`` is 0 without windows).
 
-    Values that are no points (D5) are left out. Where ``|value| / radius``
-    reaches 1e6 a cell would be wider than rounding allows, so there is none."""
-    w = dense_cell_width(radius)
-    points = points.where(finite(value_col, False) & (F.abs(F.col(value_col).cast("double")) < F.lit(DENSE_MAX_MAGNITUDE * float(radius))))
+    Values that are no points (D5) are left out."""
+    r = check_radius(radius)
+    points = points.where(finite(value_col, False))
     v = F.col(value_col).cast("double")
     if windows is None:
         keyed = points.select(F.lit(0).cast("long").alias("window"), v.alias("v"))
     else:
         keyed = points.select(F.explode(windows.window_numbers(windows.position(points))).alias("window"),
                               v.alias("v"))
-    cells = keyed.select("window", F.floor(F.col("v") / F.lit(w)).cast("long").alias("cell")) \
-        .groupBy("window", "cell").agg(F.count(F.lit(1)).alias("points")).where(F.col("points") > k)
+    cells = keyed.select("window", _cell(F.col("v"), r).alias("cell"), F.abs(F.col("v")).alias("size")) \
+        .groupBy("window", "cell").agg(F.count(F.lit(1)).alias("points"), F.max("size").alias("far")).where(F.col("points") > k)
     label = windows.label(F.col("window"), points) if windows is not None else F.col("window")
     return cells.select(label.alias("window_end"), "cell",
-                        ((F.col("cell").cast("double") + F.lit(0.5)) * F.lit(w)).alias("center"), "points")
+                        _center(F.col("cell"), F.col("far"), r).alias("center"), "points")
 
 
 def assign_clusters(points: DataFrame, clusters: DataFrame, radius: float, *, id_col: str = "id",

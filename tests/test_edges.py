@@ -138,6 +138,8 @@ def _brute_time_counts(rows, size_us, slide_us, r, k):
     return res
 
 
+import random  # noqa: E402
+
 import pytest  # noqa: E402
 
 
@@ -180,6 +182,28 @@ def test_outliers_per_cell_keeps_pruned_cells(spark):
     assert a == b == [(0, 0, 0), (0, 1, 1), (0, 2, 2)]
 
 
+@pytest.mark.parametrize("radius, starts", [
+    (60.0, [0.0, -30.0, 6e7 - 200, 1e9, -1e9, 1.7e9, 1.7e15, 60 * 2.0 ** 48 - 300, 3e18, -3e18, 1e300, -1.7e308]),
+    (0.1, [200_000.0, 99_999.5, -1e9])])
+def test_dense_clusters_at_any_magnitude(spark, radius, starts):
+    from sparkdod.operators.clusters import _cell, assign_clusters, dense_clusters
+    rng = random.Random(7)
+    vals = [s + rng.uniform(0, 8 * radius) for s in starts for _ in range(40)] + [s + radius * i for s in starts for i in range(8)]
+    vals = [v for v in vals for _ in range(4)]  # every cell holds more than three points
+    df = spark.createDataFrame(list(enumerate(vals)), SCHEMA)
+    cells = dense_clusters(df, None, radius, 3)
+    found = {r.cell: r for r in cells.collect()}
+    members = {}
+    for r in df.select("value", _cell(F.col("value"), radius).alias("cell")).collect():
+        members.setdefault(r.cell, []).append(r.value)
+    assert {c: r.points for c, r in found.items()} == {c: len(m) for c, m in members.items()}
+    for c, m in members.items():
+        assert max(m) - min(m) <= radius and all(abs(v - found[c].center) <= radius / 2 for v in m)
+    order = sorted(members)  # a cell is one run of the sorted values
+    assert all(max(members[a]) < min(members[b]) for a, b in zip(order, order[1:]))
+    assert all(r.distance is not None for r in assign_clusters(df, cells, radius).collect())
+
+
 def test_command_line_job_on_table_with_time_windows(spark, tmp_path, sf001):
     from sparkdod.job import main
     main(["--input", f"{sf001}/events.parquet", "--format", "parquet", "--id-col", "event_id", "--ts-col", "ts",
