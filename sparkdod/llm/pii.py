@@ -73,6 +73,15 @@ def _mod97(match: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(turned, F.lit("."), F.lit(0)), F.lit(0), step)
 
 
+def _iban(match: Column) -> Column:
+    """The longest part of a proposal, from its first character to a space or
+    its end, that mod 97 confirms: the words after an IBAN may look like its
+    groups. The whole if there is none."""
+    groups = F.split(match, " ")
+    parts = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+    return F.coalesce(F.get(F.filter(parts, lambda x: (F.length(F.replace(x, F.lit(" "))) >= 12) & (_mod97(x) == 1)), F.lit(0)), match)
+
+
 def _confirmed(kind: str, match: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(match, r"\."), lambda part: (F.length(F.regexp_replace(part, "^0+(?=.)", "")) <= 3) & (F.lpad(F.regexp_replace(part, "^0+(?=.)", ""), 3, "0") <= "255"))
@@ -110,7 +119,10 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     text = F.col("text")
 
     def spans(kind: str) -> Column:
-        kept = F.filter(F.col(f"m_{kind}"), lambda m: _confirmed(kind, m["match"]))
+        found = F.col(f"m_{kind}")
+        if kind == "iban":
+            found = F.transform(found, lambda m: F.struct(m["start"].alias("start"), _iban(m["match"]).alias("match")))
+        kept = F.filter(found, lambda m: _confirmed(kind, m["match"]))
 
         def span(m: Column) -> Column:
             before = F.lower(F.substr(text, F.greatest(m["start"] + 1 - CONTEXT_REACH, F.lit(1)), F.least(m["start"], F.lit(CONTEXT_REACH))))

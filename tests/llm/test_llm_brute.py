@@ -195,6 +195,15 @@ def test_pii_checksum_and_context(spark):
     assert got == {1: [("iban", "DE89 3704 0044 0532 0130 00")], 2: [], 3: [("ssn", "123-45-6789")], 4: [], 5: [("local_phone", "(212) 555-0123")], 6: []}
 
 
+def test_pii_iban_before_words_like_its_groups(spark):
+    ibans = ["BE68 5390 0754 7034", "AT611904300234573201", "ES9121000418450200051332", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]
+    tails = ["", " BIC", " VISA", " VISA CARD", " 2024 EUR", " Bic", ".", " BIC1 is it"]
+    rows = [(i, f"pay to {iban}{tail}") for i, (iban, tail) in enumerate((x, y) for x in ibans for y in tails)] + [(900, "BE68 5390 0754 7035 BIC"), (901, "BE68 5390 0754 70341")]
+    got = {r["doc_id"]: [(s["kind"], s["match"], s["start"], s["end"]) for s in r["spans"] if s["kind"] == "iban"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: [("iban", iban, 7, 7 + len(iban))] for i, (iban, _) in enumerate((x, y) for x in ibans for y in tails)}
+    assert got == want | {900: [], 901: []}
+
+
 # -- quality ------------------------------------------------------------------
 def test_quality_query(spark, sf001, texts):
     for r in queries.op5_quality(spark, sf001).collect():
