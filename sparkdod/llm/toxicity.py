@@ -101,10 +101,16 @@ def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, weight: np.nda
     return w, low + np.concatenate([[0.0], np.cumsum(np.exp(steps))])
 
 
+#: Each grade has a threshold and up to ``per_grade`` documents on the driver.
+MOST_GRADES = 100
+
+
 def train(docs: DataFrame, labels: DataFrame, grade: Column, per_grade: int = 3000, features: int = 2048, least_docs: int = 5, least_z: float = 3.0) -> Model:
-    """Fit the model on a bounded sample of the labelled documents."""
+    """Fit the model on a bounded sample of the labelled documents. More than ``MOST_GRADES`` grades are an error."""
     graded = checkpointed(labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("int").alias("grade")).dropna().groupBy("doc_id").agg(F.max("grade").alias("grade")))
-    shares = dict(graded.groupBy("grade").count().orderBy("grade").limit(100).collect())
+    shares = dict(graded.groupBy("grade").count().orderBy("grade").limit(MOST_GRADES + 1).collect())
+    if len(shares) > MOST_GRADES:
+        raise ValueError(f"more than {MOST_GRADES} grades: join some of them")
     if len(shares) < 2:
         return Model()
     picks = None

@@ -393,6 +393,12 @@ def test_toxicity_held_out(spark):
     assert mean(bad) > 0.5 > 0.05 > mean(clean)
 
 
+def test_toxicity_of_too_many_grades_is_an_error(spark):
+    docs = spark.range(101).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    with pytest.raises(ValueError, match="100 grades"):
+        toxicity.train(docs, docs, F.col("doc_id"))
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(0)
     x = rng.random(600) * 4
