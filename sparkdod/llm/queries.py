@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, near_dup, pii, quality, secret_scan, substring_dedup, toxicity
+from . import bpe, conversation_repair, exact_dedup, line_dedup, mixing, near_dup, pii, quality, secret_scan, substring_dedup, token_align, token_count, toxicity
 from .common import documents
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -69,7 +69,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, model).withColumn("kept", ~F.col("toxic"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op2_substring_dedup, op3_bpe, op4_pii, op5_quality, op6_exact_dedup, op7_line_dedup, op8_secrets, op9_mixing, op10_toxicity)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.digests_of_all(rows, conversation_repair.repair(conversation_repair.damaged(rows)))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_align.align(documents(spark, sf_dir))
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise(F.lit(""))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"), "n_group_links")
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_substring_dedup, op3_bpe, op4_pii, op5_quality, op6_exact_dedup, op7_line_dedup, op8_secrets, op9_mixing, op10_toxicity,
+                                   op11_conversation_repair, op12_token_alignment, op13_token_counts)}
 
 ORACLE = {
     # all pairs that share a shingle, then components by repeated relaxation

@@ -4,7 +4,7 @@ tables and columns whose names the operators use themselves."""
 import pytest
 from pyspark.sql import functions as F
 
-from sparkdod.llm import bpe, exact_dedup, line_dedup, mixing, near_dup, pii, quality, secret_scan, substring_dedup, toxicity
+from sparkdod.llm import bpe, exact_dedup, line_dedup, mixing, near_dup, pii, quality, secret_scan, substring_dedup, token_align, token_count, toxicity
 
 LONG = " ".join(f"word{i % 997}x{i % 1009}" for i in range(60_000))
 SAME = "one two three four five six seven eight nine ten"
@@ -26,6 +26,7 @@ OPERATORS = {
     "near_dup": lambda d: near_dup.near_duplicates(d), "substring_dedup": lambda d: substring_dedup.substring_dedup(d), "bpe": lambda d: bpe.encode(d, decoded=True),
     "pii": pii.find_pii, "quality": quality.clean, "exact_dedup": exact_dedup.exact_dedup, "line_dedup": line_dedup.line_dedup, "secrets": secret_scan.find_secrets,
     "mixing": mixing.mix, "toxicity": lambda d: toxicity.severity(d, toxicity.Model({"x": 1.0}, [0.5])),
+    "token_align": token_align.align, "token_count": token_count.token_counts,
 }
 
 

@@ -15,7 +15,7 @@ from sparkdod.llm.common import documents
 
 def test_all_are_registered():
     names = set(E.queries())
-    assert {q.split("_")[0] for q in names if q.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in names if q.startswith("op")} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in names and set(queries.ORACLE) <= names
 
 
