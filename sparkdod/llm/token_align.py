@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,10 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _byte_letters
-from .common import block_count, ensure_checkpoint_dir, id_text, slices
+from .common import block_count, checkpointed, ensure_checkpoint_dir, id_text, slices
 from .token_count import read_spec
 
 SPACE_SIGN = "▁"
+#: Characters outside the ranges that all Unicode versions of the last years class alike.
+RECENT = re.compile("[^\x00-\u036f\u0400-\u0525\u2000-\u2bff\u3000-\u312d\u4e00-\u9fa5\uac00-\ud7a3\uff00-\uffef\U0001f300-\U0001f64f]")
 
 
 class Vocabulary:
@@ -60,6 +63,7 @@ class Vocabulary:
             self.model.encode_special_tokens = True  # special strings in a text are plain text
             self.blank = " "
             letters, parsed = _byte_letters(), json.loads(spec)
+            self.quick = self._quick(parsed, letters)
             names = {i: t.encode() if t not in parsed["model"]["vocab"] else bytes(letters[c] for c in t)
                      for t, i in parsed["model"]["vocab"].items() | {(t["content"], t["id"]) for t in parsed["added_tokens"]}}
             tokens = [names.get(i, b"") for i in range(max(names) + 1)]
@@ -76,10 +80,31 @@ class Vocabulary:
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.blank:
-            return [e.ids for e in self.model.encode_batch_fast([self.blank + t for t in texts], add_special_tokens=False)]
-        return self.model.encode(texts, num_threads=1)
+    def _quick(self, parsed: dict, letters: dict[str, int]):
+        """The same vocabulary in the faster library that merges by rank, if the file says no more than it
+        can express: plain byte-level pieces, ids of merged tokens in the order of the merges."""
+        model, cut = parsed["model"], parsed["pre_tokenizer"]
+        plain = (parsed["normalizer"] is None and cut["type"] == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]
+                 and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")))
+        made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if not plain or made != sorted(set(made)):
+            return None
+        import public_tokenizers
+        import tiktoken
+
+        added = {t["content"] for t in parsed["added_tokens"]}
+        ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
+        return tiktoken.Encoding("quick", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of blank + text. Texts with characters that not all Unicode versions class
+        alike go through the file's own library."""
+        if not self.blank:
+            return self.model.encode(texts, num_threads=1, return_type="numpy")
+        texts = [self.blank + t for t in texts]
+        slow = [i for i, t in enumerate(texts) if self.quick is None or RECENT.search(t)]
+        out = dict(zip(slow, (np.array(e.ids, self.type) for e in self.model.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False))))
+        return [out[i] if i in out else self.quick.encode_to_numpy(t) for i, t in enumerate(texts)]
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that the tokens stand for."""
@@ -116,8 +141,9 @@ class Csr:
 
     def transposed(self) -> Csr:
         rows = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
-        order = np.argsort(self.columns, kind="stable")
-        return Csr(np.concatenate([[0], np.cumsum(np.bincount(self.columns, minlength=self.width))]), rows[order], len(self.starts) - 1)
+        if (np.diff(self.columns) < 0).any():
+            rows = rows[np.argsort(self.columns, kind="stable")]
+        return Csr(np.concatenate([[0], np.cumsum(np.bincount(self.columns, minlength=self.width))]), rows, len(self.starts) - 1)
 
     def product(self, other: Csr) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Gustavson: row ``i`` of the product gathers the rows of ``other`` that
@@ -192,14 +218,17 @@ def written(size_a: int, size_b: int) -> list[str]:
 
 def encoded(texts: list[str], a: Vocabulary, b: Vocabulary) -> tuple[list[bytes], list[bytes]]:
     """Packed ids of both sides; none where the bytes of either side are not blank + text."""
-    out_a, out_b = [], []
-    for t, x, y in zip(texts, a.encode(texts), b.encode(texts)):
-        x, y = np.array(x, a.type), np.array(y, b.type)
-        want = np.frombuffer((" " + t).encode(), np.uint8)
-        same = bool(t) and np.array_equal(a.joined(x), want) and np.array_equal(b.joined(y), want)
-        out_a.append(x.tobytes() if same else b"")
-        out_b.append(y.tobytes() if same else b"")
-    return out_a, out_b
+    want = [(" " + t).encode() if t else b"" for t in texts]
+    sides = [[x if w else x[:0] for x, w in zip(v.encode(texts), want)] for v in (a, b)]
+    bytes_wanted, sizes = np.frombuffer(b"".join(want), np.uint8), np.array(list(map(len, want)))
+    same = np.ones(len(texts), bool)
+    for v, ids in zip((a, b), sides):
+        lengths = np.array([int(v.lengths[x].sum()) for x in ids])
+        same &= lengths == sizes
+        if (lengths == sizes).all() and np.array_equal(v.joined(np.concatenate(ids) if ids else np.zeros(0, int)), bytes_wanted):
+            continue
+        same &= [bool(s) and v.joined(x).tobytes() == w for s, x, w in zip(same, ids, want)]
+    return tuple([x.astype(v.type).tobytes() if s else b"" for x, s in zip(ids, same)] for v, ids in zip((a, b), sides))
 
 
 def merged(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -303,7 +332,7 @@ def align(docs: DataFrame, tokenizer_a: str | None = None, tokenizer_b: str | No
     paths = (tokenizer_a or default[0], tokenizer_b or default[1])
     specs = docs.sparkSession.sparkContext.broadcast([read_spec(p) for p in paths])
     blocks = encode_blocks(docs, specs, block_bytes)
-    found = pair_counts(blocks, specs)
+    found = checkpointed(pair_counts(blocks, specs))
     counts = found.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("b_id", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)))
     best = counts.groupBy(F.col("b_id").alias("best_of")).agg(F.max("count").alias("most"))
     known = counts.join(best, F.col("b_id") == F.col("best_of")).select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
