@@ -85,17 +85,32 @@ def replicate(df: DataFrame, value_col: str, bounds: Sequence[float], radius: fl
     return out.withColumn(replica_col, F.col(cell_col) != F.col("__own")).drop("__own", "__lo", "__hi")
 
 
+#: Cell numbers beyond this are one cell (LONG holds them, with room for the cells next to it).
+MOST_CELLS = 2.0 ** 62
+
+
+def grid_width(radius: float) -> float:
+    """The smallest power of two not below the radius: dividing by it is exact."""
+    m, e = math.frexp(radius)
+    return (math.ldexp(1.0, e - 1) if m == 0.5 else math.ldexp(1.0, e)) if radius > 0 else 1.0
+
+
 def grid_cell(value: Column, width: float) -> Column:
     """Fixed-width grid cell ``floor(value / width)``."""
-    return F.floor(value / F.lit(float(width))).cast("long")
+    at = value / F.lit(float(width))
+    return F.floor(F.greatest(F.least(at, F.lit(MOST_CELLS)), F.lit(-MOST_CELLS))).cast("long")
 
 
 def grid_reach(value: Column, radius: float, width: float) -> Column:
     """ARRAY of the grid cells that can hold a value within ``radius`` of
-    ``value`` under the exact predicate ``abs(a - b) <= radius`` in DOUBLE.
+    ``value`` under the exact predicate ``abs(a - b) <= radius`` in DOUBLE: at most five.
 
     ``floor(x / w)`` is monotone in x, so padding the interval by the rounding
-    slack is enough for any magnitude."""
+    slack is enough for any magnitude. Where the slack is wider than cells, the
+    width (a power of two, ``grid_width``) bounds the list: cell numbers are exact and
+    two values within ``radius <= width`` lie at most two cells apart."""
     r = float(radius)
     slack = (F.abs(value) + F.lit(r)) * F.lit(ROUNDING_SLACK)
-    return F.sequence(grid_cell(value - F.lit(r) - slack, width), grid_cell(value + F.lit(r) + slack, width))
+    own = grid_cell(value, width)
+    lo, hi = grid_cell(value - F.lit(r) - slack, width), grid_cell(value + F.lit(r) + slack, width)
+    return F.sequence(F.greatest(lo, own - 2), F.least(hi, own + 2))

@@ -22,7 +22,7 @@ hot cell costs no more than any other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .neighbors import DENSE_MAX_MAGNITUDE, DENSE_WIDTH_FACTOR, check_radius
@@ -77,18 +77,36 @@ def dense_clusters(points: DataFrame, windows: Windows | None, radius: float, k:
     r = check_radius(radius)
     points = points.where(finite(value_col, False))
     v = F.col(value_col).cast("double")
+    m = windows.panes_per_window if windows is not None else None
     if windows is None:
-        keyed = points.select(F.lit(0).cast("long").alias("window"), v.alias("v"))
+        span = F.lit(0).cast("long")
+    elif m is None:
+        span = F.explode(windows.window_numbers(windows.position(points)))
     else:
-        keyed = points.select(F.explode(windows.window_numbers(windows.position(points))).alias("window"),
-                              v.alias("v"))
-    cells = keyed.select("window", _cell(F.col("v"), r).alias("cell"), F.abs(F.col("v")).alias("size")) \
-        .groupBy("window", "cell").agg(F.count(F.lit(1)).alias("points"), F.max("size").alias("far")).where(F.col("points") > k)
+        span = windows.pane(windows.position(points))
+    cells = points.select(span.alias("window"), _cell(v, r).alias("cell"), F.abs(v).alias("size")) \
+        .groupBy("window", "cell").agg(F.count(F.lit(1)).alias("points"), F.max("size").alias("far"))
+    if m is not None:
+        cells = _pane_sums(cells, m, k)
+    cells = cells.where(F.col("points") > k)
     label = windows.label(F.col("window"), points) if windows is not None else F.col("window")
     return cells.select(label.alias("window_end"), "cell",
                         _center(F.col("cell"), F.col("far"), r).alias("center"), "points")
 
 
+def _pane_sums(panes: DataFrame, m: int, k: int) -> DataFrame:
+    """Windows with more than ``k`` points from the counts of panes (``window`` is the pane): a pane
+    adds its points to the window that it enters and takes them off ``m`` windows later. Two
+    rows for each (pane, cell), whatever ``m`` is; only rows of the result are listed window by window."""
+    step = F.explode(F.array(F.struct((F.col("window") + 1).alias("window"), F.col("points").alias("change")),
+                             F.struct((F.col("window") + m + 1).alias("window"), (-F.col("points")).alias("change")))).alias("s")
+    steps = panes.select("cell", "far", step).select("cell", "far", "s.*").groupBy("cell", "window").agg(F.sum("change").alias("change"), F.max("far").alias("far"))
+    by_cell = Window.partitionBy("cell").orderBy("window")
+    run = steps.select("cell", "window", F.sum("change").over(by_cell.rowsBetween(Window.unboundedPreceding, 0)).alias("points"),
+                       F.lead("window").over(by_cell).alias("next"), F.max("far").over(Window.partitionBy("cell")).alias("far"))
+    return run.where(F.col("points") > k).select("cell", "points", "far", F.explode(F.sequence("window", F.col("next") - 1)).alias("window"))
+
+
 def assign_clusters(points: DataFrame, clusters: DataFrame, radius: float, *, id_col: str = "id",
                     value_col: str = "value") -> DataFrame:
     """Each point's closest cluster centre within ``R/2`` (reference's

@@ -69,18 +69,25 @@ def distinct_values(points: DataFrame, pane: Column, value_col: str = "value") -
 
 
 def pane_range_counts(d: DataFrame, radius: float, reach: int, bounds: list[float],
-                      counted: str | None = None) -> DataFrame:
+                      counted: str | None = None, later: bool = True) -> DataFrame:
     """For every distinct (pane ``src``, value ``v``) and every pane ``q`` with
-    ``|q - src| <= reach``: ``cnt`` = points of pane ``q`` with
+    ``|q - src| <= reach`` (without ``later``: up to ``src``): ``cnt`` = points of pane ``q`` with
     ``abs(u - v) <= radius`` (the point itself included when ``q == src``).
 
-    ``d`` has columns (pane, value, mult). Returns (src, v, mult, q, cnt).
+    ``d`` has columns (pane, value, mult). Returns (src, v, mult, q, cnt); panes
+    before the first one of ``d`` are left out, and panes behind the last one are
+    not searched (they count 0).
     ``counted`` names a boolean column of ``d`` that restricts the values
     whose neighbours are counted; all of ``d`` still counts as neighbours.
     """
     r = float(radius)
     pane, v, mult = F.col("pane"), F.col("value"), F.col("mult")
-    qs = F.sequence(pane - reach, pane + reach)
+    first, last, ahead = pane - reach, pane + reach if later else pane, None
+    if reach > 1:  # between the first and the last pane; one aggregate over the materialised table
+        lo, hi = d.agg(F.min("pane"), F.max("pane")).first()
+        if lo is not None:
+            first, ahead = F.greatest(first, F.lit(lo)), F.lit(hi)
+    qs = F.sequence(first, last if ahead is None else F.least(last, ahead))
     is_counted = F.lit(True) if counted is None else F.coalesce(F.col(counted), F.lit(False))
     # probes (src, v, mult, q) for the values that are counted
     probes = d.where(is_counted).select(pane.alias("src"), v.alias("v"), mult, F.explode(qs).alias("q"))
@@ -136,6 +143,10 @@ def pane_range_counts(d: DataFrame, radius: float, reach: int, bounds: list[floa
     band = band_probes.join(build, ["q", "cls", "slot"]).where(in_band) \
         .select("src", "v", "mult", "q", corr.alias("c")).where(F.col("c") != 0)
 
+    if ahead is not None and later:
+        behind = d.where(is_counted & (pane + reach > ahead)).select(
+            pane.alias("src"), v.alias("v"), mult, F.explode(F.sequence(ahead + 1, pane + reach)).alias("q"), F.lit(0).cast("long").alias("c"))
+        prefix = prefix.unionByName(behind)
     # one exchange by value serves this sum and the per-value windows that follow
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return prefix.unionByName(band).repartition(parts, "src", "v").groupBy("src", "v", "mult", "q").agg(F.sum("c").alias("cnt"))

@@ -96,8 +96,9 @@ def recent_neighbors(points: DataFrame, windows: Windows, radius: float, k: int,
     """A3: per point and window, the arrival labels of its ``k`` most recent
     earlier-or-equal neighbours, newest first (the bounded ``nn_before``
     list). Arrival is the slide, so the list repeats a slide label once per
-    neighbour in that slide. Built from per-slide counts: no pair is formed
-    and every collected list holds at most ``m`` (slides per window) items."""
+    neighbour in that slide. Built from per-slide counts: no pair is formed. A
+    value has one list, the ``k`` newest of all its windows; as it runs from new to
+    old, the list of a window is what lies inside it: ``m`` rows per value."""
     m = windows.panes_per_window
     if m is None:
         raise ValueError("recent_neighbors needs a slide that divides the window size")
@@ -106,17 +107,16 @@ def recent_neighbors(points: DataFrame, windows: Windows, radius: float, k: int,
     d = distinct_table(points, windows.pane(pos), value_col)
     n_cells = cells if cells is not None else choose_cells(d, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), m - 1)
     bounds = union_bounds(d, radius, n_cells)
-    c = pane_range_counts(d, radius, m - 1, bounds).where(F.col("q") <= F.col("src"))
-    c = c.withColumn("window", F.explode(F.sequence(F.col("src") + 1, F.col("q") + m)))
-    per = c.groupBy("window", "src", "v").agg(F.sort_array(F.collect_list(F.struct("q", "cnt")), asc=False).alias("qc"))
-    recent = F.slice(F.flatten(F.transform(
-        "qc", lambda x: F.array_repeat(x["q"], F.least(x["cnt"] - F.when(x["q"] == F.col("src"), 1).otherwise(0),
-                                                      F.lit(k)).cast("int")))), 1, k)
-    per = per.select("window", "src", "v", recent.alias("recent"))
+    c = pane_range_counts(d, radius, m - 1, bounds, later=False).where(F.col("q") <= F.col("src"))
+    c = c.withColumn("others", F.least(F.col("cnt") - (F.col("q") == F.col("src")).cast("long"), F.lit(k)).cast("int"))
+    per = c.groupBy("src", "v").agg(F.sort_array(F.collect_list(F.when(F.col("others") > 0, F.struct("q", "others"))), asc=False).alias("qc"))
+    per = per.select("src", "v", F.slice(F.flatten(F.transform("qc", lambda x: F.array_repeat(x["q"], x["others"]))), 1, k).alias("newest"))
     pts = points.select(F.col(id_col).cast("long").alias("id"), F.col(value_col).cast("double").alias("value"),
                         windows.pane(pos).alias("src"))
-    out = pts.join(per, (pts.src == per.src) & (pts.value == per.v))
-    labels = F.transform("recent", lambda q: windows.pane_label(q, points))
+    out = pts.join(per, (pts.src == per.src) & (pts.value == per.v)).select(
+        "id", "value", "newest", F.explode(F.sequence(per.src + 1, per.src + m)).alias("window"))
+    recent = F.filter("newest", lambda q: q >= F.col("window") - m)
+    labels = F.transform(recent, lambda q: windows.pane_label(q, points))
     return out.select(windows.label(F.col("window"), points).alias("window_end"), "id", "value",
                       labels.alias("preceding_ts"))
 

@@ -20,24 +20,41 @@ values, and vectors holding one, are no points (D5).
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import abs_distance, euclidean, resolve_metric
 from ..plans.partitioning import materialize, spread
 from .blocks import DEFAULT_BLOCK_ROWS, block_radius_counts, block_radius_pairs, block_radius_topk
-from .cells import grid_cell, grid_reach
+from .cells import MOST_CELLS, grid_cell, grid_reach, grid_width
 from .neighbors import check_radius
 from .ranking import knn_by_rank, numbered
 
 _log = logging.getLogger(__name__)
 
-# Rounding slack of an n-D distance (64-term sums): relative error far below 2**-36.
+# Relative slack of the largest possible distance (sums of norms).
 _ND_SLACK = 2.0 ** -36
 
 
+class Axes(list):
+    """Unit directions, a ``centre`` that is subtracted before projecting, and ``far``: no vector is
+    farther from the centre (None: not measured)."""
+
+    def __init__(self, directions=(), centre: Sequence[float] = (), far: float | None = None):
+        super().__init__(directions)
+        self.centre, self.far = list(centre), far
+
+
+def _projection_slack(distance: Column, r: float, dims: int) -> Column:
+    """How far the computed projections of two vectors within ``r`` can be apart beyond ``r``, for one at
+    ``distance`` from the centre: each is a sum of ``dims`` products, so its error is below
+    ``dims * 2**-53`` of that distance, and the directions' own rounding adds as much again."""
+    return (distance + F.lit(r)) * F.lit(4.0 * (dims + 8) * 2.0 ** -53)
+
+
 def _is_vector(df: DataFrame, col: str) -> bool:
     return df.schema[col].dataType.typeName() == "array"
 
@@ -55,40 +72,56 @@ def finite(col: str, vector: bool):
 AXES_SAMPLE = 10_000
 
 
-def choose_axes(data: DataFrame, vector_col: str = "vec", n: int = 2, dims: int | None = None) -> list[list[float]]:
+def choose_axes(data: DataFrame, vector_col: str = "vec", n: int = 2, dims: int | None = None) -> Axes:
     """``n`` orthonormal directions of largest spread: PCA fitted on
     ``AXES_SAMPLE`` rows at most (only a ``dims x n`` matrix reaches the
     driver). None for fewer than two rows or no dimensions.
 
     Any unit vector ``u`` gives the exact bound ``|u.x - u.y| <= |x - y|``,
     so the sample only affects how well the grid separates points, never
-    the result."""
+    the result. Projections are of differences to one of the rows, so coordinates far
+    from zero (times, say) cost no precision."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
     data = data.where(finite(vector_col, True))
+    rows = data.select(F.col(vector_col).cast("array<double>").alias("__v")).take(2)
+    if len(rows) < 2 or n <= 0:
+        return Axes()
+    centre = rows[0][0]
+    far = F.max(_distance_to(F.col(vector_col).cast("array<double>"), centre))
     if dims is None:
-        dims = _vector_dims(data, vector_col)[0]
-    if dims <= 0 or n <= 0:
-        return []
-    if len(data.select(vector_col).take(2)) < 2:
-        return []
+        dims, far = data.select(F.min(F.size(vector_col)), far).first()
+    else:
+        far = data.select(far).first()[0]
+    if not dims or dims <= 0:
+        return Axes()
     src = data.select(F.slice(F.col(vector_col).cast("array<double>"), 1, dims).alias("__v")) \
         .orderBy(F.xxhash64("__v")).limit(AXES_SAMPLE)
     model = PCA(k=min(n, dims), inputCol="__f", outputCol="__p").fit(src.select(array_to_vector("__v").alias("__f")))
     pc = model.pc.toArray()
-    return [[float(x) for x in pc[:, j]] for j in range(pc.shape[1])]
+    return Axes([[float(x) for x in pc[:, j] / math.sqrt(float((pc[:, j] ** 2).sum()) or 1.0)] for j in range(pc.shape[1])], centre[:dims], far)
+
+
+def _distance_to(vec: Column, centre: Sequence[float]) -> Column:
+    """Distance of the common prefix to a fixed vector (no vector: the norm)."""
+    size = len(centre)
+    diff = F.zip_with(F.slice(vec, 1, size), F.slice(F.array(*[F.lit(float(c)) for c in centre]), F.lit(1), F.least(F.size(vec), F.lit(size))), lambda x, c: x - c) if size else vec
+    return F.sqrt(F.aggregate(F.transform(diff, lambda x: x * x), F.lit(0.0).cast("double"), lambda acc, z: acc + z))
 
 
-def _axis_coords(df: DataFrame, vector_col: str, axes: Sequence[Sequence[float]], dims: int) -> DataFrame:
+def _axis_coords(df: DataFrame, vector_col: str, axes: Axes, dims: int) -> DataFrame:
     """Projection ``__pd{j}`` on every axis (over the first ``dims`` values)
-    and the norm ``__nrm`` (for the rounding slack)."""
-    vec = F.slice(F.col(vector_col).cast("array<double>"), 1, dims)
+    and the distance ``__nrm`` from the centre (for the rounding slack)."""
+    centre = (axes.centre + [0.0] * dims)[:dims]
+    diff = F.zip_with(F.slice(F.col(vector_col).cast("array<double>"), 1, dims), F.array(*[F.lit(c) for c in centre]), lambda x, c: x - c) \
+        if any(centre) else F.slice(F.col(vector_col).cast("array<double>"), 1, dims)
+    df = df.withColumn("__diff", diff)
     for j, u in enumerate(axes):
         lit = F.array(*[F.lit(float(x)) for x in u[:dims]])
-        df = df.withColumn(f"__pd{j}", F.aggregate(F.zip_with(vec, lit, lambda x, y: x * y),
+        df = df.withColumn(f"__pd{j}", F.aggregate(F.zip_with("__diff", lit, lambda x, y: x * y),
                                                   F.lit(0.0).cast("double"), lambda acc, z: acc + z))
-    return df.withColumn("__nrm", F.sqrt(F.aggregate(F.transform(vec, lambda x: x * x),
-                                                     F.lit(0.0).cast("double"), lambda acc, z: acc + z)))
+    return df.withColumn("__nrm", F.sqrt(F.aggregate(F.transform("__diff", lambda x: x * x),
+                                                     F.lit(0.0).cast("double"), lambda acc, z: acc + z))).drop("__diff")
 
 
 def _vectors(data: DataFrame, metric, vector_col: str) -> bool:
@@ -119,7 +152,7 @@ def radius_join(queries: DataFrame, data: DataFrame, radius: float, *, metric: s
     if not _vectors(data, metric, vector_col):
         dist_fn = resolve_metric("abs" if metric == "auto" else metric)
         reach = r if grid_radius is None else check_radius(grid_radius)
-        width = reach if reach > 0 else 1.0
+        width = grid_width(reach)
         q = queries.select(*[F.col(c).alias(c) for c in keys], F.col(id_col).alias("query_id"), F.col(value_col).cast("double").alias("qv"),
                            F.explode(grid_reach(F.col(value_col).cast("double"), reach, width)).alias("__c"))
         d = data.select(*[F.col(c).alias(c) for c in keys], F.col(id_col).alias("neighbor_id"), F.col(value_col).cast("double").alias("dv"),
@@ -145,7 +178,8 @@ def _axis_grid(queries, data, r, id_col, vector_col, keys, axes, dims=None):
     """Projection filtering as an equi-join key: the projection on each axis
     is a coordinate (``|u.x - u.y| <= |x - y|`` for a unit ``u``), and a grid
     of width R over those coordinates never separates two points within R.
-    The probe side lists every cell its radius (plus rounding slack) touches.
+    The probe side lists every cell its radius (plus rounding slack) touches: at most four on
+    an axis, as a query whose slack is wider than that looks into a second, coarser level of cells.
     Projections use the first ``min length`` values of both sides, which keeps
     the bound valid for vectors of different lengths (distance = shorter prefix).
     Returns (queries, data, key columns) with ``qvec`` / ``dvec`` as DOUBLE
@@ -157,7 +191,14 @@ def _axis_grid(queries, data, r, id_col, vector_col, keys, axes, dims=None):
     lo_dims = dims[0] if isinstance(dims, tuple) else dims
     if isinstance(axes, int):
         axes = choose_axes(both, "__b", axes, lo_dims)
-    width = r if r > 0 else 1.0
+    elif not isinstance(axes, Axes):
+        axes = Axes(axes)
+    far = axes.far
+    if far is None and axes:
+        far = both.select(F.max(_distance_to(F.col("__b"), axes.centre))).first()[0]
+    width = grid_width(r)
+    most = 4.0 * (lo_dims + 8) * 2.0 ** -53 * ((far or 0.0) + r)  # the largest slack
+    coarse = grid_width(2 * most) if most > width / 2 else None
     # re-aliased keys get fresh attribute ids on each side, so a self-join
     # (queries and data from one table) stays unambiguous in the cogroup
     qkeys = [F.col(k).alias(k) for k in keys]
@@ -166,17 +207,23 @@ def _axis_grid(queries, data, r, id_col, vector_col, keys, axes, dims=None):
                                      F.col(vector_col).cast("array<double>").alias("qvec")), "qvec", axes, lo_dims)
     dc = _axis_coords(data.select(*dkeys, F.col(id_col).alias("neighbor_id"),
                                   F.col(vector_col).cast("array<double>").alias("dvec")), "dvec", axes, lo_dims)
-    cell_cols = []
-    slack = (F.col("__nrm") + F.lit(r)) * F.lit(_ND_SLACK)
+    slack, cell_cols, level = _projection_slack(F.col("__nrm"), r, lo_dims), [], []
+    size = F.lit(width)
+    if coarse:
+        qc = qc.withColumn("__lv", (slack > F.lit(width / 2)).cast("int"))
+        dc = dc.withColumn("__lv", F.explode(F.array(F.lit(0), F.lit(1))))
+        size, level = F.when(F.col("__lv") == 0, F.lit(width)).otherwise(F.lit(coarse)), ["__lv"]
+
+    def cell(x):
+        return F.floor(F.greatest(F.least(x / size, F.lit(MOST_CELLS)), F.lit(-MOST_CELLS))).cast("long")
     for j in range(len(axes)):
         pd_ = F.col(f"__pd{j}")
-        lo = F.floor((pd_ - F.lit(r) - slack) / F.lit(width)).cast("long")
-        hi = F.floor((pd_ + F.lit(r) + slack) / F.lit(width)).cast("long")
-        qc = qc.withColumn(f"__c{j}", F.explode(F.sequence(lo, hi)))
-        dc = dc.withColumn(f"__c{j}", F.floor(pd_ / F.lit(width)).cast("long"))
+        qc = qc.withColumn(f"__c{j}", F.explode(F.sequence(cell(pd_ - F.lit(r) - slack), cell(pd_ + F.lit(r) + slack))))
+        dc = dc.withColumn(f"__c{j}", cell(pd_))
         cell_cols.append(f"__c{j}")
     if not axes:  # nothing to prune by: one cell, cut into blocks
         qc, dc, cell_cols = qc.withColumn("__c0", F.lit(0).cast("long")), dc.withColumn("__c0", F.lit(0).cast("long")), ["__c0"]
+    cell_cols += level
     drop = [f"__pd{j}" for j in range(len(axes))] + ["__nrm"]
     return qc.drop(*drop), dc.drop(*drop), list(keys) + cell_cols
 
@@ -190,7 +237,7 @@ def _candidate_blocks(queries: DataFrame, data: DataFrame, r: float, id_col: str
     if vector_col in data.columns and _is_vector(data, vector_col):
         q, d, keys = _axis_grid(queries, data, r, id_col, vector_col, [], axes, dims)
         return q.select(*keys, "query_id", "qvec"), d.select(*keys, "neighbor_id", "dvec"), keys
-    width = r if r > 0 else 1.0
+    width = grid_width(r)
     v = F.col(value_col).cast("double")
     queries, data = queries.where(finite(value_col, False)), data.where(finite(value_col, False))
     q = queries.select(F.col(id_col).alias("query_id"), F.array(v).alias("qvec"),
@@ -410,6 +457,8 @@ def outlier_counts_nd(points: DataFrame, radius: float, k: int, *, id_col: str =
                         .select("query_id", F.coalesce("neighbors", F.lit(0)).cast("long").alias("neighbors"),
                                 (F.coalesce(F.col("__smax"), F.lit(1)) <= 1).alias("__complete")).where(F.col("neighbors") < k))
     settled = first.where("__complete").select("query_id", "neighbors")
+    if first.where("not __complete").isEmpty():  # no cell held more rows than its witnesses
+        return settled.select(F.col("query_id").alias("id"), "neighbors")
     rest = first.where("not __complete").select("query_id")
     second = rest.join(total(block_radius_counts(q.join(rest, "query_id", "left_semi"), d, keys, r, False, block_rows)), "query_id", "left") \
         .select("query_id", F.coalesce("neighbors", F.lit(0)).cast("long").alias("neighbors")).where(F.col("neighbors") < k)

@@ -254,6 +254,27 @@ def q_neighbor_profile_fine(spark, sf):
     return outliers.neighbor_profile(events(spark, sf), Windows.count(FINE_W, FINE_S), R_WIN, FINE_K)
 
 
+def q_recent_neighbors_fine(spark, sf):
+    r = outliers.recent_neighbors(events(spark, sf), Windows.count(FINE_W, FINE_S), R_WIN, K_RECENT)
+    return r.select("window_end", "id", F.array_join(F.col("preceding_ts").cast("array<string>"), ",").alias("preceding_ts"))
+
+
+def q_dense_clusters_fine(spark, sf):
+    return clusters.dense_clusters(events(spark, sf), Windows.count(FINE_W, FINE_S), R_WIN, K_WIN)
+
+
+def q_stream_window_outliers(spark, sf):
+    """Outlier ids on a file stream."""
+    from ..streaming.window_outliers import run_stream_window_outliers
+    return run_stream_window_outliers(spark, os.path.join(sf, "events.parquet"), TIME_W, TIME_S, R_WIN, K_WIN, id_col="event_id")
+
+
+def q_stream_window_counts(spark, sf):
+    """Outlier counts on a file stream, from state that doesn't grow with the points of a value range."""
+    from ..streaming.window_outliers import run_stream_window_counts
+    return run_stream_window_counts(spark, os.path.join(sf, "events.parquet"), TIME_W, TIME_S, R_WIN, K_WIN, id_col="event_id")
+
+
 def q_window_outlier_counts_all(spark, sf):
     """A radius above the value range: every other point is a neighbour."""
     return outliers.window_outlier_counts(events(spark, sf), COUNT_WINDOWS, R_ALL, K_WIN)
@@ -334,6 +355,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "radius_join_custom_metric": q_radius_join_custom_metric,
     "knn_within_partitioned": q_knn_within_partitioned,
     "text_points": q_text_points,
+    "recent_neighbors_fine": q_recent_neighbors_fine,
+    "dense_clusters_fine": q_dense_clusters_fine,
+    "stream_window_outliers": q_stream_window_outliers,
+    "stream_window_counts": q_stream_window_counts,
     "new_in_window": q_new_in_window,
     "expiring": q_expiring,
 }
@@ -531,6 +556,17 @@ SELECT e AS window_end, sum(CASE WHEN nb < {FINE_K} THEN 1 ELSE 0 END)::BIGINT A
 ORACLE["neighbor_profile_fine"] = f"""WITH {_FINE}
 SELECT e AS window_end, id, value, prec AS preceding, nb - prec AS succeeding, nb AS neighbors,
        (nb - prec) >= {FINE_K} AS safe_inlier FROM nb"""
+ORACLE["recent_neighbors_fine"] = f"""WITH {_FINE},
+  newest AS (SELECT id, q, row_number() OVER (PARTITION BY id ORDER BY q DESC) AS rn
+             FROM (SELECT id, q, unnest(range(least(c, {K_RECENT}))) FROM s WHERE q <= pane))
+SELECT w.e AS window_end, w.id, coalesce(string_agg(t.q::VARCHAR, ',' ORDER BY t.rn), '') AS preceding_ts
+FROM w LEFT JOIN newest t ON w.id = t.id AND t.rn <= {K_RECENT} AND t.q >= w.e - {FINE_W // FINE_S} GROUP BY w.e, w.id"""
+ORACLE["dense_clusters_fine"] = f"""WITH w AS (SELECT value, event_id // {FINE_S} + j AS e FROM events, range(1, {FINE_W // FINE_S + 1}) t(j))
+SELECT e AS window_end, floor(value / {_d(_W_DENSE)})::BIGINT AS cell,
+       (floor(value / {_d(_W_DENSE)})::BIGINT::DOUBLE + 0.5::DOUBLE) * {_d(_W_DENSE)} AS center, count(*) AS points
+FROM w GROUP BY ALL HAVING count(*) > {K_WIN}"""
+ORACLE["stream_window_outliers"] = ORACLE["window_outliers_time"]
+ORACLE["stream_window_counts"] = ORACLE["window_outlier_counts_time"]
 ORACLE["window_outlier_counts_all"] = f"""WITH {_COUNT_WIN}, n AS (SELECT e, count(*) AS n FROM w GROUP BY e)
 SELECT w.e AS window_end, sum(CASE WHEN n - 1 < {K_WIN} THEN 1 ELSE 0 END)::BIGINT AS outliers
 FROM w JOIN n ON w.e = n.e GROUP BY w.e"""

@@ -1,11 +1,14 @@
 """Search operators against brute force."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from brute import euclid
+from sparkdod.operators import search
+from sparkdod.operators.cells import grid_reach, grid_width
 from sparkdod.operators.sampling import extremes, sample_n
 from sparkdod.operators.search import (knn_join, knn_within, nearest_center, radius_join, rank_by_distance,
                                        snapshot_outliers_nd)
@@ -256,3 +259,29 @@ def test_radius_join_within_partitions(spark, vecs):
                                                              partition_cols=["grp"]).collect()}
     assert got1 == {(a, b) for a, va, ga in vals for b, vb, gb in vals
                     if a != b and ga == gb and abs(va - vb) <= 0.3}
+
+
+def _close(rows, r):
+    return {(i, j) for i, a in rows for j, b in rows if i != j and math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b))) <= r}
+
+
+@pytest.mark.parametrize("r", [0.1, 1.0, 10.0, 300.0])
+def test_large_coordinates_make_few_copies(spark, r):
+    """Epoch milliseconds as a coordinate: a query looks into a few cells at any radius."""
+    rng = random.Random(1)
+    rows = [(i, [1.7e12 + rng.random() * 1000, rng.random() * 1000]) for i in range(200)]
+    rows += [(1000 + i, [rng.choice([0.0, 1e16, -1e14]) + rng.random(), 1.0]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    q, d, _ = search._axis_grid(df, df, r, "id", "vec", [], 2)
+    assert q.count() <= 25 * len(rows) and d.count() <= 2 * len(rows)
+    assert {(x.query_id, x.neighbor_id) for x in search.radius_join(df, df, r, include_self=False).collect()} == _close(rows, r)
+
+
+@pytest.mark.parametrize("r", [0.0, 1e-6, 1e-3, 0.01])
+def test_large_numbers_make_few_copies(spark, r):
+    rng = random.Random(2)
+    rows = [(i, 1e12 + i * 1e-4 * rng.random()) for i in range(200)] + [(1000, 1e300), (1001, 1e300), (1002, -1e300), (1003, 0.0)]
+    df = spark.createDataFrame(rows, "id long, value double")
+    assert df.select(F.max(F.size(grid_reach(F.col("value"), r, grid_width(r))))).first()[0] <= 5
+    want = {(i, j) for i, a in rows for j, b in rows if i != j and abs(a - b) <= r}
+    assert {(x.query_id, x.neighbor_id) for x in search.radius_join(df, df, r, include_self=False).collect()} == want
