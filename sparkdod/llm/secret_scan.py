@@ -1,13 +1,15 @@
 """Secret scans with inferred grammars.
 
-1. One pass finds the base kinds (assign, access, hex) and all other tokens long
-   enough to be a credential.
+1. One pass finds the base kinds (assign, access, hex) and all other tokens of 12
+   credential characters or more, with or without a digit.
 2. A bounded sample of the credentials so labelled (the ``sample`` smallest
-   hashes of each kind) trains one probabilistic automaton for each kind: their
-   prefix tree over character classes, whose states are merged when their
-   outgoing frequencies agree (Hoeffding bounds, after ALERGIA).
+   hashes of each kind, up to ``longest`` characters) trains one probabilistic automaton for each kind: their
+   prefix tree over a length class and character classes, whose states are merged when their
+   outgoing frequencies agree (Hoeffding bounds, after ALERGIA). As strings begin with
+   their length class, lengths keep states of their own and ends are judged by length.
 3. All other tokens are scored by format likelihood: the automaton's mean log
-   probability against that of ordinary words. Those above ``margin`` and above
+   probability (characters of a class are alike) against that of the corpus' own
+   tokens, the character bigrams of all texts (at most 68 x 68 counts). Those above ``margin`` and above
    the least likely of the credentials trained on become spans of kind ``format``.
 
 Base spans are regular matches and stay, whatever the automata say. Without any
@@ -22,11 +24,12 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +41,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_HINT = re.compile(r"passw(?:or)?d|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: Candidates: long tokens of credential characters that hold a digit.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+#: Candidates: tokens of credential characters.
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
 SPANS_DDL = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -62,14 +64,20 @@ def candidates(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[s
     out = []
     for m in TOKEN.finditer(text):
         before = bisect_left(starts, m.end())  # base spans that begin before the token ends
-        if DIGIT.search(m[0]) and not (before and reach[before - 1] > m.start()):
+        if not (before and reach[before - 1] > m.start()):
             out.append(("format", m.start(), m.end(), m[0]))
     return out
 
 
-def classes(token: str) -> str:
-    """Character classes: lower hex letters h, other lower l, upper hex H, other upper L, digits d, signs as they are."""
-    return "".join("d" if "0" <= c <= "9" else "h" if "a" <= c <= "f" else "l" if "a" <= c <= "z" else "H" if "A" <= c <= "F" else "L" if "A" <= c <= "Z" else c for c in token)
+#: Length classes: up to 11 characters, 12 to 15, ... (fixed values).
+LENGTHS = (12, 16, 20, 24, 32, 40, 48, 64, 96, 128)
+#: How many characters a class has; signs stand for themselves.
+CLASS_SIZE = {"h": 6, "l": 20, "H": 6, "L": 20, "d": 10}
+
+
+def classes(token: str) -> list[str]:
+    """Length class, then character classes: lower hex letters h, other lower l, upper hex H, other upper L, digits d, signs as they are."""
+    return [f"<{bisect_right(LENGTHS, len(token))}>"] + ["d" if "0" <= c <= "9" else "h" if "a" <= c <= "f" else "l" if "a" <= c <= "z" else "H" if "A" <= c <= "F" else "L" if "A" <= c <= "Z" else c for c in token]
 
 
 class Automaton:
@@ -79,7 +87,7 @@ class Automaton:
 
     END = "$"
 
-    def __init__(self, strings: list[str], alpha: float = 0.05):
+    def __init__(self, strings: list[list[str]], alpha: float = 0.05):
         self.next: list[dict[str, int]] = [{}]
         self.seen: list[Counter] = [Counter()]
         for s in strings:
@@ -153,28 +161,92 @@ class Automaton:
         return out
 
 
-def likelihood(table: dict, symbols: str, unseen: float = -7.0) -> float:
-    """Mean log probability of a string and its end; a string that leaves the
-    automaton goes on from the start at the price of an unseen symbol."""
+def likelihood(table: dict, symbols: list[str], unseen: float = -7.0) -> float:
+    """Mean log probability of a string and its end, characters of a class being alike; a string
+    that leaves the automaton goes on from the start at the price of an unseen symbol."""
     at, total = 0, 0.0
-    for c in symbols + Automaton.END:
+    for c in (*symbols, Automaton.END):
         p, to = table[at].get(c, (unseen, 0))
-        total += p
+        total += p - math.log(CLASS_SIZE.get(c, 1))
         at = max(to, 0)
     return total / (len(symbols) + 1)
 
 
-#: Ordinary words by character class: letters above all, now and then a digit or sign (fixed values).
-BACKGROUND = {"h": math.log(0.23), "l": math.log(0.62), "H": math.log(0.015), "L": math.log(0.035), "d": math.log(0.05), Automaton.END: math.log(0.15)}
-BACKGROUND_OTHER = math.log(0.01)
+#: Number of each credential character by byte; all others are 0, the border of a token.
+SYMBOL = np.zeros(256, np.int64)
+SYMBOL[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", np.uint8)] = np.arange(1, 68)
+N_SYMBOLS = 68
+
+
+def bigrams(text: bytes) -> np.ndarray:
+    """How often each pair of symbols follows each other."""
+    at = SYMBOL[np.frombuffer(b"\n" + text + b"\n", np.uint8)]
+    return np.bincount(at[:-1] * N_SYMBOLS + at[1:], minlength=N_SYMBOLS ** 2)
+
+
+#: Share of each class in ordinary words, the rest for signs: half of the smoothing of bigrams (fixed values).
+PRIOR = {"h": 0.23, "l": 0.62, "H": 0.015, "L": 0.035, "d": 0.05}
+
+
+class Ordinary:
+    """Character bigrams of ordinary tokens, smoothed by characters: half as they occur in
+    the corpus, half as in ordinary words, so that a small corpus full of credentials isn't taken for ordinary."""
+
+    def __init__(self, counts: np.ndarray, weight: float = 200.0):
+        pairs = counts.reshape(N_SYMBOLS, N_SYMBOLS).astype(float)
+        pairs[0, 0] = 0  # outside of tokens
+        ones = pairs.sum(axis=0) + 0.5
+        ones[1:] /= ones[1:].sum()
+        prior = np.array([PRIOR.get(c := classes(chr(b))[1], 0.05) / CLASS_SIZE.get(c, 5) for b in np.argsort(SYMBOL)[-N_SYMBOLS + 1:]])
+        ones[1:] = (ones[1:] + prior / prior.sum()) / 2
+        ones[0] = 0.15  # the end
+        ones /= ones.sum()
+        self.log = np.log((pairs + weight * ones) / (pairs.sum(axis=1, keepdims=True) + weight))
+
+    def likelihood(self, token: str) -> float:
+        """Mean log probability of a token with its end, over as many symbols as the automata score."""
+        at = SYMBOL[np.frombuffer(f" {token} ".encode(), np.uint8)]
+        return float(self.log[at[:-1], at[1:]].sum()) / (len(token) + 2)
 
 
-def format_score(tables: dict[str, tuple[dict, float]], token: str, margin: float) -> float | None:
-    """The best automaton's lead over ordinary words, None below the margin."""
-    symbols = classes(token)
-    plain = sum(BACKGROUND.get(c, BACKGROUND_OTHER) for c in symbols + Automaton.END) / (len(symbols) + 1)
-    leads = [p - plain for table, least in tables.values() if (p := likelihood(table, symbols)) >= least and p - plain >= margin]
-    return max(leads, default=None)
+def without_base(text: str) -> str:
+    """The text with a blank in place of each base span: known credentials are not ordinary."""
+    out, at = [], 0
+    for _, start, end, _ in base_spans(text):
+        if start >= at:
+            out.append(text[at:start])
+        at = max(at, end)
+    return " ".join([*out, text[at:]]) if at else text
+
+
+def ordinary_bigrams(docs: DataFrame) -> np.ndarray:
+    """Bigrams of all texts outside base spans: added up in each task and by pair, at most 4,624 rows for the driver."""
+    schema = pa.schema([("pair", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(N_SYMBOLS ** 2, np.int64)
+        for part in slices(batches):
+            total += bigrams("\n".join(map(without_base, part["text"].to_pylist())).encode())
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], schema=schema)
+
+    out = np.zeros(N_SYMBOLS ** 2, np.int64)
+    for r in docs.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r["pair"]] = r["n"]
+    return out
+
+
+def format_score(tables: dict[str, tuple[dict, float]], ordinary: Ordinary, token: str, margin: float) -> float | None:
+    """The best automaton's lead over ordinary tokens, None below the margin."""
+    symbols, plain = classes(token), None
+    best = None
+    for table, least in tables.values():
+        p = likelihood(table, symbols)
+        if p >= least:
+            plain = ordinary.likelihood(token) if plain is None else plain
+            if p - plain >= margin and (best is None or p - plain > best):
+                best = p - plain
+    return best
 
 
 def learn(samples: dict[str, list[str]], alpha: float = 0.05) -> dict[str, tuple[dict, float]]:
@@ -187,8 +259,15 @@ def learn(samples: dict[str, list[str]], alpha: float = 0.05) -> dict[str, tuple
     return out
 
 
-def find_secrets(docs: DataFrame, sample: int = 500, margin: float = 0.3, alpha: float = 0.05) -> DataFrame:
-    """``doc_id, spans`` (kind, start, end, value), by start, then kind."""
+def smallest(values: DataFrame, n: int, longest: int) -> list[str]:
+    """At most ``n`` distinct values of at most ``longest`` characters, those of the smallest hashes: a top-n on every task, then of those."""
+    kept = values.filter(F.length("value") <= longest).distinct()
+    return [r["value"] for r in kept.orderBy(F.xxhash64("value"), "value").limit(n).collect()]
+
+
+def find_secrets(docs: DataFrame, sample: int = 500, margin: float = 0.2, alpha: float = 0.05, longest: int = 256) -> DataFrame:
+    """``doc_id, spans`` (kind, start, end, value), by start, then kind. Training takes ``sample`` credentials of each
+    kind, of up to ``longest`` characters; all tokens are scored."""
     schema = pa.schema([("doc_id", pa.int64()), ("base", SPANS), ("others", SPANS)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,19 +281,17 @@ def find_secrets(docs: DataFrame, sample: int = 500, margin: float = 0.3, alpha:
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(base, SPANS), pa.array(others, SPANS)], schema=schema)
 
     scanned = checkpointed(id_text(docs).mapInArrow(scan, f"doc_id long, base {SPANS_DDL}, others {SPANS_DDL}"))
-    labelled = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value").distinct()
-    samples = {}
-    for kind in KINDS:  # a top-n on every task, then of those
-        rows = labelled.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
-        if rows:
-            samples[kind] = [r["value"] for r in rows]
-    tables = docs.sparkSession.sparkContext.broadcast(learn(samples, alpha))
+    labelled = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value")
+    samples = {kind: found for kind in KINDS if (found := smallest(labelled.filter(F.col("kind") == kind).select("value"), sample, longest))}
+    plain = Ordinary(ordinary_bigrams(id_text(docs)))
+    models = docs.sparkSession.sparkContext.broadcast((learn(samples, alpha), plain))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, plain = models.value
         for part in slices(batches):
             spans = []
             for base, others in zip(part["base"].to_pylist(), part["others"].to_pylist()):
-                more = [s for s in others if format_score(tables.value, s["value"], margin) is not None]
+                more = [s for s in others if format_score(tables, plain, s["value"], margin) is not None]
                 order = (*KINDS, "format")
                 spans.append(sorted(base + more, key=lambda s: (s["start"], order.index(s["kind"]))))
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(spans, SPANS)], names=["doc_id", "spans"])
