@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -26,6 +26,11 @@ def id_text(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, whatever their names hold (dots, backticks)."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write once to the cluster's shared checkpoint folder and read from there."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpointed, id_text
+from .common import checkpointed, id_text, SPACE, whole_row
 
 
 def without_space(text: Column) -> Column:
@@ -56,7 +56,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows with the same id and equal text one."""
     keep = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("i"), F.col("digest").alias("d"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.struct(*docs.columns).alias("own"), F.col("doc_id").cast("long").alias("doc_id"),
+    own = docs.select(whole_row(docs).alias("own"), F.col("doc_id").cast("long").alias("doc_id"),
                       F.sha2(without_space(text).cast("binary"), 256).alias("digest"), F.length(text).alias("n_cp"))
     kept = own.join(keep, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
     first = Window.partitionBy("digest").orderBy(F.desc("n_cp"))  # one id each: few rows

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed
+from .common import checkpointed, whole_row, WORD
 
 #: So many sources (a few tens of bytes each) may be broadcast.
 MOST_BROADCAST = 100_000
@@ -198,8 +198,7 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     texts, of which any number adds no words, stay once."""
     copies = mix(docs, **parameters).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("nth", F.greatest("copies", (F.col("size") == 0).cast("long")).alias("n")))).alias("times")) \
         .withColumnRenamed("key", "k")
-    columns = docs.columns
-    own = docs.select(F.struct(*columns).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    own = docs.select(whole_row(docs).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     keyed = with_row_key(own).select("own", "key", "nth")
     times = F.element_at("times", F.col("nth"))["n"].cast("int")
     out = keyed.join(copies, F.col("key") == F.col("k")).withColumn("times", times).filter("times > 0")

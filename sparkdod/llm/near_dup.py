@@ -35,10 +35,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_text, slices
+from .common import checkpointed, id_text, slices, whole_row
 from .words import P_HIGH, run_hashes, run_starts, word_hashes, word_ids
 
 BANDS, ROWS = 32, 5
@@ -112,6 +112,10 @@ def likely_jaccard(above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: n
     return (middle - np.sqrt(np.maximum(middle ** 2 - 4 * registers * same * (u * v) ** 2, 0))) / (2 * registers * u * v)
 
 
+#: Stands for a NULL id where ids are compared: the largest.
+NO_ID = (1 << 63) - 1
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, text_key, n_shingles, set_id, registers``; set_id and registers are
     NULL for empty sets, ``text_key`` is a hash of the text."""
@@ -258,14 +262,15 @@ def _dense_links(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, margin: float = 0.14, chunk_rows: int = 1024, dense: int = 4) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each input row.
+def grouped(docs: DataFrame, size: int = 5, percent: int = 80, margin: float = 0.14, chunk_rows: int = 1024, dense: int = 4) -> DataFrame:
+    """``doc_id, text_key, n_shingles, component, least`` for each input row: the number of its component and the
+    smallest id in it (both NULL for texts without words, which are alone).
 
     ``margin`` is how far below the threshold an estimate may lie and still be
     verified (4.5 standard deviations of the estimate)."""
     floor = percent / 100 - margin
     rows = checkpointed(sketches(docs, size))
-    big = F.lit((1 << 63) - 1)
+    big = F.lit(NO_ID)
     some = rows.filter("set_id is not null")
     classes = some.groupBy("set_id").agg(F.min(F.struct(F.coalesce("doc_id", big).alias("id"), "text_key", "n_shingles", "registers")).alias("r"))
     classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("node"), "set_id", "r.id", "r.text_key", "r.n_shingles", "r.registers"))
@@ -316,17 +321,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, margin: f
     counted = full.repartition(parts, *TASK).groupBy(*TASK).applyInArrow(count, "a long, b long")
     labels = joined_components(labels, checkpointed(verified(new, sets, percent).unionByName(counted)))
     least = labels.join(nodes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("least"))
-    component = labels.join(least, "root").select("node", "least")
-    alone = classes.select("set_id", "node", "id").join(component, "node", "left").select("set_id", F.coalesce("least", "id").alias("least"))
+    component = labels.join(least, "root").select("node", "root", "least")
+    alone = classes.select("set_id", "node", "id").join(component, "node", "left").select(
+        "set_id", F.coalesce("root", "node").alias("component"), F.coalesce("least", "id").alias("least"))
     # texts without words stay out of the join, where they would share one key
-    out = some.join(alone, "set_id").unionByName(rows.filter("set_id is null").withColumn("least", F.lit(None).cast("long")))
-    component_id = F.when(F.col("least") == big, F.col("doc_id")).otherwise(F.coalesce("least", "doc_id"))
+    nothing = F.lit(None).cast("long")
+    return some.join(alone, "set_id").unionByName(rows.filter("set_id is null").withColumns({"component": nothing, "least": nothing}))
+
+
+def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each input row (parameters of ``grouped``)."""
+    out = grouped(docs, **parameters)
+    component_id = F.when(F.col("least") == NO_ID, F.col("doc_id")).otherwise(F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", component_id.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)) & (F.col("doc_id").isNotNull() | F.col("component_id").isNull()))
 
 
 def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs``, all their columns, without those that ``near_duplicates``
-    drops; rows with the same ``doc_id`` fare alike and a NULL one stays."""
-    dropped = near_duplicates(docs, **parameters).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped")).distinct()
-    own = docs.select(F.struct(*docs.columns).alias("own"), F.col("doc_id").cast("long").alias("id"))
-    return own.join(dropped, F.col("id") == F.col("dropped"), "left_anti").select("own.*")
+    """The rows of ``docs``, all their columns: of each component the one of the smallest id
+    (a NULL id last, rows of one id by a hash of their text, equal rows once), and all texts without words."""
+    key = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text_key")
+    found = checkpointed(grouped(docs, **parameters).filter("component is not null").select("component", key.alias("key")))
+    first = found.groupBy("component").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("component", "first")
+    copies = found.join(first, "component")
+    dropped = copies.filter("key <> first").select("key.id", "key.text_key").distinct()
+    # equal rows (id and text) are told apart by their number; few rows
+    twice = copies.filter("key = first").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key.id", "key.text_key")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(whole_row(docs).alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("text_key"))
+    left = own.join(dropped, ["id", "text_key"], "left_anti")
+    if twice.isEmpty():
+        return left.select("own.*")
+    nth = F.row_number().over(Window.partitionBy("id", "text_key").orderBy("id"))
+    once = left.join(twice, ["id", "text_key"], "left_semi").withColumn("nth", nth).filter("nth = 1").drop("nth")
+    return left.join(twice, ["id", "text_key"], "left_anti").unionByName(once).select("own.*")

@@ -71,3 +71,23 @@ def test_rows_with_all_columns(spark, odd):
     mixed = mixing.mixed(odd)
     assert mixed.columns == odd.columns and mixed.count() > 0
     assert toxicity.without_toxic(odd, toxicity.Model({"x": 1.0}, [0.5])).filter("doc_id = 9").count() == 0
+
+
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "end"])
+    a, b = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    c = [" ".join([f"u{i}" for i in range(59)] + [x]) for x in ("one", "two", "three")]
+    rows = [(1, a), (2, near), (2, b), (None, c[0]), (None, c[1]), (None, c[2]), (7, b), (8, "same text twice over and over"), (8, "same text twice over and over"), (9, None), (9, None)]
+    out = [tuple(r) for r in near_dup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(map(str, (r for r in out if r[0] is not None))) == sorted(map(str, [(1, a), (2, b), (8, rows[7][1]), (9, None), (9, None)]))
+    nulls = [t for i, t in out if i is None]
+    assert len(nulls) == 1 and nulls[0] in c
+
+
+@pytest.mark.parametrize("stage", [near_dup.deduplicated, exact_dedup.deduplicated, mixing.mixed])
+def test_columns_with_dots_and_empty_tables(spark, stage):
+    df = spark.createDataFrame(ROWS, SCHEMA).withColumnsRenamed({"lang": "a.b"}).withColumn("c`d", F.lit(1))
+    out = stage(df)
+    assert out.columns == df.columns and out.count() > 0
+    assert stage(df.limit(0)).count() == 0
