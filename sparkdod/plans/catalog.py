@@ -14,7 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clusters, outliers, sampling, search
+from ..functions.block_metrics import chebyshev_blocks, euclidean_blocks, manhattan_blocks
+from ..operators import clusters, metric_search, outliers, sampling, search
 from ..operators.cells import replicate, with_cell
 from ..operators.windows import Windows, count_based_time, expiring, new_in_window, with_windows
 from ..session import scratch_path
@@ -40,6 +41,9 @@ FINE_W, FINE_S = 4800, 100               # 48 slides per window
 FINE_K = 3
 RAGGED_K = 3
 LIMIT = 1500
+R_MANHATTAN, R_CHEBYSHEV = 7.9, 0.34    # embeddings
+ND_W, ND_S, ND_R = 200, 50, 1.3         # vectors in windows (ids)
+XY_R, XY_K = 6.0, 8                     # (value, user) of events
 R_ALL = 5000.0                          # wider than all values of events
 
 
@@ -300,6 +304,61 @@ def q_knn_within_partitioned(spark, sf):
     return j.select("query_id", "neighbor_id", _round(F.col("distance")).alias("distance"), "rank", "event_type")
 
 
+def q_knn_manhattan(spark, sf):
+    v = vectors(spark, sf)
+    j = metric_search.metric_knn(v, v, K_ND, metric=manhattan_blocks)
+    return j.select("query_id", "neighbor_id", _round(F.col("distance")).alias("distance"), "rank")
+
+
+def q_knn_text_ids(spark, sf):
+    v = vectors(spark, sf).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("id"), "vec")
+    j = metric_search.metric_knn(v, v, K_ND, metric=euclidean_blocks)
+    return j.select("query_id", "neighbor_id", _round(F.col("distance")).alias("distance"), "rank")
+
+
+def q_knn_int_vectors(spark, sf):
+    """Lists of integers; many equal distances, ordered by id."""
+    v = vectors(spark, sf).select("id", F.transform("vec", lambda x: F.floor(x.cast("double") * 10).cast("int")).alias("vec"))
+    j = search.knn_join(v, v, K_ND)
+    return j.select("query_id", "neighbor_id", _round(F.col("distance")).alias("distance"), "rank")
+
+
+def q_knn_within_chebyshev(spark, sf):
+    v = vectors(spark, sf)
+    j = metric_search.metric_knn(v, v, K_ND, metric=chebyshev_blocks, radius=R_CHEBYSHEV)
+    return j.select("query_id", "neighbor_id", _round(F.col("distance")).alias("distance"), "rank")
+
+
+def q_radius_join_manhattan(spark, sf):
+    v = vectors(spark, sf)
+    j = metric_search.metric_radius_join(v, v, R_MANHATTAN, metric=manhattan_blocks, include_self=False)
+    return j.select("query_id", "neighbor_id", _round(F.col("distance")).alias("distance"))
+
+
+def q_nearest_center_manhattan(spark, sf):
+    v = vectors(spark, sf)
+    out = metric_search.metric_nearest_center(v, label_centroids(v), R_MANHATTAN, metric=manhattan_blocks)
+    return out.select("id", "center_id", _round(F.col("distance")).alias("distance"))
+
+
+def q_outliers_manhattan(spark, sf):
+    return metric_search.metric_outliers(vectors(spark, sf), R_MANHATTAN, K_ND, metric=manhattan_blocks)
+
+
+def q_window_outlier_counts_nd(spark, sf):
+    return metric_search.window_outlier_counts_nd(vectors(spark, sf), Windows.count(ND_W, ND_S), ND_R, K_ND)
+
+
+def q_neighbor_profile_nd(spark, sf):
+    return metric_search.neighbor_profile_nd(vectors(spark, sf), Windows.count(ND_W, ND_S), ND_R, K_ND)
+
+
+def q_window_outliers_xy(spark, sf):
+    """Events as (value, user) in time windows, the larger difference as distance."""
+    xy = _t(spark, sf, "events").select(F.col("event_id").alias("id"), "ts", F.array("value", F.col("user_id").cast("double")).alias("vec"))
+    return metric_search.window_outliers_nd(xy, TIME_WINDOWS, XY_R, XY_K, metric=chebyshev_blocks)
+
+
 def q_text_points(spark, sf):
     """The table written as ``id&value`` lines and read back."""
     path = scratch_path(spark, "text-points")
@@ -361,6 +420,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_window_counts": q_stream_window_counts,
     "new_in_window": q_new_in_window,
     "expiring": q_expiring,
+    "knn_manhattan": q_knn_manhattan,
+    "knn_text_ids": q_knn_text_ids,
+    "knn_int_vectors": q_knn_int_vectors,
+    "knn_within_chebyshev": q_knn_within_chebyshev,
+    "radius_join_manhattan": q_radius_join_manhattan,
+    "nearest_center_manhattan": q_nearest_center_manhattan,
+    "outliers_manhattan": q_outliers_manhattan,
+    "window_outlier_counts_nd": q_window_outlier_counts_nd,
+    "neighbor_profile_nd": q_neighbor_profile_nd,
+    "window_outliers_xy": q_window_outliers_xy,
 }
 
 
@@ -588,3 +657,57 @@ ORACLE["new_in_window"] = f"WITH {_COUNT_WIN} SELECT e AS \"window\", id FROM w
 ORACLE["expiring"] = f"WITH {_COUNT_WIN} SELECT e AS \"window\", id FROM w WHERE id < (e - {COUNT_W // COUNT_S} + 1) * {COUNT_S}"
 ORACLE["sample_n"] = f"""SELECT event_id AS id, value FROM events
 ORDER BY md5(event_id::VARCHAR || ':{SAMPLE_SEED}'), event_id LIMIT {SAMPLE_N}"""
+
+_COORD_DIFFS = "list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda x: abs(x[1] - x[2]))"
+_MANHATTAN = f"list_sum({_COORD_DIFFS})"
+_CHEBYSHEV = f"list_max({_COORD_DIFFS})"
+
+
+def _knn_sql(pairs: str, k: int, within: str = "true") -> str:
+    return f"""SELECT query_id, neighbor_id, round(distance, 6) AS distance, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM ({pairs}) WHERE {within})
+WHERE rank <= {k}"""
+
+
+def _pairs_sql(distance: str, prefix: str = "") -> str:
+    ids = ", ".join(f"{prefix}{t}.vec_id AS {n}" for t, n in (("a", "query_id"), ("b", "neighbor_id")))
+    return f"SELECT {ids}, {distance} AS distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id"
+
+
+ORACLE["knn_manhattan"] = _knn_sql(_pairs_sql(_MANHATTAN), K_ND)
+ORACLE["knn_text_ids"] = _knn_sql(_pairs_sql(_VEC_DIST, "'v' || "), K_ND)
+ORACLE["knn_int_vectors"] = _knn_sql(_pairs_sql("""list_distance(
+    list_transform(a.embedding, lambda x: floor(x::DOUBLE * 10)), list_transform(b.embedding, lambda x: floor(x::DOUBLE * 10)))"""), K_ND)
+ORACLE["knn_within_chebyshev"] = _knn_sql(_pairs_sql(_CHEBYSHEV), K_ND, f"distance <= {_d(R_CHEBYSHEV)}")
+ORACLE["radius_join_manhattan"] = f"""SELECT query_id, neighbor_id, round(distance, 6) AS distance FROM ({_pairs_sql(_MANHATTAN)})
+WHERE distance <= {_d(R_MANHATTAN)}"""
+ORACLE["nearest_center_manhattan"] = f"""WITH e AS (SELECT label, pos, avg(x::DOUBLE) AS x
+           FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)
+           GROUP BY label, pos),
+  b AS (SELECT label::BIGINT AS center_id, list(x ORDER BY pos) AS embedding FROM e GROUP BY label),
+  d AS (SELECT a.vec_id AS id, b.center_id, {_MANHATTAN} AS distance FROM embeddings a, b),
+  best AS (SELECT id, arg_min(center_id, (distance, center_id)) AS center_id, min(distance) AS distance
+           FROM d WHERE distance <= {_d(R_MANHATTAN)} GROUP BY id)
+SELECT a.vec_id AS id, best.center_id, round(best.distance, 6) AS distance
+FROM embeddings a LEFT JOIN best ON a.vec_id = best.id"""
+ORACLE["outliers_manhattan"] = f"""SELECT a.vec_id AS id, count(b.query_id) AS neighbors
+FROM embeddings a LEFT JOIN (SELECT query_id FROM ({_pairs_sql(_MANHATTAN)}) WHERE distance <= {_d(R_MANHATTAN)}) b ON a.vec_id = b.query_id
+GROUP BY a.vec_id HAVING count(b.query_id) < {K_ND}"""
+_ND_PROFILE = f"""WITH near AS (SELECT query_id, neighbor_id FROM ({_pairs_sql(_VEC_DIST)}) WHERE distance <= {_d(ND_R)}),
+  w AS (SELECT vec_id AS id, vec_id // {ND_S} AS pane, vec_id // {ND_S} + j AS e FROM embeddings, range(1, {ND_W // ND_S + 1}) t(j)),
+  nb AS (SELECT a.e, a.id, count(n.neighbor_id) FILTER (WHERE n.neighbor_id // {ND_S} <= a.pane) AS prec,
+                count(n.neighbor_id) AS nb
+         FROM w a LEFT JOIN (SELECT w.e, near.* FROM near JOIN w ON w.id = near.neighbor_id) n
+           ON n.e = a.e AND n.query_id = a.id
+         GROUP BY a.e, a.id, a.pane)"""
+ORACLE["window_outlier_counts_nd"] = f"""{_ND_PROFILE}
+SELECT e AS window_end, count(*) FILTER (WHERE nb < {K_ND}) AS outliers FROM nb GROUP BY e"""
+ORACLE["neighbor_profile_nd"] = f"""{_ND_PROFILE}
+SELECT e AS window_end, id, prec AS preceding, nb - prec AS succeeding, nb AS neighbors, nb - prec >= {K_ND} AS safe_inlier FROM nb"""
+ORACLE["window_outliers_xy"] = f"""WITH p AS (SELECT event_id AS id, value, user_id, epoch_us(ts) // {DAY_US} AS pane FROM events),
+  w AS (SELECT id, value, user_id, pane + j AS e FROM p, range(1, 3) t(j)),
+  nb AS (SELECT a.e, a.id, count(*) - 1 AS nb
+         FROM w a JOIN w b ON a.e = b.e AND b.user_id BETWEEN a.user_id - 6 AND a.user_id + 6
+          AND greatest(abs(a.value - b.value), abs(a.user_id::DOUBLE - b.user_id::DOUBLE)) <= {_d(XY_R)}
+         GROUP BY a.e, a.id)
+SELECT make_timestamp(e * {DAY_US}) AS window_end, id, nb AS neighbors FROM nb WHERE nb < {XY_K}"""
