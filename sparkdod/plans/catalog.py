@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.block_metrics import chebyshev_blocks, euclidean_blocks, manhattan_blocks
-from ..operators import clusters, metric_search, outliers, sampling, search
+from ..operators import clusters, metric_clusters, metric_search, outliers, sampling, search
 from ..operators.cells import replicate, with_cell
 from ..operators.windows import Windows, count_based_time, expiring, new_in_window, with_windows
 from ..session import scratch_path
@@ -41,8 +41,9 @@ FINE_W, FINE_S = 4800, 100               # 48 slides per window
 FINE_K = 3
 RAGGED_K = 3
 LIMIT = 1500
-R_MANHATTAN, R_CHEBYSHEV = 7.9, 0.34    # embeddings
+R_MANHATTAN, R_OUTLIER, R_CHEBYSHEV = 7.9, 7.2, 0.34    # embeddings
 ND_W, ND_S, ND_R = 200, 50, 1.3         # vectors in windows (ids)
+R_BALL, K_BALL = 2.3, 3                 # dense clusters of vectors
 XY_R, XY_K = 6.0, 8                     # (value, user) of events
 R_ALL = 5000.0                          # wider than all values of events
 
@@ -342,7 +343,7 @@ def q_nearest_center_manhattan(spark, sf):
 
 
 def q_outliers_manhattan(spark, sf):
-    return metric_search.metric_outliers(vectors(spark, sf), R_MANHATTAN, K_ND, metric=manhattan_blocks)
+    return metric_search.metric_outliers(vectors(spark, sf), R_OUTLIER, K_ND, metric=manhattan_blocks)
 
 
 def q_window_outlier_counts_nd(spark, sf):
@@ -359,6 +360,15 @@ def q_window_outliers_xy(spark, sf):
     return metric_search.window_outliers_nd(xy, TIME_WINDOWS, XY_R, XY_K, metric=chebyshev_blocks)
 
 
+def q_dense_clusters_nd(spark, sf):
+    return metric_clusters.dense_clusters_nd(vectors(spark, sf), Windows.count(ND_W, ND_S), R_BALL, K_BALL)
+
+
+def q_assign_clusters_nd(spark, sf):
+    out = metric_clusters.assign_clusters_nd(vectors(spark, sf), None, R_BALL, K_BALL)
+    return out.select("id", "center_id", _round(F.col("distance")).alias("distance"))
+
+
 def q_text_points(spark, sf):
     """The table written as ``id&value`` lines and read back."""
     path = scratch_path(spark, "text-points")
@@ -430,6 +440,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "window_outlier_counts_nd": q_window_outlier_counts_nd,
     "neighbor_profile_nd": q_neighbor_profile_nd,
     "window_outliers_xy": q_window_outliers_xy,
+    "dense_clusters_nd": q_dense_clusters_nd,
+    "assign_clusters_nd": q_assign_clusters_nd,
 }
 
 
@@ -691,7 +703,7 @@ ORACLE["nearest_center_manhattan"] = f"""WITH e AS (SELECT label, pos, avg(x::DO
 SELECT a.vec_id AS id, best.center_id, round(best.distance, 6) AS distance
 FROM embeddings a LEFT JOIN best ON a.vec_id = best.id"""
 ORACLE["outliers_manhattan"] = f"""SELECT a.vec_id AS id, count(b.query_id) AS neighbors
-FROM embeddings a LEFT JOIN (SELECT query_id FROM ({_pairs_sql(_MANHATTAN)}) WHERE distance <= {_d(R_MANHATTAN)}) b ON a.vec_id = b.query_id
+FROM embeddings a LEFT JOIN (SELECT query_id FROM ({_pairs_sql(_MANHATTAN)}) WHERE distance <= {_d(R_OUTLIER)}) b ON a.vec_id = b.query_id
 GROUP BY a.vec_id HAVING count(b.query_id) < {K_ND}"""
 _ND_PROFILE = f"""WITH near AS (SELECT query_id, neighbor_id FROM ({_pairs_sql(_VEC_DIST)}) WHERE distance <= {_d(ND_R)}),
   w AS (SELECT vec_id AS id, vec_id // {ND_S} AS pane, vec_id // {ND_S} + j AS e FROM embeddings, range(1, {ND_W // ND_S + 1}) t(j)),
@@ -711,3 +723,29 @@ ORACLE["window_outliers_xy"] = f"""WITH p AS (SELECT event_id AS id, value, user
           AND greatest(abs(a.value - b.value), abs(a.user_id::DOUBLE - b.user_id::DOUBLE)) <= {_d(XY_R)}
          GROUP BY a.e, a.id)
 SELECT make_timestamp(e * {DAY_US}) AS window_end, id, nb AS neighbors FROM nb WHERE nb < {XY_K}"""
+
+
+def _cover_sql(rows: str, half: float, k: int) -> str:
+    """Clusters per window of ``rows`` (e, id, embedding): the greedy pass over the dense
+    balls in the order of md5(id), then every point to its nearest centre."""
+    return f"""WITH RECURSIVE w AS ({rows}),
+  near AS (SELECT a.e, a.id, b.id AS other, {_VEC_DIST} AS distance FROM w a JOIN w b ON a.e = b.e AND {_VEC_DIST} <= {_d(half)}),
+  ball AS (SELECT e, id FROM near GROUP BY e, id HAVING count(*) > {k}),
+  cand AS (SELECT n.e, n.id, list(n.other) AS others, min(c.i) AS i FROM near n
+           JOIN (SELECT *, row_number() OVER (PARTITION BY e ORDER BY md5(id::VARCHAR)) AS i FROM ball) c ON n.e = c.e AND n.id = c.id
+           GROUP BY n.e, n.id),
+  pass AS (SELECT e, 0::BIGINT AS i, []::BIGINT[] AS chosen FROM (SELECT DISTINCT e FROM cand)
+           UNION ALL
+           SELECT p.e, c.i, CASE WHEN list_has_any(p.chosen, c.others) THEN p.chosen ELSE list_append(p.chosen, c.id) END
+           FROM pass p JOIN cand c ON c.e = p.e AND c.i = p.i + 1),
+  centre AS (SELECT e, unnest(arg_max(chosen, i)) AS center_id FROM pass GROUP BY e),
+  member AS (SELECT n.e, n.id, arg_min(n.other, (n.distance, n.other)) AS center_id, min(n.distance) AS distance
+             FROM near n JOIN centre c ON n.e = c.e AND n.other = c.center_id GROUP BY n.e, n.id)
+"""
+
+
+ORACLE["dense_clusters_nd"] = _cover_sql(f"""SELECT vec_id AS id, vec_id // {ND_S} + j AS e, embedding
+    FROM embeddings, range(1, {ND_W // ND_S + 1}) t(j)""", R_BALL / 2, K_BALL) + """SELECT e AS window_end, center_id, count(*) AS points
+FROM member GROUP BY e, center_id"""
+ORACLE["assign_clusters_nd"] = _cover_sql("SELECT vec_id AS id, 0 AS e, embedding FROM embeddings", R_BALL / 2, K_BALL) + """SELECT w.id, m.center_id, round(m.distance, 6) AS distance
+FROM w LEFT JOIN member m ON w.id = m.id"""
