@@ -42,21 +42,23 @@ def knn_by_rank(queries: DataFrame, data: DataFrame, k: int, include_self: bool)
     smallest first, are two runs of positions in the sorted objects; ``k`` of
     each run (one more when the query itself is skipped) hold the answer.
     Positions are joined as keys, so a query costs ``2k`` rows wherever it
-    lies, and a value with many copies is read by id."""
+    lies, and a value with many copies is read by id. Every query row has
+    its own answers, also where ids of queries repeat."""
     take = k if include_self else k + 1
     both = data.select("dv", F.lit(1).alias("is_data"), F.col("neighbor_id"), F.lit(None).cast("long").alias("query_id")) \
         .unionByName(queries.select(F.col("qv").alias("dv"), F.lit(0).alias("is_data"), F.lit(None).cast("long").alias("neighbor_id"), "query_id"))
     # queries stand before equal objects: their running count is the number of smaller objects
-    up = materialize(numbered(both, "dv", "is_data", F.coalesce("neighbor_id", "query_id"), out_col="pos", weight=F.col("is_data")))
+    up = materialize(numbered(both, "dv", "is_data", F.coalesce("neighbor_id", "query_id"), out_col="pos", weight=F.col("is_data"))
+                     .withColumn("row", F.monotonically_increasing_id()))
     n = up.agg(F.sum("is_data")).first()[0] or 0
     objects = up.where("is_data = 1").select("neighbor_id", "dv", "pos")
     down = numbered(objects.select("neighbor_id", "dv"), F.col("dv").desc(), "neighbor_id", out_col="pos")
-    asked = up.where("is_data = 0").select("query_id", F.col("dv").alias("qv"), F.col("pos").alias("below"))
+    asked = up.where("is_data = 0").select("row", "query_id", F.col("dv").alias("qv"), F.col("pos").alias("below"))
     steps = F.explode(F.sequence(F.lit(1), F.lit(take))).alias("step")
-    above = asked.select("query_id", "qv", "below", steps).select("query_id", "qv", (F.col("below") + F.col("step")).alias("pos")).join(objects, "pos")
-    under = asked.select("query_id", "qv", "below", steps).select("query_id", "qv", (F.lit(n) - F.col("below") + F.col("step")).alias("pos")).join(down, "pos")
-    pairs = above.unionByName(under).select("query_id", "neighbor_id", F.abs(F.col("qv") - F.col("dv")).alias("distance"))
+    above = asked.select("row", "query_id", "qv", "below", steps).select("row", "query_id", "qv", (F.col("below") + F.col("step")).alias("pos")).join(objects, "pos")
+    under = asked.select("row", "query_id", "qv", "below", steps).select("row", "query_id", "qv", (F.lit(n) - F.col("below") + F.col("step")).alias("pos")).join(down, "pos")
+    pairs = above.unionByName(under).select("row", "query_id", "neighbor_id", F.abs(F.col("qv") - F.col("dv")).alias("distance"))
     if not include_self:
         pairs = pairs.where(F.col("query_id") != F.col("neighbor_id"))
-    w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    w = Window.partitionBy("row").orderBy("distance", "neighbor_id")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("row")

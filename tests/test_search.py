@@ -285,3 +285,10 @@ def test_large_numbers_make_few_copies(spark, r):
     assert df.select(F.max(F.size(grid_reach(F.col("value"), r, grid_width(r))))).first()[0] <= 5
     want = {(i, j) for i, a in rows for j, b in rows if i != j and abs(a - b) <= r}
     assert {(x.query_id, x.neighbor_id) for x in search.radius_join(df, df, r, include_self=False).collect()} == want
+
+
+def test_knn_of_numbers_answers_every_row_of_a_repeated_query_id(spark):
+    queries = spark.createDataFrame([(7, 1.0), (7, 100.0), (8, 1.0)], "id long, value double")
+    data = spark.createDataFrame([(1, 0.0), (2, 1.5), (3, 99.0), (7, 1.0)], "id long, value double")
+    got = sorted(map(tuple, knn_join(queries, data, 2).collect()))
+    assert got == sorted([(7, 2, 0.5, 1), (7, 1, 1.0, 2), (7, 3, 1.0, 1), (7, 2, 98.5, 2), (8, 7, 0.0, 1), (8, 2, 0.5, 2)])
