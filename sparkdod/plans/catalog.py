@@ -339,7 +339,7 @@ def q_radius_join_manhattan(spark, sf):
 def q_nearest_center_manhattan(spark, sf):
     v = vectors(spark, sf)
     out = metric_search.metric_nearest_center(v, label_centroids(v), R_MANHATTAN, metric=manhattan_blocks)
-    return out.select("id", "center_id", _round(F.col("distance")).alias("distance"))
+    return out.select("id", F.coalesce("center_id", F.lit(-1)).cast("long").alias("center_id"), _round(F.col("distance")).alias("distance"))
 
 
 def q_outliers_manhattan(spark, sf):
@@ -366,7 +366,7 @@ def q_dense_clusters_nd(spark, sf):
 
 def q_assign_clusters_nd(spark, sf):
     out = metric_clusters.assign_clusters_nd(vectors(spark, sf), None, R_BALL, K_BALL)
-    return out.select("id", "center_id", _round(F.col("distance")).alias("distance"))
+    return out.select("id", F.coalesce("center_id", F.lit(-1)).cast("long").alias("center_id"), _round(F.col("distance")).alias("distance"))
 
 
 def q_text_points(spark, sf):
@@ -700,7 +700,7 @@ ORACLE["nearest_center_manhattan"] = f"""WITH e AS (SELECT label, pos, avg(x::DO
   d AS (SELECT a.vec_id AS id, b.center_id, {_MANHATTAN} AS distance FROM embeddings a, b),
   best AS (SELECT id, arg_min(center_id, (distance, center_id)) AS center_id, min(distance) AS distance
            FROM d WHERE distance <= {_d(R_MANHATTAN)} GROUP BY id)
-SELECT a.vec_id AS id, best.center_id, round(best.distance, 6) AS distance
+SELECT a.vec_id AS id, coalesce(best.center_id, -1)::BIGINT AS center_id, round(best.distance, 6) AS distance
 FROM embeddings a LEFT JOIN best ON a.vec_id = best.id"""
 ORACLE["outliers_manhattan"] = f"""SELECT a.vec_id AS id, count(b.query_id) AS neighbors
 FROM embeddings a LEFT JOIN (SELECT query_id FROM ({_pairs_sql(_MANHATTAN)}) WHERE distance <= {_d(R_OUTLIER)}) b ON a.vec_id = b.query_id
@@ -747,5 +747,5 @@ def _cover_sql(rows: str, half: float, k: int) -> str:
 ORACLE["dense_clusters_nd"] = _cover_sql(f"""SELECT vec_id AS id, vec_id // {ND_S} + j AS e, embedding
     FROM embeddings, range(1, {ND_W // ND_S + 1}) t(j)""", R_BALL / 2, K_BALL) + """SELECT e AS window_end, center_id, count(*) AS points
 FROM member GROUP BY e, center_id"""
-ORACLE["assign_clusters_nd"] = _cover_sql("SELECT vec_id AS id, 0 AS e, embedding FROM embeddings", R_BALL / 2, K_BALL) + """SELECT w.id, m.center_id, round(m.distance, 6) AS distance
+ORACLE["assign_clusters_nd"] = _cover_sql("SELECT vec_id AS id, 0 AS e, embedding FROM embeddings", R_BALL / 2, K_BALL) + """SELECT w.id, coalesce(m.center_id, -1)::BIGINT AS center_id, round(m.distance, 6) AS distance
 FROM w LEFT JOIN member m ON w.id = m.id"""
