@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .neighbors import DENSE_MAX_MAGNITUDE, DENSE_WIDTH_FACTOR, check_radius
-from .search import finite, nearest_center
+from .search import finite, nearest_center, radius_join
 from .windows import Windows
 
 
@@ -52,7 +52,8 @@ def _bits(size: Column) -> Column:
     return (e + 1023) * F.lit(2 ** 52) + ((size / F.pow(F.lit(2.0), e) - 1) * F.lit(2.0 ** 52)).cast("long")
 
 
-def _cell(v: Column, r: float) -> Column:
+def cell_number(v: Column, r: float) -> Column:
+    """The grid cell of a value (LONG)."""
     size, width = F.abs(v), _width(F.abs(v), r)
     rest = v % width
     exact = F.round((v - rest) / width).cast("long") - F.when(rest < 0, 1).otherwise(0)
@@ -61,7 +62,7 @@ def _cell(v: Column, r: float) -> Column:
         .when(size < F.lit(GRID_MAX_MAGNITUDE * r), exact).otherwise(alone).cast("long")
 
 
-def _center(cell: Column, far: Column, r: float) -> Column:
+def cell_center(cell: Column, far: Column, r: float) -> Column:
     """Midpoint of a cell whose largest ``|value|`` is ``far``."""
     width = F.when(far < F.lit(DENSE_MAX_MAGNITUDE * r), F.lit(dense_cell_width(r))).otherwise(_width(far, r))
     return F.when(far < F.lit(GRID_MAX_MAGNITUDE * r), (cell.cast("double") + F.lit(0.5)) * width) \
@@ -84,14 +85,14 @@ def dense_clusters(points: DataFrame, windows: Windows | None, radius: float, k:
         span = F.explode(windows.window_numbers(windows.position(points)))
     else:
         span = windows.pane(windows.position(points))
-    cells = points.select(span.alias("window"), _cell(v, r).alias("cell"), F.abs(v).alias("size")) \
+    cells = points.select(span.alias("window"), cell_number(v, r).alias("cell"), F.abs(v).alias("size")) \
         .groupBy("window", "cell").agg(F.count(F.lit(1)).alias("points"), F.max("size").alias("far"))
     if m is not None:
         cells = _pane_sums(cells, m, k)
     cells = cells.where(F.col("points") > k)
     label = windows.label(F.col("window"), points) if windows is not None else F.col("window")
     return cells.select(label.alias("window_end"), "cell",
-                        _center(F.col("cell"), F.col("far"), r).alias("center"), "points")
+                        cell_center(F.col("cell"), F.col("far"), r).alias("center"), "points")
 
 
 def _pane_sums(panes: DataFrame, m: int, k: int) -> DataFrame:
@@ -115,3 +116,13 @@ def assign_clusters(points: DataFrame, clusters: DataFrame, radius: float, *, id
     centers = clusters.select(F.col("cell").alias("center_id"), F.col("center").alias(value_col))
     out = nearest_center(points, centers, float(radius) / 2.0, id_col=id_col, value_col=value_col)
     return out.withColumnRenamed("center_id", "cluster")
+
+
+def assign_in_windows(points: DataFrame, clusters: DataFrame, radius: float) -> DataFrame:
+    """O5 in windows: for points ``(id, value, window)`` the closest centre within ``R/2`` among the clusters ``(window, cell, center)``
+    of their own window (ties to the lowest cell), -1 if none is near: ``(id, window, cluster, distance)``."""
+    centers = clusters.select("window", F.col("cell").alias("id"), F.col("center").alias("value"))
+    near = radius_join(points.select("id", "value", "window"), centers, float(radius) / 2.0, partition_cols=["window"])
+    best = near.groupBy("query_id", "window").agg(F.min(F.struct("distance", F.col("neighbor_id").alias("cluster"))).alias("b"))
+    out = points.select("id", "window").join(best.withColumnRenamed("query_id", "id"), ["id", "window"], "left")
+    return out.select("id", "window", F.coalesce("b.cluster", F.lit(-1)).cast("long").alias("cluster"), F.col("b.distance").alias("distance"))

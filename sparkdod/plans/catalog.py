@@ -360,6 +360,19 @@ def q_window_outliers_xy(spark, sf):
     return metric_search.window_outliers_nd(xy, TIME_WINDOWS, XY_R, XY_K, metric=chebyshev_blocks)
 
 
+def q_stream_refired_counts(spark, sf):
+    """Outlier counts on a file stream whose windows fire again for late rows; the last version of each."""
+    from ..streaming.micro_batches import run_stream_refired_counts
+    return run_stream_refired_counts(spark, os.path.join(sf, "events.parquet"), TIME_W, TIME_S, R_WIN, K_WIN, id_col="event_id").drop("version")
+
+
+def q_stream_assign_clusters(spark, sf):
+    """Points of a file stream and the clusters of the window before their slide."""
+    from ..streaming.micro_batches import run_stream_assign_clusters
+    out = run_stream_assign_clusters(spark, os.path.join(sf, "events.parquet"), TIME_W, TIME_S, R_WIN, K_WIN, id_col="event_id")
+    return out.withColumn("distance", _round(F.col("distance")))
+
+
 def q_dense_clusters_nd(spark, sf):
     return metric_clusters.dense_clusters_nd(vectors(spark, sf), Windows.count(ND_W, ND_S), R_BALL, K_BALL)
 
@@ -440,6 +453,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "window_outlier_counts_nd": q_window_outlier_counts_nd,
     "neighbor_profile_nd": q_neighbor_profile_nd,
     "window_outliers_xy": q_window_outliers_xy,
+    "stream_refired_counts": q_stream_refired_counts,
+    "stream_assign_clusters": q_stream_assign_clusters,
     "dense_clusters_nd": q_dense_clusters_nd,
     "assign_clusters_nd": q_assign_clusters_nd,
 }
@@ -648,6 +663,14 @@ SELECT e AS window_end, floor(value / {_d(_W_DENSE)})::BIGINT AS cell,
 FROM w GROUP BY ALL HAVING count(*) > {K_WIN}"""
 ORACLE["stream_window_outliers"] = ORACLE["window_outliers_time"]
 ORACLE["stream_window_counts"] = ORACLE["window_outlier_counts_time"]
+ORACLE["stream_refired_counts"] = ORACLE["window_outlier_counts_time"]
+ORACLE["stream_assign_clusters"] = f"""WITH {_TIME_WIN},
+  c AS (SELECT e, floor(value / {_d(_W_DENSE)})::BIGINT AS cell FROM w GROUP BY ALL HAVING count(*) > {K_WIN}),
+  cc AS (SELECT e, cell, (cell::DOUBLE + 0.5::DOUBLE) * {_d(_W_DENSE)} AS center FROM c),
+  best AS (SELECT id, arg_min(cell, (distance, cell)) AS cell, min(distance) AS distance FROM (
+    SELECT p.id, cc.cell, abs(p.value - cc.center) AS distance FROM p JOIN cc ON cc.e = p.pane AND abs(p.value - cc.center) <= {_d(R_WIN / 2.0)}) GROUP BY id)
+SELECT p.id, make_timestamp(pane * {DAY_US}) AS window_end, coalesce(best.cell, -1)::BIGINT AS cluster, round(best.distance, 6) AS distance
+FROM p LEFT JOIN best ON p.id = best.id"""
 ORACLE["window_outlier_counts_all"] = f"""WITH {_COUNT_WIN}, n AS (SELECT e, count(*) AS n FROM w GROUP BY e)
 SELECT w.e AS window_end, sum(CASE WHEN n - 1 < {K_WIN} THEN 1 ELSE 0 END)::BIGINT AS outliers
 FROM w JOIN n ON w.e = n.e GROUP BY w.e"""

@@ -187,10 +187,11 @@ def stream_window_outliers(points: DataFrame, size, slide, radius: float, k: int
     return found.select(w.label(F.col("window"), points).alias("window_end"), *[c for c in found.columns if c != "window"])
 
 
-def run_to_end(spark: SparkSession, path: str, build, out_schema_of, *, ts_col: str, flush: bool, files_per_batch: int | None, combine=None) -> DataFrame:
+def run_to_end(spark: SparkSession, path: str, build, out_schema_of, *, ts_col: str, flush: bool, files_per_batch: int | None, combine=None, step=None) -> DataFrame:
     """Run ``build(stream)`` over the parquet file(s) at ``path`` until all input is processed and return the
     emitted rows as a table. Each micro-batch is written to a folder of its own number, so one that is
-    repeated after a failure replaces itself. ``combine`` works on the rows of one micro-batch.
+    repeated after a failure replaces itself. ``combine`` works on the rows of one micro-batch, ``step`` on
+    its rows and number (they are computed once).
 
     State, the end marker and the emitted rows live in the shared checkpoint folder. Only the schema is read beforehand."""
     schema = spark.read.parquet(path).schema
@@ -205,7 +206,14 @@ def run_to_end(spark: SparkSession, path: str, build, out_schema_of, *, ts_col:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
     def write(batch: DataFrame, number: int) -> None:
-        (combine(batch) if combine else batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if step:
+            batch.persist()
+        try:
+            rows = step(batch, number) if step else combine(batch) if combine else batch
+            rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        finally:
+            if step:
+                batch.unpersist()
 
     try:
         query = result.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", scratch_path(spark, "stream-state")).start()

@@ -186,7 +186,7 @@ def test_outliers_per_cell_keeps_pruned_cells(spark):
     (60.0, [0.0, -30.0, 6e7 - 200, 1e9, -1e9, 1.7e9, 1.7e15, 60 * 2.0 ** 48 - 300, 3e18, -3e18, 1e300, -1.7e308]),
     (0.1, [200_000.0, 99_999.5, -1e9])])
 def test_dense_clusters_at_any_magnitude(spark, radius, starts):
-    from sparkdod.operators.clusters import _cell, assign_clusters, dense_clusters
+    from sparkdod.operators.clusters import cell_number as _cell, assign_clusters, dense_clusters
     rng = random.Random(7)
     vals = [s + rng.uniform(0, 8 * radius) for s in starts for _ in range(40)] + [s + radius * i for s in starts for i in range(8)]
     vals = [v for v in vals for _ in range(4)]  # every cell holds more than three points
