@@ -5,8 +5,9 @@ A frequent-items sketch of the Misra-Gries family (``approx_top_k``: bounded
 counters, mergeable, every digest above about 1/500 of the rows is certain to be
 among its items) proposes frequent digests; one exact aggregation verifies
 their counts and winners. Those at most ``frequent`` winners are broadcast, so
-rows of hot digests are decided where they are read; all other digests have few
-rows and go through one ordinary shuffle of (id, length, digest).
+rows of hot digests are decided where they are read. All other digests are
+aggregated, map-side first, in one ordinary shuffle of (id, length, digest), and rows
+join the groups of two or more; a digest that is just not hot is split by that join.
 
 Of equal texts the row with the most code points stays, then the smallest
 ``doc_id`` (NULL last), then the first of repeated rows: exactly one row of a
@@ -43,9 +44,10 @@ def exact_dedup(docs: DataFrame, frequent: int = 1024, tracked: int = 8192) -> D
     winners = rows.join(F.broadcast(items), "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min("order").alias("winner"))
     winners = checkpointed(winners)  # at most `frequent` rows
     hot = rows.join(F.broadcast(winners), "digest")
-    group = Window.partitionBy("digest")
-    rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(
-        "digest", "order", F.count(F.lit(1)).over(group).alias("group_size"), F.min("order").over(group).alias("winner"))
+    others = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    groups = others.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min("order").alias("winner")).filter("group_size > 1")
+    rest = others.join(groups, "digest", "left").select(
+        "digest", "order", F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce("winner", "order").alias("winner"))
     return hot.unionByName(rest).select(
         F.col("order.doc_id").alias("doc_id"), F.col("winner.doc_id").alias("keep_id"), "group_size",
         (F.col("order.row") == F.col("winner.row")).alias("kept"), "digest")
