@@ -15,6 +15,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.partitioning import materialize
+from .ranking import numbered
+from .windows import floor_div
+
 # Relative slack that absorbs floating-point rounding of ``value +- R``:
 # the rounding error of those sums is below 2**-52 * (|value| + R).
 ROUNDING_SLACK = 2.0 ** -50
@@ -39,6 +43,23 @@ def quantile_bounds(df: DataFrame, col: str, n_cells: int, rel_error: float | No
     return sorted({q for q in qs if q is not None and math.isfinite(q)})
 
 
+def exact_bounds(df: DataFrame, col: str, n_cells: int) -> list[float]:
+    """R3 without an error: the distinct values at ranks ``ceil(i * n / n_cells)``, ``0 < i < n_cells``, so a cell holds at
+    most ``ceil(n / n_cells)`` rows besides copies of its bound.
+
+    Copies are counted first, map-side, and distinct values numbered by range partitions with the
+    counts as weights; only the bounds reach the driver. NULL, NaN and infinite values are left out."""
+    key = F.col(col).cast("double")
+    values = df.select(key.alias("k")).where(key.isNotNull() & ~F.isnan(key) & (F.abs(key) != float("inf"))) \
+        .groupBy((F.col("k") + F.lit(0.0)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    run = materialize(numbered(values, "k", out_col="run", weight=F.col("n")))
+    total = run.agg(F.max("run")).first()[0]
+    if total is None or n_cells <= 1:
+        return []
+    reached = [floor_div(x * F.lit(n_cells), total) for x in (F.col("run"), F.col("run") - F.col("n"))]
+    return sorted(r["k"] for r in run.where(F.least(reached[0], F.lit(n_cells - 1)) > reached[1]).select("k").collect())
+
+
 def merge_narrow_bounds(bounds: Sequence[float], min_width: float) -> list[float]:
     """Drop bounds closer than ``min_width`` to the previous kept one, so no
     inner cell is narrower than ``min_width``: with ``min_width = R`` a point's

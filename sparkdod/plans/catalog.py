@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.block_metrics import chebyshev_blocks, euclidean_blocks, manhattan_blocks
 from ..operators import clusters, metric_clusters, metric_search, outliers, sampling, search
-from ..operators.cells import replicate, with_cell
+from ..operators.cells import exact_bounds, replicate, with_cell
 from ..operators.windows import Windows, count_based_time, expiring, new_in_window, with_windows
 from ..session import scratch_path
 from ..sources.points import lines_from_table, parse_points, points_from_table, read_text_points
@@ -32,6 +32,7 @@ R_ND, K_ND = 1.2, 5                     # embeddings
 K_RECENT = 5
 CELL_BOUNDS = [25.0, 50.0, 100.0]       # literal value cells for per-cell counts
 SAMPLE_N, SAMPLE_SEED = 100, 42
+DEPTH_CELLS = 16                        # equi-depth cells
 P1_SLIDE, P1_STEP = 1000, "5 seconds"
 R_WIDE, K_WIDE = 2.5, 20               # count windows, second anchor
 ORD_W, ORD_S, ORD_R, ORD_K = "90 days", "30 days", 2000.0, 3   # orders.o_totalprice by o_orderdate
@@ -226,6 +227,12 @@ def q_value_cells(spark, sf):
     return with_cell(p, "value", CELL_BOUNDS).select("id", "cell")
 
 
+def q_equi_depth_cells(spark, sf):
+    """Equi-depth cells: bounds by exact ranks, rows and largest value of each cell."""
+    p = events(spark, sf).select("id", "value")
+    return with_cell(p, "value", exact_bounds(p, "value", DEPTH_CELLS)).groupBy("cell").agg(F.count(F.lit(1)).alias("points"), F.max("value").alias("largest"))
+
+
 def q_orders_window_outlier_counts(spark, sf):
     return outliers.window_outlier_counts(orders(spark, sf), Windows.time(ORD_W, ORD_S), ORD_R, ORD_K)
 
@@ -426,6 +433,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "count_based_time": q_count_based_time,
     "replicate_cells": q_replicate_cells,
     "value_cells": q_value_cells,
+    "equi_depth_cells": q_equi_depth_cells,
     "orders_window_outlier_counts": q_orders_window_outlier_counts,
     "stream_outlier_counts": q_stream_outlier_counts,
     "knn_two_tables": q_knn_two_tables,
@@ -663,6 +671,10 @@ SELECT e AS window_end, floor(value / {_d(_W_DENSE)})::BIGINT AS cell,
 FROM w GROUP BY ALL HAVING count(*) > {K_WIN}"""
 ORACLE["stream_window_outliers"] = ORACLE["window_outliers_time"]
 ORACLE["stream_window_counts"] = ORACLE["window_outlier_counts_time"]
+ORACLE["equi_depth_cells"] = f"""WITH r AS (SELECT value, row_number() OVER (ORDER BY value) AS r, count(*) OVER () AS n FROM events),
+  b AS (SELECT DISTINCT value AS bound FROM r JOIN range(1, {DEPTH_CELLS}) t(i) ON r.r = (i * n + {DEPTH_CELLS - 1}) // {DEPTH_CELLS}),
+  c AS (SELECT value, (SELECT count(*) FROM b WHERE bound < e.value) AS cell FROM events e)
+SELECT cell, count(*) AS points, max(value) AS largest FROM c GROUP BY cell"""
 ORACLE["stream_refired_counts"] = ORACLE["window_outlier_counts_time"]
 ORACLE["stream_assign_clusters"] = f"""WITH {_TIME_WIN},
   c AS (SELECT e, floor(value / {_d(_W_DENSE)})::BIGINT AS cell FROM w GROUP BY ALL HAVING count(*) > {K_WIN}),

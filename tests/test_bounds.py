@@ -22,3 +22,15 @@ def test_many_slides_per_window(spark):
     for e, n in got.items():
         inside = [v for i, v in rows if (e - 60) * 2 <= i < e * 2]
         assert n == sum(sum(abs(u - v) <= 1.0 for u in inside) - 1 < 6 for v in inside)
+
+
+def test_exact_bounds(spark):
+    from sparkdod.operators.cells import exact_bounds
+    frame = lambda vals: spark.createDataFrame([(v,) for v in vals], "value double")
+    values = [float(i * 37 % 101) for i in range(350)] + [5.0] * 200 + [-0.0, 0.0]
+    for n in (2, 3, 7, 40):
+        ranked = sorted(values)
+        want = sorted({ranked[-(-i * len(values) // n) - 1] for i in range(1, n)})
+        assert exact_bounds(frame([*values, float("nan"), float("inf"), None]), "value", n) == want
+    assert exact_bounds(frame([]), "value", 4) == [] and exact_bounds(frame([1.0]), "value", 1) == []
+    assert exact_bounds(frame([2.0] * 9), "value", 4) == [2.0]
