@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before
 it kept; all but the last return the columns of ``documents``. ``run`` writes each
-stage as Parquet into the cluster's shared folder and reads it again.
+stage as Parquet into the cluster's shared folder and reads it again; the table
+before it is removed then, so that one copy (the mix) is left.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from sparkdod.llm import bpe, exact_dedup, mixing, near_dup, toxicity
 from sparkdod.llm.common import documents
 from sparkdod.llm.queries import severity_grade
-from sparkdod.session import ensure_checkpoint_dir
+from sparkdod.session import ensure_checkpoint_dir, remove_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +54,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for k, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
