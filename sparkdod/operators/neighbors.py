@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from ..plans.partitioning import materialize
 from .cells import ROUNDING_SLACK, quantile_bounds, with_cell
+from .pane_lists import LISTED_PANES, by_span, count_lists, windows_of_lists
 from .windows import Windows
 
 _DATA, _LO, _HI = 1, 0, 2  # sort order at equal keys: lo probe < data < hi probe
@@ -117,7 +118,8 @@ def pane_range_counts(d: DataFrame, radius: float, reach: int, bounds: list[floa
     offsets = totals.select("q", "cell", (F.sum("tot").over(
         Window.partitionBy("q").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))).alias("off"))
     rank = F.col("run") + F.coalesce(F.col("off"), F.lit(0))
-    prefix = ranked.join(offsets, ["q", "cell"], "left").select(
+    # joins by sorting: sizes estimated from the source know nothing of probes, so Spark would broadcast millions of rows
+    prefix = ranked.join(offsets.hint("merge"), ["q", "cell"], "left").select(
         "src", "v", "mult", "q", F.when(F.col("kind") == _HI, rank).otherwise(-rank).alias("c"))
 
     # -- 2. exact correction next to the two thresholds --------------------
@@ -140,7 +142,7 @@ def pane_range_counts(d: DataFrame, radius: float, reach: int, bounds: list[floa
     counted = (u >= x_lo) & (u <= x_hi)
     exact = F.abs(u - F.col("v")) <= F.lit(r)
     corr = F.col("um") * (exact.cast("long") - counted.cast("long"))
-    band = band_probes.join(build, ["q", "cls", "slot"]).where(in_band) \
+    band = band_probes.join(build.hint("merge"), ["q", "cls", "slot"]).where(in_band) \
         .select("src", "v", "mult", "q", corr.alias("c")).where(F.col("c") != 0)
 
     if ahead is not None and later:
@@ -230,6 +232,36 @@ def window_list(d: DataFrame, windows: Windows | None, by: Sequence = ()) -> Dat
         *[F.col(c) for c in d.select(*extra).columns]).distinct()
 
 
+def listed(windows: Windows | None) -> bool:
+    """Windows of so many panes that a list a value replaces rank probes (``pane_lists``)."""
+    return windows is not None and (windows.panes_per_window or 0) >= LISTED_PANES
+
+
+def _windows_of_ranks(d: DataFrame, radius: float, m: int, bounds: list[float], flag: str | None) -> DataFrame:
+    """(window, src, v, mult, total, before) by rank probes in every pane."""
+    c = pane_range_counts(d, radius, m - 1, bounds, flag)
+    # windows holding the point end at src+1 .. src+m, window e covers slides
+    # e-m .. e-1. With running totals over the slides src-m+1 .. src+m-1 of a
+    # value, a window is the difference of two: m rows per value.
+    slides = Window.partitionBy("src", "v").orderBy("q")
+    c = c.withColumn("run", F.sum("cnt").over(slides.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    c = c.withColumn("until", F.lag("run", m).over(slides)) \
+        .withColumn("own", F.max(F.when(F.col("q") == F.col("src"), F.col("run"))).over(Window.partitionBy("src", "v")))
+    until = F.coalesce("until", F.lit(0))
+    return c.where(F.col("q") >= F.col("src")).select(
+        (F.col("q") + 1).alias("window"), "src", "v", "mult", (F.col("run") - until).alias("total"), (F.col("own") - until).alias("before"))
+
+
+def window_count_lists(d: DataFrame, radius: float, m: int, bounds_of, flag: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Counts of windows of many panes in two parts: (src, v, mult, total, before) with lists over the
+    windows, and rows (window, src, v, mult, total, before) of the values in spans too large for a group (None: no value)."""
+    copies, ranked = by_span(d, m, flag)
+    if ranked is not None:
+        ranked = materialize(ranked)
+        ranked = _windows_of_ranks(ranked, radius, m, bounds_of(ranked, m - 1), "__ranked")
+    return count_lists(copies, radius, m), ranked
+
+
 def window_neighbor_counts(points: DataFrame, windows: Windows | None, radius: float, *,
                            value_col: str = "value", cells: int | None = None,
                            quantile_sample: float | None = None, bounds: list[float] | None = None,
@@ -274,15 +306,8 @@ def window_neighbor_counts(points: DataFrame, windows: Windows | None, radius: f
         return done(c.select(F.col("q").alias("window"), "src", "v", "mult", F.col("cnt").alias("total"),
                              F.lit(None).cast("long").alias("before")), d)
     d = table(windows.pane(pos))
-    c = pane_range_counts(d, radius, m - 1, bounds_of(d, m - 1), flag)
-    # windows holding the point end at src+1 .. src+m, window e covers slides
-    # e-m .. e-1. With running totals over the slides src-m+1 .. src+m-1 of a
-    # value, a window is the difference of two: m rows per value.
-    slides = Window.partitionBy("src", "v").orderBy("q")
-    c = c.withColumn("run", F.sum("cnt").over(slides.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    c = c.withColumn("until", F.lag("run", m).over(slides)) \
-        .withColumn("own", F.max(F.when(F.col("q") == F.col("src"), F.col("run"))).over(Window.partitionBy("src", "v")))
-    until = F.coalesce("until", F.lit(0))
-    c = c.where(F.col("q") >= F.col("src")).select(
-        (F.col("q") + 1).alias("window"), "src", "v", "mult", (F.col("run") - until).alias("total"), (F.col("own") - until).alias("before"))
-    return done(c, d)
+    if listed(windows):
+        lists, ranked = window_count_lists(d, radius, m, bounds_of, flag)
+        c = windows_of_lists(lists)
+        return done(c if ranked is None else c.unionByName(ranked), d)
+    return done(_windows_of_ranks(d, radius, m, bounds_of(d, m - 1), flag), d)
