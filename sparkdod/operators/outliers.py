@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import with_cell
-from .neighbors import choose_cells, distinct_table, pane_range_counts, union_bounds, window_neighbor_counts
+from .neighbors import (check_radius, choose_cells, distinct_table, listed, pane_range_counts, union_bounds, window_count_lists,
+                        window_neighbor_counts)
+from .pane_lists import windows_of_lists
 from .windows import Windows
 
 
@@ -79,11 +81,26 @@ def neighbor_profile(points: DataFrame, windows: Windows | None, radius: float,
     the point stays an inlier for the rest of its life)."""
     if windows is not None and windows.panes_per_window is None:
         raise ValueError("neighbor_profile needs a slide that divides the window size")
-    c = window_neighbor_counts(points, windows, radius, value_col=value_col, cells=cells)
     key = _source_key(points, windows)
     pts = points.select(F.col(id_col).cast("long").alias("id"), F.col(value_col).cast("double").alias("value"),
                         key.alias("src"))
-    out = pts.join(c, (pts.src == c.src) & (pts.value == c.v))
+
+    def of_points(c):  # a join by sorting: both sides grow with the points
+        out = pts.join(c.hint("merge"), (pts.src == c.src) & (pts.value == c.v))
+        return out.select("id", "value", *[c[n] for n in c.columns])
+    if listed(windows):
+        check_radius(radius)
+        parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        d = distinct_table(points, windows.pane(windows.position(points)), value_col)
+
+        def bounds_of(d, reach):
+            return union_bounds(d, radius, cells if cells is not None else choose_cells(d, parts, reach))
+        lists, ranked = window_count_lists(d, radius, windows.panes_per_window, bounds_of)
+        out = windows_of_lists(of_points(lists), "id", "value")  # lists of the windows are joined, not a row for each
+        if ranked is not None:
+            out = out.unionByName(of_points(ranked))
+    else:
+        out = of_points(window_neighbor_counts(points, windows, radius, value_col=value_col, cells=cells))
     label = windows.label(F.col("window"), points) if windows is not None else F.col("window")
     succ = F.col("total") - F.col("before")
     return out.select(label.alias("window_end"), "id", "value",
