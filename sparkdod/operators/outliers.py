@@ -16,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.partitioning import materialize
 from .cells import with_cell
 from .neighbors import (check_radius, choose_cells, distinct_table, listed, pane_range_counts, union_bounds, window_count_lists,
                         window_neighbor_counts)
-from .pane_lists import windows_of_lists
+from .pane_lists import by_span, count_lists, windows_of_lists
 from .windows import Windows
 
 
@@ -122,15 +123,24 @@ def recent_neighbors(points: DataFrame, windows: Windows, radius: float, k: int,
     spark = points.sparkSession
     pos = windows.position(points)
     d = distinct_table(points, windows.pane(pos), value_col)
-    n_cells = cells if cells is not None else choose_cells(d, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), m - 1)
-    bounds = union_bounds(d, radius, n_cells)
-    c = pane_range_counts(d, radius, m - 1, bounds, later=False).where(F.col("q") <= F.col("src"))
-    c = c.withColumn("others", F.least(F.col("cnt") - (F.col("q") == F.col("src")).cast("long"), F.lit(k)).cast("int"))
-    per = c.groupBy("src", "v").agg(F.sort_array(F.collect_list(F.when(F.col("others") > 0, F.struct("q", "others"))), asc=False).alias("qc"))
-    per = per.select("src", "v", F.slice(F.flatten(F.transform("qc", lambda x: F.array_repeat(x["q"], x["others"]))), 1, k).alias("newest"))
+
+    def by_ranks(d, flag=None):
+        n_cells = cells if cells is not None else choose_cells(d, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), m - 1)
+        bounds = union_bounds(d, radius, n_cells)
+        c = pane_range_counts(d, radius, m - 1, bounds, flag, later=False).where(F.col("q") <= F.col("src"))
+        c = c.withColumn("others", F.least(F.col("cnt") - (F.col("q") == F.col("src")).cast("long"), F.lit(k)).cast("int"))
+        per = c.groupBy("src", "v").agg(F.sort_array(F.collect_list(F.when(F.col("others") > 0, F.struct("q", "others"))), asc=False).alias("qc"))
+        return per.select("src", "v", F.slice(F.flatten(F.transform("qc", lambda x: F.array_repeat(x["q"], x["others"]))), 1, k).alias("newest"))
+    if listed(windows) and k > 0:
+        copies, ranked = by_span(d, m)
+        per = count_lists(copies, check_radius(radius), m, newest=k).select("src", "v", "newest")
+        if ranked is not None:
+            per = per.unionByName(by_ranks(materialize(ranked), "__ranked"))
+    else:
+        per = by_ranks(d)
     pts = points.select(F.col(id_col).cast("long").alias("id"), F.col(value_col).cast("double").alias("value"),
                         windows.pane(pos).alias("src"))
-    out = pts.join(per, (pts.src == per.src) & (pts.value == per.v)).select(
+    out = pts.join(per.hint("merge"), (pts.src == per.src) & (pts.value == per.v)).select(
         "id", "value", "newest", F.explode(F.sequence(per.src + 1, per.src + m)).alias("window"))
     recent = F.filter("newest", lambda q: q >= F.col("window") - m)
     labels = F.transform(recent, lambda q: windows.pane_label(q, points))
