@@ -45,7 +45,7 @@ def _independent(index: PivotIndex, radius: float) -> DataFrame:
     def met(rows: DataFrame, kernel, schema: str) -> DataFrame:
         placed = index.placed.join(rows.select("neighbor_id"), "neighbor_id", "left_semi")
         visits = index.visits(alive.select("window", "obj", F.col("neighbor_id").alias("query_id")), radius, 0)
-        return replace(index, placed=placed).evaluate(visits, ["window"], kernel, schema)
+        return replace(index, placed=placed).evaluate(visits, ["window"], kernel, schema, radius)
     columns = ["window", "obj", "first", "turn", "neighbor_id"]
     alive = materialize(index.placed.select(*columns))
     centres = []
@@ -72,10 +72,10 @@ def _clustered(points: DataFrame, windows: Windows | None, radius: float, k: int
     objects = materialize(counts.groupBy("window", "obj").agg(F.sum("mult").alias("mult"), F.max("total").alias("total"), F.min("first").alias("first"))
                           .withColumn("query_id", F.monotonically_increasing_id()))
     dense = objects.where(F.col("total") > k).select("window", "obj", "first", F.md5(F.col("first").cast("string")).alias("turn"))
-    index = build_index(dense, metric, 0, pivots, block_rows)
+    index = build_index(dense, metric, 0, pivots, block_rows, ["window"])
     if index is None:
         return None
-    centres = build_index(_independent(index, half).select("window", "obj", "first"), metric, 0, pivots, block_rows)
+    centres = build_index(_independent(index, half).select("window", "obj", "first"), metric, 0, pivots, block_rows, ["window"])
 
     def nearest(q, o, d):
         order = np.argsort(o["first"].to_numpy(), kind="stable")
@@ -86,7 +86,7 @@ def _clustered(points: DataFrame, windows: Windows | None, radius: float, k: int
         return pd.DataFrame({"query_id": q["query_id"].to_numpy()[hit], "center_id": o["first"].to_numpy()[order][best[hit]], "distance": dist[hit]})
     kind = dense.schema["first"].dataType.simpleString()
     visits = centres.visits(objects.select("window", "obj", "query_id"), half, 0)
-    found = centres.evaluate(visits, ["window"], nearest, f"query_id long, center_id {kind}, distance double")
+    found = centres.evaluate(visits, ["window"], nearest, f"query_id long, center_id {kind}, distance double", half)
     best = found.groupBy("query_id").agg(F.min(F.struct("distance", "center_id")).alias("b"))
     return objects.join(best, "query_id").select("window", "obj", "mult", F.col("b.center_id").alias("center_id"), F.col("b.distance").alias("distance"))
 
