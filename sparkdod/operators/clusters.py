@@ -122,7 +122,7 @@ def assign_in_windows(points: DataFrame, clusters: DataFrame, radius: float) ->
     """O5 in windows: for points ``(id, value, window)`` the closest centre within ``R/2`` among the clusters ``(window, cell, center)``
     of their own window (ties to the lowest cell), -1 if none is near: ``(id, window, cluster, distance)``."""
     centers = clusters.select("window", F.col("cell").alias("id"), F.col("center").alias("value"))
-    near = radius_join(points.select("id", "value", "window"), centers, float(radius) / 2.0, partition_cols=["window"])
+    near = radius_join(points.select("id", "value", "window"), centers, float(radius) / 2.0, partition_cols=["window"], split=False)
     best = near.groupBy("query_id", "window").agg(F.min(F.struct("distance", F.col("neighbor_id").alias("cluster"))).alias("b"))
     out = points.select("id", "window").join(best.withColumnRenamed("query_id", "id"), ["id", "window"], "left")
     return out.select("id", "window", F.coalesce("b.cluster", F.lit(-1)).cast("long").alias("cluster"), F.col("b.distance").alias("distance"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,26 @@ def test_radius_join_1d(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("held", [2 ** 19, 40])
+@pytest.mark.parametrize("own", [False, True])
+def test_radius_join_deals_a_crowded_cell_to_many_tasks(spark, monkeypatch, held, own):
+    monkeypatch.setattr(search, "HELD_ROWS", held)
+    # 300 values in one cell, a few elsewhere; ids and rows repeat, one value is NULL, one key too
+    rows = [(i % 290, 0.05 + i / 2000, i % 2) for i in range(300)] + [(1000 + i, 5.0 + i, 0) for i in range(20)] + [(3, 0.1, 1)] * 2
+    odd = [(2000, None, 0), (2001, 0.1, None)]
+    df = spark.createDataFrame(rows + odd, "id long, value double, grp long")
+    kw = {"metric": lambda a, b: F.abs(a - b) / 10, "grid_radius": 0.2 * (1 + 1e-9)} if own else {}
+    r = 0.02 if own else 0.2
+    dist = (lambda a, b: abs(a - b) / 10) if own else (lambda a, b: abs(a - b))
+    for keys in ([], ["grp"]):
+        j = radius_join(df, df, r, include_self=False, partition_cols=keys, **kw)
+        got = j.withColumn("task", F.spark_partition_id()).collect()
+        points = rows if keys else [*rows, odd[1]]
+        want = Counter((i, k, dist(a, b)) for i, a, g in points for k, b, h in points if i != k and dist(a, b) <= r and (not keys or g == h))
+        assert Counter((x.query_id, x.neighbor_id, x.distance) for x in got) == want
+        assert max(Counter(x.task for x in got).values()) < len(got) * 0.7
+
+
 @pytest.mark.parametrize("k", [1, 3, 7])
 def test_knn(spark, vecs, k):
     rows, df = vecs
