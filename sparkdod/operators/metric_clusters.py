@@ -33,14 +33,15 @@ from .windows import Windows
 
 def _independent(index: PivotIndex, radius: float) -> DataFrame:
     """Rows of the index (window, obj, first, neighbor_id) that are centres."""
-    def first_of(q, o, d):
+    def first_of(q, o, pairs):
         names, order = np.unique(o["turn"].to_numpy().astype(str), return_inverse=True)
-        least = np.where(d <= radius, order[None, :], len(names)).min(axis=1)
+        least = np.full(len(q), len(names))
+        np.minimum.at(least, pairs[0], order[pairs[1]])
         hit = np.flatnonzero(least < len(names))
         return pd.DataFrame({"query_id": q["query_id"].to_numpy()[hit], "turn": names[least[hit]].astype(object)})
 
-    def reached(q, o, d):
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[(d <= radius).any(axis=1)]})
+    def reached(q, o, pairs):
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[np.unique(pairs[0])]})
 
     def met(rows: DataFrame, kernel, schema: str) -> DataFrame:
         placed = index.placed.join(rows.select("neighbor_id"), "neighbor_id", "left_semi")
@@ -77,13 +78,12 @@ def _clustered(points: DataFrame, windows: Windows | None, radius: float, k: int
         return None
     centres = build_index(_independent(index, half).select("window", "obj", "first"), metric, 0, pivots, block_rows, ["window"])
 
-    def nearest(q, o, d):
-        order = np.argsort(o["first"].to_numpy(), kind="stable")
-        masked = np.where(d <= half, d, np.inf)[:, order]
-        best = masked.argmin(axis=1)  # the first of equal distances, so the lowest id
-        dist = masked[np.arange(len(best)), best]
-        hit = np.flatnonzero(np.isfinite(dist))
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[hit], "center_id": o["first"].to_numpy()[order][best[hit]], "distance": dist[hit]})
+    def nearest(q, o, pairs):
+        rows, cols, dist = pairs
+        order = np.unique(o["first"].to_numpy(), return_inverse=True)[1]
+        turn = np.lexsort((order[cols], dist, rows))  # of equal distances the lowest id
+        hit, at = np.unique(rows[turn], return_index=True)
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[hit], "center_id": o["first"].to_numpy()[cols[turn[at]]], "distance": dist[turn[at]]})
     kind = dense.schema["first"].dataType.simpleString()
     visits = centres.visits(objects.select("window", "obj", "query_id"), half, 0)
     found = centres.evaluate(visits, ["window"], nearest, f"query_id long, center_id {kind}, distance double", half)
