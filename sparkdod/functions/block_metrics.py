@@ -172,6 +172,7 @@ def _stepped_pairs(a: np.ndarray, b: np.ndarray, limit: np.ndarray, metric: Bloc
 
 euclidean_blocks.pairs = _euclidean_pairs
 manhattan_blocks.pairs = lambda a, b, limit: _stepped_pairs(a, b, limit, manhattan_blocks, _add_size, True)
+chebyshev_blocks.pairs = lambda a, b, limit: _stepped_pairs(a, b, limit, chebyshev_blocks, _keep_largest, False)
 
 
 def pairs_within(metric: BlockMetric, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> Pairs:

@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 
 from sparkdod.functions import block_metrics as bm
-from sparkdod.functions.block_metrics import euclidean_blocks, manhattan_blocks, pairs_within
+from sparkdod.functions.block_metrics import chebyshev_blocks, euclidean_blocks, manhattan_blocks, pairs_within
 
-METRICS = [euclidean_blocks, manhattan_blocks]
+METRICS = [euclidean_blocks, manhattan_blocks, chebyshev_blocks]
 
 
 def vectors(kind, n, dims, seed):
