@@ -8,17 +8,17 @@ the order of ``md5(id)`` would take.
 
 That order is random, so the pass needs few parallel rounds (about the logarithm of the
 candidates): a candidate that comes first among the undecided ones near it is a
-centre, and those near a centre are out. A block emits the first of the
-neighbours for each candidate, not the neighbours; equal objects are one row. No
-edge of the graph is ever stored.
+centre, and those near a centre are out. Where a window holds many candidates, the first
+``FIRST_TURNS`` of them are decided in such rounds, those near their centres are out, then
+``MORE_TURNS`` times as many: all candidates meet the centres, but only few
+meet each other. A block emits the first of the neighbours for each candidate, not the
+neighbours; equal objects are one row. No edge of the graph is ever stored.
 
 Every point belongs to the nearest centre within ``R / 2`` (ties to the lowest id).
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,6 +30,9 @@ from .metric_search import PIVOTS, PivotIndex, _label, _points, build_index, met
 from .outliers import _source_key
 from .windows import Windows
 
+FIRST_TURNS = 4_096      # candidates of one window that are decided first
+MORE_TURNS = 4
+
 
 def _independent(index: PivotIndex, radius: float) -> DataFrame:
     """Rows of the index (window, obj, first, neighbor_id) that are centres."""
@@ -43,19 +46,36 @@ def _independent(index: PivotIndex, radius: float) -> DataFrame:
     def reached(q, o, pairs):
         return pd.DataFrame({"query_id": q["query_id"].to_numpy()[np.unique(pairs[0])]})
 
-    def met(rows: DataFrame, kernel, schema: str) -> DataFrame:
-        placed = index.placed.join(rows.select("neighbor_id"), "neighbor_id", "left_semi")
-        visits = index.visits(alive.select("window", "obj", F.col("neighbor_id").alias("query_id")), radius, 0)
-        return replace(index, placed=placed).evaluate(visits, ["window"], kernel, schema, radius)
+    def met(queries: DataFrame, rows: DataFrame, n: int, kernel, schema: str) -> DataFrame:
+        objects = index.fewer(index.placed.join(rows.select("neighbor_id"), "neighbor_id", "left_semi"), min(1.0, n / total))
+        visits = objects.visits(queries.select("window", "obj", F.col("neighbor_id").alias("query_id")), radius, 0)
+        return objects.evaluate(visits, ["window"], kernel, schema, radius)
+
+    def out_of_reach(rows: DataFrame, won: DataFrame, n: int) -> DataFrame:
+        near = met(rows, won, n, reached, "query_id long").distinct()
+        return materialize(rows.join(near, F.col("neighbor_id") == F.col("query_id"), "left_anti"))
     columns = ["window", "obj", "first", "turn", "neighbor_id"]
-    alive = materialize(index.placed.select(*columns))
-    centres = []
-    while not alive.isEmpty():
-        least = met(alive, first_of, "query_id long, turn string").groupBy("query_id").agg(F.min("turn").alias("least"))
-        won = materialize(alive.join(least, F.col("neighbor_id") == F.col("query_id")).where("turn = least").select(*columns))
-        centres.append(won)
-        out = met(won, reached, "query_id long").distinct()
-        alive = materialize(alive.join(out, F.col("neighbor_id") == F.col("query_id"), "left_anti"))
+    later = materialize(index.placed.select(*columns))
+    total, share, centres = later.count(), FIRST_TURNS / index.most, []
+    while not later.isEmpty():
+        last = 2 * share >= 1
+        cut = F.lit(f"{int(share * 2.0 ** 52):013x}" if not last else "g")  # of hex digits: all come before a "g"
+        alive, batch = later if last else materialize(later.where(F.col("turn") < cut)), []
+        while not alive.isEmpty():
+            least = met(alive, alive, alive.count(), first_of, "query_id long, turn string").groupBy("query_id").agg(F.min("turn").alias("least"))
+            won = materialize(alive.join(least, F.col("neighbor_id") == F.col("query_id")).where("turn = least").select(*columns))
+            batch.append((won, won.count()))
+            alive = out_of_reach(alive, *batch[-1])
+        centres += [won for won, _ in batch]
+        if last:
+            break
+        later = materialize(later.where(F.col("turn") >= cut))
+        if batch:
+            found = batch[0][0]
+            for more, _ in batch[1:]:
+                found = found.unionByName(more)
+            later = out_of_reach(later, found, sum(n for _, n in batch))
+        share *= MORE_TURNS
     result = centres[0]
     for more in centres[1:]:
         result = result.unionByName(more)
@@ -67,7 +87,7 @@ def _clustered(points: DataFrame, windows: Windows | None, radius: float, k: int
     """(window, obj, mult, center_id, distance) of the objects in a cluster; None without a cluster."""
     half = float(radius) / 2
     counts = metric_window_counts(points, windows, half, metric=metric, id_col=id_col, vector_col=vector_col,
-                                  pivots=pivots, block_rows=block_rows)
+                                  pivots=pivots, block_rows=block_rows, enough=k)
     if counts is None:
         return None
     objects = materialize(counts.groupBy("window", "obj").agg(F.sum("mult").alias("mult"), F.max("total").alias("total"), F.min("first").alias("first"))
